@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import languages, licenses
+from tidemark.llm import fingerprints, languages, licenses, mixing
 from tidemark.llm.blocks import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+
+
+def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(documents(spark, sf_dir))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
@@ -23,5 +31,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
-QUERIES: dict[str, Query] = {"op6_license_scan": op6_license_scan, "op7_language_id": op7_language_id}
+QUERIES: dict[str, Query] = {
+    "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
+    "op5_entropy_mix": op5_entropy_mix,
+    "op6_license_scan": op6_license_scan,
+    "op7_language_id": op7_language_id,
+}
 ORACLES: dict[str, str] = {}
