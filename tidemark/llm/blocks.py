@@ -21,8 +21,11 @@ BASE = U64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
-#: Value of each byte in a word's hash; white space counts nothing.
-_VALUE = np.where(_SPACE, 0, np.arange(1, 257)).astype(U64)
+#: All ASCII but letters and digits separates words: punctuation does not tell words apart.
+MARKS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+#: Value of each byte in a word's hash; separators count nothing.
+_VALUE = np.arange(1, 257).astype(U64)
 
 #: Lower-cases A-Z and leaves every other byte.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -97,6 +100,34 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+class SortedHashes:
+    """Rising 64-bit hashes with an index over their leading bits; ``find`` gives positions, -1 where absent."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.bits = max(8, int(len(keys)).bit_length() + 2)
+        edges = np.arange((1 << self.bits) + 1, dtype=np.float64)
+        self.first = np.searchsorted(keys >> U64(64 - self.bits), edges.astype(U64)).astype(np.int32)
+        self.deepest = int(np.diff(self.first).max()) if len(keys) else 0
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        if len(self.keys) == 0:
+            return np.full(len(wanted), -1, dtype=np.int32)
+        at = self.first[(wanted >> U64(64 - self.bits)).astype(np.int64)]
+        np.minimum(at, len(self.keys) - 1, out=at)
+        miss = np.flatnonzero(self.keys[at] != wanted)
+        for step in range(1, self.deepest + 1):
+            if not len(miss):
+                break
+            if step == self.deepest:
+                at[miss] = -1
+                break
+            there = np.minimum(at[miss] + 1, len(self.keys) - 1)
+            at[miss] = there
+            miss = miss[self.keys[there] != wanted[miss]]
+        return at
+
+
 class Words:
     """Maximal runs of non-white-space bytes of a block of texts, in order.
 
@@ -104,10 +135,11 @@ class Words:
     word and ``first`` the n + 1 positions in the word list at which each text's words begin.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, at: np.ndarray, separators: np.ndarray = _SPACE) -> None:
         n = len(data)
         word = np.zeros(n + 1, dtype=bool)
-        word[:n] = ~_SPACE[data]
+        word[:n] = ~separators[data]
+        self.separators = separators
         begins = word[:n].copy()
         begins[1:] &= ~word[: n - 1]
         edge = at[(at > 0) & (at < n)]
@@ -140,7 +172,7 @@ class Words:
         inside = np.arange(lead, len(data), dtype=np.int32) - begins
         np.minimum(inside, longest - 1, out=inside)
         total[lead:] = powers[inside]
-        total *= _VALUE[data]
+        total *= np.where(self.separators, U64(0), _VALUE)[data]
         return mix(np.add.reduceat(total, self.start) + length.astype(U64))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, languages, licenses, mixing
+from tidemark.llm import decontamination, fingerprints, languages, licenses, mixing, pii
 from tidemark.llm.blocks import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,15 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
+def op3_semi_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.detect_pii(docs, pii.fit_spans(docs))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
@@ -33,6 +42,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
+    "op3_semi_crf_pii": op3_semi_crf_pii,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_entropy_mix": op5_entropy_mix,
     "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
