@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, fingerprints, languages, licenses, mixing, nearjoin, pii
+from tidemark.llm import decontamination, fingerprints, languages, licenses, mixing, nearjoin, pii, repeats
 from tidemark.llm.blocks import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op8_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.link_documents(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op5_entropy_mix": op5_entropy_mix,
     "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
+    "op8_maximal_repeats": op8_maximal_repeats,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
