@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, fingerprints, languages, licenses, mixing, nearjoin, pii, repeats
+from tidemark.llm import decontamination, fingerprints, languages, licenses, mixing, nearjoin, pii, quality, repeats, toxicity
 from tidemark.llm.blocks import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
+def op2_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op3_semi_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return pii.detect_pii(docs, pii.fit_spans(docs))
@@ -44,18 +50,26 @@ def op8_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op9_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = quality.score_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.link_documents(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
+    "op2_bigru_toxicity": op2_bigru_toxicity,
     "op3_semi_crf_pii": op3_semi_crf_pii,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_entropy_mix": op5_entropy_mix,
     "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_maximal_repeats": op8_maximal_repeats,
+    "op9_crf_quality": op9_crf_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
