@@ -65,21 +65,48 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def minimiser_runs(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and minimiser (48 bits) of the runs of string starts of one text with one minimiser."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    starts, ends, keys = [], [], []
-    step = 1 << 18
+def _minimisers(data: np.ndarray, length: int) -> np.ndarray:
+    """Minimiser (48 bits) of the string of ``length`` bytes that starts at each place."""
     with np.errstate(over="ignore"):
-        for a in range(0, len(data) - length + 1, step):
-            piece = data[a : a + step + length - 1]
-            least = _least(mix(_rolling(piece.astype(U64) + U64(1), K, _SALT)), length - K + 1) >> U64(16)
-            cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-            starts.append(cuts + a)
-            ends.append(np.append(cuts[1:], len(least)) + a)
-            keys.append(least[cuts])
-    return np.concatenate(starts), np.concatenate(ends), np.concatenate(keys)
+        # mixed once more: least values crowd at the low end, parts are cut by leading bits
+        return mix(_least(mix(_rolling(data.astype(U64) + U64(1), K, _SALT)), length - K + 1)) >> U64(16)
+
+
+def minimiser_runs(texts: list[np.ndarray], length: int = LENGTH, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start, end and minimiser of the runs of string starts with one minimiser, in order of text and start."""
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))]
+
+    def add(which: np.ndarray, base: np.ndarray, least: np.ndarray, usable: np.ndarray) -> None:
+        """``which``: text of each place, ``base``: place of the text's first byte."""
+        new = np.ones(len(least), dtype=bool)
+        new[1:] = (least[1:] != least[:-1]) | (which[1:] != which[:-1]) | (usable[1:] != usable[:-1])
+        cuts = np.flatnonzero(new)
+        ends = np.append(cuts[1:], len(least))
+        good = usable[cuts]
+        cuts, ends = cuts[good], ends[good]
+        out.append((which[cuts], cuts - base[cuts], ends - base[cuts], least[cuts]))
+
+    i = 0
+    while i < len(texts):
+        if len(texts[i]) > step:  # long texts a step at a time
+            for a in range(0, len(texts[i]) - length + 1, step):
+                least = _minimisers(texts[i][a : a + step + length - 1], length)
+                add(np.full(len(least), i), np.full(len(least), -a), least, np.ones(len(least), dtype=bool))
+            i += 1
+            continue
+        j, total = i, 0
+        while j < len(texts) and len(texts[j]) <= step and total + len(texts[j]) <= step:
+            total += len(texts[j])
+            j += 1
+        if total >= length:
+            sizes = np.fromiter((len(t) for t in texts[i:j]), dtype=np.int64, count=j - i)
+            at = np.cumsum(sizes) - sizes
+            least = _minimisers(np.concatenate(texts[i:j]), length)
+            own = np.repeat(np.arange(j - i), sizes)[: len(least)]
+            place = np.arange(len(least))
+            add(own + i, at[own], least, place + length <= (at + sizes)[own])
+        i = j
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -104,24 +131,26 @@ class SuffixIntervals:
         n = np.maximum(sizes - length + 1, 0)
         self.piece = np.repeat(np.arange(len(pieces)), n)
         self.offset = np.arange(len(self.piece)) - np.repeat(np.cumsum(n) - n, n)
-        wide = -(-int(sizes.max(initial=0)) // 8) * 8
-        text = np.frombuffer(b"".join(pieces) + bytes(wide), dtype=np.uint8)
+        wide = -(-int(sizes.max(initial=0)) // 8)
+        text = np.frombuffer(b"".join(pieces) + bytes(8 * wide + 8), dtype=np.uint8)
         begin = (np.cumsum(sizes) - sizes)[self.piece] + self.offset
         left = sizes[self.piece] - self.offset
         self.before = np.where(self.offset > 0, text[begin - 1].astype(np.int16), -1)
-        keys = np.empty((len(begin), wide // 8), dtype=U64)
-        for j in range(wide // 8):  # eight bytes at a time, big-endian so that numbers sort as bytes do
-            part = np.zeros((len(begin), 8), dtype=np.uint8)
-            for b in range(8):
-                inside = 8 * j + b < left
-                part[:, b] = np.where(inside, text[begin + 8 * j + b], 0)
-            keys[:, j] = part.view(">u8").ravel()
-        order = np.lexsort([left, *keys.T[::-1]]) if len(begin) else np.zeros(0, np.int64)
-        self.piece, self.offset, self.before, left, keys = self.piece[order], self.offset[order], self.before[order], left[order], keys[order]
+        eight = np.zeros(len(text) - 7, dtype=U64)  # eight bytes from each place, big-endian so that numbers sort as bytes do
+        for b in range(8):
+            eight |= text[b : len(text) - 7 + b].astype(U64) << U64(8 * (7 - b))
+        keys = np.empty((wide, len(begin)), dtype=U64)
+        for j in range(wide):
+            keys[j] = eight[begin + 8 * j]
+            over = np.clip(8 - (left - 8 * j), 0, 8)  # bytes beyond the end of the piece
+            cut = over > 0
+            keys[j][cut] = np.where(over[cut] == 8, U64(0), keys[j][cut] >> (U64(8) * (over[cut].astype(U64) % U64(8))) << (U64(8) * (over[cut].astype(U64) % U64(8))))
+        order = self._sort(keys, left)
+        self.piece, self.offset, self.before, left, keys = self.piece[order], self.offset[order], self.before[order], left[order], keys[:, order]
         common = np.zeros(max(0, len(order) - 1), dtype=np.int64)
         alive = np.ones(len(common), dtype=bool)
-        for j in range(wide // 8):
-            apart = keys[1:, j] ^ keys[:-1, j]
+        for j in range(wide):
+            apart = keys[j, 1:] ^ keys[j, :-1]
             same = (apart == 0).astype(np.int64)
             for b in range(1, 8):
                 same += apart < U64(1 << (8 * b))
@@ -130,6 +159,25 @@ class SuffixIntervals:
         self.common = np.minimum(common, np.minimum(left[1:], left[:-1]))
         self.left = left
 
+    @staticmethod
+    def _sort(keys: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Order by the keys, then by length; each further key only sorts what is still tied."""
+        order, at, group = np.arange(len(left)), np.arange(len(left)), np.zeros(len(left), np.int64)
+        for key in [*keys, left]:
+            own = order[at]
+            step = np.lexsort([key[own], group]) if len(at) < len(order) else np.argsort(key, kind="stable")
+            own, group = own[step], group[step]
+            order[at] = own
+            value = key[own]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (value[1:] != value[:-1]) | (group[1:] != group[:-1])
+            group = np.cumsum(new) - 1
+            tied = np.bincount(group, minlength=1)[group] > 1 if len(group) else new
+            at, group = at[tied], group[tied]
+            if not len(at):
+                break
+        return order
+
     def maximal_repeats(self, several: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(first, end, length) of each interval whose strings are not all led by the same byte.
 
@@ -201,8 +249,7 @@ def _published(length: int, bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys = [minimiser_runs(t, length)[2] for _, t in _bucket_texts(table)]
-        every = np.unique(np.concatenate(keys)) if keys else np.zeros(0, U64)
+        every = np.unique(minimiser_runs([t for _, t in _bucket_texts(table)], length)[3])
         part = (every >> U64(48 - bits)).astype(np.int64) if bits else np.zeros(len(every), np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
         return pa.table({"part": pa.array(part[cuts[:-1]], pa.int32()), "bucket": pa.array(np.full(len(cuts) - 1, bucket), pa.int32()), "keys": pa.array([_six(every[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
@@ -242,28 +289,26 @@ def _pieces(length: int, bits: int):
             else:
                 keys.append(_from_six(key))
                 hots.append(np.unpackbits(np.frombuffer(hot, np.uint8))[: len(keys[-1])].astype(bool))
-        runs = [minimiser_runs(t, length) for _, t in texts]
-        own = [np.unique(r[2]) for r in runs]
-        local, times = np.unique(np.concatenate([*own, np.zeros(0, U64)]), return_counts=True)
+        which, start, end, key = minimiser_runs([t for _, t in texts], length)
+        order = np.lexsort([which, key])
+        pair = np.ones(len(order), dtype=bool)  # a minimiser once a text
+        pair[1:] = (key[order][1:] != key[order][:-1]) | (which[order][1:] != which[order][:-1])
+        local, times = np.unique(key[order][pair], return_counts=True)
         shared, hot = np.concatenate(keys), np.concatenate(hots)
         scorching = np.sort(shared[hot])
         shared = np.unique(np.concatenate([shared, local[times >= 2]]))
         found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        for c, ((_, text), (start, end, key)) in enumerate(zip(texts, runs, strict=True)):
-            if not len(shared) or not len(key):
-                continue
-            raw = text.tobytes()
-            at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
-            use = np.flatnonzero(shared[at] == key)
-            high = np.isin(key[use], scorching).tolist() if len(scorching) else [False] * len(use)
-            for s, e, k, by_string in zip(start[use].tolist(), end[use].tolist(), key[use].tolist(), high, strict=True):
-                step = 1 if by_string else length - K + 1
-                for a in range(s, e, step):
-                    piece = raw[a : min(e, a + step) + length - 1]
-                    where = k
-                    if by_string:
-                        where = int.from_bytes(hashlib.blake2b(piece, digest_size=6).digest(), "little")
-                    found.setdefault((where >> (48 - bits) if bits else 0, piece), []).append((c, a))
+        use = np.flatnonzero(np.isin(key, shared))
+        high = np.isin(key[use], scorching).tolist() if len(scorching) else [False] * len(use)
+        raw, last = b"", -1
+        for c, s, e, k, by_string in zip(which[use].tolist(), start[use].tolist(), end[use].tolist(), key[use].tolist(), high, strict=True):
+            if c != last:
+                raw, last = texts[c][1].tobytes(), c
+            step = 1 if by_string else length - K + 1
+            for a in range(s, e, step):
+                piece = raw[a : min(e, a + step) + length - 1]
+                where = int.from_bytes(hashlib.blake2b(piece, digest_size=6).digest(), "little") if by_string else k
+                found.setdefault((where >> (48 - bits) if bits else 0, piece), []).append((c, a))
         by_part: dict[int, list[tuple[bytes, list[tuple[int, int]]]]] = {}
         for (part, piece), places in found.items():
             by_part.setdefault(part, []).append((piece, places))
