@@ -9,11 +9,11 @@ aggregation, and only classes are joined:
 - heavy sets put the first n / 10 + 1 shingles of a global order (frequent shingles last) into inverted
   lists; two sets that link share one of them. Light sets near the boundary enter the lists as well.
 
-The boundary is the size from which subsets cost more than list entries. A list is never expanded
-into all its pairs: first each class is verified against one pivot, then lists whose members still
-belong to different components are searched for the other links, behind a parity sketch whose
-distance never exceeds the size of the symmetric difference, so nothing is lost. Links inside a
-component that is already joined change nothing and are not searched.
+The boundary is the size from which subsets cost more than list entries. A pair of a list is a candidate
+when its parity sketches pass: their distance never exceeds the size of the symmetric difference, so no
+link is lost. A list is never expanded into all its pairs: first each class is verified against one
+candidate of a list, then lists whose members still belong to different components are searched for
+the other links. Links inside a component that is already joined change nothing and are not searched.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set (size 0) and link with
 nothing; a text with one or two words is one shingle; rows that repeat, or that repeat an id, are
@@ -136,13 +136,14 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             keep = count >= max(4, int(FREQUENT * len(held) * 2))
             none = pa.nulls(int(keep.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(token[keep].view(np.int64)), pa.array(count[keep])], ["id", "n", "k", "token", "count"])
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(int(keep.sum()), pa.binary()), pa.array(token[keep].view(np.int64)), pa.array(count[keep])], names)
 
+        names = ["id", "n", "k", "marks", "token", "count"]
         total = 0
         for batch in slices(batches, "t"):
             sets = doc_sets(column(batch, "t"), size)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), none, none], ["id", "n", "k", "token", "count"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), none, none], names)
             held += sets
             total += sum(map(len, sets))
             if len(held) >= CHUNK or total > 4_000_000:
@@ -151,7 +152,7 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "id long, n long, k long, token long, count long")
+    return docs.mapInArrow(run, "id long, n long, k long, marks binary, token long, count long")
 
 
 def _postings(docs: DataFrame, size: int, least: int, frequent: np.ndarray, boundary: int) -> DataFrame:
@@ -179,66 +180,101 @@ def _postings(docs: DataFrame, size: int, least: int, frequent: np.ndarray, boun
     return docs.mapInArrow(run, "token long, n int, k long")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list]:
-    """Columns of each run of equal tokens in sorted batches; the last run of a batch waits for the next one."""
-    held: list[list] = []
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that end where a run of equal tokens ends."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        cols = [column(batch, n).to_numpy(zero_copy_only=False) for n in names]
-        token = cols[0]
+        token = column(batch, "token").to_numpy()
         if not len(token):
             continue
-        cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            part = [c[a:b] for c in cols]
-            if held and held[0][0][0] != part[0][0]:
-                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut_at = int(np.searchsorted(token, token[-1], side="left"))
+        if cut_at or (held and column(held[0], "token")[0].as_py() != token[0]):
+            if held and column(held[0], "token")[0].as_py() != token[0]:
+                yield pa.Table.from_batches(held)
                 held = []
-            held.append(part)
+            if cut_at:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut_at)])
+                held = []
+        held.append(batch.slice(cut_at))
     if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield pa.Table.from_batches(held)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the lists with two classes or more, each class once."""
+    for table in _whole_runs(batches):
+        token, k = table.column("token").to_numpy(), table.column("k").to_numpy()
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (k[1:] != k[:-1])
+        table, token = table.filter(pa.array(new)), token[new]
+        same = np.zeros(len(token) + 1, dtype=bool)
+        same[1:-1] = token[1:] == token[:-1]
+        table = table.filter(pa.array(same[1:] | same[:-1])).combine_chunks()
+        yield from table.to_batches()
+
+
+#: Lists up to this length are searched for all lists at once, longer ones one by one.
+SHORT = 64
 
 
-def _lists(least: int):
-    """Keeps the lists with two classes or more; gives each class the pivot of its list: the first of a size that can link."""
+def _pairs(least: int, partner_only: bool):
+    """Candidate pairs (a, b) of sorted lists: sizes can link, sketches pass, components (if given) differ.
+
+    With ``partner_only`` each class gets one candidate of a list, where it has any; else all pairs come.
+    """
+
+    def passing(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total = n[i] + n[j]
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
+        at = np.flatnonzero(ok)
+        apart = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64)
+        ok[at] = apart <= total[at] - 2 * (-(-least * total[at] // (100 + least)))
+        return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list[np.ndarray]] = []
-        rows = 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "n", "k", "pivot"])
-
-        def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:  # single entries of a list go before anything is made of them, but for the first and last of a batch
-                token = column(batch, "token").to_numpy()
-                if len(token) > 2:
-                    same = token[1:] == token[:-1]
-                    keep = np.ones(len(token), dtype=bool)
-                    keep[1:-1] = same[1:] | same[:-1]
-                    batch = batch.filter(pa.array(keep))
-                yield batch
-
-        for token, n, k in _runs(dense(batches), ["token", "n", "k"]):
-            if len(k) < 2:
-                continue
-            new = np.concatenate([[True], k[1:] != k[:-1]])
-            token, n, k = token[new], n[new], k[new]
-            if len(k) < 2:
-                continue
-            pivot = k[np.searchsorted(n, -(-n.astype(np.int64) * least // 100), side="left")]
-            out.append([token, n, k, pivot])
-            rows += len(k)
-            if rows > 100_000:
-                yield flush()
-                out, rows = [], 0
-        if out:
-            yield flush()
+        for table in _whole_runs(batches):
+            token, n, k, comp = (table.column(c).to_numpy() for c in ("token", "n", "k", "comp"))
+            n = n.astype(np.int64)
+            bits = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint64).reshape(len(k), -1)
+            cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+            length = np.repeat(np.diff(cuts), np.diff(cuts))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            alone = length <= SHORT
+            for apart in range(1, min(SHORT, int(length.max()))):
+                i = np.flatnonzero(alone[apart:] & (token[apart:] == token[:-apart])) + apart
+                if not len(i):
+                    break
+                j = i - apart
+                ok = passing(n, bits, comp, i, j)
+                found.append((k[i[ok]], k[j[ok]]))
+                if partner_only:
+                    alone = alone.copy()
+                    alone[i[ok]] = False
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b - a <= SHORT:
+                    continue
+                low = a + np.searchsorted(n[a:b], -(-n[a:b] * least // 100), side="left")
+                for i in range(a + 1, b):
+                    for at in range(int(low[i - a]), i, 4096):
+                        j = np.arange(at, min(i, at + 4096))
+                        j = j[passing(n, bits, comp, np.full(len(j), i), j)]
+                        if len(j):
+                            if partner_only:
+                                j = j[:1]
+                            found.append((np.full(len(j), k[i]), k[j]))
+                            if partner_only:
+                                break
+            if found:
+                x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
 def _class_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
-    """(k, set, sketch) of the classes in ``keys``: a bitmap of their keys, bounded in size, thins the pass over the texts."""
+    """(k, set) of the classes in ``keys``: a bitmap of their keys, bounded in size, thins the pass over the texts."""
     spark = docs.sparkSession
     n = keys.count()
     bits = 1 << 16
@@ -263,12 +299,12 @@ def _class_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
                     at = k % bits
                     if has[at >> 3] >> (at & 7) & 1 and k not in seen:
                         seen.add(k)
-                        rows.append((k, np.sort(s >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), sketch(s)))
+                        rows.append((k, np.sort(s >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
             if rows:
-                k, packed, marks = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(packed, pa.binary()), pa.array(marks, pa.binary())], ["k", "s", "marks"])
+                k, packed = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(packed, pa.binary())], ["k", "s"])
 
-    found = docs.mapInArrow(run, "k long, s binary, marks binary")
+    found = docs.mapInArrow(run, "k long, s binary")
     return found.repartition(partitions(spark), "k").dropDuplicates(["k"])
 
 
@@ -299,34 +335,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "s", "s2").mapInArrow(run, "a long, b long")
 
 
-def _cross(least: int):
-    """Pairs of a list that are in different components, of sizes that can link, and that the sketches let pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, n, k, comp, marks in _runs(batches, ["token", "n", "k", "comp", "marks"]):
-            bits = np.frombuffer(b"".join(marks), dtype=np.uint64).reshape(len(k), -1)
-            upto = np.searchsorted(n, n.astype(np.int64) * 100 // least, side="right")
-            for i in range(len(k) - 1):
-                js = np.arange(i + 1, upto[i])
-                js = js[comp[js] != comp[i]]
-                if not len(js):
-                    continue
-                apart = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1)
-                total = n[js].astype(np.int64) + int(n[i])
-                js = js[apart <= total - 2 * (-(-least * total // (100 + least)))]
-                if len(js):
-                    a, b = np.minimum(k[js], k[i]), np.maximum(k[js], k[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return run
-
-
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: int = LEAST) -> DataFrame:
     """Each document with the size of its set and the smallest id of its component."""
     spark = docs.sparkSession
     narrow = docs.selectExpr(f"cast(`{id_col}` AS long) AS id", f"cast(`{text_col}` AS string) AS t")
     survey = cut(_survey(narrow, size))
-    members = survey.where("n IS NOT NULL").select("id", F.col("n").alias("size"), "k")
+    members = survey.where("n IS NOT NULL").select("id", F.col("n").alias("size"), "k", "marks")
     total = members.count()
     # at most (mean set size) / FREQUENT shingles can be this frequent, whatever the number of documents
     often = survey.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= max(FLOOR, total * FREQUENT))
@@ -335,18 +349,23 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     boundary = choose_boundary(small, least)
 
     postings = _postings(narrow, size, least, frequent, boundary).repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "k")
-    lists = cut(postings.mapInArrow(_lists(least), "token long, n int, k long, pivot long"))
-    sets = cut(_class_sets(narrow, size, lists.select("k").distinct()))
-    stars = lists.where("k <> pivot").groupBy("k").agg(F.min("pivot").alias("b")).select(F.col("k").alias("a"), "b")
-    edges = cut(_verify(stars, sets, least))
-    joined = components(edges)
+    # a class has one sketch however many copies it has
+    marks = members.where("k IS NOT NULL").groupBy("k").agg(F.max("marks").alias("marks"))
+    lists = cut(postings.mapInArrow(_lists, "token long, n int, k long").join(marks, "k"))
+
+    def candidates(rows: DataFrame, partner_only: bool) -> DataFrame:
+        dealt = rows.select("token", "n", "k", "comp", "marks").repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "k")
+        return dealt.mapInArrow(_pairs(least, partner_only), "a long, b long").distinct()
+
+    first = cut(candidates(lists.withColumn("comp", F.col("k")), True))
+    sets = cut(_class_sets(narrow, size, first.select(F.col("a").alias("k")).union(first.select("b")).distinct()))
+    edges = cut(_verify(first, sets, least))
+    joined = components(edges).withColumnRenamed("node", "k")
 
     # lists that still hold more than one component
-    placed = lists.select("token", "n", "k").join(joined.withColumnRenamed("node", "k"), "k", "left").select("token", "n", "k", F.coalesce("label", "k").alias("comp"))
+    placed = lists.join(joined, "k", "left").withColumn("comp", F.coalesce("label", "k"))
     open_lists = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    rest = placed.join(open_lists, "token", "left_semi").join(sets.select("k", "marks"), "k")
-    rest = rest.repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "k")
-    more = rest.mapInArrow(_cross(least), "a long, b long").distinct()
+    more = candidates(placed.join(open_lists, "token", "left_semi"), False)
     every = cut(edges.union(_verify(more, sets, least)))
 
     roots = components(every)
