@@ -220,7 +220,7 @@ SHORT = 64
 def _pairs(least: int, partner_only: bool):
     """Candidate pairs (a, b) of sorted lists: sizes can link, sketches pass, components (if given) differ.
 
-    With ``partner_only`` each class gets one candidate of a list, where it has any; else all pairs come.
+    With ``partner_only`` each class is in one pair of a list at least, where it has any; else all pairs come.
     """
 
     def passing(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -239,31 +239,35 @@ def _pairs(least: int, partner_only: bool):
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             length = np.repeat(np.diff(cuts), np.diff(cuts))
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            alone = length <= SHORT
+            short, alone = length <= SHORT, np.ones(len(token), dtype=bool)
             for apart in range(1, min(SHORT, int(length.max()))):
-                i = np.flatnonzero(alone[apart:] & (token[apart:] == token[:-apart])) + apart
+                i = np.flatnonzero(short[apart:] & (token[apart:] == token[:-apart])) + apart
                 if not len(i):
                     break
-                j = i - apart
-                ok = passing(n, bits, comp, i, j)
-                found.append((k[i[ok]], k[j[ok]]))
-                if partner_only:
-                    alone = alone.copy()
-                    alone[i[ok]] = False
+                if partner_only:  # pairs of two that have candidates already are left for later
+                    i = i[alone[i] | alone[i - apart]]
+                i = i[passing(n, bits, comp, i, i - apart)]
+                found.append((k[i], k[i - apart]))
+                alone[i] = alone[i - apart] = False
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a <= SHORT:
                     continue
                 low = a + np.searchsorted(n[a:b], -(-n[a:b] * least // 100), side="left")
-                for i in range(a + 1, b):
-                    for at in range(int(low[i - a]), i, 4096):
-                        j = np.arange(at, min(i, at + 4096))
-                        j = j[passing(n, bits, comp, np.full(len(j), i), j)]
-                        if len(j):
-                            if partner_only:
-                                j = j[:1]
-                            found.append((np.full(len(j), k[i]), k[j]))
-                            if partner_only:
-                                break
+                high = a + np.searchsorted(n[a:b], n[a:b] * 100 // least, side="right")
+                for later in (False, True) if partner_only else (False,):  # the second time: those that no other one has found
+                    for i in range(a, b):
+                        if later and not alone[i]:
+                            continue
+                        first, last = (i + 1, int(high[i - a])) if later else (int(low[i - a]), i)
+                        for at in range(first, last, 4096):
+                            j = np.arange(at, min(last, at + 4096))
+                            j = j[passing(n, bits, comp, np.full(len(j), i), j)]
+                            if len(j):
+                                j = j[:1] if partner_only else j
+                                found.append((np.full(len(j), k[i]), k[j]))
+                                alone[i] = alone[j] = False
+                                if partner_only:
+                                    break
             if found:
                 x, y = (np.concatenate(c) for c in zip(*found, strict=True))
                 pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
