@@ -32,7 +32,7 @@ from tidemark.llm.blocks import U64, column, cut, mix, slices, text_buffer
 
 #: Bytes of a repeat at least; bytes of a k-mer; text bytes of a bucket and, in the mean, of a part; buckets from which a minimiser is dealt out by string.
 LENGTH, K = 50, 24
-BUCKET_BYTES, PART_BYTES, HOT = 4 << 20, 8 << 20, 64
+BUCKET_BYTES, PART_BYTES, HOT = 4 << 20, 8 << 20, 512
 _LAST = (1 << 63) - 1
 _SALT = U64(0x9E6C63D0876A9A47)
 _STRING = U64(0xD1342543DE82EF95)
@@ -249,30 +249,49 @@ def _published(length: int, bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        every = np.unique(minimiser_runs([t for _, t in _bucket_texts(table)], length)[3])
+        texts = [t for _, t in _bucket_texts(table)]
+        which, start, end, key = minimiser_runs(texts, length)
+        every, at = np.unique(key, return_inverse=True)
+        # a minimiser whose pieces differ within the bucket, by their ends and lengths, is marked
+        whole = np.concatenate([*texts, np.zeros(8, np.uint8)])
+        base = np.cumsum([0, *map(len, texts)])[which] if len(which) else which
+        ends = np.zeros(len(key), U64)
+        for b in range(8):
+            ends = (ends * _SALT) ^ (whole[base + start + b].astype(U64) << U64(8)) ^ whole[base + end + length - 2 - b].astype(U64)
+        ends ^= (end - start).astype(U64)
+        low, high = np.full(len(every), np.iinfo(np.uint64).max, U64), np.zeros(len(every), U64)
+        np.minimum.at(low, at, ends)
+        np.maximum.at(high, at, ends)
+        differ = low != high
         part = (every >> U64(48 - bits)).astype(np.int64) if bits else np.zeros(len(every), np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
-        return pa.table({"part": pa.array(part[cuts[:-1]], pa.int32()), "bucket": pa.array(np.full(len(cuts) - 1, bucket), pa.int32()), "keys": pa.array([_six(every[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        return pa.table({"part": pa.array(part[cuts[:-1]], pa.int32()), "bucket": pa.array(np.full(len(cuts) - 1, bucket), pa.int32()), "keys": pa.array([_six(every[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "differ": pa.array([np.packbits(differ[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Minimisers of two buckets or more, back to each of them, and whether they are hot."""
-    blobs = [_from_six(b) for b in table.column("keys").to_pylist()]
-    bucket = np.repeat(table.column("bucket").to_numpy(), [len(b) for b in blobs])
-    key = np.concatenate(blobs)
-    order = np.argsort(key, kind="stable")
-    key, bucket = key[order], bucket[order]
-    cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-    times = np.repeat(np.diff(np.append(cuts, len(key))), np.diff(np.append(cuts, len(key))))
-    keep = times >= 2
-    key, bucket, hot = key[keep], bucket[keep], times[keep] >= HOT
-    order = np.argsort(bucket, kind="stable")
-    key, bucket, hot = key[order], bucket[order], hot[order]
-    cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return pa.table({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "key": pa.array([_six(key[a:b]) for a, b in spans], pa.binary()), "hot": pa.array([np.packbits(hot[a:b]).tobytes() for a, b in spans], pa.binary()), "rep": pa.nulls(len(spans), pa.int64())})
+def _shared(least_buckets: int):
+    """Minimisers of two buckets or more, back to each of them, and whether they are hot: in very many buckets, most of which hold different pieces."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = [_from_six(b) for b in table.column("keys").to_pylist()]
+        marks = [np.unpackbits(np.frombuffer(d, np.uint8))[: len(b)] for b, d in zip(blobs, table.column("differ").to_pylist(), strict=True)]
+        bucket = np.repeat(table.column("bucket").to_numpy(), [len(b) for b in blobs])
+        key, differ = np.concatenate(blobs), np.concatenate(marks).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key, bucket, differ = key[order], bucket[order], differ[order]
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        sizes = np.diff(np.append(cuts, len(key)))
+        times, marked = np.repeat(sizes, sizes), np.repeat(np.add.reduceat(differ, cuts), sizes)
+        keep = times >= 2
+        key, bucket, hot = key[keep], bucket[keep], (times[keep] >= least_buckets) & (2 * marked[keep] >= times[keep])
+        order = np.argsort(bucket, kind="stable")
+        key, bucket, hot = key[order], bucket[order], hot[order]
+        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.table({"bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "key": pa.array([_six(key[a:b]) for a, b in spans], pa.binary()), "hot": pa.array([np.packbits(hot[a:b]).tobytes() for a, b in spans], pa.binary()), "rep": pa.nulls(len(spans), pa.int64())})
+
+    return run
 
 
 def _pieces(length: int, bits: int):
@@ -429,8 +448,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
 
     texts = docs.select(text.alias("t")).mapInArrow(_classes, "key binary, bytes binary").select(bucket, "key", "bytes")
-    held = texts.groupBy("bucket").applyInArrow(_published(length, bits), "part int, bucket int, keys binary")
-    shared = held.groupBy("part").applyInArrow(_shared, "bucket int, key binary, hot binary, rep long")
+    held = texts.groupBy("bucket").applyInArrow(_published(length, bits), "part int, bucket int, keys binary, differ binary")
+    shared = held.groupBy("part").applyInArrow(_shared(HOT), "bucket int, key binary, hot binary, rep long")
     known = shared.unionByName(reps.select(bucket, "key", F.lit(None).cast("binary").alias("hot"), "rep"))
     pieces = texts.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_pieces(length, bits), "part int, bucket int, pieces binary, sizes binary, counts binary, places binary, reps binary")
     spans = pieces.groupBy("part").applyInArrow(_covered(length), "bucket int, spans binary")
