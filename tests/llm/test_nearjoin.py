@@ -98,3 +98,18 @@ def test_boundary_follows_cost():
 def test_packed_sets_round_trip():
     sets = nearjoin.doc_sets(pa.array(["a b c d e", "", None, "q"]))
     assert [len(s) for s in sets] == [3, 0, 0, 1]
+
+
+def test_sketches_never_part_linked_sets():
+    rng = random.Random(4)
+    told_apart = 0
+    for _ in range(40):
+        n = rng.randrange(1400, 9000)
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], dtype=np.uint64))
+        keep = rng.sample(a.tolist(), int(len(a) * rng.uniform(0.9, 1)))
+        b = np.unique(np.array(keep + [rng.getrandbits(64) for _ in range(rng.randrange(0, n // 10))], dtype=np.uint64))
+        c = np.unique(np.array([rng.getrandbits(64) for _ in range(len(a))], dtype=np.uint64))
+        if nearjoin.links(a, b):
+            assert nearjoin.sketches_pass(nearjoin.sketch(a), nearjoin.sketch(b), len(a) + len(b))
+        told_apart += not nearjoin.sketches_pass(nearjoin.sketch(a), nearjoin.sketch(c), len(a) + len(c))
+    assert told_apart == 40

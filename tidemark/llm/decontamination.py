@@ -12,7 +12,7 @@ At similarity 0.8 bits differ with probability 0.15, so more than 24 of 64 diffe
 million; a smaller radius would lose true pairs, a larger one finds no more.
 
 Defined cases: null and empty texts, on either side, match nothing; a text or an item with fewer than
-five words is one shingle of all its words; repeated rows are each reported; of windows with equal
+five words is one shingle of all its words, so such an item is found only in a text that is no more; repeated rows are each reported; of windows with equal
 similarity the first is reported; no item, no document: an empty result. Items are taken in blocks
 of bounded size, one pass over the documents a block, so the benchmark may be of any size.
 """

@@ -106,7 +106,7 @@ def _features(kind: str, text: str, before: str, after: str) -> list[str]:
     cue = before[-24:].lower()
     if any(c in cue for c in _CUES[kind]):
         out.append("cue")
-    if before[-1:].isalnum() or after[:1].isalnum():
+    if before[-1:].isalnum() or after[:1].isalnum() or kind == "email" and before[-1:] in _LOCAL:
         out.append("cut")
     if kind == "email":
         local, sign, domain = text.partition("@")
