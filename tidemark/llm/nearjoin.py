@@ -39,8 +39,8 @@ SIZE, LEAST = 3, 90
 LIST_READS = 10
 #: A shingle is frequent when it is in this share of all documents (and in FLOOR at least), as far as chunks of CHUNK documents show it.
 FREQUENT, FLOOR, CHUNK = 1 / 500, 50, 2000
-#: Bits of the parity sketch; bits of the bitmap of candidate classes: a key, and at most.
-SKETCH, KEY_BITS, MOST_BITS = 512, 16, 1 << 29
+#: Bits of the parity sketch; size from which sets have a longer one; bits of the bitmap of candidate classes: a key, and at most.
+SKETCH, WIDE, KEY_BITS, MOST_BITS = 512, 1500, 16, 1 << 29
 
 _SUBSET = U64(0x5851F42D4C957F2D)
 _KEY = U64(0x2545F4914F6CDD1D)
@@ -114,8 +114,24 @@ def set_tokens(values: np.ndarray, frequent: SortedHashes, boundary: int, least:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """Parity of the number of elements at each of SKETCH places."""
-    return np.packbits(np.bincount((values % U64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+    """Parity of the number of elements at each place: SKETCH places, for large sets a power of two that sets of that size do not fill."""
+    places = SKETCH if len(values) < WIDE else max(SKETCH, 1 << (len(values) // 3).bit_length())
+    return np.packbits(np.bincount((values % U64(places)).astype(np.int64), minlength=places).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def fold(marks: bytes, words: int) -> np.ndarray:
+    """A sketch with fewer places (64 a word): those that are equal modulo the new number fall together."""
+    return np.bitwise_xor.reduce(np.frombuffer(marks, np.uint64).reshape(-1, words), axis=0)
+
+
+def most_apart(total: np.ndarray | int, least: int = LEAST):
+    """Largest symmetric difference of two linked sets with so many elements in all."""
+    return total - 2 * (-(-least * total // (100 + least)))
+
+
+def sketches_pass(a: bytes, b: bytes, total: int, least: int = LEAST) -> bool:
+    words = min(len(a), len(b)) // 8
+    return int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum()) <= most_apart(total, least)
 
 
 def links(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
@@ -200,17 +216,21 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the lists with two classes or more, each class once."""
-    for table in _whole_runs(batches):
-        token, k = table.column("token").to_numpy(), table.column("k").to_numpy()
-        new = np.ones(len(token), dtype=bool)
-        new[1:] = (token[1:] != token[:-1]) | (k[1:] != k[:-1])
-        table, token = table.filter(pa.array(new)), token[new]
-        same = np.zeros(len(token) + 1, dtype=bool)
-        same[1:-1] = token[1:] == token[:-1]
-        table = table.filter(pa.array(same[1:] | same[:-1])).combine_chunks()
-        yield from table.to_batches()
+def _lists(least: int):
+    """Keeps each class once a list, and only next to one whose size lets them link: lists are in order of size, so neighbours tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches):
+            token, k = table.column("token").to_numpy(), table.column("k").to_numpy()
+            new = np.ones(len(token), dtype=bool)
+            new[1:] = (token[1:] != token[:-1]) | (k[1:] != k[:-1])
+            table, token = table.filter(pa.array(new)), token[new]
+            n = table.column("n").to_numpy().astype(np.int64)
+            near = np.zeros(len(token) + 1, dtype=bool)
+            near[1:-1] = (token[1:] == token[:-1]) & (100 * n[:-1] >= least * n[1:])
+            yield from table.filter(pa.array(near[1:] | near[:-1])).combine_chunks().to_batches()
+
+    return run
 
 
 #: Lists up to this length are searched for all lists at once, longer ones one by one.
@@ -223,19 +243,22 @@ def _pairs(least: int, partner_only: bool):
     With ``partner_only`` each class is in one pair of a list at least, where it has any; else all pairs come.
     """
 
-    def passing(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        total = n[i] + n[j]
+    def passing(n: np.ndarray, bits: np.ndarray, marks: list[bytes], comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
         at = np.flatnonzero(ok)
-        apart = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64)
-        ok[at] = apart <= total[at] - 2 * (-(-least * total[at] // (100 + least)))
+        total = n[i[at]] + n[j[at]]
+        near = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64) <= most_apart(total, least)
+        for x in np.flatnonzero(near & (np.minimum(n[i[at]], n[j[at]]) >= WIDE)).tolist():
+            near[x] = sketches_pass(marks[i[at[x]]], marks[j[at[x]]], int(total[x]), least)
+        ok[at] = near
         return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_runs(batches):
             token, n, k, comp = (table.column(c).to_numpy() for c in ("token", "n", "k", "comp"))
             n = n.astype(np.int64)
-            bits = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint64).reshape(len(k), -1)
+            marks = table.column("marks").to_pylist()
+            bits = np.stack([fold(m, SKETCH // 64) if len(m) > SKETCH // 8 else np.frombuffer(m, np.uint64) for m in marks])
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             length = np.repeat(np.diff(cuts), np.diff(cuts))
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -246,7 +269,7 @@ def _pairs(least: int, partner_only: bool):
                     break
                 if partner_only:  # pairs of two that have candidates already are left for later
                     i = i[alone[i] | alone[i - apart]]
-                i = i[passing(n, bits, comp, i, i - apart)]
+                i = i[passing(n, bits, marks, comp, i, i - apart)]
                 found.append((k[i], k[i - apart]))
                 alone[i] = alone[i - apart] = False
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -261,7 +284,7 @@ def _pairs(least: int, partner_only: bool):
                         first, last = (i + 1, int(high[i - a])) if later else (int(low[i - a]), i)
                         for at in range(first, last, 4096):
                             j = np.arange(at, min(last, at + 4096))
-                            j = j[passing(n, bits, comp, np.full(len(j), i), j)]
+                            j = j[passing(n, bits, marks, comp, np.full(len(j), i), j)]
                             if len(j):
                                 j = j[:1] if partner_only else j
                                 found.append((np.full(len(j), k[i]), k[j]))
@@ -355,19 +378,20 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     postings = _postings(narrow, size, least, frequent, boundary).repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "k")
     # a class has one sketch however many copies it has
     marks = members.where("k IS NOT NULL").groupBy("k").agg(F.max("marks").alias("marks"))
-    lists = cut(postings.mapInArrow(_lists, "token long, n int, k long").join(marks, "k"))
+    lists = cut(postings.mapInArrow(_lists(least), "token long, n int, k long"))
 
     def candidates(rows: DataFrame, partner_only: bool) -> DataFrame:
-        dealt = rows.select("token", "n", "k", "comp", "marks").repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "k")
+        dealt = rows.join(marks, "k").select("token", "n", "k", "comp", "marks").repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "k")
         return dealt.mapInArrow(_pairs(least, partner_only), "a long, b long").distinct()
 
     first = cut(candidates(lists.withColumn("comp", F.col("k")), True))
-    sets = cut(_class_sets(narrow, size, first.select(F.col("a").alias("k")).union(first.select("b")).distinct()))
+    near = first.select(F.col("a").alias("k")).union(first.select("b")).distinct()
+    sets = cut(_class_sets(narrow, size, near))
     edges = cut(_verify(first, sets, least))
     joined = components(edges).withColumnRenamed("node", "k")
 
-    # lists that still hold more than one component
-    placed = lists.join(joined, "k", "left").withColumn("comp", F.coalesce("label", "k"))
+    # classes without a candidate in any list have no link; of the others, lists that still hold more than one component
+    placed = lists.join(near, "k", "left_semi").join(joined, "k", "left").select("token", "n", "k", F.coalesce("label", "k").alias("comp"))
     open_lists = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
     more = candidates(placed.join(open_lists, "token", "left_semi"), False)
     every = cut(edges.union(_verify(more, sets, least)))
