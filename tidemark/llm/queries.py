@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, fingerprints, languages, licenses, mixing, nearjoin, pii, quality, repeats, toxicity
+from tidemark.llm import decontamination, fingerprints, languages, licenses, mixing, nearjoin, oracles, pii, quality, repeats, toxicity
 from tidemark.llm.blocks import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,4 +72,4 @@ QUERIES: dict[str, Query] = {
     "op9_crf_quality": op9_crf_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_maximal_repeats": oracles.OP8, "op10_jaccard_join": oracles.OP10}
