@@ -13,16 +13,16 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
 
-def shingle_set(text):
+def shingle_set(text, size=3):
     w = WORD.findall((text or "").translate(LOW))
-    if len(w) < 3:
+    if len(w) < size:
         return frozenset([tuple(w)] if w else [])
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
 
 
-def brute(rows):
+def brute(rows, size=3, least=90):
     """(id, size, component) of each row, rows as nodes."""
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_set(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -32,7 +32,7 @@ def brute(rows):
 
     for a, b in itertools.combinations(range(len(rows)), 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+        if both and 100 * both >= least * (len(sets[a]) + len(sets[b]) - both):
             root[find(a)] = find(b)
     least = {}
     for i, (doc, _) in enumerate(rows):
@@ -60,17 +60,17 @@ def test_components_match_brute_force(spark):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_of_near_copies_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "size", "least"), [(1, 3, 90), (2, 5, 80)])
+def test_groups_of_near_copies_match_brute_force(spark, seed, size, least):
     rng = random.Random(seed)
     texts = []
-    for length in (9, 11, 12, 14, 20, 21, 22, 25, 31, 60, 130, 400):
+    for length in (5, 6, 8, 9, 11, 12, 14, 20, 21, 22, 25, 31, 60, 130, 400):
         texts += near_copies(rng, 14, length)
     texts += near_copies(rng, 150, 200)  # longer than the lists that are searched together
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nearjoin.link_documents(frame(spark, rows)).collect()), key=str)
-    want = brute(rows)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nearjoin.link_documents(frame(spark, rows), size=size, least=least).collect()), key=str)
+    want = brute(rows, size, least)
     assert got == want
     assert len({c for _, _, c in want}) < len(rows) - 100
 
@@ -112,4 +112,12 @@ def test_sketches_never_part_linked_sets():
         if nearjoin.links(a, b):
             assert nearjoin.sketches_pass(nearjoin.sketch(a), nearjoin.sketch(b), len(a) + len(b))
         told_apart += not nearjoin.sketches_pass(nearjoin.sketch(a), nearjoin.sketch(c), len(a) + len(c))
+        assert not nearjoin.sketches_pass(nearjoin.sketch(a, 80), nearjoin.sketch(c, 80), len(a) + len(c), 80)
     assert told_apart == 40
+
+
+def test_without_keeps_all_but_the_named(spark):
+    df = frame(spark, [(i, str(i)) for i in range(300)] + [(None, "x"), (7, "again"), (-5, "y")])
+    ids = spark.createDataFrame([(7,), (-5,), (100,)], "k long")
+    got = sorted((r.doc_id for r in nearjoin.without(df, ids).collect()), key=str)
+    assert got == sorted([i for i in range(300) if i not in (7, 100)] + [None], key=str)

@@ -31,7 +31,7 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, sf_dir):
     assert out.columns == COLUMNS
     kept = out.collect()
     by_id = [r.doc_id for r in kept if r.doc_id is not None]
-    want = {d for d, n, c in brute(rows) if d is not None and (n == 0 or d == c)}
+    want = {d for d, n, c in brute(rows, 5, 80) if d is not None and (n == 0 or d == c)}
     assert sorted(by_id) == sorted(want)
 
 

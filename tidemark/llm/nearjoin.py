@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ SIZE, LEAST = 3, 90
 LIST_READS = 10
 #: A shingle is frequent when it is in this share of all documents (and in FLOOR at least), as far as chunks of CHUNK documents show it.
 FREQUENT, FLOOR, CHUNK = 1 / 500, 50, 2000
-#: Bits of the parity sketch; size from which sets have a longer one; bits of the bitmap of candidate classes: a key, and at most.
-SKETCH, WIDE, KEY_BITS, MOST_BITS = 512, 1500, 16, 1 << 29
+#: Least bits of the parity sketch; bits of the bitmap of candidate classes: a key, and at most.
+SKETCH, KEY_BITS, MOST_BITS = 512, 16, 1 << 29
 
 _SUBSET = U64(0x5851F42D4C957F2D)
 _KEY = U64(0x2545F4914F6CDD1D)
@@ -113,9 +114,9 @@ def set_tokens(values: np.ndarray, frequent: SortedHashes, boundary: int, least:
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def sketch(values: np.ndarray) -> bytes:
-    """Parity of the number of elements at each place: SKETCH places, for large sets a power of two that sets of that size do not fill."""
-    places = SKETCH if len(values) < WIDE else max(SKETCH, 1 << (len(values) // 3).bit_length())
+def sketch(values: np.ndarray, least: int = LEAST) -> bytes:
+    """Parity of the number of elements at each place: SKETCH places, for large sets a power of two that two unlike sets of that size fill far beyond the most that linked ones differ in."""
+    places = max(SKETCH, 1 << (int(5.2 * (100 - least) / (100 + least) * len(values)) - 1).bit_length())
     return np.packbits(np.bincount((values % U64(places)).astype(np.int64), minlength=places).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -142,7 +143,7 @@ def links(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
 # --- stages ----------------------------------------------------------------------------------------------
 
 
-def _survey(docs: DataFrame, size: int) -> DataFrame:
+def _survey(docs: DataFrame, size: int, least: int) -> DataFrame:
     """One pass: a row a document (id, size, key), and rows of shingles frequent in a chunk (token, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,7 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
         for batch in slices(batches, "t"):
             sets = doc_sets(column(batch, "t"), size)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s, least) if len(s) else None for s in sets], pa.binary()), none, none], names)
             held += sets
             total += sum(map(len, sets))
             if len(held) >= CHUNK or total > 4_000_000:
@@ -243,12 +244,12 @@ def _pairs(least: int, partner_only: bool):
     With ``partner_only`` each class is in one pair of a list at least, where it has any; else all pairs come.
     """
 
-    def passing(n: np.ndarray, bits: np.ndarray, marks: list[bytes], comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def passing(n: np.ndarray, bits: np.ndarray, long: np.ndarray, marks: list[bytes], comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]))
         at = np.flatnonzero(ok)
         total = n[i[at]] + n[j[at]]
         near = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64) <= most_apart(total, least)
-        for x in np.flatnonzero(near & (np.minimum(n[i[at]], n[j[at]]) >= WIDE)).tolist():
+        for x in np.flatnonzero(near & long[i[at]] & long[j[at]]).tolist():
             near[x] = sketches_pass(marks[i[at[x]]], marks[j[at[x]]], int(total[x]), least)
         ok[at] = near
         return ok
@@ -258,6 +259,7 @@ def _pairs(least: int, partner_only: bool):
             token, n, k, comp = (table.column(c).to_numpy() for c in ("token", "n", "k", "comp"))
             n = n.astype(np.int64)
             marks = table.column("marks").to_pylist()
+            long = np.array([len(m) > SKETCH // 8 for m in marks])
             bits = np.stack([fold(m, SKETCH // 64) if len(m) > SKETCH // 8 else np.frombuffer(m, np.uint64) for m in marks])
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             length = np.repeat(np.diff(cuts), np.diff(cuts))
@@ -269,7 +271,7 @@ def _pairs(least: int, partner_only: bool):
                     break
                 if partner_only:  # pairs of two that have candidates already are left for later
                     i = i[alone[i] | alone[i - apart]]
-                i = i[passing(n, bits, marks, comp, i, i - apart)]
+                i = i[passing(n, bits, long, marks, comp, i, i - apart)]
                 found.append((k[i], k[i - apart]))
                 alone[i] = alone[i - apart] = False
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -284,7 +286,7 @@ def _pairs(least: int, partner_only: bool):
                         first, last = (i + 1, int(high[i - a])) if later else (int(low[i - a]), i)
                         for at in range(first, last, 4096):
                             j = np.arange(at, min(last, at + 4096))
-                            j = j[passing(n, bits, marks, comp, np.full(len(j), i), j)]
+                            j = j[passing(n, bits, long, marks, comp, np.full(len(j), i), j)]
                             if len(j):
                                 j = j[:1] if partner_only else j
                                 found.append((np.full(len(j), k[i]), k[j]))
@@ -300,20 +302,28 @@ def _pairs(least: int, partner_only: bool):
     return run
 
 
-def _class_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
-    """(k, set) of the classes in ``keys``: a bitmap of their keys, bounded in size, thins the pass over the texts."""
-    spark = docs.sparkSession
-    n = keys.count()
-    bits = 1 << 16
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the 64-bit keys in column ``k``, KEY_BITS bits a key and MOST_BITS at most.
+
+    A key whose bit is not set is not among them. Beyond its bound the map only tells less.
+    """
+    n, bits = keys.count(), 1 << 16
     while bits < min(MOST_BITS, n * KEY_BITS):
         bits *= 2
     place = F.pmod("k", F.lit(bits))
     maps = keys.groupBy(F.floor(place / 32768).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32768))).alias("bits")).collect()
     bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    for r in maps:  # at most MOST_BITS / 8 bytes
+    for r in maps:
         own = np.frombuffer(bytes(r.bits), dtype=np.uint8)
         bitmap[r.part * 4096 : r.part * 4096 + len(own)] = own
-    shared = spark.sparkContext.broadcast(bitmap)
+    return bitmap
+
+
+def _class_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
+    """(k, set) of the classes in ``keys``: a bitmap of their keys, bounded in size, thins the pass over the texts."""
+    spark = docs.sparkSession
+    bitmap = key_bitmap(keys)
+    shared, bits = spark.sparkContext.broadcast(bitmap), 8 * len(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = shared.value
@@ -366,7 +376,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Each document with the size of its set and the smallest id of its component."""
     spark = docs.sparkSession
     narrow = docs.selectExpr(f"cast(`{id_col}` AS long) AS id", f"cast(`{text_col}` AS string) AS t")
-    survey = cut(_survey(narrow, size))
+    survey = cut(_survey(narrow, size, least))
     members = survey.where("n IS NOT NULL").select("id", F.col("n").alias("size"), "k", "marks")
     total = members.count()
     # at most (mean set size) / FREQUENT shingles can be this frequent, whatever the number of documents
@@ -404,3 +414,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = members.where("k IS NOT NULL").join(found, "k").select("id", "size", "component_id")
     alone = members.where("k IS NULL").select("id", "size", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id is not in column ``k`` of ``ids`` (different, not null); rows with a null id stay.
+
+    A bitmap of the ids, bounded in size, lets most documents pass where they are read; only the rest are joined.
+    """
+    bitmap = key_bitmap(ids)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(bitmap), 8 * len(bitmap)
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        place = keys.to_numpy(dtype=np.int64) % bits
+        return pd.Series((shared.value[place >> 3] >> (place & 7) & 1).astype(bool))
+
+    marked = docs.withColumn("_maybe", F.when(F.col(id_col).isNull(), False).otherwise(maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))))
+    joined = marked.where("_maybe").join(ids.select(F.col("k").alias("_k")), F.col(id_col) == F.col("_k"), "left_anti")
+    return marked.where("NOT _maybe").unionByName(joined).select(*docs.columns)
