@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, languages, mixing, nearjoin, pii
-from tidemark.llm.blocks import ensure_checkpoint_dir
+from tidemark.llm.blocks import cut, ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near duplicates: words of a shingle, similarity in percent.
+SHINGLE, LEAST = 5, 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +29,19 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near duplicates.
+    """Keeps the document with the smallest id of each component of near duplicates: five-word shingles, similarity 0.8 or more.
 
     Documents without a set link with nothing and stay, as do rows without an id; of rows that repeat
     the smallest id of a component one stays.
     """
-    linked = nearjoin.link_documents(docs)
-    doomed = linked.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    rest = docs.join(doomed.distinct(), docs.doc_id == F.col("_id"), "left_anti")
-    again = linked.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again"))
-    marked = rest.join(again, rest.doc_id == F.col("_id"), "left")
-    single, several = marked.where("_again IS NULL"), marked.where("_again")
-    return single.select(*docs.columns).unionByName(several.dropDuplicates(["doc_id"]).select(*docs.columns))
+    linked = cut(nearjoin.link_documents(docs, size=SHINGLE, least=LEAST))
+    some = linked.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    rest = nearjoin.without(docs, some.where("doc_id <> component_id").select(F.col("doc_id").alias("k")).distinct())
+    again = some.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("k"))
+    if again.isEmpty():
+        return rest
+    repeated = docs.join(again, docs.doc_id == F.col("k"), "left_semi").dropDuplicates(["doc_id"])
+    return nearjoin.without(rest, again).unionByName(repeated)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
