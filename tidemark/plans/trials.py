@@ -85,10 +85,11 @@ def gallery_query_trials(spark, d):
     return retrieval.trials(_gallery(spark, d)).select("q", "vessel", r("gen_score"), r("best_imp"), "rank", "top_match")
 
 
-@query(f"WITH {SQL_GALLERY} {SQL_TRIALS} SELECT vessel % 2 AS cohort, count(*) AS n_queries, avg((rank = 1)::INT) AS rank1, round(avg(gen_score), 8) AS gen_mean, round(avg(best_imp), 8) AS imp_mean FROM trials GROUP BY GROUPING SETS ((vessel % 2), ())")
+@query(f"WITH {SQL_GALLERY} {SQL_TRIALS} SELECT coalesce(vessel % 2, -1) AS cohort, count(*) AS n_queries, avg((rank = 1)::INT) AS rank1, round(avg(gen_score), 8) AS gen_mean, round(avg(best_imp), 8) AS imp_mean FROM trials GROUP BY GROUPING SETS ((vessel % 2), ())")
 def cohort_block(spark, d):
     t = retrieval.trials(_gallery(spark, d)).withColumn("cohort", F.col("vessel") % 2)
-    return t.groupingSets([["cohort"], []], "cohort").agg(F.count("*").alias("n_queries"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1"), F.round(F.avg("gen_score"), PLACES).alias("gen_mean"), F.round(F.avg("best_imp"), PLACES).alias("imp_mean"))
+    sets = t.groupingSets([["cohort"], []], "cohort").agg(F.count("*").alias("n_queries"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1"), F.round(F.avg("gen_score"), PLACES).alias("gen_mean"), F.round(F.avg("best_imp"), PLACES).alias("imp_mean"))
+    return sets.withColumn("cohort", F.coalesce("cohort", F.lit(-1)))
 
 
 @query(f"WITH {SQL_LOO} {SQL_TRIALS}, v AS (SELECT vessel, avg((rank = 1)::INT) AS r1 FROM trials GROUP BY vessel) SELECT round(avg(r1), 8) AS rank1_macro_vessel, count(*) AS n_vessels FROM v")
