@@ -22,7 +22,7 @@ from tidemark.llm.blocks import U64, Words, column, mix, slices, text_buffer
 from tidemark.llm.samples import labelled_texts
 
 #: Labelled documents at most; rounds and step of the fit; weight of the squared weights.
-MOST_DOCS, ROUNDS, STEP, RIDGE = 3000, 200, 0.05, 1e-3
+MOST_DOCS, ROUNDS, STEP, RIDGE = 2000, 200, 0.05, 1e-3
 #: Score from which a document is predicted good.
 LIMIT = 0.3
 
@@ -168,7 +168,11 @@ class LineField:
     def fit(cls, texts: list[tuple[str, int, int]]) -> LineField:
         """Adam on the conditional likelihood of the lines, each text counting as one line or a few."""
         y = np.array([v for _, v, _ in texts], dtype=np.float64)
-        x, first, length = line_features(*text_buffer(pa.array([t for t, _, _ in texts], pa.string())))
+        parts = [line_features(*text_buffer(pa.array([t for t, _, _ in texts[i : i + 64]], pa.string()))) for i in range(0, len(texts), 64)]
+        if not parts:
+            parts = [line_features(np.zeros(0, np.uint8), np.zeros(1, np.int64))]
+        x, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
         field = cls(np.zeros(x.shape[1]), np.zeros((2, 2)))
         share = y.mean() if len(y) else 0.5
         if share in (0.0, 1.0) or not len(y):
