@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.fixtures import corpus, empty, frame
-from tidemark.llm import nearjoin
+from tidemark.llm import filters, nearjoin
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -119,5 +119,5 @@ def test_sketches_never_part_linked_sets():
 def test_without_keeps_all_but_the_named(spark):
     df = frame(spark, [(i, str(i)) for i in range(300)] + [(None, "x"), (7, "again"), (-5, "y")])
     ids = spark.createDataFrame([(7,), (-5,), (100,)], "k long")
-    got = sorted((r.doc_id for r in nearjoin.without(df, ids).collect()), key=str)
+    got = sorted((r.doc_id for r in filters.without(df, ids).collect()), key=str)
     assert got == sorted([i for i in range(300) if i not in (7, 100)] + [None], key=str)

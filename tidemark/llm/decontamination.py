@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import LOWER, MARKS, SortedHashes, Words, column, shingles, slices, text_buffer
+from tidemark.llm.blocks import LOWER, MARKS, SortedHashes, Words, column, cut, shingles, slices, text_buffer
+from tidemark.llm.filters import without
 
 #: Words of a shingle; least similarity; Hamming radius; bytes of item text a pass.
 SIZE, LEAST, RADIUS = 5, 0.8, 24
@@ -188,5 +189,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without those that hold an item; rows with a null id stay."""
-    bad = find_contamination(docs, benchmark, id_col=id_col).select(F.col(id_col).alias("_bad")).where("_bad IS NOT NULL").distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    bad = find_contamination(docs, benchmark, id_col=id_col).select(F.col(id_col).cast("long").alias("k")).where("k IS NOT NULL").distinct()
+    return without(docs, cut(bad), id_col)

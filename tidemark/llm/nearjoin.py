@@ -26,12 +26,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import LOWER, SortedHashes, U64, Words, column, cut, mix, partitions, shingles, slices, text_buffer
+from tidemark.llm.filters import key_bitmap
 from tidemark.llm.graph import components
 
 #: Words of a shingle; similarity as 100 * common >= LEAST * united.
@@ -40,8 +40,8 @@ SIZE, LEAST = 3, 90
 LIST_READS = 10
 #: A shingle is frequent when it is in this share of all documents (and in FLOOR at least), as far as chunks of CHUNK documents show it.
 FREQUENT, FLOOR, CHUNK = 1 / 500, 50, 2000
-#: Least bits of the parity sketch; bits of the bitmap of candidate classes: a key, and at most.
-SKETCH, KEY_BITS, MOST_BITS = 512, 16, 1 << 29
+#: Least bits of the parity sketch.
+SKETCH = 512
 
 _SUBSET = U64(0x5851F42D4C957F2D)
 _KEY = U64(0x2545F4914F6CDD1D)
@@ -302,23 +302,6 @@ def _pairs(least: int, partner_only: bool):
     return run
 
 
-def key_bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the 64-bit keys in column ``k``, KEY_BITS bits a key and MOST_BITS at most.
-
-    A key whose bit is not set is not among them. Beyond its bound the map only tells less.
-    """
-    n, bits = keys.count(), 1 << 16
-    while bits < min(MOST_BITS, n * KEY_BITS):
-        bits *= 2
-    place = F.pmod("k", F.lit(bits))
-    maps = keys.groupBy(F.floor(place / 32768).alias("part")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32768))).alias("bits")).collect()
-    bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    for r in maps:
-        own = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-        bitmap[r.part * 4096 : r.part * 4096 + len(own)] = own
-    return bitmap
-
-
 def _class_sets(docs: DataFrame, size: int, keys: DataFrame) -> DataFrame:
     """(k, set) of the classes in ``keys``: a bitmap of their keys, bounded in size, thins the pass over the texts."""
     spark = docs.sparkSession
@@ -414,21 +397,3 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = members.where("k IS NOT NULL").join(found, "k").select("id", "size", "component_id")
     alone = members.where("k IS NULL").select("id", "size", F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
-
-
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is not in column ``k`` of ``ids`` (different, not null); rows with a null id stay.
-
-    A bitmap of the ids, bounded in size, lets most documents pass where they are read; only the rest are joined.
-    """
-    bitmap = key_bitmap(ids)
-    shared, bits = docs.sparkSession.sparkContext.broadcast(bitmap), 8 * len(bitmap)
-
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        place = keys.to_numpy(dtype=np.int64) % bits
-        return pd.Series((shared.value[place >> 3] >> (place & 7) & 1).astype(bool))
-
-    marked = docs.withColumn("_maybe", F.when(F.col(id_col).isNull(), False).otherwise(maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))))
-    joined = marked.where("_maybe").join(ids.select(F.col("k").alias("_k")), F.col(id_col) == F.col("_k"), "left_anti")
-    return marked.where("NOT _maybe").unionByName(joined).select(*docs.columns)

@@ -223,7 +223,7 @@ def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "t", 1 << 20):
+        for batch in slices(batches, "t", 1 << 19):
             score = model.score(*text_buffer(column(batch, "t")))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(score), pa.array((score >= LIMIT).astype(np.int32))], ["id", "score", "predicted"])
 
