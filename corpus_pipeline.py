@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, languages, mixing, nearjoin, pii
 from tidemark.llm.blocks import cut, ensure_checkpoint_dir
+from tidemark.llm.filters import without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: words of a shingle, similarity in percent.
@@ -36,12 +37,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     linked = cut(nearjoin.link_documents(docs, size=SHINGLE, least=LEAST))
     some = linked.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    rest = nearjoin.without(docs, some.where("doc_id <> component_id").select(F.col("doc_id").alias("k")).distinct())
+    rest = without(docs, some.where("doc_id <> component_id").select(F.col("doc_id").alias("k")).distinct())
     again = some.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("k"))
     if again.isEmpty():
         return rest
     repeated = docs.join(again, docs.doc_id == F.col("k"), "left_semi").dropDuplicates(["doc_id"])
-    return nearjoin.without(rest, again).unionByName(repeated)
+    return without(rest, again).unionByName(repeated)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
