@@ -234,8 +234,8 @@ def _lists(least: int):
     return run
 
 
-#: Lists up to this length are searched for all lists at once, longer ones one by one.
-SHORT = 64
+#: Lists up to this length are searched for all lists at once, longer ones one by one; pairs that a task holds.
+SHORT, HELD = 64, 1 << 20
 
 
 def _pairs(least: int, partner_only: bool):
@@ -254,7 +254,12 @@ def _pairs(least: int, partner_only: bool):
         ok[at] = near
         return ok
 
+    def batch(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        full = HELD // 4
         for table in _whole_runs(batches):
             token, n, k, comp = (table.column(c).to_numpy() for c in ("token", "n", "k", "comp"))
             n = n.astype(np.int64)
@@ -265,10 +270,8 @@ def _pairs(least: int, partner_only: bool):
             length = np.repeat(np.diff(cuts), np.diff(cuts))
             found: list[tuple[np.ndarray, np.ndarray]] = []
             short, alone = length <= SHORT, np.ones(len(token), dtype=bool)
-            for apart in range(1, min(SHORT, int(length.max()))):
+            for apart in range(min(SHORT, int(length.max())) - 1, 0, -1):  # the first of a list comes first, so its lists agree on a partner
                 i = np.flatnonzero(short[apart:] & (token[apart:] == token[:-apart])) + apart
-                if not len(i):
-                    break
                 if partner_only:  # pairs of two that have candidates already are left for later
                     i = i[alone[i] | alone[i - apart]]
                 i = i[passing(n, bits, long, marks, comp, i, i - apart)]
@@ -293,11 +296,16 @@ def _pairs(least: int, partner_only: bool):
                                 alone[i] = alone[j] = False
                                 if partner_only:
                                     break
-            if found:
-                x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            for x, y in found:
+                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            if sum(map(len, held)) > full:  # a pair once a task, as long as they fit
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if len(held[0]) > HELD:
+                    yield batch(held[0])
+                    held = []
+                full = HELD // 4 + 2 * sum(map(len, held))
+        if held:
+            yield batch(np.unique(np.concatenate(held), axis=0))
 
     return run
 
