@@ -55,6 +55,11 @@ def tonal_scores(spark, d):
     return a.join(b, F.col("q") < F.col("g")).select("q", "g", F.round(tonal.score("x", "y"), 8).alias("score"))
 
 
+@query(SQL_TOP + f" SELECT a.clip AS q, b.clip AS g, round(0.5 * ({SQL_SHARE.format('a.lines', 'b.lines')} + {SQL_SHARE.format('b.lines', 'a.lines')}), 8) AS score FROM sets a JOIN sets b ON a.clip < b.clip")
+def tonal_scores_all(spark, d):
+    return tonal.all_scores(_sets(spark, d)).select("q", "g", F.round("score", 8).alias("score"))
+
+
 @query(SQL_TOP + ", m AS (SELECT clip % 15 AS passage, list({'freq_hz': freq_hz, 'mean_db': mean_db} ORDER BY mean_db DESC, freq_hz) AS l FROM t GROUP BY ALL), r AS (SELECT passage, list_reduce(l, lambda acc, x: CASE WHEN len(acc) < 20 AND len(list_filter(acc, lambda y: abs(x.freq_hz - y.freq_hz) <= 1.0)) = 0 THEN list_append(acc, x) ELSE acc END, []::STRUCT(freq_hz DOUBLE, mean_db DOUBLE)[]) AS kept FROM m) SELECT passage, u.freq_hz, u.mean_db FROM (SELECT passage, unnest(kept) AS u FROM r)")
 def merge_lines(spark, d):
     m = tonal.line_sets(tonal.top_lines(lines(spark, d)).withColumn("passage", F.col("clip") % 15), "passage")
