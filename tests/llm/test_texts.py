@@ -1,5 +1,6 @@
 """Fingerprints, personal data, licences and languages on the awkward corpus."""
 
+import collections
 import hashlib
 import random
 import re
@@ -81,6 +82,40 @@ def test_syncmers_depend_on_their_k_mer_alone():
     assert {int(h) for h in fingerprints.sketches([text])[0][:, 0]} == set(sorted(values)[: fingerprints.KEEP])
 
 
+def plain_likeness(a, b):
+    diagonals, left, right = collections.Counter(), collections.Counter(a[:, 0].tolist()), collections.Counter(b[:, 0].tolist())
+    for h, p in a.tolist():
+        for g, q in b.tolist():
+            if h == g:
+                diagonals[p - q] += 1
+    return max(diagonals.values(), default=0) / (left | right).total()
+
+
+def test_long_texts_keep_every_anchor():
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    shared = words(60)
+    a, b = fingerprints.sketches([f"{words(1970)} {shared}", f"{words(500)} {shared} {words(1500)}"])
+    assert len(a) > 2000 and len(b) > 2000
+    assert len(set(a[:, 0].tolist()) & set(b[:, 0].tolist())) > 50
+    assert fingerprints.likeness(a, b) > 0.01
+    # repeated anchors stay with each of their places
+    assert len(fingerprints.sketches([(shared + " ") * 10])[0]) > 8 * len(fingerprints.sketches([shared])[0])
+
+
+@pytest.mark.parametrize("dense", [0, 16])
+def test_likeness_counts_repeats(monkeypatch, dense):
+    monkeypatch.setattr(fingerprints, "DENSE", dense)
+    monkeypatch.setattr(fingerprints, "PAIRS", 100)
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    texts = [line * 6, "x" * 11 + line * 4 + "tail", "a" * 90, "a" * 70 + line, line[:20] + "q", line[::-1] * 3]
+    found = fingerprints.sketches(texts)
+    for x in found:
+        for y in found:
+            assert fingerprints.likeness(x, y) == pytest.approx(plain_likeness(x, y))
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

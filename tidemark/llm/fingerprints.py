@@ -3,9 +3,9 @@
 A k-mer of code points is a closed syncmer when the least hash of its inner s-mers stands at its
 first or last place; whether it is chosen depends on the k-mer alone, so equal passages choose equal
 anchors wherever they stand. A text is led by k - 1 padding symbols, so short texts have anchors
-too. The fingerprint keeps the anchors with the least hashes, each with its position (base64 of
-little-endian 32-bit pairs). Likeness is the share of the least anchors of both that match on the
-commonest diagonal (difference of positions).
+too. The fingerprint keeps every anchor, repeated ones too, each with its position (base64 of
+little-endian 32-bit pairs). Likeness is the share of the anchors of both, counted with repeats, that
+match on the commonest diagonal (difference of positions).
 
 Defined cases: null texts are empty; an empty text has an empty fingerprint, like another empty one
 by 1 and any other by 0; a text without an anchor has one made of its whole; equal texts have equal
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import U64, column, mix, partitions, slices
 
-#: Code points of a k-mer and of its inner s-mers; anchors kept.
-K, S, KEEP = 15, 6, 64
+#: Code points of a k-mer and of its inner s-mers; anchors kept (no bound: all of them).
+K, S, KEEP = 15, 6, None
+#: Pairs of places that are listed at once; a hash with more than ``DENSE`` pairs a place is correlated by FFT instead.
+PAIRS, DENSE = 1 << 20, 16
 _FIRST = -(1 << 63)
 _SALT = U64(0xC2B2AE3D27D4EB4F)
 _PAD = np.arange(0x110000, 0x110000 + K - 1, dtype=np.uint32)
@@ -63,7 +65,7 @@ def _polynomial(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def sketches(texts: list[str]) -> list[np.ndarray]:
-    """Anchors of each text: a (hash, position) row each, in rising order of hash, the least ``KEEP``."""
+    """Anchors of each text: a (hash, position) row each, in rising order of hash, then of position."""
     n = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     lead = K - 1
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -85,12 +87,9 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     place = chosen - start[doc]
     order = np.lexsort((place, value, doc))
     value, doc, place = value[order], doc[order], place[order]
-    new = np.ones(len(value), dtype=bool)
-    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    value, doc, place = value[new], doc[new], place[new]
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     rows = np.stack([value, place.astype(U64)], axis=1).astype(np.uint32)
-    out = [rows[a : min(b, a + KEEP)] for a, b in zip(first[:-1], first[1:], strict=True)]
+    out = [rows[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     for i in np.flatnonzero((np.diff(first) == 0) & (n > 0)).tolist():
         out[i] = np.array([[int.from_bytes(hashlib.sha256(texts[i].encode("utf-8", "surrogatepass")).digest()[:4], "little"), 0]], dtype=np.uint32)
     return out
@@ -104,21 +103,43 @@ def from_string(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), dtype="<u4").reshape(-1, 2)
 
 
+def _diagonals(a: np.ndarray, b: np.ndarray, fa: np.ndarray, ca: np.ndarray, fb: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """Matches on each difference of positions; ``f`` and ``c`` are first rows and counts of the common hashes."""
+    x, y = a[:, 1].astype(np.int64), b[:, 1].astype(np.int64)
+    back = int(y.max())
+    total = np.zeros(int(x.max()) + back + 1, dtype=np.int64)
+    pairs = ca * cb
+    dense = pairs > DENSE * len(total)
+    if dense.any():
+        size = 1 << len(total).bit_length()
+        spectrum = np.zeros(size // 2 + 1, dtype=complex)
+        for p, m, q, n in zip(fa[dense], ca[dense], fb[dense], cb[dense], strict=True):
+            u, v = np.zeros(size), np.zeros(size)
+            u[x[p : p + m]], v[back - y[q : q + n]] = 1, 1
+            spectrum += np.fft.rfft(u) * np.fft.rfft(v)
+        total += np.rint(np.fft.irfft(spectrum, size)[: len(total)]).astype(np.int64)
+    fa, fb, cb, pairs = fa[~dense], fb[~dense], cb[~dense], pairs[~dense]
+    upto, row = np.cumsum(pairs), 0
+    while row < len(pairs):
+        done = upto[row] - pairs[row]
+        end = max(row + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
+        g = np.repeat(np.arange(row, end), pairs[row:end])
+        k = np.arange(len(g)) - (upto[g] - pairs[g] - done)
+        total += np.bincount(x[fa[g] + k // cb[g]] - y[fb[g] + k % cb[g]] + back, minlength=len(total))
+        row = end
+    return total
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the least anchors of both sketches that match on the commonest diagonal."""
+    """Share of the anchors of both sketches, counted with repeats, that match on the commonest diagonal."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    left, right = dict(a.tolist()), dict(b.tolist())
-    full = [int(x[-1, 0]) for x in (a, b) if len(x) == KEEP]  # beyond the last hash of a full sketch nothing is known
-    union = left.keys() | right.keys()
-    if full:
-        union = {h for h in union if h <= min(full)}
-    diagonals: dict[int, int] = {}
-    for h in union:
-        if h in left and h in right:
-            d = left[h] - right[h]
-            diagonals[d] = diagonals.get(d, 0) + 1
-    return max(diagonals.values(), default=0) / len(union)
+    (ha, fa, ca), (hb, fb, cb) = (np.unique(x[:, 0], return_index=True, return_counts=True) for x in (a, b))
+    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    union = len(a) + len(b) - int(np.minimum(ca[i], cb[j]).sum())
+    return int(_diagonals(a, b, fa[i], ca[i], fb[j], cb[j]).max()) / union
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
