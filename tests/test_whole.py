@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tidemark.operators import tonal
+from tidemark.operators import etl, tonal
 from tidemark.plans import catalog
 
 
@@ -39,3 +39,29 @@ def test_scores_of_pairs_do_not_depend_on_blocks(spark):
     frame = spark.createDataFrame(sets, f"clip long, lines {tonal.LINES}")
     one, many = (sorted(tonal.all_scores(frame, block=n).collect()) for n in (100, 3))
     assert one == many and len(one) == 190
+
+
+def plain_best(values, patience):
+    best, since, out = None, None, []
+    for epoch, v in values:
+        if best is None or (v is not None and v > best):
+            since = epoch
+        best = v if best is None else max(best, v) if v is not None else best
+        out.append((epoch, best, epoch - since, epoch - since >= patience))
+    return out
+
+
+@pytest.mark.parametrize("ranges", [2, 7, 64])
+def test_running_best_over_ranges(spark, monkeypatch, ranges):
+    monkeypatch.setattr(etl, "RANGES", ranges)
+    rng = random.Random(ranges)
+    for empty in (0, 90):
+        values = [(e, None if e < empty or rng.random() < 0.1 else float(rng.randrange(e // 20 + 2))) for e in range(1, 300)]
+        got = etl.best_so_far(spark.createDataFrame(values, "epoch long, m double"), "m", 10)
+        assert sorted((r.epoch, r.best, r.waited, r.stop) for r in got.collect()) == plain_best(values, 10)
+
+
+def test_history_has_every_epoch(spark, event_dir):
+    epochs = sorted(r.epoch for r in catalog.QUERIES["best_so_far_all"](spark, event_dir).collect())
+    assert epochs == list(range(1, 1501))
+    assert sorted(r.epoch for r in catalog.QUERIES["last_history_all"](spark, event_dir).collect()) == list(range(1491, 1501))

@@ -224,6 +224,23 @@ def last_history(spark, d):
     return _history(spark, d).orderBy(F.col("epoch").desc()).limit(10).select("epoch", "rank1")
 
 
+SQL_HISTORY_ALL = "h AS (SELECT event_id + 1 AS epoch, round(value / 490, 3) AS rank1 FROM events)"
+
+
+def _history_all(spark, d):
+    return table(spark, d, "events").select((F.col("event_id") + 1).alias("epoch"), F.round(F.col("value") / 490, 3).alias("rank1"))
+
+
+@query(f"WITH {SQL_HISTORY_ALL}, b AS (SELECT *, max(rank1) OVER w AS best, coalesce(rank1 > max(rank1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM h WINDOW w AS (ORDER BY epoch ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, epoch - max(CASE WHEN fresh THEN epoch END) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS waited FROM b) SELECT epoch, best, waited, waited >= 10 AS stop FROM c")
+def best_so_far_all(spark, d):
+    return etl.best_so_far(_history_all(spark, d), "rank1", 10).select("epoch", "best", "waited", "stop")
+
+
+@query(f"WITH {SQL_HISTORY_ALL} SELECT epoch, rank1 FROM h ORDER BY epoch DESC LIMIT 10")
+def last_history_all(spark, d):
+    return _history_all(spark, d).orderBy(F.col("epoch").desc()).limit(10).select("epoch", "rank1")
+
+
 @query("SELECT e AS epoch, round(CASE WHEN e <= 3 THEN 1e-3 * e / 3 ELSE 1e-6 + 0.5 * (1e-3 - 1e-6) * (1 + cos(3.141592653589793 * (e - 3) / 97.0)) END, 10) AS lr, (e - 1) % 25 + 1 AS set_idx FROM range(1, 101) t(e)")
 def lr_schedule(spark, d):
     e = spark.range(1, 101).withColumnRenamed("id", "epoch")
