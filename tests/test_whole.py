@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import math
 import random
 
 import pytest
@@ -65,3 +66,22 @@ def test_history_has_every_epoch(spark, event_dir):
     epochs = sorted(r.epoch for r in catalog.QUERIES["best_so_far_all"](spark, event_dir).collect())
     assert epochs == list(range(1, 1501))
     assert sorted(r.epoch for r in catalog.QUERIES["last_history_all"](spark, event_dir).collect()) == list(range(1491, 1501))
+
+
+def test_lines_match_the_whole_gallery(spark, event_dir):
+    top = [(r.clip, r.freq_hz) for r in tonal.top_lines(catalog.acoustic.lines(spark, event_dir)).collect()]
+    near = lambda f, of: any(abs(f - g) <= 1.0 for c, g in top if of(c))
+    want = {(c, f) for c, f in top if c % 2 == 1 and near(f, lambda c: c % 2 == 0)}
+    assert len(want) > len({(c, f) for c, f in top if c % 2 == 1 and near(f, lambda c: c == 2)})
+    assert sorted(map(tuple, catalog.QUERIES["line_match_all"](spark, event_dir).collect())) == sorted(want)
+
+
+def test_logits_against_every_label(spark, tmp_path):
+    rng = random.Random(6)
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    rows = [(i, i % 4, unit([rng.gauss(i % 4, 1) for _ in range(64)])) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    heads = {k: unit([sum(x) / len(x) for x in zip(*(v for _, l, v in rows if l == k))]) for k in range(4)}
+    want = {(i, k): 30 * math.cos(math.acos(sum(x * y for x, y in zip(v, heads[k]))) + 0.3 * (l == k)) for i, l, v in rows for k in heads}
+    got = {(r.q, r["class"]): r.logit for r in catalog.QUERIES["margin_logits_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-5)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import encoder, etl, signal, tonal
-from tidemark.plans.roles import SQL_LINES, lines, table
+from tidemark.plans.roles import DIM, SQL_LINES, lines, segments, table
 from tidemark.streaming import enrol
 
 QUERIES: dict = {}
@@ -45,6 +45,12 @@ def line_match(spark, d):
     return tonal.matches(t.where("clip % 2 = 1"), t.where("clip = 2")).select("clip", "freq_hz")
 
 
+@query(SQL_TOP + " SELECT DISTINCT q.clip, q.freq_hz FROM t q WHERE q.clip % 2 = 1 AND EXISTS (SELECT 1 FROM t g WHERE g.clip % 2 = 0 AND abs(q.freq_hz - g.freq_hz) <= 1.0)")
+def line_match_all(spark, d):
+    t = tonal.top_lines(lines(spark, d))
+    return tonal.matches(t.where("clip % 2 = 1"), t.where("clip % 2 = 0")).select("clip", "freq_hz")
+
+
 SQL_SHARE = "CASE WHEN list_sum(list_transform({0}, lambda z: z.mean_db)) > 0 THEN coalesce(list_sum(list_transform(list_filter({0}, lambda z: len(list_filter({1}, lambda y: abs(z.freq_hz - y.freq_hz) <= 1.0)) > 0), lambda z: z.mean_db)), 0) / list_sum(list_transform({0}, lambda z: z.mean_db)) ELSE 0 END"
 
 
@@ -114,6 +120,15 @@ def margin_logits(spark, d):
     return e.crossJoin(F.broadcast(b)).select(F.col("vec_id").alias("q"), F.round(encoder.margin_logit(dot("embedding", "b"), F.col("label") == F.col("bl")), 6).alias("logit"))
 
 
+@query("WITH d AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM d GROUP BY ALL), v AS (SELECT label, list(m ORDER BY i) AS v FROM m GROUP BY label), p AS (SELECT label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v), b AS (SELECT label, list_transform(v, lambda x: x / CASE WHEN n > 0 THEN n ELSE 1 END) AS v FROM p WHERE label IS NOT NULL) SELECT a.vec_id AS q, b.label::BIGINT AS class, round(30 * cos(acos(greatest(-1 + 1e-7, least(1 - 1e-7, list_dot_product(a.embedding::DOUBLE[], b.v)))) + CASE WHEN a.label = b.label THEN 0.3 ELSE 0 END), 6) AS logit FROM embeddings a, b")
+def margin_logits_all(spark, d):
+    from tidemark.operators.retrieval import dot, pool
+
+    s = segments(spark, d)
+    b = pool(s.where("vessel IS NOT NULL"), ["vessel"], "vec", DIM).select(F.col("vessel").alias("class"), F.col("vec").alias("b"))
+    return s.crossJoin(F.broadcast(b)).select(F.col("vec_id").alias("q"), "class", F.round(encoder.margin_logit(dot("vec", "b"), F.col("vessel") == F.col("class")), 6).alias("logit"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
     w = enrol.event_windows(table(spark, d, "events"))
