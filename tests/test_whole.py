@@ -6,8 +6,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import etl, tonal
+from tidemark.operators import encoder, etl, signal, tonal
 from tidemark.plans import catalog
 
 
@@ -85,3 +86,16 @@ def test_logits_against_every_label(spark, tmp_path):
     want = {(i, k): 30 * math.cos(math.acos(sum(x * y for x, y in zip(v, heads[k]))) + 0.3 * (l == k)) for i, l, v in rows for k in heads}
     got = {(r.q, r["class"]): r.logit for r in catalog.QUERIES["margin_logits_all"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-5)
+
+
+@pytest.mark.parametrize(("name", "module", "step", "size"), [("segment_embeddings", encoder, "embed", 40000), ("waveform_segments", signal, "segments", 13 * signal.RATE)])
+def test_samples_are_passed_whole(spark, sf_dir, monkeypatch, name, module, step, size):
+    seen, work = [], getattr(module, step)
+
+    def spy(frame, *more):
+        seen.append(frame.select(F.size("samples").alias("n")))
+        return work(frame, *more)
+
+    monkeypatch.setattr(module, step, spy)
+    catalog.QUERIES[name](spark, sf_dir)
+    assert {r.n for r in seen[0].collect()} == {size}

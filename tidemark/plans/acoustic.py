@@ -156,7 +156,7 @@ def waveform_lines(spark, d):
 
 @query("SELECT r_name AS clip, s::INT AS seg_idx, 40000 AS n, 0.0 AS mean, 1.0 AS deviation FROM region, range(0, 3) t(s)")
 def waveform_segments(spark, d):
-    s = signal.segments(_waves(spark, d, 12 + 1).withColumn("samples", F.slice("samples", 1, 100000)))
+    s = signal.segments(_waves(spark, d, 12 + 1))
     return s.select("clip", "seg_idx", F.size("samples").alias("n"), F.abs(F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / 40000, 4)).alias("mean"), F.round(F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x) / 40000), 4).alias("deviation"))
 
 
@@ -164,5 +164,5 @@ def waveform_segments(spark, d):
 def segment_embeddings(spark, d):
     w = encoder.seeded_weights(1, channels=16, widths=(8, 32), kernels=(31, 63, 127, 255))
     s = signal.segments(_waves(spark, d, 5))
-    e = encoder.embed(s.withColumn("samples", F.slice("samples", 1, 4000)), w)
+    e = encoder.embed(s, w)
     return e.select("clip", "seg_idx", F.size("embedding").alias("dim"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 5).alias("length"))
