@@ -223,6 +223,25 @@ def test_contamination_matches_brute_force(spark):
     assert decontamination.find_contamination(frame(spark, docs), bench.limit(0)).collect() == []
 
 
+def test_short_items_are_found_inside_long_texts(spark):
+    rng = random.Random(12)
+    text = lambda n, of=9: " ".join(f"w{rng.randrange(of)}" for _ in range(n))
+    items = [(i, text(1 + i % 4)) for i in range(20)] + [(50, text(20, 60)), (51, None), (52, "W1"), (53, "w1")]
+    docs = [(i, text(rng.randrange(0, 40))) for i in range(40)] + [(90, items[20][1] + " end"), (91, None), (92, "w1"), (93, "x w1, w1")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for d, t in docs:
+        w = (t or "").split()
+        for i, v in ((i, (v or "").lower().split()) for i, v in items[:20] + items[21:]):
+            for k in range(len(w) - len(v) + 1):
+                if v and [x.strip(",") for x in w[k : k + len(v)]] == v:
+                    want.setdefault((d, i), (1.0, k, len(v)))
+    want[90, 50] = (1.0, 0, 20)
+    rows = decontamination.find_contamination(frame(spark, docs), bench, short_items=True).collect()
+    assert len(rows) == len(want)
+    assert {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in rows} == want
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = random.Random(2)
     index = decontamination.ItemIndex(list(range(50)), [" ".join(f"w{rng.randrange(90)}" for _ in range(20)) for _ in range(50)])

@@ -12,7 +12,8 @@ At similarity 0.8 bits differ with probability 0.15, so more than 24 of 64 diffe
 million; a smaller radius would lose true pairs, a larger one finds no more.
 
 Defined cases: null and empty texts, on either side, match nothing; a text or an item with fewer than
-five words is one shingle of all its words, so such an item is found only in a text that is no more; repeated rows are each reported; of windows with equal
+five words is one shingle of all its words, so such an item is found only in a text that is no more, or, with
+``short_items``, wherever a window of exactly its words stands (any other has similarity 0); repeated rows are each reported; of windows with equal
 similarity the first is reported; no item, no document: an empty result. Items are taken in blocks
 of bounded size, one pass over the documents a block, so the benchmark may be of any size.
 """
@@ -38,12 +39,12 @@ BLOCK_BYTES = 8 << 20
 _EDGES = np.linspace(0, 64, RADIUS + 2).round().astype(int)
 
 
-def block_shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_shingles(col: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingle hashes of a block of texts in order, offsets of the texts, words of each text."""
     data, at = text_buffer(col)
     data = LOWER[data]
     words = Words(data, at, MARKS)
-    values, docs = shingles(words, words.hashes(data), SIZE)
+    values, docs = shingles(words, words.hashes(data), size)
     return values, np.searchsorted(docs, np.arange(len(at))), words.counts
 
 
@@ -74,9 +75,16 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 class ItemIndex:
     """Items of one block: their shingles, and per size the fingerprints in Hamming blocks."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
+    def __init__(self, ids: list[int], texts: list[str | None], short_items: bool = False) -> None:
         values, first, words = block_shingles(pa.array(texts, pa.string()))
-        used = [i for i in range(len(ids)) if words[i]]
+        # items below a shingle's size, by size: hashes in order, ids of the items of each
+        self.short: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        for m in range(1, SIZE) if short_items else ():
+            own = [i for i in range(len(ids)) if words[i] == m]
+            if own:
+                keys, of = np.unique(block_shingles(pa.array([texts[i] for i in own], pa.string()), m)[0], return_inverse=True)
+                self.short[m] = keys, [[ids[own[j]] for j in np.flatnonzero(of == k)] for k in range(len(keys))]
+        used = [i for i in range(len(ids)) if words[i] >= (SIZE if short_items else 1)]
         self.ids = [ids[i] for i in used]
         self.words = np.array([words[i] for i in used], dtype=np.int64)
         self.values = [values[first[i] : first[i + 1]] for i in used]
@@ -116,6 +124,18 @@ class ItemIndex:
         apart = np.bitwise_count(prints[which] ^ self.prints[item])
         return which[apart <= RADIUS], item[apart <= RADIUS]
 
+    def search_short(self, col: pa.Array) -> list[tuple[int, int, float, int, int]]:
+        """(row, item id, 1.0, first word, words) of each short item that a text holds, its first window."""
+        out = []
+        for m, (keys, items) in self.short.items():
+            values, first, _ = block_shingles(col, m)
+            place = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+            at = np.flatnonzero(keys[place] == values)
+            row = np.searchsorted(first, at, side="right") - 1
+            _, new = np.unique(row * len(keys) + place[at], return_index=True)
+            out += [(int(row[k]), item, 1.0, int(at[k] - first[row[k]]), m) for k in new.tolist() for item in items[place[at[k]]]]
+        return out
+
     def search(self, values: np.ndarray, n_words: int) -> dict[int, tuple[float, int, int]]:
         """Best window of a document for each item that it contains: item -> (similarity, first word, words)."""
         place = self.known.find(values)
@@ -152,7 +172,7 @@ class ItemIndex:
                     best[item] = (like, start, min(m, n_words))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", short_items: bool = False) -> DataFrame:
     """Pairs (document, item) with a window of similarity 0.8 or more: the best one of each pair.
 
     No shuffle: documents stream past an index of the items, block by block of items.
@@ -168,13 +188,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         shared = spark.sparkContext.broadcast(([r.id for r in rows], [r.t for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*shared.value)
+            index = ItemIndex(*shared.value, short_items)
             for batch in slices(batches, "t"):
                 values, first, words = block_shingles(column(batch, "t"))
                 place = index.known.find(values) >= 0
                 hit = np.concatenate([[0], np.cumsum(place)])
                 some = np.flatnonzero(hit[first[1:]] > hit[first[:-1]])
                 found = [(i, index.ids[item], *what) for i in some.tolist() for item, what in sorted(index.search(values[first[i] : first[i + 1]], int(words[i])).items())]
+                found += index.search_short(column(batch, "t"))
                 if found:
                     at, item, like, start, n = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([column(batch, "id").take(pa.array(at)), pa.array(item, pa.int64()), pa.array(like, pa.float64()), pa.array(start, pa.int64()), pa.array(n, pa.int64())], ["id", item_col, "similarity", "first_word", "n_words"])
