@@ -6,15 +6,14 @@ the last return the columns of ``documents``; the last returns a row for each co
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, languages, mixing, nearjoin, pii
-from tidemark.llm.blocks import cut, ensure_checkpoint_dir
-from tidemark.llm.filters import without
+from tidemark.llm.blocks import remove, shared_folder, written
+from tidemark.llm.filters import only, row_key, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: words of a shingle, similarity in percent.
@@ -30,19 +29,15 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near duplicates: five-word shingles, similarity 0.8 or more.
+    """Keeps the row with the smallest id of each component of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    Documents without a set link with nothing and stay, as do rows without an id; of rows that repeat
-    the smallest id of a component one stays.
+    Rows are told apart by id and text. Null ids come last, ties go by a hash of the row, of rows that
+    repeat one stays. Documents without a set link with nothing and stay.
     """
-    linked = cut(nearjoin.link_documents(docs, size=SHINGLE, least=LEAST))
-    some = linked.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    rest = without(docs, some.where("doc_id <> component_id").select(F.col("doc_id").alias("k")).distinct())
-    again = some.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("k"))
-    if again.isEmpty():
-        return rest
-    repeated = docs.join(again, docs.doc_id == F.col("k"), "left_semi").dropDuplicates(["doc_id"])
-    return without(rest, again).unionByName(repeated)
+    gone, again = nearjoin.repeated_rows(docs, size=SHINGLE, least=LEAST)
+    key = row_key("doc_id", "text")
+    rest = without(docs, key, gone)
+    return rest if again.isEmpty() else without(rest, key, again).unionByName(only(rest, key, again))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,13 +72,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written as Parquet in the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    where = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents; each result is written as Parquet in the shared folder and read again; the one before it is deleted then."""
+    where = shared_folder(spark)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
-        docs = spark.read.parquet(f"{where}/{name}")
+        docs = written(stage(spark, docs, sf_dir), f"{where}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{where}/{name}"
     return docs
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from tests.llm.fixtures import corpus, empty, frame
-from tests.llm.test_nearjoin import brute
+from tests.llm.test_nearjoin import linked_rows
 from tests.llm.test_texts import language_rows
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -11,6 +11,16 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def stay(rows, size, least):
+    """One row of each component: smallest id, nulls last; rows of one component with the smallest id have one text here."""
+    roots = linked_rows(rows, size, least)
+    best = {}
+    for (d, t), (n, root) in zip(rows, roots):
+        if n:
+            best[root] = min(best.get(root, (True, 0, "")), (d is None, d or 0, t)) if root in best else (d is None, d or 0, t)
+    return [(d, t) for (d, t), (n, _) in zip(rows, roots) if not n] + [(None if none else d, t) for none, d, t in best.values()]
+
+
 def plain(spark, rows):
     return frame(spark, rows).select(*COLUMNS)
 
@@ -29,10 +39,16 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, sf_dir):
     rows = corpus()
     out = corpus_pipeline.keep_one_of_each_group(spark, plain(spark, rows), sf_dir)
     assert out.columns == COLUMNS
-    kept = out.collect()
-    by_id = [r.doc_id for r in kept if r.doc_id is not None]
-    want = {d for d, n, c in brute(rows, 5, 80) if d is not None and (n == 0 or d == c)}
-    assert sorted(by_id) == sorted(want)
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert kept == sorted(stay(rows, 5, 80), key=str)
+
+
+def test_near_duplicate_stage_tells_rows_with_one_id_apart(spark, sf_dir):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (4, a + " end"), (None, b), (None, c), (None, c), (9, c), (None, "alone here"), (6, None), (6, None)]
+    out = corpus_pipeline.keep_one_of_each_group(spark, plain(spark, rows), sf_dir)
+    want = [(4, a + " end"), (5, b), (9, c), (None, "alone here"), (6, None), (6, None)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
 def test_masking_stage_keeps_every_row(spark, sf_dir):

@@ -6,6 +6,7 @@ a whole block of texts at once, so that no per-row Python object is made on the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +43,13 @@ def fold(column: str, modulus: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's checkpoint folder; sets one of its own only where none is set."""
+    """Uses the shared folder that the cluster names; there is no other that all machines see."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(where or "/tmp/checkpoints")
+        if not where:
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+        sc.setCheckpointDir(where)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,6 +58,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table in the shared folder: for loops, whose plans would carry properties of all rounds along."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``written`` made and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import LOWER, MARKS, SortedHashes, Words, column, cut, shingles, slices, text_buffer
-from tidemark.llm.filters import without
+from tidemark.llm.filters import row_key, without
 
 #: Words of a shingle; least similarity; Hamming radius; bytes of item text a pass.
 SIZE, LEAST, RADIUS = 5, 0.8, 24
@@ -208,7 +208,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents without those that hold an item; rows with a null id stay."""
-    bad = find_contamination(docs, benchmark, id_col=id_col).select(F.col(id_col).cast("long").alias("k")).where("k IS NOT NULL").distinct()
-    return without(docs, cut(bad), id_col)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows without those that hold an item, whatever their id."""
+    key = row_key(id_col, text_col)
+    bad = find_contamination(docs.select(key.alias("k"), F.col(text_col).alias("t")), benchmark, id_col="k", text_col="t").select("k").distinct()
+    return without(docs, key, cut(bad))

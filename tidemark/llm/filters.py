@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits a key, and at most.
@@ -28,19 +28,35 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id is not in column ``k`` of ``ids`` (different, not null); rows with a null id stay.
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit key of a row's id and text: equal rows have equal keys."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
-    A bitmap of the ids, bounded in size, lets most documents pass where they are read; only the rest are joined.
+
+def _split(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is surely not in column ``k`` of ``keys``, and the others, both with the key as ``_k``.
+
+    A bitmap of the keys, bounded in size, lets most rows pass where they are read.
     """
-    bitmap = key_bitmap(ids)
+    bitmap = key_bitmap(keys)
     shared, bits = docs.sparkSession.sparkContext.broadcast(bitmap), 8 * len(bitmap)
 
     @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        place = keys.to_numpy(dtype=np.int64) % bits
+    def maybe(values: pd.Series) -> pd.Series:
+        place = values.to_numpy(dtype=np.int64) % bits
         return pd.Series((shared.value[place >> 3] >> (place & 7) & 1).astype(bool))
 
-    marked = docs.withColumn("_maybe", F.when(F.col(id_col).isNull(), False).otherwise(maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))))
-    joined = marked.where("_maybe").join(ids.select(F.col("k").alias("_k")), F.col(id_col) == F.col("_k"), "left_anti")
-    return marked.where("NOT _maybe").unionByName(joined).select(*docs.columns)
+    marked = docs.withColumn("_k", key).withColumn("_maybe", maybe("_k"))
+    return marked.where("NOT _maybe"), marked.where("_maybe")
+
+
+def without(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` (64 bits, not null) is not in column ``k`` of ``keys`` (different, not null); only rows that the bitmap holds are joined."""
+    free, others = _split(docs, key, keys)
+    joined = others.join(keys.select(F.col("k").alias("_k")), "_k", "left_anti")
+    return free.unionByName(joined).select(*docs.columns)
+
+
+def only(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """One row for each ``key`` in column ``k`` of ``keys``."""
+    return _split(docs, key, keys)[1].join(keys.select(F.col("k").alias("_k")), "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
