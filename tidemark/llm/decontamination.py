@@ -2,20 +2,22 @@
 
 For an item of m words, every window of m words of a document is compared with it (a document with
 fewer words is one window). Words are runs of letters, digits and non-ASCII bytes after A-Z are
-lower-cased; shingles are five words, weighted by how often they occur. Windows that share no shingle
-with any item have similarity 0 and are left out before anything is computed for them: that screen
-loses nothing. The others get a SimHash of 64 bits; an index of ``RADIUS`` + 1 blocks of its bits finds
-every item fingerprint of the same size within ``RADIUS`` (two fingerprints that differ in at most that
-many bits agree in a block), and the weighted Jaccard similarity of the shingles decides.
+lower-cased; shingles are five words (all m for an item with fewer), weighted by how often they occur. A window as similar as
+0.8 lacks a fifth of an item's shingles at most, so it holds one of the rarest ones that make up more than
+that: windows without any of these are left out before anything is computed for them, exactly, and the
+items of the others are named by these shingles. Windows get a SimHash of 64 bits; of the items named, those
+that agree with it in one of ``RADIUS`` + 1 blocks of bits are all that can be within ``RADIUS`` (two fingerprints that
+differ in at most that many bits agree in a block), and of those the weighted Jaccard similarity of the shingles decides.
 
 At similarity 0.8 bits differ with probability 0.15, so more than 24 of 64 differ about once in a
-million; a smaller radius would lose true pairs, a larger one finds no more.
-
-Defined cases: null and empty texts, on either side, match nothing; a text or an item with fewer than
-five words is one shingle of all its words, so such an item is found only in a text that is no more, or, with
-``short_items``, wherever a window of exactly its words stands (any other has similarity 0); repeated rows are each reported; of windows with equal
-similarity the first is reported; no item, no document: an empty result. Items are taken in blocks
-of bounded size, one pass over the documents a block, so the benchmark may be of any size.
+million; a smaller radius would lose true pairs. At this radius a block has two or three bits and tells little
+by itself (used as the only index, the blocks meet 4.5 entries for each pair), hence the rare shingles first.
+
+Defined cases: null and empty texts, on either side, match nothing; an item with fewer than five words is found wherever a
+window of exactly its words stands (any other has similarity 0), a text with fewer than five words holds such items only;
+repeated rows are each reported; of windows with equal similarity the first is reported; no item, no document: an
+empty result; extra columns are ignored. Items are taken in blocks of bounded size, one pass over the documents a
+block, so the benchmark may be of any size.
 """
 
 from __future__ import annotations
@@ -35,8 +37,12 @@ from tidemark.llm.filters import row_key, without
 SIZE, LEAST, RADIUS = 5, 0.8, 24
 BLOCK_BYTES = 8 << 20
 
-#: Bit ranges of the RADIUS + 1 blocks of a fingerprint.
-_EDGES = np.linspace(0, 64, RADIUS + 2).round().astype(int)
+#: Pairs of fingerprints compared at once.
+CELLS = 1 << 18
+
+#: The bits of the RADIUS + 1 blocks of a fingerprint.
+_EDGES = np.linspace(0, 64, RADIUS + 2).round().astype(int).tolist()
+_MASKS = [np.uint64((1 << b) - (1 << a)) for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True)]
 
 
 def block_shingles(col: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,56 +79,57 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class ItemIndex:
-    """Items of one block: their shingles, and per size the fingerprints in Hamming blocks."""
+    """Items of one block: their shingles, fingerprints, and which items the rarest shingles name."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], short_items: bool = False) -> None:
+    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
         values, first, words = block_shingles(pa.array(texts, pa.string()))
         # items below a shingle's size, by size: hashes in order, ids of the items of each
         self.short: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for m in range(1, SIZE) if short_items else ():
+        for m in range(1, SIZE):
             own = [i for i in range(len(ids)) if words[i] == m]
             if own:
                 keys, of = np.unique(block_shingles(pa.array([texts[i] for i in own], pa.string()), m)[0], return_inverse=True)
                 self.short[m] = keys, [[ids[own[j]] for j in np.flatnonzero(of == k)] for k in range(len(keys))]
-        used = [i for i in range(len(ids)) if words[i] >= (SIZE if short_items else 1)]
+        used = [i for i in range(len(ids)) if words[i] >= SIZE]
         self.ids = [ids[i] for i in used]
         self.words = np.array([words[i] for i in used], dtype=np.int64)
         self.values = [values[first[i] : first[i + 1]] for i in used]
         self.prints = np.array([simhash(v) for v in self.values], dtype=np.uint64)
-        self.known = SortedHashes(np.unique(np.concatenate(self.values)) if used else np.zeros(0, np.uint64))
-        # which sizes a shingle belongs to: pairs (place of the shingle, size) in order
-        pairs = np.unique(np.concatenate([np.stack([self.known.find(v).astype(np.int64), np.full(len(v), m)], axis=1) for v, m in zip(self.values, self.words, strict=True)]), axis=0) if used else np.zeros((0, 2), np.int64)
-        self.size_first = np.searchsorted(pairs[:, 0], np.arange(len(self.known.keys) + 1))
-        self.size_of = pairs[:, 1]
-        self.blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for m in np.unique(self.words).tolist():
-            own = np.flatnonzero(self.words == m)
-            tables = []
-            for b in range(RADIUS + 1):
-                key = self._block(self.prints[own], b)
-                order = np.argsort(key, kind="stable")
-                tables.append((key[order], own[order]))
-            self.blocks[m] = tables
-
-    @staticmethod
-    def _block(prints: np.ndarray, b: int) -> np.ndarray:
-        low, high = int(_EDGES[b]), int(_EDGES[b + 1])
-        return (prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-
-    def near(self, prints: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (place in ``prints``, item of m words) within the radius, by the blocks."""
-        found = []
-        for b, (keys, items) in enumerate(self.blocks[m]):
-            key = self._block(prints, b)
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = high - low
-            which = np.repeat(np.arange(len(prints)), n)
-            at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            found.append(which * len(self.ids) + items[at])
-        pair = np.unique(np.concatenate(found))
-        which, item = pair // len(self.ids), pair % len(self.ids)
-        apart = np.bitwise_count(prints[which] ^ self.prints[item])
-        return which[apart <= RADIUS], item[apart <= RADIUS]
+        named = self._rarest()
+        self.known = SortedHashes(np.unique(named[:, 0].astype(np.uint64)) if len(named) else np.zeros(0, np.uint64))
+        order = np.lexsort([named[:, 1], named[:, 0]])
+        self.item_of = named[order, 1].astype(np.int64)
+        self.item_first = np.searchsorted(named[order, 0], np.append(self.known.keys, np.uint64(0)))[:-1]
+        self.item_first = np.append(self.item_first, len(named))
+
+    def _rarest(self) -> np.ndarray:
+        """Pairs (shingle, item): of each item the shingles in fewest items, enough of them that a similar window must hold one."""
+        pairs = [np.unique(v, return_counts=True) for v in self.values]
+        if not pairs:
+            return np.zeros((0, 2), np.uint64)
+        every, items = np.unique(np.concatenate([v for v, _ in pairs]), return_counts=True)
+        out = []
+        for i, (v, times) in enumerate(pairs):
+            order = np.lexsort([v, items[np.searchsorted(every, v)]])
+            may_lack = int((1 - LEAST) * len(self.values[i]) + 1e-9)
+            n = int(np.searchsorted(np.cumsum(times[order]), may_lack, side="right")) + 1
+            out.append(np.stack([v[order[:n]], np.full(min(n, len(v)), i, np.uint64)], axis=1))
+        return np.concatenate(out)
+
+    def near(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (place in ``prints``, one of ``items``) within the radius, by the blocks; ``CELLS`` pairs at a time."""
+        which, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, CELLS // max(1, len(prints)))
+        for k in range(0, len(items), step):
+            apart = prints[:, None] ^ self.prints[items[k : k + step]][None, :]
+            agree = np.zeros(apart.shape, dtype=bool)
+            for mask in _MASKS:
+                agree |= (apart & mask) == 0
+            w, i = np.nonzero(agree)
+            inside = np.bitwise_count(apart[w, i]) <= RADIUS
+            which.append(w[inside])
+            found.append(items[k + i[inside]])
+        return np.concatenate(which), np.concatenate(found)
 
     def search_short(self, col: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(row, item id, 1.0, first word, words) of each short item that a text holds, its first window."""
@@ -141,38 +148,38 @@ class ItemIndex:
         place = self.known.find(values)
         hits = np.flatnonzero(place >= 0)
         best: dict[int, tuple[float, int, int]] = {}
-        if not len(hits):
-            return best
-        n = self.size_first[place[hits] + 1] - self.size_first[place[hits]]
+        n = self.item_first[place[hits] + 1] - self.item_first[place[hits]]
         at = np.repeat(hits, n)
-        sizes = self.size_of[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.size_first[place[hits]], n)]
+        items = self.item_of[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.item_first[place[hits]], n)]
+        sizes = self.words[items]
         for m in np.unique(sizes).tolist():
-            span = max(1, m - SIZE + 1)
+            span = m - SIZE + 1
             last = max(0, len(values) - span)
-            own = at[sizes == m]
+            own, named = at[sizes == m], items[sizes == m]
             mark = np.zeros(last + 2, dtype=np.int32)  # windows that hold a hit: those that start up to span - 1 before it
             np.add.at(mark, np.minimum(np.maximum(own - span + 1, 0), last), 1)
             np.add.at(mark, np.minimum(own, last) + 1, -1)
             starts = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
             for piece in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):
-                self._verify(values, piece, span, m, n_words, best)
+                for k in range(0, len(piece), 4096):  # bounds the sums held for one very long document
+                    part = piece[k : k + 4096]
+                    some = np.unique(named[(own >= part[0]) & (own < part[-1] + span)])
+                    self._verify(values, part, span, m, n_words, some, best)
         return best
 
-    def _verify(self, values: np.ndarray, starts: np.ndarray, span: int, m: int, n_words: int, best: dict[int, tuple[float, int, int]]) -> None:
-        for k in range(0, len(starts), 4096):  # bounds the sums held for one very long document
-            piece = starts[k : k + 4096]
-            low = int(piece[0])
-            high = min(int(piece[-1]) + span, len(values))
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(values[low:high]), axis=0, dtype=np.int32)])
-            prints = pack(sums[np.minimum(piece + span, high) - low] - sums[piece - low])
-            for w, item in zip(*(x.tolist() for x in self.near(prints, m)), strict=True):
-                start = int(piece[w])
-                like = weighted_jaccard(values[start : start + span], self.values[item])
-                if like >= LEAST and like > best.get(item, (0.0,))[0]:
-                    best[item] = (like, start, min(m, n_words))
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", short_items: bool = False) -> DataFrame:
+    def _verify(self, values: np.ndarray, starts: np.ndarray, span: int, m: int, n_words: int, items: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
+        low, high = int(starts[0]), min(int(starts[-1]) + span, len(values))
+        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(values[low:high]), axis=0, dtype=np.int32)])
+        prints = pack(sums[np.minimum(starts + span, high) - low] - sums[starts - low])
+        for w, item in zip(*(x.tolist() for x in self.near(prints, items)), strict=True):
+            start = int(starts[w])
+            like = weighted_jaccard(values[start : start + span], self.values[item])
+            old = best.get(item, (0.0, 0, 0))
+            if like >= LEAST and (like > old[0] or like == old[0] and start < old[1]):
+                best[item] = (like, start, min(m, n_words))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (document, item) with a window of similarity 0.8 or more: the best one of each pair.
 
     No shuffle: documents stream past an index of the items, block by block of items.
@@ -188,7 +195,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         shared = spark.sparkContext.broadcast(([r.id for r in rows], [r.t for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*shared.value, short_items)
+            index = ItemIndex(*shared.value)
             for batch in slices(batches, "t"):
                 values, first, words = block_shingles(column(batch, "t"))
                 place = index.known.find(values) >= 0
