@@ -10,7 +10,8 @@ The field is fitted by its likelihood on stretches whose base spans are known, s
 to forms that the base patterns miss (no plus sign, spelled-out at sign, other separators).
 
 Defined cases: a null or empty text has no span; rows that repeat give equal rows; texts of any length
-are searched whole; spans of a kind never overlap; ties between segmentations go to the one found
+are searched whole for stretches (the field sees the 64 characters before an at sign and 255 after it, 80 after a spelled-out one, at most
+three separators between digits, and segments of ``LONGEST`` tokens; base spans have no such limits); spans of a kind never overlap; ties between segmentations go to the one found
 first (shorter last segment, then kinds in the order email, ip, card, phone). Positions are code points.
 """
 
@@ -24,9 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import column, slices
+from tidemark.llm.samples import share
 
 # Kinds in their order, and base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -87,8 +91,10 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the field -------------------------------------------------------------------------------------------
 
-#: Tokens of a candidate segment at most; rounds and step of the fit; stretches that it is fitted on at most; documents that these come from at most.
-LONGEST, ROUNDS, STEP, STRETCHES, FIT_DOCS = 24, 12, 0.3, 240, 1500
+#: Tokens of a candidate segment at most; rounds and step of the fit; examples that it is fitted on (half of them base spans); documents and places that these come from at most.
+LONGEST, ROUNDS, STEP, STRETCHES, FIT_DOCS, FIT_LINES = 24, 12, 0.3, 240, 1500, 4000
+#: What a text must hold for any span.
+_SOME = r"[0-9@]|[\[(]at[\])]"
 #: A segment that the field adds must beat leaving its tokens outside by so many nats.
 MARGIN = 2.0
 _STRETCH = re.compile(r"[^\s@]{0,64}@[^\s]{1,255}|[\w.%+-]{1,64} ?[\[(]at[\])] ?[\w.\[\]() -]{1,80}|[+(]{0,2}[0-9](?:[0-9]|[ ().+/-]{1,3}(?=[(+0-9]))*+")
@@ -295,7 +301,9 @@ def _made_up(pick: random.Random) -> tuple[str, str | None]:
     run = lambda n: "".join(pick.choice("0123456789") for _ in range(n))
     what = pick.randrange(8)
     if what == 0:
-        return f"{pick.choice('abcdefgh')}{run(2)}.{pick.choice(['the', 'on'])}@{pick.choice(['mail', 'post'])}{run(1)}.example.{pick.choice(['com', 'org'])}", "email"
+        name = lambda low, high: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randrange(low, high)))
+        local = pick.choice([name(2, 12), f"{name(2, 8)}.{name(2, 10)}", f"{name(1, 2)}_{name(3, 9)}{run(pick.randrange(0, 4))}"])
+        return f"{local}@{'.'.join(name(2, 10) for _ in range(pick.randrange(1, 3)))}.{name(2, 5)}", "email"
     if what == 1:
         return ".".join(str(pick.randrange(256)) for _ in range(4)), "ip"
     if what == 2:
@@ -314,19 +322,14 @@ def _made_up(pick: random.Random) -> tuple[str, str | None]:
     return f"{run(8)}", None
 
 
-def fit_spans(docs: DataFrame, most_docs: int = FIT_DOCS, seed: int = 7) -> SpanField:
-    """Fits on base spans of a bounded sample of documents (by a hash of the id) and on values made by rule."""
-    from pyspark.sql import functions as F
-
-    from tidemark.llm.samples import share
-
+def fit_spans(docs: DataFrame, most_docs: int = FIT_DOCS, most_lines: int = FIT_LINES, seed: int = 7) -> SpanField:
+    """Fits on base spans in a bounded sample of documents (by a hash of the id) and, of these, of places with digits or an at sign (by a hash of id and place), and on values made by rule."""
     total = docs.count()
     rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (share("doc_id") < F.lit(min(1.0, most_docs / max(total, 1)))))
     around = F.regexp_extract_all(F.col("text"), F.lit(r".{0,30}[0-9+@].{0,60}"), F.lit(0))
-    found = rows.select("doc_id", F.slice(around, 1, 4).alias("parts")).where(F.size("parts") > 0).collect()
+    places = rows.select("doc_id", F.posexplode(around).alias("at", "line")).withColumn("h", F.xxhash64("doc_id", "at"))
     pick = random.Random(seed)
-    lines = sorted(p for r in found for p in r.parts)
-    pick.shuffle(lines)
+    lines = [r.line for r in places.orderBy("h", "doc_id", "at", "line").limit(most_lines).collect()]
     examples: list[tuple[str, list[Span]]] = []
     for line in lines:
         spans = base_spans(line)
@@ -379,7 +382,8 @@ def _fields() -> dict:
 def detect_pii(docs: DataFrame, field: SpanField, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", masked: bool = False) -> DataFrame:
     """Counts and digest of the base spans and all spans of each text; one pass, no shuffle.
 
-    With ``masked`` the text with all spans masked comes as well (null for a null text).
+    With ``masked`` the text with all spans masked comes as well (null for a null text). A carried column whose name
+    is the name of a result comes back as ``carried_`` and its name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     own = [id_col, *carry]
@@ -389,8 +393,9 @@ def detect_pii(docs: DataFrame, field: SpanField, carry: tuple[str, ...] = (), i
         model = shared.value
         for batch in slices(batches, "t"):
             rows: dict[str, list] = {k: [] for k in names}
-            for text in column(batch, "t").to_pylist():
-                base, every = find_spans(text or "", model)
+            some = pc.match_substring_regex(column(batch, "t"), _SOME).to_pylist()
+            for text, search in zip(column(batch, "t").to_pylist(), some, strict=True):
+                base, every = find_spans(text, model) if search else ([], [])
                 for k in KINDS:
                     rows[f"n_{k}"].append(sum(s[0] == k for s in base))
                 rows["base_sha256"].append(hashlib.sha256(join_spans(base).encode()).hexdigest())
@@ -404,6 +409,4 @@ def detect_pii(docs: DataFrame, field: SpanField, carry: tuple[str, ...] = (), i
     narrow = docs.selectExpr(*(f"`{c}` AS c{i}" for i, c in enumerate(own)), f"cast(`{text_col}` AS string) AS t")
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate(own)), *(f"{k} {'string' if _fields()[k] == pa.string() else 'long'}" for k in names)])
     out = narrow.mapInArrow(run, schema)
-    for i, c in enumerate(own):
-        out = out.withColumnRenamed(f"c{i}", c)
-    return out
+    return out.select(*(F.col(f"c{i}").alias(f"carried_{c}" if c in names else c) for i, c in enumerate(own)), *names)
