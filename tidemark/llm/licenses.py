@@ -33,6 +33,13 @@ NOTICE_PHRASES = {
     "gnu affero general public license": "agpl",
     "mozilla public license": "mpl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noderivs": "cc-by-nd",
+    "creative commons attribution no derivatives": "cc-by-nd",
     "creative commons zero": "cc0",
     "released into the public domain": "public-domain",
     "permission to use copy modify and or distribute this software": "isc",
@@ -41,10 +48,10 @@ NOTICE_PHRASES = {
 }
 TAG_PHRASES = ("spdx license identifier",)
 
-# Families of identifiers by prefix, longest first, with the weight of their obligations (0 to 1).
+# Families of identifiers by prefix (of two that fit, the first counts), with the weight of their obligations (0 to 1).
 FAMILIES = [
     ("agpl", "agpl", 1.0), ("lgpl", "lgpl", 0.6), ("gpl", "gpl", 0.8), ("apache", "apache", 0.2), ("mit", "mit", 0.1), ("bsd", "bsd", 0.1), ("isc", "isc", 0.1),
-    ("mpl", "mpl", 0.5), ("epl", "epl", 0.5), ("cc-by-nc", "cc-by-nc", 0.9), ("cc-by-sa", "cc-by-sa", 0.6), ("cc-by", "cc-by", 0.2), ("cc0", "cc0", 0.0), ("unlicense", "public-domain", 0.0), ("0bsd", "bsd", 0.0), ("zlib", "zlib", 0.1),
+    ("mpl", "mpl", 0.5), ("epl", "epl", 0.5), ("cc-by-nc", "cc-by-nc", 0.9), ("cc-by-sa", "cc-by-sa", 0.6), ("cc-by-nd", "cc-by-nd", 0.7), ("cc-by", "cc-by", 0.2), ("cc0", "cc0", 0.0), ("unlicense", "public-domain", 0.0), ("0bsd", "bsd", 0.0), ("zlib", "zlib", 0.1),
 ]
 #: How much of an obligation stays under an exception; how much each kind of evidence weighs.
 EXCEPTION_KEEPS = 0.5
@@ -52,7 +59,8 @@ EVIDENCE = {"base": 0.6, "notice": 0.7, "tag": 0.95}
 
 _SEPARATOR = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 _TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else 0x20 if _SEPARATOR.match(bytes([b])) else b) for b in range(256))
-_TAG = re.compile(rb"(?i)spdx[^\n]{0,3}license[^\n]{0,3}identifier\s*:?[ \t]*([^\n]*)")
+_GAP = rb"[^0-9A-Za-z\x80-\xff]"
+_TAG = re.compile(rb"(?i)(?<![0-9a-z\x80-\xff])spdx" + _GAP + rb"+license" + _GAP + rb"+identifier(?![0-9a-z\x80-\xff])\s*:?[ \t]*([^\n]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -147,6 +155,7 @@ def scan_text(raw: bytes, automaton) -> dict:
     base: set[str] = set()
     labels: set[str] = set()
     starts: list[int] = []
+    notices: dict[int, tuple[int, str]] = {}  # by place: of phrases that start together the longest counts
     tagged = False
     kept, counted, at = 1.0, 0, 0
     for end, (kind, label, length) in automaton.iter(line):
@@ -156,12 +165,13 @@ def scan_text(raw: bytes, automaton) -> dict:
             at = begin
             starts.append(counted)
             base.add(label)
+            kept *= 1 - EVIDENCE["base"]
         elif kind == "notice":
-            labels.add(label)
+            notices[end - length] = max(notices.get(end - length, (0, "")), (length, label))
         else:
             tagged = True
-            continue
-        kept *= 1 - EVIDENCE[kind]
+    labels |= {label for _, label in notices.values()}
+    kept *= (1 - EVIDENCE["notice"]) ** len(notices)
     obligation, parsed = None, []
     if tagged:
         more, obligation, parsed = read_tags(raw)
