@@ -25,9 +25,9 @@ from tidemark.llm.samples import by_class
 
 #: Length of the longest gram, texts a language at most that a model is fitted on.
 ORDER = 4
-MOST_TEXTS = 120
-#: A text is rejected beyond so many standard errors, and so many nats, over the sample's mean entropy.
-REJECT_ERRORS, REJECT_SLACK = 8.0, 1.0
+MOST_TEXTS = 144
+#: Every so many texts of a language calibrate the rejection and are not fitted on; a text is rejected beyond so many standard errors, and so many nats, over the mean entropy of these.
+CALIBRATE, REJECT_ERRORS, REJECT_SLACK = 6, 8.0, 0.5
 
 _SALTS = [U64(((0xD6E8FEB86659FD93 * (2 * j + 3)) ^ (0x9E3779B97F4A7C15 << j)) % (1 << 64) | 1) for j in range(16)]
 _TABLES: dict[str, np.ndarray] = {}
@@ -93,6 +93,12 @@ class LanguageModels:
     def fit(cls, texts: list[tuple[str, str]]) -> LanguageModels:
         names = sorted({name for _, name in texts})
         model = cls(names)
+        number: dict[str, int] = {}
+        kept, apart = [], []
+        for t, name in texts:
+            number[name] = number.get(name, 0) + 1
+            (apart if number[name] % CALIBRATE == 0 else kept).append((t, name))
+        texts = kept
         if not names:
             return model
         parts = []
@@ -134,7 +140,9 @@ class LanguageModels:
             below = (SortedHashes(union), np.log(p).astype(np.float32))
             model.tables.append(below)
             model.backs.append((SortedHashes(contexts), np.log(back).astype(np.float32)))
-        sample = [model.entropies(*text_buffer(pa.array([t for t, _ in texts[i : i + 32]], pa.string()))) for i in range(0, len(texts), 32)]
+        sample = [model.entropies(*text_buffer(pa.array([t for t, _ in apart[i : i + 32]], pa.string()))) for i in range(0, len(apart), 32)]
+        if not sample:  # too few texts to set any apart: those of the fit
+            sample = [model.entropies(*text_buffer(pa.array([t for t, _ in texts[i : i + 32]], pa.string()))) for i in range(0, len(texts), 32)]
         best, n = np.concatenate([e.min(axis=1) for e, _, _ in sample]), np.concatenate([c for _, c, _ in sample])
         long = n >= 20
         if long.any():
