@@ -38,6 +38,11 @@ def test_removed_bytes_match_brute_force_over_many_buckets(spark, monkeypatch):
     passage = " ".join(f"shared{rng.randrange(50)}" for _ in range(30))
     rows += [(2000 + i, f"{rng.random()} {passage} {rng.random()} é{i} {passage[: 40 + i]}") for i in range(40)]
     want = brute(rows)
+    detail = repeats.remove_repeats(frame(spark, rows), detail=True).collect()
+    for r in detail:
+        spans = [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]
+        assert (len(spans), sum(e - s for s, e in spans)) == (r.n_spans, r.n_removed)
+        assert len(r.kept) == r.n_bytes - r.n_removed and hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
     assert result(repeats.remove_repeats(frame(spark, rows))) == want
     monkeypatch.setattr(repeats, "HOT", 2)  # minimisers of two buckets are dealt out by string
     assert result(repeats.remove_repeats(frame(spark, rows))) == want

@@ -412,30 +412,39 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[cuts], end[np.append(cuts[1:], len(start)) - 1]
 
 
-def _kept(left: pa.Table, right: pa.Table) -> pa.Table:
-    texts = _bucket_texts(left)
-    rows = np.concatenate([np.zeros((0, 3), "<i4"), *(np.frombuffer(b, "<i4").reshape(-1, 3) for b in right.column("spans").to_pylist())]).astype(np.int64)
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    first = np.searchsorted(rows[:, 0], np.arange(len(texts) + 1))
-    out: dict[str, list] = {"key": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-    for c, (key, text) in enumerate(texts):
-        start, end = merge_spans(rows[first[c] : first[c + 1], 1], rows[first[c] : first[c + 1], 2])
-        keep = hashlib.sha256()
-        raw, at = memoryview(text.tobytes()), 0
-        for s, e in zip(start.tolist(), end.tolist(), strict=True):
-            keep.update(raw[at:s])
-            at = e
-        keep.update(raw[at:])
-        out["key"].append(key)
-        out["n_removed"].append(int((end - start).sum()))
-        out["n_spans"].append(len(start))
-        out["kept_sha256"].append(keep.hexdigest())
-    return pa.table({"key": pa.array(out["key"], pa.binary()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def _kept(detail: bool):
+    """What is left of each text of a bucket; with ``detail`` also the removed spans and the bytes that stay."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = _bucket_texts(left)
+        rows = np.concatenate([np.zeros((0, 3), "<i4"), *(np.frombuffer(b, "<i4").reshape(-1, 3) for b in right.column("spans").to_pylist())]).astype(np.int64)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        first = np.searchsorted(rows[:, 0], np.arange(len(texts) + 1))
+        out: dict[str, list] = {"key": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": [], "kept": []}
+        for c, (key, text) in enumerate(texts):
+            start, end = merge_spans(rows[first[c] : first[c + 1], 1], rows[first[c] : first[c + 1], 2])
+            raw, stays = text.tobytes(), np.ones(len(text), dtype=bool)
+            for s, e in zip(start.tolist(), end.tolist(), strict=True):
+                stays[s:e] = False
+            rest = raw if len(start) == 0 else text[stays].tobytes()
+            out["key"].append(key)
+            out["n_removed"].append(int((end - start).sum()))
+            out["n_spans"].append(len(start))
+            out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
+            if detail:
+                out["spans"].append(",".join(f"{s}:{e}" for s, e in zip(start.tolist(), end.tolist(), strict=True)))
+                out["kept"].append(rest)
+        kinds = {"key": pa.binary(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.string(), "kept": pa.binary()}
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items() if detail or k not in ("spans", "kept")})
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, detail: bool = False) -> DataFrame:
     """Bytes of each document that an earlier one (by id) repeats, and the digest of what is left.
 
+    With ``detail`` also ``spans`` (start:end of each removed run, comma-joined) and ``kept`` (the bytes that stay).
+
     The texts are shuffled once, by class; the three steps that read them share that shuffle.
     """
     spark = docs.sparkSession
@@ -453,7 +462,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = shared.unionByName(reps.select(bucket, "key", F.lit(None).cast("binary").alias("hot"), "rep"))
     pieces = texts.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_pieces(length, bits), "part int, bucket int, pieces binary, sizes binary, counts binary, places binary, reps binary")
     spans = pieces.groupBy("part").applyInArrow(_covered(length), "bucket int, spans binary")
-    kept = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_kept, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    kept = texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_kept(detail), "key binary, n_removed long, n_spans long, kept_sha256 string" + (", spans string, kept binary" if detail else ""))
 
     out = members.join(kept.join(reps, "key"), "key")
     whole = (F.coalesce("id", F.lit(_LAST)) > F.col("rep")) & (F.col("n_bytes") >= length)
@@ -463,4 +472,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        *([F.when(whole, F.concat(F.lit("0:"), F.col("n_bytes").cast("string"))).otherwise(F.col("spans")).alias("spans"), F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if detail else []),
     )
