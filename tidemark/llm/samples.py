@@ -18,15 +18,15 @@ def share(id_col: str):
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int) -> list[tuple[str, int, int]]:
     """About ``most`` (text, label, id) at most, out of the rows that are not held out.
 
-    The sample is drawn by a hash of the id from the ids that have a label, so the rows that
-    reach the driver are bounded by the parameter, not by the corpus.
+    The sample is drawn by a hash of the id from the ids that have a label, and of rows that repeat an id the
+    one with the least text counts, so the rows that reach the driver are bounded by the parameter, not by the corpus.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where(fold("doc_id", modulus) != held_out)
     total = known.count()
     if total > most:
         known = known.where(share("doc_id") < F.lit(most / total))
     known = known.withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
     return sorted(((r.text or "", int(r.y), r.doc_id) for r in rows), key=lambda r: r[2])
 
 
