@@ -47,6 +47,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each span of personal data by its kind in brackets."""
+    docs = docs.select(*(c for c in docs.columns if c in COLUMNS))
     kept = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     found = pii.detect_pii(docs, pii.fit_spans(docs), carry=kept, masked=True)
     out = found.withColumn("text", F.col("masked"))
@@ -57,9 +58,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes of a document: ``copy`` counts from 1."""
-    mixed = mixing.mix_documents(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
+    own = [c for c in docs.columns if c in COLUMNS]
+    mixed = mixing.mix_documents(docs, carry=tuple(c for c in own if c != "doc_id"))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
-    return mixed.where("copies > 0").select(*docs.columns, "size", "rate", copies)
+    return mixed.where("copies > 0").select(*own, "size", "rate", copies)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -64,6 +64,36 @@ def test_stages_on_an_empty_table(spark, sf_dir):
         assert stage(spark, empty(spark).select(*COLUMNS), sf_dir).collect() == [], name
 
 
+def test_chain_of_stages_on_a_planted_corpus(spark, tmp_path):
+    """The rows of the whole pipeline follow from plain Python, but for the copies of the mix, which are held to its targets."""
+    from tests.llm.test_scores import WORD, brute_hits, targets
+
+    rng = __import__("random").Random(9)
+    prose = lambda n: " ".join(f"word{rng.choice('abcdefgh')}{rng.choice('klmnop')}" for _ in range(n))
+    items = [(i, prose(30)) for i in range(3)]
+    texts = [prose(rng.randrange(12, 90)) for _ in range(60)]
+    texts += [texts[3], texts[4] + " tail", f"{prose(20)} {items[1][1]} {prose(9)}", f"{prose(30)} mail a.b@c.de end", "12 34 56", None]
+    rows = [(i, t, "en", "xyz"[i % 3], len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    lettered = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)]
+    kept = stay(lettered, 5, 80)
+    hit = {d for d, _ in brute_hits(kept, items)}
+    want = {d: t.replace("a.b@c.de", "[EMAIL]") for d, t in kept if d not in hit}
+    assert len(texts) - len(want) >= 5 and hit
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.text == want[r.doc_id] and r.source == "xyz"[r.doc_id % 3] for r in out)
+    copies, size, taken = {}, {}, {}
+    for r in out:
+        copies.setdefault(r.doc_id, []).append(r.copy)
+        taken[r.source] = taken.get(r.source, 0) + r["size"]
+    assert all(sorted(c) == list(range(1, len(c) + 1)) and len(c) <= 2 for c in copies.values())
+    for d, t in want.items():
+        size["xyz"[d % 3]] = size.get("xyz"[d % 3], 0) + len(WORD.findall(t))
+    goal = targets(size)
+    assert all(abs(taken[s] - goal[s]) <= 45 for s in goal)
+
+
 def test_whole_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

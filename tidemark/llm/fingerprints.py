@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import U64, column, mix, partitions, slices
 
-#: Code points of a k-mer and of its inner s-mers; anchors kept (no bound: all of them).
-K, S, KEEP = 15, 6, None
+#: Code points of a k-mer and of its inner s-mers.
+K, S = 15, 6
 #: Pairs of places that are listed at once; a hash with more than ``DENSE`` pairs a place is correlated by FFT instead.
 PAIRS, DENSE = 1 << 20, 16
 _FIRST = -(1 << 63)
@@ -53,7 +53,8 @@ def _polynomial(x: np.ndarray, width: int) -> np.ndarray:
     while reach * 2 <= width:
         h = spans[-1][1]
         spans.append((reach * 2, h[: len(h) - reach] * power[reach] + h[reach:]))
-        power[reach * 2] = power[reach] * power[reach]
+        with np.errstate(over="ignore"):
+            power[reach * 2] = power[reach] * power[reach]
         reach *= 2
     total, done = spans[-1][1], spans[-1][0]
     for size, h in reversed(spans[:-1]):

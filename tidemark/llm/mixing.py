@@ -105,7 +105,8 @@ def round_copies(counts: DataFrame, dual: DataFrame, cap: int = CAP) -> DataFram
 def mix_documents(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """Each document with its size, its source's size and target, its rate and its whole copies.
 
-    The carried columns travel with the rows, so no join by id is made and repeated ids are safe.
+    The carried columns travel with the rows, so no join by id is made and repeated ids are safe; one whose name
+    is the name of a result comes back as ``carried_`` and its name.
     """
     narrow = docs.select(F.col(id_col).alias("id"), _key(source_col).alias("key"), word_count(text_col).alias("size"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     if not carry:
@@ -127,6 +128,7 @@ def mix_documents(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "d
     out = narrow.withColumn("place", place).join(plan, ["key", "size", "bucket"])
     each = F.floor(F.col("copies") / F.col("n"))
     extra = (F.col("before") + F.col("place") <= F.col("copies") - each * F.col("n")).cast("long")
+    taken = {id_col, "size", "source_size", "target", "taken", "rate", "copies"}
     return out.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", ((each + extra) * F.col("size")).cast("long").alias("taken"), "rate", (each + extra).cast("long").alias("copies"), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry))
+        F.col("id").alias(id_col), "size", "source_size", "target", ((each + extra) * F.col("size")).cast("long").alias("taken"), "rate", (each + extra).cast("long").alias("copies"), *(F.col(f"c{i}").alias(f"carried_{c}" if c in taken else c) for i, c in enumerate(carry))
     )
