@@ -6,6 +6,7 @@ a whole block of texts at once, so that no per-row Python object is made on the
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -43,12 +44,13 @@ def fold(column: str, modulus: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; there is no other that all machines see."""
+    """Uses the shared folder that the session names; where it names none, one beside the shared warehouse, or for a local master a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
         if not where:
-            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+            one_machine = sc.master == "local" or sc.master.startswith("local[")
+            where = tempfile.mkdtemp(prefix="spark-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         sc.setCheckpointDir(where)
 
 
