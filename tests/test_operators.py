@@ -43,13 +43,42 @@ def brute_trials(rows, skip_self=True):
     return out
 
 
-def test_trials_match_plain_python_on_ties(passages):
+def test_trials_match_plain_python_on_ties(passages, monkeypatch):
     rows = [tuple(r) for r in passages.collect()]
     want = brute_trials(rows)
     got = {r.q: (r.rank, r.top_match) for r in retrieval.trials(retrieval.leave_one_out(passages)).collect()}
     assert got == want
-    blocked = {r.q: (r.rank, r.top_match) for r in retrieval.blocked_trials(passages, passages, block_bytes=96).collect()}
-    assert blocked == want
+    tiles = {r.q: (r.rank, r.top_match) for r in retrieval.trials_against(passages, passages).collect()}
+    assert tiles == want
+    monkeypatch.setattr(retrieval, "TILE", 3)
+    monkeypatch.setattr(retrieval, "CELLS", 2)
+    assert {r.q: (r.rank, r.top_match) for r in retrieval.trials_against(passages, passages).collect()} == want
+
+
+@pytest.mark.parametrize(("tile", "marks"), [(4096, 1 << 16), (3, 2)])
+def test_tables_do_not_depend_on_tiles(spark, passages, monkeypatch, tile, marks):
+    monkeypatch.setattr(retrieval, "TILE", tile)
+    monkeypatch.setattr(retrieval, "MARKS", marks)
+    rows = [tuple(r) for r in passages.collect()]
+    score = {(a[0], b[0]): sum(x * y for x, y in zip(a[3], b[3])) for a in rows for b in rows}
+    vessel = {r[0]: r[1] for r in rows}
+    gen = {q: max(score[q, g] for g in vessel if g != q and vessel[g] == v) for q, v in vessel.items() if sum(w == v for w in vessel.values()) > 1}
+    imp = [score[q, g] for q in gen for g in vessel if vessel[g] != vessel[q]]
+    s = retrieval.side(passages)
+    got = one(retrieval.full_table(s, s))
+    assert got.n_queries == len(gen)
+    assert got.auc == pytest.approx(sum((g > i) + 0.5 * (g == i) for g in gen.values() for i in imp) / len(gen) / len(imp))
+    assert got.eer == pytest.approx(sorted_sweep(list(gen.values()), imp))
+    same = [score[a, b] for a in vessel for b in vessel if a < b and vessel[a] == vessel[b]]
+    other = [score[a, b] for a in vessel for b in vessel if a < b and vessel[a] != vessel[b]]
+    p = one(metrics.pair_summary(retrieval.pair_profile(s)))
+    assert (p.same, p["diff"]) == (pytest.approx(np.mean(same)), pytest.approx(np.mean(other))) and p.diff_below == np.mean(np.array(other) < 0.5)
+    top = sorted(((-v, a, b) for (a, b), v in score.items() if a < b))[:4]
+    assert [(r.q, r.g) for r in retrieval.top_pairs(s, 4).collect()] == [(a, b) for _, a, b in top]
+    stats = {r.q: (r["mean"], r.deviation) for r in retrieval.row_stats(s, s).collect()}
+    for q in vessel:
+        v = np.array([score[q, g] for g in vessel if g != q])
+        assert stats[q] == (pytest.approx(v.mean()), pytest.approx(v.std() if v.std() > 1e-12 else 1.0))
 
 
 def test_pooling_keeps_zero_vectors_and_scales_others(spark):
@@ -200,12 +229,64 @@ def tone(hz, seconds, rate=8000, noise=1.0):
 
 
 def test_lines_of_a_tone():
-    got = signal.lofar_lines(tone(100, 20))
+    got = signal.tonal_lines(tone(100, 20))
     assert got and abs(got[0][0] - 100) <= 0.125
-    shifted = signal.lofar_lines(signal.speed_shift(tone(100, 22, noise=0.3), "approach"))
+    shifted = signal.tonal_lines(signal.speed_shift(tone(100, 22, noise=0.3), "approach"))
     assert shifted and abs(shifted[0][0] - 100 * 1040 / 1000) <= 0.25 or abs(shifted[0][0] - 100 * 1000 / 1040) <= 0.25
-    assert signal.lofar_lines(tone(100, 3.9)) == []
-    assert signal.lofar_lines(tone(100, 12.9)) == []  # fewer than ten frames
+    assert signal.tonal_lines(tone(100, 3.9)) == []
+    assert signal.tonal_lines(tone(100, 12.9)) == []  # fewer than ten frames
+
+
+def test_spectrum_and_whitener_match_plain_sums():
+    rate, rng = 40, np.random.default_rng(4)
+    x = rng.standard_normal(1000) + 3
+    freqs, times, power = signal.spectrum(x, rate)
+    size = 160
+    taper = [min(1, 0.5 * (1 - math.cos(2 * math.pi * min(i, size - i) / (0.25 * size)))) if min(i, size - i) < 20 else 1.0 for i in range(size)]
+    for frame, k in ((0, 0), (1, 7), (3, 80), (5, 160)):
+        part = x[frame * 40 : frame * 40 + size]
+        part = (part - part.mean()) * taper
+        own = abs(sum(v * np.exp(-2j * math.pi * k * i / 320) for i, v in enumerate(part))) ** 2 / (rate * sum(w * w for w in taper))
+        assert power[k, frame] == pytest.approx(own * (1 if k in (0, 160) else 2), rel=1e-6, abs=1e-12)
+        assert freqs[k] == pytest.approx(k * rate / 320) and times[frame] == pytest.approx((frame * 40 + 80) / rate)
+    freqs = np.arange(200) * 0.5
+    power = rng.random((200, 2)) + (np.arange(200) == 90)[:, None] * 50
+    reach, guard = 19, 3
+
+    def around(v, i):
+        at = [i + d for d in range(-reach, reach + 1) if abs(d) > guard]
+        return sum(v[-1 - j if j < 0 else j if j < 200 else 399 - j] for j in at) / 32
+
+    for t in (0, 1):
+        v = power[:, t]
+        first = [around(v, i) for i in range(200)]
+        clipped = [min(p, 3 * m) for p, m in zip(v, first)]
+        want = [10 * math.log10(v[i] / around(clipped, i)) for i in range(200)]
+        assert np.allclose(signal.whiten(freqs, power)[:, t], want)
+
+
+def test_encoder_matches_plain_loops():
+    w = encoder.seeded_weights(4, channels=4, widths=(3, 5), kernels=(3, 5))
+    x = np.random.default_rng(1).standard_normal(40)
+
+    def norm(v, groups):
+        rows = v.reshape(groups, -1)
+        return ((rows - rows.mean(1, keepdims=True)) / np.sqrt(rows.var(1, keepdims=True) + 1e-5)).reshape(v.shape)
+
+    branches = []
+    for i, size in enumerate((3, 5)):
+        padded = np.pad(x, size // 2)
+        branches.append(np.maximum(norm(np.array([[sum(taps[j] * padded[t + j] for j in range(size)) for t in range(40)] for taps in w[f"bank{i}"]]), 4), 0))
+    z = np.maximum(w["squeeze"] @ (branches[0] + branches[1]).mean(1), 0)
+    share = np.exp(np.stack([w[f"excite{i}"] @ z for i in (0, 1)]))
+    share /= share.sum(0)
+    y = sum(s[:, None] * b for s, b in zip(share, branches))[None]
+    for i, (a, b) in enumerate(encoder.STRIDES[:2]):
+        padded, taps = np.pad(y, ((0, 0), (1, 1), (1, 1))), w[f"block{i}"]
+        rows, cols = range(0, y.shape[1], a), range(0, y.shape[2], b)
+        y = np.maximum(norm(np.array([[[(padded[:, r : r + 3, c : c + 3] * t).sum() for c in cols] for r in rows] for t in taps]), len(taps)), 0)
+    v = y.mean(axis=(1, 2))
+    assert np.allclose(encoder.encode(x, w), v / np.linalg.norm(v), atol=1e-5)
 
 
 def test_resampling_keeps_a_tone():
@@ -221,8 +302,8 @@ def test_mixing_reaches_the_ratio():
     y, noise = rng.standard_normal(8000), rng.standard_normal(8000) * 7
     added = signal.mix_at_snr(y, noise, 10) - y
     assert 10 * math.log10(np.mean(y**2) / np.mean(added**2)) == pytest.approx(10, abs=0.01)
-    assert np.all(signal.ambient_chunk([], 5, rng) == 0)
-    assert len(signal.ambient_chunk([np.ones(3)], 10, rng)) == 10
+    assert np.all(signal.noise_stretch([], 5, rng) == 0)
+    assert len(signal.noise_stretch([np.ones(3)], 10, rng)) == 10
 
 
 def test_augmentation_is_seeded():

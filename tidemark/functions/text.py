@@ -78,9 +78,9 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
 
 
-def clip_stem(source: Column, collection: Column, recording: Column) -> Column:
+def clip_stem(source: Column, collection: Column, recording: Column, file: Column) -> Column:
     """Collection and number for numbered sources, else the file name without its ending."""
-    return F.when(source == "IARA", F.format_string("%s-%04d", collection, recording.cast("long"))).otherwise(stem(collection))
+    return F.when(source == "IARA", F.format_string("%s-%04d", collection, recording.cast("long"))).otherwise(stem(file))
 
 
 def recording_number(source: Column, clip: Column) -> Column:

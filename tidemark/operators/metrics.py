@@ -45,7 +45,12 @@ def running(c: DataFrame, by: list[str] | None = None, falling: bool = False) ->
 
 def auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney with average ranks: chance that a genuine score beats an impostor one, ties half; null without both."""
-    c = running(counted(scores, by), by)
+    return auc_counted(counted(scores, by), by)
+
+
+def auc_counted(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``auc`` of trials counted by score (``score``, ``p``, ``n``)."""
+    c = running(counts, by)
     wins = F.col("p") * (F.col("cn") - F.col("n") + F.col("n") / 2)
     out = c.groupBy(*(by or [])).agg(F.sum(wins).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return out.select(*(by or []), F.col("p").alias("n_genuine"), F.col("n").alias("n_impostor"), F.try_divide("w", F.col("p").cast("double") * F.col("n")).alias("auc"))
@@ -63,7 +68,12 @@ def eer_sorted(scores: DataFrame) -> DataFrame:
     Within a value the rates move linearly along its genuine rows, then along its impostor rows, so the
     least gap is at an end of a stretch or where it crosses zero; every row is looked at by position.
     """
-    c = running(counted(scores), falling=True)
+    return eer_counted(counted(scores))
+
+
+def eer_counted(counts: DataFrame) -> DataFrame:
+    """``eer_sorted`` of trials counted by score."""
+    c = running(counts, falling=True)
     c = c.select("score", "p", "n", (F.col("cp") - F.col("p")).alias("p0"), (F.col("cn") - F.col("n")).alias("n0"), "tp", "tn")
     # rows of a value: p genuine ones, then n impostor ones; the gap 1 - i/tp - j/tn falls along both
     zero_i = F.floor((1 - F.col("n0") / F.col("tn")) * F.col("tp")).cast("long") - F.col("p0")
@@ -115,20 +125,17 @@ def sweep_eer_row(swept: DataFrame, places: int = 4) -> DataFrame:
     return swept.agg(F.min_by(F.struct("tau", "recall", "false_alarm"), F.struct(gap, F.col("tau"))).alias("b")).select("b.*")
 
 
-def pair_summary(scores: DataFrame) -> DataFrame:
-    """Mean score of same and of different pairs, their gap, share of different pairs below 0.5."""
-    same, other = F.avg(F.when(F.col("same"), F.col("score"))), F.avg(F.when(~F.col("same"), F.col("score")))
-    low = F.avg(F.when(~F.col("same"), (F.col("score") < 0.5).cast("double")))
-    return scores.agg(same.alias("same"), other.alias("diff"), (same - other).alias("gap"), low.alias("diff_below_half"))
+def pair_summary(profile: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of a profile of pairs: pairs, mean score of same and of different ones, their gap, share of different pairs below the bound."""
+    of = lambda same, c: F.sum(F.when(F.col("same") == same, F.col(c)))
+    same, other = F.try_divide(of(True, "total"), of(True, "n")), F.try_divide(of(False, "total"), of(False, "n"))
+    return profile.groupBy(*(by or [])).agg(F.sum("n").alias("n"), same.alias("same"), other.alias("diff"), (same - other).alias("gap"), F.try_divide(of(False, "under"), of(False, "n")).alias("diff_below"))
 
 
-def histogram(scores: DataFrame, low: float = -0.2, high: float = 1.0, bins: int = 49) -> DataFrame:
-    """Density by class of equal width; the last class holds its upper end; what is outside counts in no class."""
-    width = (high - low) / bins
-    inside = scores.where(F.col("score").between(low, high))
-    at = F.least(F.floor((F.col("score") - low) / width), F.lit(bins - 1)).cast("int")
-    c = inside.groupBy("same", at.alias("bin")).agg(F.count("*").alias("n"))
-    return c.withColumn("density", F.col("n") / (F.sum("n").over(W.partitionBy("same")) * width))
+def histogram(profile: DataFrame, low: float = -0.2, high: float = 1.0, bins: int = 49) -> DataFrame:
+    """Density by class of equal width, of same and of different pairs; what is outside counts in no class."""
+    c = profile.where("bin >= 0").groupBy("same", F.col("bin").cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+    return c.withColumn("density", F.col("n") / (F.sum("n").over(W.partitionBy("same")) * ((high - low) / bins)))
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:

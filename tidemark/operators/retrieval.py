@@ -6,16 +6,16 @@ Ties: gallery entries of one query follow each other by falling score, then by r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Bytes of gallery vectors that one pass of the blocked search holds in a task.
-GALLERY_BYTES = 64 << 20
+from tidemark.operators import metrics
 
 
 def dot(a: str, b: str) -> Column:
@@ -54,23 +54,6 @@ def leave_one_out(passages: DataFrame, uid: str = "uid", vessel: str = "vessel",
     return q.join(g, on).select("q", "g", "qv", "gv", (F.col("qv") == F.col("gv")).alias("same"), dot("a", "b").alias("score"))
 
 
-def against_gallery(queries: DataFrame, gallery: DataFrame, uid: str = "uid", vessel: str = "vessel", vector: str = "vec") -> DataFrame:
-    q = queries.select(F.col(uid).alias("q"), F.col(vessel).alias("qv"), F.col(vector).alias("a"))
-    g = gallery.select(F.col(uid).alias("g"), F.col(vessel).alias("gv"), F.col(vector).alias("b"))
-    return q.crossJoin(g).select("q", "g", "qv", "gv", (F.col("qv") == F.col("gv")).alias("same"), dot("a", "b").alias("score"))
-
-
-def unordered_pairs(passages: DataFrame, uid: str = "uid", vessel: str = "vessel", vector: str = "vec") -> DataFrame:
-    """Every pair once (a < b); a symmetric matrix needs no more."""
-    a = passages.select(F.col(uid).alias("q"), F.col(vessel).alias("qv"), F.col(vector).alias("a"))
-    b = passages.select(F.col(uid).alias("g"), F.col(vessel).alias("gv"), F.col(vector).alias("b"))
-    return a.join(b, F.col("q") < F.col("g")).select("q", "g", "qv", "gv", (F.col("qv") == F.col("gv")).alias("same"), dot("a", "b").alias("score"))
-
-
-def ranked(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("rn", F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), F.col("g"))))
-
-
 def trials(scores: DataFrame) -> DataFrame:
     """A row a query with a genuine entry: best genuine and impostor score, rank of the first genuine, best match.
 
@@ -96,14 +79,9 @@ def macro_rank1(t: DataFrame) -> DataFrame:
     return t.groupBy("vessel").agg(F.avg((F.col("rank") == 1).cast("double")).alias("r1")).agg(F.avg("r1").alias("rank1_macro_vessel"), F.count("*").alias("n_vessels"))
 
 
-def nearest(scores: DataFrame) -> DataFrame:
-    """Best other passage of each query, and whether it is a hit."""
-    return ranked(scores).where("rn = 1").select("q", F.col("g").alias("match"), "score", F.when(F.col("same"), "HIT").otherwise("MISS").alias("verdict"))
-
-
-def collapsed(scores: DataFrame, identity: Column) -> DataFrame:
-    """Best score of each query and identity; ``identity`` maps a vessel column expression (``qv``, ``gv``) to one."""
-    return scores.groupBy("q", "qv", identity.alias("identity")).agg(F.max("score").alias("score"))
+def nearest(t: DataFrame) -> DataFrame:
+    """Best other passage of each query of the trials, and whether it is a hit."""
+    return t.select("q", F.col("top_match").alias("match"), F.col("top_score").alias("score"), F.when(F.col("rank") == 1, "HIT").otherwise("MISS").alias("verdict"))
 
 
 def identity_rank(best: DataFrame, own: Column) -> DataFrame:
@@ -119,82 +97,264 @@ def row_z(scores: DataFrame, column: str = "score") -> Column:
     return (F.col(column) - F.avg(column).over(own)) / F.when(sd > 1e-12, sd).otherwise(1.0)
 
 
-def fuse(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Mean of the row-z scores of two methods over the same pairs, joined by key."""
-    x = a.withColumn("za", row_z(a)).select("q", "g", "qv", "gv", "same", "za")
-    y = b.withColumn("zb", row_z(b)).select("q", "g", "zb")
-    return x.join(y, ["q", "g"]).select("q", "g", "qv", "gv", "same", (0.5 * (F.col("za") + F.col("zb"))).alias("score"))
+# --- tiled search ------------------------------------------------------------------------------------------
 
+#: Vectors of a tile, cells of a matrix of scores, marks of a group, groups dealt out at once.
+TILE, CELLS, MARKS, MOST_TASKS = 4096, 1 << 21, 1 << 16, 4096
 
-def depth_curve(passages: DataFrame, gallery: DataFrame, dim: int, most: int = 5, vector: str = "vec") -> DataFrame:
-    """Trials by gallery depth k: the first k other passages of the vessel in time order, pooled, against the others' standard passages."""
-    q = scorable(passages).select(F.col("uid").alias("q"), F.col("vessel").alias("qv"), F.col(vector).alias("qe"))
-    rest = q.select("q", "qv").join(passages.select(F.col("uid").alias("r"), F.col("vessel").alias("rv"), F.col("pid"), F.col(vector).alias("re")), (F.col("qv") == F.col("rv")) & (F.col("q") != F.col("r")))
-    order = W.partitionBy("q").orderBy("pid", "r")
-    rest = rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    mean = F.array(*(F.avg(F.get("re", F.lit(i)).cast("double")).over(upto) for i in range(dim)))
-    pooled = rest.select("q", "k", mean.alias("m")).withColumn("by", norm(F.col("m")) + 1e-12).select("q", "k", F.transform("m", lambda x: x / F.col("by")).alias("m"))
-    gen = pooled.join(q, "q").select("q", "qv", "k", dot("m", "qe").alias("gen_score"))
-    imp = q.join(gallery.select(F.col("vessel").alias("gv"), F.col(vector).alias("ge")), F.col("qv") != F.col("gv")).select("q", dot("qe", "ge").alias("s"))
-    t = gen.join(imp, "q").groupBy("q", "qv", "k", "gen_score")
-    return t.agg(F.max("s").alias("best_imp"), (1 + F.count_if(F.col("s") > F.col("gen_score"))).alias("rank"), (F.count("*") + 1).alias("n_gallery"))
+
+class Side:
+    """Some rows of a side: ids, vessels, codes of vessels (equal for equal ones), scope, a number ``x`` and a whole number ``k``."""
+
+    def __init__(self, ids: np.ndarray, vessels: pa.Array, code: np.ndarray, scope: np.ndarray, x: np.ndarray, k: np.ndarray) -> None:
+        self.ids, self.vessels, self.code, self.scope, self.x, self.k = ids, vessels, code, scope, x, k
 
 
-# --- blocked search ----------------------------------------------------------------------------------------
+def side(rows: DataFrame, uid: str = "uid", vessel: str = "vessel", vector: str = "vec", scope: Column | None = None, x: Column | None = None) -> DataFrame:
+    """The columns that the tiled search takes; a null scope or number counts as 0."""
+    number = lambda c, kind: F.coalesce(F.lit(0) if c is None else c, F.lit(0)).cast(kind)
+    return rows.select(F.col(uid).cast("long").alias("id"), F.col(vessel).cast("string").alias("v"), F.col(vector).cast("array<double>").alias("e"), number(scope, "long").alias("scope"), number(x, "double").alias("x"), F.lit(0).cast("long").alias("k"))
 
 
-def blocked_trials(queries: DataFrame, gallery: DataFrame, uid: str = "uid", vessel: str = "vessel", vector: str = "vec", skip_self: bool = True, block_bytes: int = GALLERY_BYTES) -> DataFrame:
-    """The trials of all queries against a gallery of any size, without a row a pair.
+def tiled(queries: DataFrame, gallery: DataFrame, work: Callable[..., pa.Table | None], schema: str, pairs: bool = False, marks: DataFrame | None = None) -> DataFrame:
+    """Every query against every gallery vector in tiles of bounded size, without a row a pair.
 
-    The gallery is taken in blocks of bounded bytes. For each block a matrix product gives the best
-    genuine entry and the best impostor of each query; a second pass counts the entries ahead of the
-    best genuine one. Partial results are a row a query and block.
+    Both sides have the columns of ``side``. Each is dealt into tiles by id; a pair of tiles is a group of its own,
+    and ``work(q, g, score)`` turns rows of its matrix of scores, ``CELLS`` at most, into a small table. With ``pairs``
+    both sides are the same vectors and each unordered pair is met once; the other cells are NaN. With ``marks`` (column
+    ``x``) a group has a range of these numbers too: ``work(q, g, score, marks, low, high)``.
     """
     spark = queries.sparkSession
-    g = gallery.select(F.col(uid).cast("long").alias("u"), F.col(vessel).cast("string").alias("v"), F.col(vector).cast("array<double>").alias("e"))
-    n, dim = g.agg(F.count("*"), F.max(F.size("e"))).first()
-    blocks = max(1, -(-int(n) * 8 * int(dim or 1) // block_bytes))
-    q = queries.select(F.col(uid).cast("long").alias("q"), F.col(vessel).cast("string").alias("qv"), F.col(vector).cast("array<double>").alias("e"))
-    q = q.repartition(spark.sparkContext.defaultParallelism) if q.rdd.getNumPartitions() == 1 else q
-
-    def one_pass(rows: DataFrame, schema: str, work) -> DataFrame:
-        out = None
-        for b in range(blocks):
-            own = g.where(F.pmod(F.xxhash64("u"), F.lit(blocks)) == b).orderBy("u").collect()
-            shared = spark.sparkContext.broadcast((np.array([r.u for r in own], np.int64), np.array([r.v for r in own], object), np.array([r.e for r in own], np.float64).reshape(len(own), -1)))
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                ids, vessels, matrix = shared.value
-                for batch in batches:
-                    if batch.num_rows and len(ids):
-                        e = np.stack(batch.column(2).to_numpy(zero_copy_only=False))
-                        score = e @ matrix.T
-                        own_ids = batch.column(0).to_numpy()
-                        if skip_self:
-                            score[own_ids[:, None] == ids[None, :]] = -np.inf
-                        yield work(batch, own_ids, batch.column(1).to_numpy(zero_copy_only=False), ids, vessels, score)
-
-            part = rows.mapInArrow(run, schema)
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    def best(batch, own, own_v, ids, vessels, score):
-        same = own_v[:, None] == vessels[None, :]
-        gen, imp = np.where(same, score, -np.inf), np.where(same, -np.inf, score)
-        at, bt, top = gen.argmax(1), imp.argmax(1), score.argmax(1)
-        rows = np.arange(len(own))
-        return pa.RecordBatch.from_arrays([pa.array(own), batch.column(1), pa.array(gen[rows, at]), pa.array(ids[at]), pa.array(imp[rows, bt]), pa.array(score[rows, top]), pa.array(ids[top])], ["q", "qv", "gs", "gi", "best_imp", "ts", "ti"])
+    nq = max(1, -(-queries.count() // TILE))
+    ng = nq if pairs else max(1, -(-gallery.count() // TILE))
+    bounds: list[float] = []
+    marked = marks is not None
+    if marked:
+        ranges = -(-marks.count() // MARKS)
+        if ranges > 1:
+            bounds = sorted(set(marks.agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    upto = lambda a, b: F.explode(F.sequence(a, b))
+    left = queries.withColumns({"qt": own(nq), "side": F.lit(0)}).withColumn("gt", upto(F.col("qt") if pairs else F.lit(0), F.lit(ng - 1)))
+    right = gallery.withColumns({"gt": own(ng), "side": F.lit(1)}).withColumn("qt", upto(F.lit(0), F.col("gt") if pairs else F.lit(nq - 1)))
+    dealt = left.unionByName(right).withColumn("range", upto(F.lit(0), F.lit(len(bounds))))
+    if marks is not None:
+        which = sum(((F.col("x") > b).cast("int") for b in bounds), F.lit(0))
+        m = marks.select(F.lit(0).cast("long").alias("id"), F.lit(None).cast("string").alias("v"), F.array().cast("array<double>").alias("e"), F.lit(0).cast("long").alias("scope"), "x", F.lit(0).cast("long").alias("k"), F.lit(2).alias("side"), which.alias("range"))
+        dealt = dealt.unionByName(m.withColumn("qt", upto(F.lit(0), F.lit(nq - 1))).withColumn("gt", upto(F.lit(0), F.lit(ng - 1))))
+    dealt = dealt.repartition(max(1, min(nq * ng * (len(bounds) + 1), MOST_TASKS)), "qt", "gt", "range")
+    edges = [-np.inf, *bounds, np.inf]
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+    shape = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("side").to_numpy()
+        q, g, m = (table.filter(pa.array(part == s)).sort_by("id").combine_chunks() for s in (0, 1, 2))
+        out = [shape.empty_table()]
+        if len(q) and len(g):
+            a, b = (t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in (q, g))
+            codes = pc.dictionary_encode(pa.concat_arrays([t.column("v").combine_chunks() for t in (q, g)])).indices.to_numpy(zero_copy_only=False)
+            of = lambda t, code: Side(t.column("id").to_numpy(), t.column("v").combine_chunks(), code, t.column("scope").to_numpy(), t.column("x").to_numpy(), t.column("k").to_numpy())
+            whole, one_tile = of(g, codes[len(q) :]), table.column("qt")[0] == table.column("gt")[0]
+            at = table.column("range")[0].as_py()
+            more = (np.unique(m.column("x").to_numpy()), edges[at], edges[at + 1]) if marked else ()
+            step = max(1, CELLS // len(g))
+            for i in range(0, len(q), step):
+                some = of(q.slice(i, step), codes[i : min(len(q), i + step)])
+                score = a[i : i + step] @ b.T
+                if pairs and one_tile:
+                    score[some.ids[:, None] >= whole.ids[None, :]] = np.nan
+                found = work(some, whole, score, *more)
+                if found is not None:
+                    out.append(found.select(names).cast(shape))
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("qt", "gt", "range").applyInArrow(run, schema)
+
+
+def _part(q: Side, g: Side, score: np.ndarray, skip_self: bool, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scores with -inf where a pair takes no part, and which pairs are of one vessel."""
+    if skip_self:
+        score = np.where(q.ids[:, None] == g.ids[None, :], -np.inf, score)
+    if within:
+        score = np.where(q.scope[:, None] == g.scope[None, :], score, -np.inf)
+    return score, q.code[:, None] == g.code[None, :]
+
+
+def tiled_trials(queries: DataFrame, gallery: DataFrame, skip_self: bool = True, within: bool = False) -> DataFrame:
+    """A row a query with a genuine entry: best genuine and impostor score, rank of the first genuine, best match and its score.
+
+    One pass over the tiles gives the best entries, a second one counts what is ahead of the best genuine
+    entry. With ``within`` a query meets only the gallery entries of its own scope.
+    """
+
+    def best(q: Side, g: Side, score: np.ndarray) -> pa.Table:
+        score, same = _part(q, g, score, skip_self, within)
+        gen, imp, rows = np.where(same, score, -np.inf), np.where(same, -np.inf, score), np.arange(len(q.ids))
+        at, top = gen.argmax(1), score.argmax(1)
+        return pa.table([pa.array(q.ids), q.vessels, pa.array(gen[rows, at]), pa.array(g.ids[at]), pa.array(imp.max(1)), pa.array(score[rows, top]), pa.array(g.ids[top])], ["q", "vessel", "gs", "gi", "best_imp", "ts", "ti"])
+
+    def ahead(q: Side, g: Side, score: np.ndarray) -> pa.Table:
+        score, _ = _part(q, g, score, skip_self, within)
+        n = (score > q.x[:, None]) | ((score == q.x[:, None]) & (g.ids[None, :] < q.k[:, None]))
+        return pa.table([pa.array(q.ids), pa.array(n.sum(1))], ["q", "n"])
 
     low = F.lit(float("-inf"))
-    first = one_pass(q, "q long, qv string, gs double, gi long, best_imp double, ts double, ti long", best)
-    top = first.groupBy("q", "qv").agg(F.max(F.struct("gs", (-F.col("gi")).alias("back"))).alias("gen"), F.max("best_imp").alias("best_imp"), F.max(F.struct("ts", (-F.col("ti")).alias("back"))).alias("best")).where(F.col("gen.gs") > low)
-    second = q.join(top.select("q", F.col("gen.gs").alias("gs"), (-F.col("gen.back")).alias("gi")), "q").select("q", "qv", "e", "gs", "gi")
+    entry = lambda s, i: F.max(F.struct(s, (-F.col(i)).alias("back")))
+    first = tiled(queries, gallery, best, "q long, vessel string, gs double, gi long, best_imp double, ts double, ti long")
+    top = first.groupBy("q", "vessel").agg(entry("gs", "gi").alias("gen"), F.max("best_imp").alias("best_imp"), entry("ts", "ti").alias("best")).where(F.col("gen.gs") > low)
+    held = queries.join(top.select(F.col("q").alias("id"), F.col("gen.gs").alias("gs"), (-F.col("gen.back")).alias("gi")), "id").select("id", "v", "e", "scope", F.col("gs").alias("x"), F.col("gi").alias("k"))
+    before = tiled(held, gallery, ahead, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
+    return top.join(before, "q").select("q", "vessel", F.col("gen.gs").alias("gen_score"), F.when(F.col("best_imp") > low, F.col("best_imp")).alias("best_imp"), (F.col("n") + 1).alias("rank"), (-F.col("best.back")).alias("top_match"), F.col("best.ts").alias("top_score"))
+
+
+def trials_against(queries: DataFrame, gallery: DataFrame, uid: str = "uid", vessel: str = "vessel", vector: str = "vec", skip_self: bool = True, within: str | None = None) -> DataFrame:
+    """``tiled_trials`` of passages; ``within`` names a column (whole numbers) that both of a pair must share."""
+    scope = F.col(within) if within else None
+    t = tiled_trials(side(queries, uid, vessel, vector, scope), side(gallery, uid, vessel, vector, scope), skip_self, bool(within))
+    return t.withColumn("vessel", F.col("vessel").cast(queries.schema[vessel].dataType))
+
+
+def impostor_counts(queries: DataFrame, gallery: DataFrame, trials: DataFrame, skip_self: bool = True, within: bool = False) -> DataFrame:
+    """Genuine scores of the trials (best of each query) and scores of all their impostor pairs, counted: ``score``, ``p``, ``n``.
+
+    Impostor scores between two genuine ones are one row (their place is all that a rate or a rank needs), so the table
+    has a few rows a query, not one a pair; values in between stand for the open range.
+    """
+
+    def between(q: Side, g: Side, score: np.ndarray, marks: np.ndarray, low: float, high: float) -> pa.Table | None:
+        score, same = _part(q, g, score, skip_self, within)
+        values = score[~same & (score > low) & (score <= high) & (score > -np.inf)]
+        if not len(values):
+            return None
+        if not len(marks):
+            middle = (low + high) / 2 if np.isfinite(high - low) else low + 1 if np.isfinite(low) else 0.0
+            return pa.table({"score": pa.array([middle]), "n": pa.array([len(values)])})
+        inner = np.concatenate([[marks[0] - 1 if not np.isfinite(low) else (low + marks[0]) / 2], (marks[1:] + marks[:-1]) / 2, [marks[-1] + 1 if not np.isfinite(high) else (marks[-1] + high) / 2]])
+        at, end = np.searchsorted(marks, values, "left"), np.searchsorted(marks, values, "right")
+        key = np.where(end > at, marks[np.minimum(at, len(marks) - 1)], inner[at])
+        every, n = np.unique(key, return_counts=True)
+        return pa.table({"score": every, "n": n})
+
+    own = queries.join(trials.select(F.col("q").alias("id")), "id", "left_semi")
+    genuine = trials.groupBy(F.col("gen_score").alias("score")).agg(F.count("*").alias("p"))
+    counts = tiled(own, gallery, between, "score double, n long", marks=genuine.select(F.col("score").alias("x")))
+    zero = F.lit(0).cast("long")
+    both = genuine.withColumn("n", zero).unionByName(counts.withColumn("p", zero))
+    return both.groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+
+def full_table(queries: DataFrame, gallery: DataFrame, skip_self: bool = True, within: bool = False) -> DataFrame:
+    """One row: the retrieval table of all queries with the AUC and the equal error rate over all impostor pairs."""
+    t = tiled_trials(queries, gallery, skip_self, within).persist()  # a row a query, read three times
+    counted = impostor_counts(queries, gallery, t, skip_self, within)
+    rates = metrics.auc_counted(counted).select("auc").crossJoin(metrics.eer_counted(counted))  # a row each
+    return retrieval_table(t).crossJoin(rates)
+
+
+def row_stats(queries: DataFrame, gallery: DataFrame, skip_self: bool = True) -> DataFrame:
+    """Mean and deviation of each query's scores (a deviation of nearly 0 counts as 1), and the largest absolute score."""
+
+    def sums(q: Side, g: Side, score: np.ndarray) -> pa.Table:
+        used = np.ones(score.shape, dtype=bool) if not skip_self else q.ids[:, None] != g.ids[None, :]
+        n = used.sum(1)
+        mean = np.where(used, score, 0).sum(1) / np.maximum(n, 1)
+        return pa.table([pa.array(q.ids), pa.array(n), pa.array(mean), pa.array((np.where(used, score - mean[:, None], 0) ** 2).sum(1)), pa.array(np.where(used, np.abs(score), 0).max(1))], ["q", "n", "mean", "m2", "largest"])
+
+    s = tiled(queries, gallery, sums, "q long, n long, mean double, m2 double, largest double")
+    total = s.groupBy("q").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("m2").alias("inner"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("square"), F.max("largest").alias("largest"))
+    outer = F.greatest(F.col("square") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0))
+    deviation = F.sqrt((F.col("inner") + F.when(outer > 1e-12 * F.col("square"), outer).otherwise(0.0)) / F.col("n"))
+    return total.select("q", "mean", F.when(deviation > 1e-12, deviation).otherwise(1.0).alias("deviation"), "largest")
+
+
+def fused_trials(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Leave-one-out trials under the mean of the row-z scores of two methods over the same passages.
+
+    The fused score is one dot product of joined vectors, each half of a query scaled by its own deviation,
+    less a number of the query's own.
+    """
+    both = a.join(b.select("id", F.col("e").alias("f")), "id")
+    sa = row_stats(a, a).select(F.col("q").alias("id"), F.col("mean").alias("ma"), F.col("deviation").alias("sa"))
+    sb = row_stats(b, b).select(F.col("q").alias("id"), F.col("mean").alias("mb"), F.col("deviation").alias("sb"))
+    held = both.join(sa, "id").join(sb, "id")
+    scaled = lambda v, s: F.transform(v, lambda x: x * 0.5 / F.col(s))
+    queries = held.withColumn("e", F.concat(scaled("e", "sa"), scaled("f", "sb"))).select(*a.columns)
+    t = tiled_trials(queries, both.withColumn("e", F.concat("e", "f")).select(*a.columns))
+    off = held.select(F.col("id").alias("q"), (0.5 * (F.col("ma") / F.col("sa") + F.col("mb") / F.col("sb"))).alias("off"))
+    return t.join(off, "q").select("q", "vessel", *((F.col(c) - F.col("off")).alias(c) for c in ("gen_score", "best_imp")), "rank", "top_match")
+
+
+def identity_scores(queries: DataFrame, gallery: DataFrame, skip_self: bool = False) -> DataFrame:
+    """Best score of each query and identity (``v``) of the gallery."""
+
+    def best(q: Side, g: Side, score: np.ndarray) -> pa.Table:
+        score, _ = _part(q, g, score, skip_self, False)
+        order = np.argsort(g.code, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(g.code[order]) != 0]))
+        top = np.maximum.reduceat(score[:, order], first, axis=1)
+        names = g.vessels.take(pa.array(np.tile(order[first], len(q.ids))))
+        t = pa.table([pa.array(np.repeat(q.ids, len(first))), names, pa.array(top.ravel())], ["q", "identity", "score"])
+        return t.filter(pc.greater(t.column("score"), -np.inf))
+
+    return tiled(queries, gallery, best, "q long, identity string, score double").groupBy("q", "identity").agg(F.max("score").alias("score"))
+
+
+def pair_profile(rows: DataFrame, low: float = -0.2, high: float = 1.0, bins: int = 49, below: float = 0.5) -> DataFrame:
+    """All unordered pairs by scopes of both, same vessel or not, and class of score: pairs, sum of scores, pairs under ``below``.
+
+    ``a`` is the lesser scope; class -1 is outside of low to high, the last one holds its upper end.
+    """
+
+    def count(q: Side, g: Side, score: np.ndarray) -> pa.Table | None:
+        i, j = np.nonzero(~np.isnan(score))
+        if not len(i):
+            return None
+        s = score[i, j]
+        x, y = q.scope[i], g.scope[j]
+        at = np.minimum(np.floor((s - low) / ((high - low) / bins)), bins - 1).astype(np.int64)
+        at[(s < low) | (s > high)] = -1
+        keys = np.stack([np.minimum(x, y), np.maximum(x, y), (q.code[i] == g.code[j]).astype(np.int64), at])
+        every, where = np.unique(keys, axis=1, return_inverse=True)
+        where = where.ravel()
+        return pa.table([pa.array(every[0]), pa.array(every[1]), pa.array(every[2] == 1), pa.array(every[3]), pa.array(np.bincount(where)), pa.array(np.bincount(where, weights=s)), pa.array(np.bincount(where, weights=s < below).astype(np.int64))], ["a", "b", "same", "bin", "n", "total", "under"])
+
+    t = tiled(rows, rows, count, "a long, b long, same boolean, bin long, n long, total double, under long", pairs=True)
+    return t.groupBy("a", "b", "same", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("under").alias("under"))
+
+
+def top_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """The unordered pairs with the highest scores, ties by ids (a report of so many rows)."""
+
+    def best(q: Side, g: Side, score: np.ndarray) -> pa.Table:
+        s = np.where(np.isnan(score), -np.inf, score).ravel()
+        at = np.flatnonzero(s >= max(np.partition(s, -min(most, len(s)))[-min(most, len(s))], np.finfo(float).min))
+        x, y = q.ids[at // len(g.ids)], g.ids[at % len(g.ids)]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        first = np.lexsort([y, x, -s[at]])[:most]
+        return pa.table([pa.array(x[first]), pa.array(y[first]), pa.array(s[at][first])], ["q", "g", "score"])
+
+    return tiled(rows, rows, best, "q long, g long, score double", pairs=True).orderBy(F.col("score").desc(), "q", "g").limit(most)
+
+
+def depth_trials(passages: DataFrame, gallery: DataFrame, dim: int, most: int = 5, vector: str = "vec") -> DataFrame:
+    """Trials by gallery depth k: the first k other passages of the vessel in time order, pooled, against the others' standard passages."""
+    q = scorable(passages).select(F.col("uid").alias("q"), F.col("vessel").alias("qv"), F.col(vector).alias("qe"))
+    # the first most + 1 passages of a vessel hold the first ``most`` others of each of its passages
+    early = passages.withColumn("_rn", F.row_number().over(W.partitionBy("vessel").orderBy("pid", "uid"))).where(F.col("_rn") <= most + 1)
+    rest = q.select("q", "qv").join(early.select(F.col("uid").alias("r"), F.col("vessel").alias("rv"), "pid", F.col(vector).alias("re")), (F.col("qv") == F.col("rv")) & (F.col("q") != F.col("r")))
+    order = W.partitionBy("q").orderBy("pid", "r")
+    rest = rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    mean = F.array(*(F.avg(F.get("re", F.lit(i)).cast("double")).over(upto) for i in range(dim)))
+    pooled = rest.select("q", "k", mean.alias("m")).withColumn("by", norm(F.col("m")) + 1e-12).select("q", "k", F.transform("m", lambda x: x / F.col("by")).alias("m"))
+    gen = pooled.join(q, "q").select("q", "qv", "k", "qe", dot("m", "qe").alias("gen_score")).withColumn("id", F.col("q") * (most + 1) + F.col("k"))
 
-    def ahead(batch, own, own_v, ids, vessels, score):
-        gs, gi = batch.column(3).to_numpy()[:, None], batch.column(4).to_numpy()[:, None]
-        n = ((score > gs) | ((score == gs) & (ids[None, :] < gi))).sum(1)
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["q", "n"])
+    def ahead(q: Side, g: Side, score: np.ndarray) -> pa.Table:
+        score = np.where(q.code[:, None] == g.code[None, :], -np.inf, score)
+        return pa.table([pa.array(q.ids), pa.array(score.max(1)), pa.array((score > q.x[:, None]).sum(1)), pa.array((score > -np.inf).sum(1))], ["id", "imp", "above", "n"])
 
-    before = one_pass(second, "q long, n long", ahead).groupBy("q").agg(F.sum("n").alias("n"))
-    return top.join(before, "q").select("q", F.col("qv").alias("vessel"), F.col("gen.gs").alias("gen_score"), F.when(F.col("best_imp") > low, F.col("best_imp")).alias("best_imp"), (F.col("n") + 1).alias("rank"), (-F.col("best.back")).alias("top_match"))
+    t = tiled(side(gen, "id", "qv", "qe", x=F.col("gen_score")), side(gallery, vector=vector), ahead, "id long, imp double, above long, n long")
+    t = t.groupBy("id").agg(F.max("imp").alias("best_imp"), (1 + F.sum("above")).alias("rank"), (1 + F.sum("n")).alias("n_gallery")).where("n_gallery > 1")
+    return gen.select("id", "q", "qv", "k", "gen_score").join(t, "id").drop("id")

@@ -109,17 +109,19 @@ def mix_at_snr(y: np.ndarray, noise: np.ndarray, snr_db: float, eps: float = 1e-
     return (y + noise * np.sqrt(power / 10 ** (snr_db / 10) / noise_power)).astype(np.float32)
 
 
-def ambient_chunk(pool: list[np.ndarray], n: int, rng: np.random.Generator) -> np.ndarray:
-    """A random stretch of a random clip; short clips are tiled; an empty pool gives silence."""
-    if not pool:
-        return np.zeros(n, np.float32)
-    clip = pool[int(rng.integers(len(pool)))]
+def noise_stretch(pool: list[np.ndarray], n: int, rng: np.random.Generator) -> np.ndarray:
+    """``n`` samples of a clip drawn from the pool, from a place drawn in it; a clip that is too short goes round, no sample gives silence."""
+    clip = pool[int(rng.integers(len(pool)))] if pool else np.zeros(0, np.float32)
     if not len(clip):
         return np.zeros(n, np.float32)
-    if len(clip) < n:
-        return np.tile(clip, -(-n // len(clip)))[:n]
-    at = int(rng.integers(len(clip) - n + 1))
-    return clip[at : at + n]
+    at = int(rng.integers(max(1, len(clip) - n + 1)))
+    return np.asarray(clip).take(np.arange(at, at + n), mode="wrap")
+
+
+def window_frames(start_s: Column, end_s: Column, n: Column, rate: int = RATE) -> Column:
+    """First frame and end of a window given in seconds: rounded (halves to even), kept inside a clip of ``n`` frames."""
+    inside = lambda s: F.least(F.greatest(F.bround(s * rate), F.lit(0)), n).cast("long")
+    return F.struct(inside(start_s).alias("first"), inside(end_s).alias("end"))
 
 
 def spectrum(x: np.ndarray, rate: int = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,16 +180,17 @@ def persistent_lines(level: np.ndarray, freqs: np.ndarray, times: np.ndarray) ->
     return [(float(centre[b]), float(top[b, a:e].mean())) for b, a, e in zip(band, start, end, strict=True) if e - a >= least]
 
 
-def lofar_lines(x: np.ndarray, rate: int = RATE, remove_dc: bool = False) -> list[tuple[float, float]]:
-    """The strongest lines of a waveform, one a frequency, by falling level; none under the length of a window."""
+def tonal_lines(x: np.ndarray, rate: int = RATE, remove_dc: bool = False) -> list[tuple[float, float]]:
+    """The strongest lines of a waveform, one a frequency, by falling level, ties by frequency; none under the length of a window."""
     x = np.asarray(x, dtype=np.float64)
     if len(x) < int(WINDOW_SEC * rate):
         return []
     freqs, times, power = spectrum(x - x.mean() if remove_dc else x, rate)
-    best: dict[float, float] = {}
-    for f, db in persistent_lines(whiten(freqs, power), freqs, times):
-        best[f] = max(db, best.get(f, -np.inf))
-    return sorted(best.items(), key=lambda v: (-v[1], v[0]))[:TOP]
+    found = np.array(persistent_lines(whiten(freqs, power), freqs, times)).reshape(-1, 2)
+    every, at = np.unique(found[:, 0], return_inverse=True)
+    level = np.full(len(every), -np.inf)
+    np.maximum.at(level, at, found[:, 1])
+    return [(float(every[i]), float(level[i])) for i in np.lexsort([every, -level])[:TOP]]
 
 
 # --- augmentation ------------------------------------------------------------------------------------------
@@ -215,7 +218,7 @@ def ambient_fill(x: np.ndarray, pool: list[np.ndarray], rng: np.random.Generator
     """A stretch of 5 to 15 percent becomes ambient noise at the waveform's level."""
     n = int(len(x) * rng.uniform(0.05, 0.15))
     at = int(rng.integers(max(1, len(x) - n)))
-    noise = ambient_chunk(pool, n, rng)
+    noise = noise_stretch(pool, n, rng)
     out = np.array(x, dtype=np.float32)
     out[at : at + n] = noise * (x.std() / (noise.std() + 1e-12))
     return out
@@ -231,7 +234,7 @@ def augment(x: np.ndarray, pool: list[np.ndarray], seed: int, copies: int = 3) -
         if use[0]:
             y = random_eq(y, rng)
         if use[1]:
-            y = mix_at_snr(y, ambient_chunk(pool, len(y), rng), rng.uniform(3, 20))
+            y = mix_at_snr(y, noise_stretch(pool, len(y), rng), rng.uniform(3, 20))
         if use[2]:
             y = multipath(y, rng)
         if use[3]:
@@ -245,6 +248,37 @@ def augment(x: np.ndarray, pool: list[np.ndarray], seed: int, copies: int = 3) -
 # --- stages ------------------------------------------------------------------------------------------------
 
 
+def _each(waves: DataFrame, work) -> DataFrame:
+    """A kernel on the samples of each row; ``work`` takes the row's columns as a dictionary."""
+    shape = waves.schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(samples=[np.asarray(work(row), dtype=np.float32) for row in frame.to_dict("records")])
+
+    fields = ", ".join(f"`{f.name}` {'array<float>' if f.name == 'samples' else f.dataType.simpleString()}" for f in shape.fields)
+    return waves.mapInPandas(run, fields)
+
+
+def to_mono(waves: DataFrame) -> DataFrame:
+    """Rows with ``samples`` (frame by frame) of ``channels`` as their mean."""
+    return _each(waves, lambda r: mono(np.asarray(r["samples"], np.float32).reshape(-1, int(r["channels"]))))
+
+
+def to_rate(waves: DataFrame, target: int = RATE) -> DataFrame:
+    """Rows with ``samples`` at ``rate`` at the target rate."""
+    return _each(waves, lambda r: resample(np.asarray(r["samples"]), int(r["rate"]), target))
+
+
+def with_noise(waves: DataFrame) -> DataFrame:
+    """Rows with ``samples``, ``noise`` of the same length and ``snr_db`` as their mixture."""
+    return _each(waves, lambda r: mix_at_snr(np.asarray(r["samples"]), np.asarray(r["noise"]), float(r["snr_db"])))
+
+
+def normalised(waves: DataFrame) -> DataFrame:
+    return _each(waves, lambda r: z_norm(np.asarray(r["samples"])))
+
+
 def segments(waves: DataFrame) -> DataFrame:
     """Normalised segments of rows (clip, samples): clip, seg_idx, samples."""
 
@@ -264,8 +298,8 @@ def clip_lines(waves: DataFrame, remove_dc: bool = False) -> DataFrame:
             rows = []
             for clip, x in zip(frame["clip"], frame["samples"], strict=True):
                 try:
-                    rows.append((clip, [{"freq_hz": f, "mean_db": d} for f, d in lofar_lines(x, remove_dc=remove_dc)], None))
-                except Exception as e:  # the row is kept and says why
+                    rows.append((clip, [{"freq_hz": f, "mean_db": d} for f, d in tonal_lines(x, remove_dc=remove_dc)], None))
+                except ValueError as e:  # samples that are no waveform: the row is kept and says why
                     rows.append((clip, [], str(e)))
             yield pd.DataFrame(rows, columns=["clip", "lines", "error"])
 

@@ -39,14 +39,8 @@ def top_lines(spark, d):
     return tonal.top_lines(lines(spark, d)).select("clip", "freq_hz", "mean_db", "rn")
 
 
-@query(SQL_TOP + " SELECT DISTINCT q.clip, q.freq_hz FROM t q WHERE q.clip % 2 = 1 AND EXISTS (SELECT 1 FROM t g WHERE g.clip = 2 AND abs(q.freq_hz - g.freq_hz) <= 1.0)")
-def line_match(spark, d):
-    t = tonal.top_lines(lines(spark, d))
-    return tonal.matches(t.where("clip % 2 = 1"), t.where("clip = 2")).select("clip", "freq_hz")
-
-
 @query(SQL_TOP + " SELECT DISTINCT q.clip, q.freq_hz FROM t q WHERE q.clip % 2 = 1 AND EXISTS (SELECT 1 FROM t g WHERE g.clip % 2 = 0 AND abs(q.freq_hz - g.freq_hz) <= 1.0)")
-def line_match_all(spark, d):
+def line_match(spark, d):
     t = tonal.top_lines(lines(spark, d))
     return tonal.matches(t.where("clip % 2 = 1"), t.where("clip % 2 = 0")).select("clip", "freq_hz")
 
@@ -54,15 +48,8 @@ def line_match_all(spark, d):
 SQL_SHARE = "CASE WHEN list_sum(list_transform({0}, lambda z: z.mean_db)) > 0 THEN coalesce(list_sum(list_transform(list_filter({0}, lambda z: len(list_filter({1}, lambda y: abs(z.freq_hz - y.freq_hz) <= 1.0)) > 0), lambda z: z.mean_db)), 0) / list_sum(list_transform({0}, lambda z: z.mean_db)) ELSE 0 END"
 
 
-@query(SQL_TOP + f" SELECT a.clip AS q, b.clip AS g, round(0.5 * ({SQL_SHARE.format('a.lines', 'b.lines')} + {SQL_SHARE.format('b.lines', 'a.lines')}), 8) AS score FROM sets a JOIN sets b ON a.clip < b.clip WHERE a.clip < 30 AND b.clip < 60")
-def tonal_scores(spark, d):
-    s = _sets(spark, d)
-    a, b = s.where("clip < 30").select(F.col("clip").alias("q"), F.col("lines").alias("x")), s.where("clip < 60").select(F.col("clip").alias("g"), F.col("lines").alias("y"))
-    return a.join(b, F.col("q") < F.col("g")).select("q", "g", F.round(tonal.score("x", "y"), 8).alias("score"))
-
-
 @query(SQL_TOP + f" SELECT a.clip AS q, b.clip AS g, round(0.5 * ({SQL_SHARE.format('a.lines', 'b.lines')} + {SQL_SHARE.format('b.lines', 'a.lines')}), 8) AS score FROM sets a JOIN sets b ON a.clip < b.clip")
-def tonal_scores_all(spark, d):
+def tonal_scores(spark, d):
     return tonal.all_scores(_sets(spark, d)).select("q", "g", F.round("score", 8).alias("score"))
 
 
@@ -111,17 +98,8 @@ def gallery_query_cut(spark, d):
     return table(spark, d, "documents").select("doc_id", signal.cut_pieces(F.col("n_chars") / 4.0).alias("c")).select("doc_id", "c.split_mode", "c.gallery_end_s", "c.query_start_s", "c.query_end_s")
 
 
-@query("SELECT a.vec_id AS q, round(30 * cos(acos(greatest(-1 + 1e-7, least(1 - 1e-7, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])))) + CASE WHEN a.label = b.label THEN 0.3 ELSE 0 END), 6) AS logit FROM embeddings a JOIN embeddings b ON b.vec_id = 0")
-def margin_logits(spark, d):
-    from tidemark.operators.retrieval import dot
-
-    e = table(spark, d, "embeddings")
-    b = e.where("vec_id = 0").select(F.col("embedding").alias("b"), F.col("label").alias("bl"))
-    return e.crossJoin(F.broadcast(b)).select(F.col("vec_id").alias("q"), F.round(encoder.margin_logit(dot("embedding", "b"), F.col("label") == F.col("bl")), 6).alias("logit"))
-
-
 @query("WITH d AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM d GROUP BY ALL), v AS (SELECT label, list(m ORDER BY i) AS v FROM m GROUP BY label), p AS (SELECT label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v), b AS (SELECT label, list_transform(v, lambda x: x / CASE WHEN n > 0 THEN n ELSE 1 END) AS v FROM p WHERE label IS NOT NULL) SELECT a.vec_id AS q, b.label::BIGINT AS class, round(30 * cos(acos(greatest(-1 + 1e-7, least(1 - 1e-7, list_dot_product(a.embedding::DOUBLE[], b.v)))) + CASE WHEN a.label = b.label THEN 0.3 ELSE 0 END), 6) AS logit FROM embeddings a, b")
-def margin_logits_all(spark, d):
+def margin_logits(spark, d):
     from tidemark.operators.retrieval import dot, pool
 
     s = segments(spark, d)
@@ -135,6 +113,52 @@ def event_windows(spark, d):
     return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
+SQL_FRAMES = "f AS (SELECT l_orderkey AS clip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey % 100) - 1 AS i, l_quantity::DOUBLE AS y, l_partkey % 100 - 50 AS noise, CASE l_orderkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 20 END AS snr FROM lineitem)"
+
+
+def _frames(spark, d):
+    """Orders as short clips: a line is a frame, its quantity a sample, a number from its part a sample of noise."""
+    li = table(spark, d, "lineitem")
+    row = F.struct(F.col("l_linenumber").alias("at"), F.col("l_quantity").cast("float").alias("y"), (F.col("l_partkey") % 100 - 50).cast("float").alias("noise"))
+    f = li.groupBy(F.col("l_orderkey").alias("clip")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    snr = F.when(F.col("clip") % 3 == 0, 5).when(F.col("clip") % 3 == 1, 10).otherwise(20).cast("double")
+    return f.select("clip", F.transform("rows", lambda r: r["y"]).alias("samples"), F.transform("rows", lambda r: r["noise"]).alias("noise"), snr.alias("snr_db"))
+
+
+def _samples(waves):
+    return waves.select("clip", F.posexplode("samples").alias("i", "value")).select("clip", F.col("i").cast("long").alias("i"), F.round(F.col("value").cast("double"), 2).alias("value"))
+
+
+@query(f"WITH {SQL_FRAMES} SELECT clip, i, round((y + noise) / 2, 2) AS value FROM f")
+def mono_mix(spark, d):
+    w = _frames(spark, d)
+    both = F.flatten(F.zip_with("samples", "noise", lambda a, b: F.array(a, b)))
+    return _samples(signal.to_mono(w.select("clip", both.alias("samples"), F.lit(2).alias("channels"))))
+
+
+@query(f"WITH {SQL_FRAMES} SELECT clip, i, round(y + noise * sqrt((avg(y * y) OVER w + 1e-12) / pow(10, snr / 10.0) / (avg(noise * noise) OVER w + 1e-12)), 2) AS value FROM f WHERE clip NOT IN (SELECT clip FROM f GROUP BY clip HAVING max(abs(noise)) = 0) WINDOW w AS (PARTITION BY clip)")
+def snr_mix(spark, d):
+    w = _frames(spark, d).where(F.exists("noise", lambda v: v != 0))
+    return _samples(signal.with_noise(w))
+
+
+@query(f"WITH {SQL_FRAMES} SELECT clip, i, round((y - avg(y) OVER w) / CASE WHEN stddev_pop(y) OVER w >= 1e-8 THEN stddev_pop(y) OVER w ELSE 1 END, 2) AS value FROM f WINDOW w AS (PARTITION BY clip)")
+def normalised_frames(spark, d):
+    return _samples(signal.normalised(_frames(spark, d).select("clip", "samples")))
+
+
+@query("SELECT event_id, least(greatest(round_even((value - 20) * 8000, 0), 0), 400000)::BIGINT AS first, least(greatest(round_even((value + 5) * 8000, 0), 0), 400000)::BIGINT AS \"end\" FROM events")
+def window_frames(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", signal.window_frames(v - 20, v + 5, F.lit(400000)).alias("w")).select("event_id", "w.first", "w.end")
+
+
+@query("SELECT CASE vec_id % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'speed' ELSE 'speed_noise' END AS condition, count(*) AS n, count(DISTINCT label) AS n_clips FROM embeddings GROUP BY ALL")
+def condition_counts(spark, d):
+    e, k = table(spark, d, "embeddings"), F.col("vec_id") % 3
+    return e.groupBy(F.when(k == 0, "clean").when(k == 1, "speed").otherwise("speed_noise").alias("condition")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_clips"))
+
+
 def _waves(spark, d, seconds: int):
     """A tone a region in seeded noise, at the tables' number of regions."""
     regions = table(spark, d, "region").select(F.col("r_name").alias("clip"), F.col("r_regionkey").alias("k"))
@@ -166,3 +190,7 @@ def segment_embeddings(spark, d):
     s = signal.segments(_waves(spark, d, 5))
     e = encoder.embed(s, w)
     return e.select("clip", "seg_idx", F.size("embedding").alias("dim"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 5).alias("length"))
+
+
+for _name in ("line_match", "tonal_scores", "margin_logits"):  # names under which these were registered too
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

@@ -207,11 +207,11 @@ def condition_report(spark, d):
 
 # --- training plans ----------------------------------------------------------------------------------------
 
-SQL_HISTORY = "h AS (SELECT event_id + 1 AS epoch, round(value / 490, 3) AS rank1 FROM events WHERE event_id < 200)"
+SQL_HISTORY = "h AS (SELECT event_id + 1 AS epoch, round(value / 490, 3) AS rank1 FROM events)"
 
 
 def _history(spark, d):
-    return table(spark, d, "events").where("event_id < 200").select((F.col("event_id") + 1).alias("epoch"), F.round(F.col("value") / 490, 3).alias("rank1"))
+    return table(spark, d, "events").select((F.col("event_id") + 1).alias("epoch"), F.round(F.col("value") / 490, 3).alias("rank1"))
 
 
 @query(f"WITH {SQL_HISTORY}, b AS (SELECT *, max(rank1) OVER w AS best, coalesce(rank1 > max(rank1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM h WINDOW w AS (ORDER BY epoch ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, epoch - max(CASE WHEN fresh THEN epoch END) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS waited FROM b) SELECT epoch, best, waited, waited >= 10 AS stop FROM c")
@@ -224,23 +224,6 @@ def last_history(spark, d):
     return _history(spark, d).orderBy(F.col("epoch").desc()).limit(10).select("epoch", "rank1")
 
 
-SQL_HISTORY_ALL = "h AS (SELECT event_id + 1 AS epoch, round(value / 490, 3) AS rank1 FROM events)"
-
-
-def _history_all(spark, d):
-    return table(spark, d, "events").select((F.col("event_id") + 1).alias("epoch"), F.round(F.col("value") / 490, 3).alias("rank1"))
-
-
-@query(f"WITH {SQL_HISTORY_ALL}, b AS (SELECT *, max(rank1) OVER w AS best, coalesce(rank1 > max(rank1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM h WINDOW w AS (ORDER BY epoch ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, epoch - max(CASE WHEN fresh THEN epoch END) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS waited FROM b) SELECT epoch, best, waited, waited >= 10 AS stop FROM c")
-def best_so_far_all(spark, d):
-    return etl.best_so_far(_history_all(spark, d), "rank1", 10).select("epoch", "best", "waited", "stop")
-
-
-@query(f"WITH {SQL_HISTORY_ALL} SELECT epoch, rank1 FROM h ORDER BY epoch DESC LIMIT 10")
-def last_history_all(spark, d):
-    return _history_all(spark, d).orderBy(F.col("epoch").desc()).limit(10).select("epoch", "rank1")
-
-
 @query("SELECT e AS epoch, round(CASE WHEN e <= 3 THEN 1e-3 * e / 3 ELSE 1e-6 + 0.5 * (1e-3 - 1e-6) * (1 + cos(3.141592653589793 * (e - 3) / 97.0)) END, 10) AS lr, (e - 1) % 25 + 1 AS set_idx FROM range(1, 101) t(e)")
 def lr_schedule(spark, d):
     e = spark.range(1, 101).withColumnRenamed("id", "epoch")
@@ -268,7 +251,11 @@ def capped_segments(spark, d):
     return etl.capped(table(spark, d, "orders"), "o_custkey", 4, 3, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-@query()
+def _sql_draw(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}|' || id), 1, 12))::BIGINT % (SELECT count(*) FROM o)"
+
+
+@query(f"WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY md5('9|' || vec_id), vec_id) - 1 AS i FROM embeddings), d AS (SELECT id, {_sql_draw(9)} AS x, {_sql_draw(10)} AS y FROM range(500) t(id)) SELECT id, a.vec_id AS a, b.vec_id AS b FROM d JOIN o a ON a.i = x JOIN o b ON b.i = y WHERE x <> y")
 def random_pairs(spark, d):
     return etl.random_pairs(table(spark, d, "embeddings").select("vec_id"), "vec_id", 500, 9)
 
@@ -277,3 +264,83 @@ def random_pairs(spark, d):
 def turn_islands(spark, d):
     c = table(spark, d, "conversations").withColumns({"above": F.lit(True), "one": F.lit(1)})
     return etl.islands(c, ["conv_id", "role"], "turn", "one", 1).select("conv_id", "start", "length")
+
+
+@query("WITH n AS (SELECT c_nationkey, row_number() OVER (ORDER BY md5('5|' || c_nationkey), c_nationkey) AS rn FROM (SELECT DISTINCT c_nationkey FROM customer)) SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM n WHERE rn <= 6)")
+def pilot_subset(spark, d):
+    return etl.sample_groups(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 6, 5)
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 4 = 0 AND o_custkey % 3 <> 0")
+def original_rows(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("split"), F.element_at(F.array(F.lit("x"), F.lit("iara"), F.lit("ShipsEar")), (F.col("o_custkey") % 3 + 1).cast("int")).alias("source"), (F.col("o_orderkey") % 4).alias("is_augmented"))
+    return etl.originals(o, ["F", "O"], ["IARA", "SHIPSEAR"]).select("id")
+
+
+@query("SELECT 'IARA:' || c_custkey AS vessel_id, coalesce(n_name, 'Unknown') AS type, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey % 7 END AS n_recordings, c_custkey % 3 > 0 AS has_cpa, c_custkey % 4 = 1 AS on_both_hardware FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 6 <> 0")
+def workbook_hulls(spark, d):
+    c, n, k = table(spark, d, "customer"), table(spark, d, "nation").where("n_nationkey % 6 <> 0"), F.col("c_custkey")
+    c = c.join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    text = lambda x: x.cast("string")
+    sheet = c.select(text(k).alias("Ship ID"), F.when(k % 5 == 0, "n/a").otherwise(text(k % 7)).alias("Qty recordings"), text(k % 3).alias("With CPA"), F.when(k % 4 == 1, "2").when(k % 4 == 2, "none").alias("on Both"))
+    ships = c.where("n_name IS NOT NULL").select(text(k).alias("Ship ID"), F.col("n_name").alias("AIS TYPE SUMMARY"))
+    return etl.hulls_of_workbook(sheet, ships).select("vessel_id", "type", "n_recordings", "has_cpa", "on_both_hardware")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN c_custkey IS NULL THEN NULL WHEN c_custkey % 9 = 0 THEN 'very_heavy' WHEN c_custkey % 9 = 1 THEN 'no_rain' WHEN c_acctbal = 0 THEN 'no_rain' WHEN c_acctbal < 0.5 THEN 'light' WHEN c_acctbal < 2 THEN 'moderate' ELSE 'heavy' END AS rain, CASE WHEN c_custkey IS NOT NULL THEN c_mktsegment END AS wind FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = o_custkey")
+def ambient_weather(spark, d):
+    c, o = table(spark, d, "customer").where("c_custkey % 2 = 0"), table(spark, d, "orders")
+    k = F.col("c_custkey") % 9
+    info = c.select(F.col("c_custkey").alias("IARA ID"), F.when(k == 0, " Very Heavy").when(k == 1, "no rain").alias("Rain state"), F.col("c_acctbal").cast("string").alias("Rain"), F.col("c_mktsegment").alias("Wind"), F.lit(1).alias("Sea state"))
+    return etl.with_weather(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("recording_id")), info).select("id", "rain", "wind")
+
+
+@query("WITH g AS (SELECT o_custkey, count(*) FILTER (WHERE o_totalprice > 150000) AS hits, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey) SELECT o_custkey, hits, n, CASE WHEN hits = n THEN 'clean' WHEN hits = 0 THEN 'failed' ELSE 'partial' END AS verdict FROM g")
+def group_verdicts(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") > 150000).alias("hit"))
+    return etl.group_verdicts(o, "o_custkey")
+
+
+@query("SELECT c_mktsegment, round(avg(c_acctbal), 4) AS computed FROM customer GROUP BY c_mktsegment")
+def stored_gate(spark, d):
+    g = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("value"))
+    return etl.stored_gate(g, g.withColumn("value", F.round("value", 4)), "c_mktsegment", "value").select("c_mktsegment", F.round("computed", 4).alias("computed"))
+
+
+def _in(letters) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in sorted(letters)) + ")"
+
+
+@query(f"WITH p AS (SELECT p_partkey AS id, chr((65 + p_partkey % 9)::INT) AS letter FROM part) SELECT id, CASE WHEN letter IN {_in(T.GLIDER_COLLECTIONS)} THEN 'Glider' ELSE 'OS' END AS platform, letter IN {_in(T.CPA_COLLECTIONS)} AS has_cpa, letter IN {_in(T.BACKGROUND_COLLECTIONS)} AS is_background FROM p")
+def collection_kinds(spark, d):
+    letter = F.char(65 + F.col("p_partkey") % 9)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.platform(letter).alias("platform"), T.has_cpa(letter).alias("has_cpa"), T.is_background(letter).alias("is_background"))
+
+
+@query("WITH p AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS numbered FROM part) SELECT k AS id, CASE WHEN numbered THEN printf('B-%04d', k) ELSE k || '__boat_x' END AS clip, k::VARCHAR AS number, CASE WHEN numbered THEN 'IARA:' || k ELSE 'SE:ferry ' || k END || '/d' || k % 7 AS label, k % 50 AS passage, 'A_' || k || '__part_' || k AS clip_id FROM p")
+def clip_names(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    numbered, text = k % 2 == 0, k.cast("string")
+    source = F.when(numbered, "IARA").otherwise("SHIPSEAR")
+    clip = T.clip_stem(source, F.lit("B"), k, F.concat(F.lit("a/b/"), text, F.lit("__boat_x.wav")))
+    vessel = F.when(numbered, F.concat(F.lit("IARA:"), text)).otherwise(F.concat(F.lit("SHIPSEAR:name:ferry "), text))
+    session = F.when(numbered, F.concat(F.lit("d"), (k % 7).cast("string"))).otherwise(F.concat(F.lit("SHIPSEAR:x#d"), (k % 7).cast("string")))
+    passage = T.passage_number(F.concat(F.lit("mmsi_1_p"), (k % 50).cast("string"))).cast("long")
+    return p.select(k.alias("id"), clip.alias("clip"), T.recording_number(source, clip).alias("number"), T.short_label(vessel, session).alias("label"), passage.alias("passage"), T.clip_id(F.concat(F.lit("A "), text), F.concat(F.lit("x/part "), text, F.lit(".wav"))).alias("clip_id"))
+
+
+@query("SELECT event_id, round(10 * log10(greatest(value / 100, 1e-10)), 6) AS level, CASE WHEN value >= 300 THEN 'strong' WHEN value >= 100 THEN 'possible' ELSE 'weak' END AS band FROM events")
+def display_bands(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", F.round(T.decibel(v / 100), 6).alias("level"), T.display_band(v, 300, 100).alias("band"))
+
+
+@query("SELECT vec_id, len(embedding)::INT AS n_values, 'tpsw' AS normaliser FROM embeddings")
+def tensor_gates(spark, d):
+    """Arrays of the wanted size under the wanted normaliser; anything else is an error."""
+    e = etl.shape_gate(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 64)
+    return e.select("vec_id", "n_values", etl.equal_or_error(F.lit("tpsw"), "tpsw", "normaliser").alias("normaliser"))
+
+
+for _name in ("best_so_far", "last_history"):  # names under which these were registered too
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

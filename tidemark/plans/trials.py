@@ -33,9 +33,19 @@ def _loo(spark, d):
     return retrieval.leave_one_out(passages(spark, d))
 
 
+def _trials(spark, d, of=passages, **how):
+    p = of(spark, d)
+    return retrieval.trials_against(p, p, **how)
+
+
+def _profile(spark, d):
+    """All pairs of passages; the scope is the platform (even and odd sessions)."""
+    return retrieval.pair_profile(retrieval.side(passages(spark, d), scope=F.col("pid") % 2))
+
+
 def _gallery(spark, d):
     p = passages(spark, d)
-    return retrieval.against_gallery(p.where("pid % 3 <> 0"), p.where("pid % 3 = 0"))
+    return retrieval.trials_against(p.where("pid % 3 <> 0"), p.where("pid % 3 = 0"), skip_self=False)
 
 
 SQL_GALLERY = SQL_PASSAGES + ", scores AS (SELECT a.uid AS q, b.uid AS g, a.vessel AS qv, b.vessel AS gv, a.vessel = b.vessel AS same, list_dot_product(a.vec, b.vec) AS score FROM passages a, passages b WHERE a.pid % 3 <> 0 AND b.pid % 3 = 0)"
@@ -55,46 +65,62 @@ def loo_scores(spark, d):
 
 @query(f"WITH {SQL_LOO} {SQL_TRIALS} SELECT q, vessel, round(gen_score, 8) AS gen_score, round(best_imp, 8) AS best_imp, rank, top_match FROM trials")
 def loo_rank(spark, d):
-    return retrieval.trials(_loo(spark, d)).select("q", "vessel", r("gen_score"), r("best_imp"), "rank", "top_match")
+    return _trials(spark, d).select("q", "vessel", r("gen_score"), r("best_imp"), "rank", "top_match")
+
+
+RATES = """, imp AS (SELECT s.score FROM scores s JOIN trials t ON t.q = s.q WHERE NOT s.same), al AS (SELECT gen_score AS score, true AS genuine FROM trials UNION ALL SELECT score, false FROM imp),
+x AS (SELECT row_number() OVER (ORDER BY score DESC, genuine DESC) AS pos, 1 - sum(genuine::INT) OVER w / sum(genuine::INT) OVER () AS fnr, sum((NOT genuine)::INT) OVER w / sum((NOT genuine)::INT) OVER () AS fpr FROM al WINDOW w AS (ORDER BY score DESC, genuine DESC ROWS UNBOUNDED PRECEDING)),
+rates AS (SELECT (SELECT round(avg(CASE WHEN t.gen_score > i.score THEN 1.0 WHEN t.gen_score = i.score THEN 0.5 ELSE 0 END), 8) FROM trials t, imp i) AS auc, (SELECT round((fnr + fpr) / 2, 8) FROM x ORDER BY abs(fnr - fpr), pos LIMIT 1) AS eer)"""
+
+
+def _table(t):
+    return t.withColumns({"auc": F.round("auc", PLACES), "eer": F.round("eer", PLACES)})
 
 
-@query(f"WITH {SQL_LOO} {SQL_TRIALS} {TABLE} FROM trials")
+@query(f"WITH {SQL_LOO} {SQL_TRIALS} {RATES} {TABLE}, any_value(auc) AS auc, any_value(eer) AS eer FROM trials, rates")
 def loo_table(spark, d):
-    return retrieval.retrieval_table(retrieval.trials(_loo(spark, d)))
+    s = retrieval.side(passages(spark, d))
+    return _table(retrieval.full_table(s, s))
+
+
+@query(f"WITH {SQL_GALLERY} {SQL_TRIALS} {RATES} {TABLE}, any_value(auc) AS auc, any_value(eer) AS eer FROM trials, rates")
+def gallery_query_table(spark, d):
+    p = passages(spark, d)
+    return _table(retrieval.full_table(retrieval.side(p.where("pid % 3 <> 0")), retrieval.side(p.where("pid % 3 = 0")), skip_self=False))
 
 
 @query(f"WITH {SQL_LOO.replace('a.uid <> b.uid)', 'a.uid <> b.uid AND a.cohort = b.cohort)')} {SQL_TRIALS} {TABLE} FROM trials")
 def source_pure_loo(spark, d):
-    return retrieval.retrieval_table(retrieval.trials(retrieval.leave_one_out(passages(spark, d), within="cohort")))
+    return retrieval.retrieval_table(_trials(spark, d, within="cohort"))
 
 
 @query(f"WITH {SQL_LOO} {SQL_TRIALS} SELECT q, g AS match, round(score, 8) AS score, CASE WHEN same THEN 'HIT' ELSE 'MISS' END AS verdict FROM ranked WHERE rn = 1")
 def nearest_passage(spark, d):
-    return retrieval.nearest(_loo(spark, d)).select("q", "match", r("score"), "verdict")
+    return retrieval.nearest(_trials(spark, d)).select("q", "match", r("score"), "verdict")
 
 
 @query(f"WITH {SQL_LOO} {SQL_TRIALS} SELECT p.uid, p.vessel, CASE WHEN n.q IS NULL THEN 'only passage' WHEN n.same THEN 'HIT' ELSE 'MISS' END AS verdict FROM passages p LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) n ON n.q = p.uid")
 def retrieval_listing(spark, d):
     p = passages(spark, d)
-    found = retrieval.nearest(retrieval.leave_one_out(p)).select(F.col("q").alias("uid"), "verdict")
+    found = retrieval.nearest(retrieval.trials_against(p, p)).select(F.col("q").alias("uid"), "verdict")
     return p.join(found, "uid", "left").select("uid", "vessel", F.coalesce("verdict", F.lit("only passage")).alias("verdict"))
 
 
 @query(f"WITH {SQL_GALLERY} {SQL_TRIALS} SELECT q, vessel, round(gen_score, 8) AS gen_score, round(best_imp, 8) AS best_imp, rank, top_match FROM trials")
 def gallery_query_trials(spark, d):
-    return retrieval.trials(_gallery(spark, d)).select("q", "vessel", r("gen_score"), r("best_imp"), "rank", "top_match")
+    return _gallery(spark, d).select("q", "vessel", r("gen_score"), r("best_imp"), "rank", "top_match")
 
 
 @query(f"WITH {SQL_GALLERY} {SQL_TRIALS} SELECT coalesce(vessel % 2, -1) AS cohort, count(*) AS n_queries, avg((rank = 1)::INT) AS rank1, round(avg(gen_score), 8) AS gen_mean, round(avg(best_imp), 8) AS imp_mean FROM trials GROUP BY GROUPING SETS ((vessel % 2), ())")
 def cohort_block(spark, d):
-    t = retrieval.trials(_gallery(spark, d)).withColumn("cohort", F.col("vessel") % 2)
+    t = _gallery(spark, d).withColumn("cohort", F.col("vessel") % 2)
     sets = t.groupingSets([["cohort"], []], "cohort").agg(F.count("*").alias("n_queries"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1"), F.round(F.avg("gen_score"), PLACES).alias("gen_mean"), F.round(F.avg("best_imp"), PLACES).alias("imp_mean"))
     return sets.withColumn("cohort", F.coalesce("cohort", F.lit(-1)))
 
 
 @query(f"WITH {SQL_LOO} {SQL_TRIALS}, v AS (SELECT vessel, avg((rank = 1)::INT) AS r1 FROM trials GROUP BY vessel) SELECT round(avg(r1), 8) AS rank1_macro_vessel, count(*) AS n_vessels FROM v")
 def macro_rank1(spark, d):
-    return retrieval.macro_rank1(retrieval.trials(_loo(spark, d))).select(r("rank1_macro_vessel"), "n_vessels")
+    return retrieval.macro_rank1(_trials(spark, d)).select(r("rank1_macro_vessel"), "n_vessels")
 
 
 @query(
@@ -104,7 +130,7 @@ SELECT q, round(max(score) FILTER (WHERE same), 8) AS gen_score, round(max(score
 )
 def segment_trials(spark, d):
     s = segments(spark, d)
-    return retrieval.blocked_trials(s, s, uid="vec_id").select("q", r("gen_score"), r("best_imp"), "rank", "top_match")
+    return retrieval.trials_against(s, s, uid="vec_id").select("q", r("gen_score"), r("best_imp"), "rank", "top_match")
 
 
 COLLAPSE = "CASE WHEN {0} IN (2, 3, 4) THEN 2 ELSE {0} END"
@@ -112,32 +138,33 @@ COLLAPSE = "CASE WHEN {0} IN (2, 3, 4) THEN 2 ELSE {0} END"
 
 @query(f"WITH {SQL_LOO}, best AS (SELECT q, {COLLAPSE.format('qv')} AS own, {COLLAPSE.format('gv')} AS identity, max(score) AS score FROM scores GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, identity) AS rank FROM best) SELECT q, round(score, 8) AS score, rank FROM k WHERE identity = own")
 def collapsed_identity_rank(spark, d):
-    best = retrieval.collapsed(_loo(spark, d), F.expr(COLLAPSE.format("gv")))
-    return retrieval.identity_rank(best, F.expr(COLLAPSE.format("qv"))).select("q", r("score"), "rank")
+    p = retrieval.scorable(passages(spark, d)).withColumn("own", F.expr(COLLAPSE.format("vessel")))
+    every = passages(spark, d).withColumn("own", F.expr(COLLAPSE.format("vessel")))
+    best = retrieval.identity_scores(retrieval.side(p, vessel="own"), retrieval.side(every, vessel="own"), skip_self=True).withColumn("identity", F.col("identity").cast("long"))
+    return retrieval.identity_rank(best.join(p.select(F.col("uid").alias("q"), "own"), "q"), F.col("own")).select("q", r("score"), "rank")
 
 
 @query(f"WITH {SQL_PASSAGES} SELECT a.uid AS q, b.uid AS g, round(list_dot_product(a.vec, b.vec), 8) AS score FROM passages a JOIN passages b ON a.uid < b.uid ORDER BY list_dot_product(a.vec, b.vec) DESC LIMIT 8")
 def discovery_pairs(spark, d):
-    return retrieval.unordered_pairs(passages(spark, d)).orderBy(F.col("score").desc(), "q", "g").limit(8).select("q", "g", r("score"))
+    return retrieval.top_pairs(retrieval.side(passages(spark, d)), 8).select("q", "g", r("score"))
 
 
 @query(f"WITH {SQL_PASSAGES}, s AS (SELECT a.vessel = b.vessel AS same, list_dot_product(a.vec, b.vec) AS score FROM passages a JOIN passages b ON a.uid < b.uid) SELECT round(avg(score) FILTER (WHERE same), 8) AS same, round(avg(score) FILTER (WHERE NOT same), 8) AS diff, round(avg(score) FILTER (WHERE same) - avg(score) FILTER (WHERE NOT same), 8) AS gap, avg((score < 0.5)::INT) FILTER (WHERE NOT same) AS diff_below_half FROM s")
 def pair_gap(spark, d):
-    return metrics.pair_summary(retrieval.unordered_pairs(passages(spark, d))).select(r("same"), r("diff"), r("gap"), "diff_below_half")
+    return metrics.pair_summary(_profile(spark, d)).select(r("same"), r("diff"), r("gap"), F.col("diff_below").alias("diff_below_half"))
 
 
 @query(f"WITH {SQL_PASSAGES}, s AS (SELECT a.pid % 2 AS x, b.pid % 2 AS y, a.vessel = b.vessel AS same, list_dot_product(a.vec, b.vec) AS score FROM passages a JOIN passages b ON a.uid < b.uid), l AS (SELECT *, unnest(CASE WHEN x = y THEN [CASE WHEN x = 0 THEN 'OS' ELSE 'Glider' END, 'all'] ELSE ['cross', 'all'] END) AS slice FROM s) SELECT slice, count(*) AS n, round(avg(score) FILTER (WHERE same), 8) AS same, round(avg(score) FILTER (WHERE NOT same), 8) AS diff FROM l GROUP BY slice")
 def platform_gap(spark, d):
-    s = retrieval.unordered_pairs(passages(spark, d))
-    x, y = F.col("q") % 5 % 2, F.col("g") % 5 % 2
-    label = F.when(x != y, "cross").when(x == 0, "OS").otherwise("Glider")
+    s = _profile(spark, d)
+    label = F.when(F.col("a") != F.col("b"), "cross").when(F.col("a") == 0, "OS").otherwise("Glider")
     s = s.withColumn("slice", F.explode(F.array(label, F.lit("all"))))
-    return s.groupBy("slice").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("same"), F.col("score"))), PLACES).alias("same"), F.round(F.avg(F.when(~F.col("same"), F.col("score"))), PLACES).alias("diff"))
+    return metrics.pair_summary(s, ["slice"]).select("slice", "n", r("same"), r("diff"))
 
 
 @query(f"WITH {SQL_PASSAGES}, s AS (SELECT a.vessel = b.vessel AS same, list_dot_product(a.vec, b.vec) AS score FROM passages a JOIN passages b ON a.uid < b.uid), h AS (SELECT same, least(floor((score + 0.2) / (1.2 / 49)), 48)::INT AS bin, count(*) AS n FROM s WHERE score BETWEEN -0.2 AND 1.0 GROUP BY ALL) SELECT same, bin, n, round(n / (sum(n) OVER (PARTITION BY same) * (1.2 / 49)), 8) AS density FROM h")
 def cosine_histogram(spark, d):
-    return metrics.histogram(retrieval.unordered_pairs(passages(spark, d))).select("same", "bin", "n", r("density"))
+    return metrics.histogram(_profile(spark, d)).select("same", "bin", "n", r("density"))
 
 
 FUSED = """, z1 AS (SELECT *, (score - avg(score) OVER w) / CASE WHEN stddev_pop(score) OVER w > 1e-12 THEN stddev_pop(score) OVER w ELSE 1 END AS z FROM scores WINDOW w AS (PARTITION BY q)),
@@ -147,20 +174,19 @@ f AS (SELECT z1.q, z1.g, z1.qv, z1.same, 0.5 * (z1.z + z2.z) AS score FROM z1 JO
 
 @query(f"WITH {SQL_LOO} {FUSED} {SQL_TRIALS.replace('FROM scores)', 'FROM f)')} SELECT q, rank, top_match FROM trials")
 def z_fusion(spark, d):
-    fused = retrieval.fuse(_loo(spark, d), retrieval.leave_one_out(halves(spark, d)))
-    return retrieval.trials(fused).select("q", "rank", "top_match")
+    return retrieval.fused_trials(retrieval.side(passages(spark, d)), retrieval.side(halves(spark, d))).select("q", "rank", "top_match")
 
 
-@query(f"WITH {SQL_LOO} {SQL_TRIALS}, r2 AS (SELECT s.q, s.g, s.qv = b.vessel AS same, s.score, row_number() OVER (PARTITION BY s.q ORDER BY s.score DESC, s.g) AS rn FROM (SELECT x.*, a.vessel AS qv FROM scores2 x JOIN passages a ON a.uid = x.q) s JOIN passages b ON b.uid = s.g), t2 AS (SELECT q, min(rn) FILTER (WHERE same) AS rank FROM r2 GROUP BY q) SELECT count(*) FILTER (WHERE a.rank = 1 AND b.rank = 1) AS both, count(*) FILTER (WHERE a.rank = 1 AND b.rank <> 1) AS only_first, count(*) FILTER (WHERE a.rank <> 1 AND b.rank = 1) AS only_second, count(*) FILTER (WHERE a.rank <> 1 AND b.rank <> 1) AS neither, count(*) FILTER (WHERE b.rank < a.rank) AS second_better FROM trials a JOIN t2 b ON a.q = b.q")
+@query(f"WITH {SQL_LOO} {SQL_TRIALS}, r2 AS (SELECT s.q, s.g, s.qv = b.vessel AS same, s.score, row_number() OVER (PARTITION BY s.q ORDER BY s.score DESC, s.g) AS rn FROM (SELECT x.*, a.vessel AS qv FROM scores2 x JOIN passages a ON a.uid = x.q) s JOIN passages b ON b.uid = s.g), t2 AS (SELECT q, min(rn) FILTER (WHERE same) AS rank, max(score) FILTER (WHERE same) AS gen_score FROM r2 GROUP BY q) SELECT count(*) FILTER (WHERE a.rank = 1 AND b.rank = 1) AS both, count(*) FILTER (WHERE a.rank = 1 AND b.rank <> 1) AS only_first, count(*) FILTER (WHERE a.rank <> 1 AND b.rank = 1) AS only_second, count(*) FILTER (WHERE a.rank <> 1 AND b.rank <> 1) AS neither, count(*) FILTER (WHERE b.rank < a.rank) AS second_better, round(corr(a.gen_score, b.gen_score), 6) AS score_correlation FROM trials a JOIN t2 b ON a.q = b.q")
 def method_agreement(spark, d):
-    a, b = retrieval.trials(_loo(spark, d)), retrieval.trials(retrieval.leave_one_out(halves(spark, d)))
-    return metrics.agreement(a, b).drop("score_correlation")
+    a, b = _trials(spark, d), _trials(spark, d, halves)
+    return metrics.agreement(a, b).withColumn("score_correlation", F.round("score_correlation", 6))
 
 
 @query(f"WITH {SQL_GALLERY} {SQL_TRIALS} SELECT avg((rank <= 1)::INT) AS hit1, avg((rank <= 5)::INT) AS hit5, avg((rank <= 10)::INT) AS hit10, avg((rank <= 20)::INT) AS hit20, avg((p.vessel >= 4)::INT) AS top_is_trained FROM trials JOIN passages p ON p.uid = top_match WHERE trials.vessel < 4")
 def holdout_hits(spark, d):
     p = passages(spark, d)
-    t = retrieval.trials(retrieval.against_gallery(p.where("pid % 3 <> 0 AND vessel < 4"), p.where("pid % 3 = 0")))
+    t = retrieval.trials_against(p.where("pid % 3 <> 0 AND vessel < 4"), p.where("pid % 3 = 0"), skip_self=False)
     seen = p.select(F.col("uid").alias("top_match"), (F.col("vessel") >= 4).alias("trained"))
     hit = lambda k: F.avg((F.col("rank") <= k).cast("double")).alias(f"hit{k}")
     return t.join(seen, "top_match").agg(hit(1), hit(5), hit(10), hit(20), F.avg(F.col("trained").cast("double")).alias("top_is_trained"))
@@ -178,7 +204,7 @@ t AS (SELECT gen.q, qv, k, gen_score, max(s) AS best_imp, 1 + count(*) FILTER (W
 
 def _depth(spark, d):
     p = passages(spark, d)
-    return retrieval.depth_curve(p, p.where("pid = 0"), 64)
+    return retrieval.depth_trials(p, p.where("pid = 0"), 64)
 
 
 @query(SQL_DEPTH + " SELECT q, k, round(gen_score, 8) AS gen_score, round(best_imp, 8) AS best_imp, rank, n_gallery FROM t")
@@ -192,6 +218,62 @@ def gallery_depth_curve(spark, d):
     return t.groupBy("k").agg(F.count("*").alias("n_trials"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1"), F.median("rank").alias("median_rank"), F.count_if(F.col("most") >= 4).alias("n_fixed"))
 
 
+SQL_NEAREST = "(SELECT round(avg(CASE WHEN a.gen_score > b.best_imp THEN 1.0 WHEN a.gen_score = b.best_imp THEN 0.5 ELSE 0 END), 8) FROM trials a, trials b)"
+SQL_SELF = SQL_PASSAGES + ", scores AS (SELECT a.uid AS q, b.uid AS g, {0} AS qv, {1} AS gv, {0} = {1} AS same, list_dot_product(a.vec, b.vec) AS score FROM passages a, passages b WHERE a.pid = 1 AND b.pid = 0)"
+RAW, COLLAPSED = (SQL_SELF.format(*(c.format(f"{s}.vessel") for s in "ab")) for c in ("{0}", COLLAPSE))
+
+
+@query(f"WITH {RAW} {SQL_TRIALS} SELECT count(*) AS n_queries, avg((rank = 1)::INT) AS rank1, {SQL_NEAREST} AS auc, round(avg(gen_score), 8) AS genuine_mean, (SELECT round(avg(score), 8) FROM scores WHERE NOT same) AS impostor_mean FROM trials")
+def self_match(spark, d):
+    """Each vessel's second session against the first ones of all: one genuine entry a query."""
+    p = passages(spark, d)
+    q, g = p.where("pid = 1"), p.where("pid = 0")
+    t = retrieval.trials_against(q, g, skip_self=False)
+    every = retrieval.row_stats(retrieval.side(q), retrieval.side(g), skip_self=False).agg(F.sum(F.col("mean")).alias("total"), F.count("*").alias("n")).crossJoin(g.agg(F.count("*").alias("n_gallery")))
+    rows = t.agg(F.count("*").alias("n_queries"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1"), F.sum("gen_score").alias("genuine"))
+    table = rows.crossJoin(every).crossJoin(metrics.nearest_impostor_auc(t).select("auc"))  # one row each
+    rest = (F.col("total") * F.col("n_gallery") - F.col("genuine")) / (F.col("n") * F.col("n_gallery") - F.col("n_queries"))
+    return table.select("n_queries", "rank1", r("auc"), F.round(F.col("genuine") / F.col("n_queries"), PLACES).alias("genuine_mean"), F.round(rest, PLACES).alias("impostor_mean"))
+
+
+@query(" UNION ALL ".join(f"(WITH {sql} {SQL_TRIALS} SELECT '{name}' AS identities, count(*) AS n_queries, avg((rank = 1)::INT) AS rank1, {SQL_NEAREST} AS auc FROM trials)" for name, sql in (("raw", RAW), ("collapsed", COLLAPSED))))
+def raw_vs_collapsed(spark, d):
+    p = passages(spark, d)
+
+    def scored(name, identity):
+        own = p.withColumn("own", F.expr(identity))
+        t = retrieval.trials_against(own.where("pid = 1"), own.where("pid = 0"), vessel="own", skip_self=False)
+        return t.agg(F.lit(name).alias("identities"), F.count("*").alias("n_queries"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1")).crossJoin(metrics.nearest_impostor_auc(t).select(r("auc")))
+
+    return scored("raw", "vessel").unionByName(scored("collapsed", COLLAPSE.format("vessel")))
+
+
+@query(f"WITH {SQL_LOO} {SQL_TRIALS}, b AS (SELECT q FROM scores GROUP BY q HAVING max(abs(score)) > 1e-8) SELECT count(*) AS n_bearing, avg((rank = 1)::INT) AS rank1 FROM trials WHERE q IN (SELECT q FROM b)")
+def signature_rank1(spark, d):
+    """Rank-1 over the queries that have any score at all."""
+    s = retrieval.side(passages(spark, d))
+    bearing = retrieval.row_stats(s, s).where("largest > 1e-8").select("q")
+    return _trials(spark, d).join(bearing, "q", "left_semi").agg(F.count("*").alias("n_bearing"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1"))
+
+
+@query(f"WITH {SQL_PASSAGES}, s AS (SELECT a.cohort AS x, a.vessel = b.vessel AS same, list_dot_product(a.vec, b.vec) AS score FROM passages a JOIN passages b ON a.uid < b.uid AND a.cohort = b.cohort), g AS (SELECT x, avg(score) FILTER (WHERE same) - avg(score) FILTER (WHERE NOT same) AS gap FROM s GROUP BY x) SELECT round(a.gap, 8) AS train_gap, round(b.gap, 8) AS val_gap, round(a.gap - b.gap, 8) AS spread FROM g a, g b WHERE a.x = 0 AND b.x = 1")
+def gap_spread(spark, d):
+    """Gap of the train cohort less the gap of the val cohort."""
+    s = retrieval.pair_profile(retrieval.side(passages(spark, d), scope=F.col("cohort"))).where("a = b")
+    gap = lambda x: F.max(F.when(F.col("a") == x, F.col("gap")))
+    return metrics.pair_summary(s, ["a"]).agg(F.round(gap(0), PLACES).alias("train_gap"), F.round(gap(1), PLACES).alias("val_gap"), F.round(gap(0) - gap(1), PLACES).alias("spread"))
+
+
+SQL_HALF = SQL_LOO.replace("scores AS (SELECT", "scores0 AS (SELECT", 1).replace("scores2 AS (SELECT a.uid AS q, b.uid AS g, list_dot", "scores AS (SELECT a.uid AS q, b.uid AS g, a.vessel AS qv, b.vessel AS gv, a.vessel = b.vessel AS same, list_dot")
+
+
+@query(" UNION ALL ".join(f"(WITH {sql} {SQL_TRIALS} SELECT '{name}' AS model, count(*) AS n_queries, avg((rank <= 1)::INT) AS rank1, median(rank) AS median_rank FROM trials)" for name, sql in (("before", SQL_HALF), ("after", SQL_LOO))))
+def two_models(spark, d):
+    """Two models over the same trials."""
+    both = _trials(spark, d, halves).withColumn("model", F.lit("before")).unionByName(_trials(spark, d).withColumn("model", F.lit("after")))
+    return both.groupBy("model").agg(F.count("*").alias("n_queries"), F.avg((F.col("rank") <= 1).cast("double")).alias("rank1"), F.median("rank").alias("median_rank"))
+
+
 SQL_IDENTIFY = ", best AS (SELECT q, gv AS vessel, max(score) AS score FROM scores GROUP BY q, gv), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vessel) AS rank FROM best)"
 
 
@@ -226,7 +308,7 @@ def auc_by_language(spark, d):
 
 @query(f"WITH {SQL_LOO} {SQL_TRIALS} SELECT round(avg(CASE WHEN a.gen_score > b.best_imp THEN 1.0 WHEN a.gen_score = b.best_imp THEN 0.5 ELSE 0 END), 8) AS auc FROM trials a, trials b")
 def auc_nearest_impostor(spark, d):
-    return metrics.nearest_impostor_auc(retrieval.trials(_loo(spark, d))).select(r("auc"))
+    return metrics.nearest_impostor_auc(_trials(spark, d)).select(r("auc"))
 
 
 @query(f"WITH {SQL_SCORES}, x AS (SELECT row_number() OVER (ORDER BY score DESC, genuine DESC) AS pos, 1 - sum(genuine::INT) OVER w / sum(genuine::INT) OVER () AS fnr, sum((NOT genuine)::INT) OVER w / sum((NOT genuine)::INT) OVER () AS fpr FROM scores WINDOW w AS (ORDER BY score DESC, genuine DESC ROWS UNBOUNDED PRECEDING)) SELECT round((fnr + fpr) / 2, 8) AS eer FROM x ORDER BY abs(fnr - fpr), pos LIMIT 1")

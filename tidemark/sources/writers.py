@@ -58,7 +58,9 @@ def archive(index_name: str, index: bytes, members: dict[str, bytes]) -> tuple[b
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A small report table."""
-    rows = df.limit(most).collect()
+    """A small report table; an error where it has more than ``most`` rows, so that none is lost unseen."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows])

@@ -13,19 +13,25 @@ from tidemark.operators import retrieval
 def enrol(passages: DataFrame, gallery_path: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream of passages (uid, vessel, vec) to the gallery; passages that are there already are not repeated.
 
-    Each micro-batch writes into a folder of its own number, so a batch that runs again replaces itself.
+    Each micro-batch writes into a folder of its own number, so a batch that runs again replaces itself; it is
+    compared with what earlier batches wrote.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["uid"]).write.mode("overwrite").parquet(f"{gallery_path}/batch={number}")
+        new, spark = batch.dropDuplicates(["uid"]), batch.sparkSession
+        if number > 0:
+            uid = batch.schema["uid"].dataType.simpleString()
+            there = spark.read.schema(f"uid {uid}, batch int").option("basePath", gallery_path).parquet(gallery_path).where(F.col("batch") < number)
+            new = new.join(there.select("uid"), "uid", "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{gallery_path}/batch={number}")
 
     return passages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def identify(queries: DataFrame, gallery: DataFrame, most: int = 5) -> DataFrame:
     """Best score of each vessel for each query, ranked; all passages of a vessel count."""
-    scores = retrieval.against_gallery(queries, gallery)
-    best = scores.groupBy("q", F.col("gv").alias("vessel")).agg(F.max("score").alias("score"))
+    found = retrieval.identity_scores(retrieval.side(queries), retrieval.side(gallery))
+    best = found.select("q", F.col("identity").cast(gallery.schema["vessel"].dataType).alias("vessel"), "score")
     order = W.partitionBy("q").orderBy(F.col("score").desc(), F.col("vessel"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
