@@ -111,9 +111,13 @@ class Side:
 
 
 def side(rows: DataFrame, uid: str = "uid", vessel: str = "vessel", vector: str = "vec", scope: Column | None = None, x: Column | None = None) -> DataFrame:
-    """The columns that the tiled search takes; a null scope or number counts as 0."""
+    """The columns that the tiled search takes; a null scope or number counts as 0.
+
+    A side is read once to be counted and once a pass, so it is kept (in memory, else on disk) until the
+    session's cache is cleared.
+    """
     number = lambda c, kind: F.coalesce(F.lit(0) if c is None else c, F.lit(0)).cast(kind)
-    return rows.select(F.col(uid).cast("long").alias("id"), F.col(vessel).cast("string").alias("v"), F.col(vector).cast("array<double>").alias("e"), number(scope, "long").alias("scope"), number(x, "double").alias("x"), F.lit(0).cast("long").alias("k"))
+    return rows.select(F.col(uid).cast("long").alias("id"), F.col(vessel).cast("string").alias("v"), F.col(vector).cast("array<double>").alias("e"), number(scope, "long").alias("scope"), number(x, "double").alias("x"), F.lit(0).cast("long").alias("k")).persist()
 
 
 def tiled(queries: DataFrame, gallery: DataFrame, work: Callable[..., pa.Table | None], schema: str, pairs: bool = False, marks: DataFrame | None = None) -> DataFrame:
@@ -248,7 +252,7 @@ def impostor_counts(queries: DataFrame, gallery: DataFrame, trials: DataFrame, s
 def full_table(queries: DataFrame, gallery: DataFrame, skip_self: bool = True, within: bool = False) -> DataFrame:
     """One row: the retrieval table of all queries with the AUC and the equal error rate over all impostor pairs."""
     t = tiled_trials(queries, gallery, skip_self, within).persist()  # a row a query, read three times
-    counted = impostor_counts(queries, gallery, t, skip_self, within)
+    counted = impostor_counts(queries, gallery, t, skip_self, within).persist()  # a few rows a query, read by both rates
     rates = metrics.auc_counted(counted).select("auc").crossJoin(metrics.eer_counted(counted))  # a row each
     return retrieval_table(t).crossJoin(rates)
 

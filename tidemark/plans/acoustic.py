@@ -136,13 +136,13 @@ def mono_mix(spark, d):
     return _samples(signal.to_mono(w.select("clip", both.alias("samples"), F.lit(2).alias("channels"))))
 
 
-@query(f"WITH {SQL_FRAMES} SELECT clip, i, round(y + noise * sqrt((avg(y * y) OVER w + 1e-12) / pow(10, snr / 10.0) / (avg(noise * noise) OVER w + 1e-12)), 2) AS value FROM f WHERE clip NOT IN (SELECT clip FROM f GROUP BY clip HAVING max(abs(noise)) = 0) WINDOW w AS (PARTITION BY clip)")
+@query(f"WITH {SQL_FRAMES} SELECT clip, i, round((y + noise * sqrt((avg(y * y) OVER w + 1e-12) / pow(10, snr / 10.0) / (avg(noise * noise) OVER w + 1e-12)))::FLOAT::DOUBLE, 2) AS value FROM f WHERE clip NOT IN (SELECT clip FROM f GROUP BY clip HAVING max(abs(noise)) = 0) WINDOW w AS (PARTITION BY clip)")
 def snr_mix(spark, d):
     w = _frames(spark, d).where(F.exists("noise", lambda v: v != 0))
     return _samples(signal.with_noise(w))
 
 
-@query(f"WITH {SQL_FRAMES} SELECT clip, i, round((y - avg(y) OVER w) / CASE WHEN stddev_pop(y) OVER w >= 1e-8 THEN stddev_pop(y) OVER w ELSE 1 END, 2) AS value FROM f WINDOW w AS (PARTITION BY clip)")
+@query(f"WITH {SQL_FRAMES} SELECT clip, i, round(((y - avg(y) OVER w) / CASE WHEN stddev_pop(y) OVER w >= 1e-8 THEN stddev_pop(y) OVER w ELSE 1 END)::FLOAT::DOUBLE, 2) AS value FROM f WINDOW w AS (PARTITION BY clip)")
 def normalised_frames(spark, d):
     return _samples(signal.normalised(_frames(spark, d).select("clip", "samples")))
 
