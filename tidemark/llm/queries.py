@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, fingerprints, languages, licenses, mixing, nearjoin, oracles, pii, quality, repeats, toxicity
+from tidemark.llm import decontamination, fingerprints, hamming, infill, languages, licenses, mixing, nearjoin, oracles, pii, quality, repeats, toxicity, turns
 from tidemark.llm.blocks import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.link_documents(documents(spark, sf_dir))
 
 
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.link_fingerprints(documents(spark, sf_dir))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.trie_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_bigru_toxicity": op2_bigru_toxicity,
@@ -71,5 +83,8 @@ QUERIES: dict[str, Query] = {
     "op8_maximal_repeats": op8_maximal_repeats,
     "op9_crf_quality": op9_crf_quality,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_simhash_trie": op11_simhash_trie,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES: dict[str, str] = {"op8_maximal_repeats": oracles.OP8, "op10_jaccard_join": oracles.OP10}
+ORACLES: dict[str, str] = {"op8_maximal_repeats": oracles.OP8, "op10_jaccard_join": oracles.OP10, "op12_conversation_trie": oracles.OP12, "op13_fill_in_middle": oracles.OP13}
