@@ -67,6 +67,14 @@ def resample(x: np.ndarray, rate: int, target: int = RATE, block: int = 1 << 16)
     return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
+def reached(first: int, last: int, n: int, up: int, down: int) -> tuple[int, int]:
+    """Input samples of n, from a multiple of ``down`` on, that the outputs ``first`` to ``last`` - 1 of ``polyphase`` depend on."""
+    if up == down:
+        return first, last
+    reach = 10 * max(up, down) // up + 2
+    return max(0, first * down // up - reach) // down * down, min(n, -(-last * down // up) + reach)
+
+
 def speed_shift(x: np.ndarray, sign: str, percent: int = SPEED_PERCENT) -> np.ndarray:
     """Approach raises all frequencies by the percentage, recede lowers them; read at the same rate."""
     return polyphase(x, 1000, 1000 + 10 * percent if sign == "approach" else 1000 - 10 * percent)
@@ -80,12 +88,12 @@ def segment_starts(n: int) -> list[int]:
     return starts + [n - SEGMENT] if n % SEGMENT >= TAIL else starts
 
 
-def segment_start_column(n: Column) -> Column:
+def segment_start_column(n: Column, size: int = SEGMENT, tail: int = TAIL) -> Column:
     """The same rule as a column of starts."""
-    whole = F.floor(n / SEGMENT).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), lambda i: i * SEGMENT)
-    tail = F.when(n % SEGMENT >= TAIL, F.array((n - SEGMENT).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(n < SEGMENT, F.array().cast("array<int>")).otherwise(F.concat(starts, tail))
+    whole = F.floor(n / size).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), lambda i: i * size)
+    last = F.when(n % size >= tail, F.array((n - size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(n < size, F.array().cast("array<int>")).otherwise(F.concat(starts, last))
 
 
 def cut_pieces(seconds: Column, long: float = 600.0, end: float = 300.0) -> Column:
@@ -162,37 +170,55 @@ def whiten(freqs: np.ndarray, power: np.ndarray) -> np.ndarray:
     return 10 * np.log10(np.maximum(power / second, 1e-10))
 
 
-def persistent_lines(level: np.ndarray, freqs: np.ndarray, times: np.ndarray) -> list[tuple[float, float]]:
-    """(frequency, mean level) of the bands that stay above the threshold long enough, once a stretch."""
-    keep = (freqs >= LOW_HZ) & (freqs <= HIGH_HZ)
-    f, s = freqs[keep], level[keep]
-    if len(times) < 2 or len(f) < 2:
-        return []
-    least = max(1, int(PERSIST_SEC / (times[1] - times[0])))
+def band_grid(freqs: np.ndarray) -> np.ndarray:
+    """Frequencies of the bins of each band, a row a band; what is left over at the upper end is in none."""
+    f = freqs[(freqs >= LOW_HZ) & (freqs <= HIGH_HZ)]
     wide = max(1, int(BAND_HZ / (freqs[1] - freqs[0])))
-    n = len(f) // wide
-    boxes = s[: n * wide].reshape(n, wide, -1)
-    top = boxes.max(axis=1)
-    centre = f[: n * wide].reshape(n, wide)[np.arange(n), boxes.mean(axis=2).argmax(axis=1)]
+    return f[: len(f) // wide * wide].reshape(-1, wide)
+
+
+def band_levels(level: np.ndarray, freqs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest level of each band and frame, total level of each bin over the frames, and the bands' grid. Totals of stretches add up."""
+    grid = band_grid(freqs)
+    s = level[(freqs >= LOW_HZ) & (freqs <= HIGH_HZ)][: grid.size].reshape(*grid.shape, -1)
+    return s.max(axis=1), s.sum(axis=2), grid
+
+
+def band_runs(top: np.ndarray, total: np.ndarray, grid: np.ndarray, step: float) -> list[tuple[float, float]]:
+    """(frequency, mean level) of the bands that stay above the threshold long enough, once a stretch; ``step`` is the time of a frame."""
+    least = max(1, int(PERSIST_SEC / step))
+    centre = grid[np.arange(len(grid)), total.argmax(axis=1)]
     above = np.pad(top > THRESHOLD_DB, ((0, 0), (1, 1))).astype(np.int8)
     band, start = np.nonzero(np.diff(above, axis=1) == 1)
     _, end = np.nonzero(np.diff(above, axis=1) == -1)
     return [(float(centre[b]), float(top[b, a:e].mean())) for b, a, e in zip(band, start, end, strict=True) if e - a >= least]
 
 
-def tonal_lines(x: np.ndarray, rate: int = RATE, remove_dc: bool = False) -> list[tuple[float, float]]:
-    """The strongest lines of a waveform, one a frequency, by falling level, ties by frequency; none under the length of a window."""
-    x = np.asarray(x, dtype=np.float64)
-    if len(x) < int(WINDOW_SEC * rate):
+def persistent_lines(level: np.ndarray, freqs: np.ndarray, times: np.ndarray) -> list[tuple[float, float]]:
+    """``band_runs`` of a whole spectrum; none of fewer than two frames or bins."""
+    if len(times) < 2 or ((freqs >= LOW_HZ) & (freqs <= HIGH_HZ)).sum() < 2:
         return []
-    freqs, times, power = spectrum(x - x.mean() if remove_dc else x, rate)
-    found = np.array(persistent_lines(whiten(freqs, power), freqs, times)).reshape(-1, 2)
+    return band_runs(*band_levels(level, freqs), times[1] - times[0])
+
+
+def strongest(lines: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The strongest lines, one a frequency, by falling level, ties by frequency."""
+    found = np.array(lines).reshape(-1, 2)
     every, at = np.unique(found[:, 0], return_inverse=True)
     level = np.full(len(every), -np.inf)
     np.maximum.at(level, at, found[:, 1])
     return [(float(every[i]), float(level[i])) for i in np.lexsort([every, -level])[:TOP]]
 
 
+def tonal_lines(x: np.ndarray, rate: int = RATE, remove_dc: bool = False) -> list[tuple[float, float]]:
+    """The strongest lines of a waveform; none under the length of a window."""
+    x = np.asarray(x, dtype=np.float64)
+    if len(x) < int(WINDOW_SEC * rate):
+        return []
+    freqs, times, power = spectrum(x - x.mean() if remove_dc else x, rate)
+    return strongest(persistent_lines(whiten(freqs, power), freqs, times))
+
+
 # --- augmentation ------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import encoder, etl, signal, tonal
 from tidemark.plans.roles import DIM, SQL_LINES, lines, segments, table
+from tidemark.sources import sliced
+from tidemark.sources.shared import shared_folder
 from tidemark.streaming import enrol
 
 QUERIES: dict = {}
@@ -192,5 +194,47 @@ def segment_embeddings(spark, d):
     return e.select("clip", "seg_idx", F.size("embedding").alias("dim"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 5).alias("length"))
 
 
+# Suppliers as clips: each of their lines is 128 samples of 16 bits, written as WAV files and read back by ranges.
+SQL_CLIPS = """o AS (SELECT l_suppkey AS clip, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity::BIGINT * 37 + l_partkey % 101) - 1 AS place, l_quantity::BIGINT * 37 + l_partkey % 101 AS b FROM lineitem),
+p AS (SELECT clip, place * 128 + k AS i, ((b + k * 13) % 200 - 100) * 100 AS v FROM o, range(128) t(k)),
+n AS (SELECT clip, count(*) AS n FROM p GROUP BY clip)"""
+
+
+def _clip_files(spark, d) -> str:
+    """The clips as WAV files in the shared folder: the path."""
+    li, path = table(spark, d, "lineitem"), shared_folder(spark)
+    row = F.struct("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") * 37 + F.col("l_partkey") % 101).alias("v"))
+    rows = li.groupBy(F.col("l_suppkey").cast("string").alias("clip")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    samples = F.flatten(F.transform("rows", lambda r: F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: ((r["v"] + k * 13) % 200 - 100) * 100 / 32768)))
+    sliced.write_waves(rows.select("clip", samples.cast("array<float>").alias("samples")), path)
+    return path
+
+
+def _about(s, *keys):
+    """Numbers that tell a segment from any other: a weighted sum of its samples, and its first and last one."""
+    x = F.col("samples")
+    weighted = F.aggregate(F.zip_with(x, F.sequence(F.lit(0), F.size(x) - 1), lambda v, i: v.cast("double") * (i % 97)), F.lit(0.0), lambda a, v: a + v)
+    return s.select(*keys, F.col("seg_idx").cast("long").alias("seg_idx"), F.col("first").cast("long").alias("first"), F.round(weighted, 0).alias("weighted"), F.round(x[0].cast("double"), 3).alias("head"), F.round(F.element_at(x, -1).cast("double"), 3).alias("tail"))
+
+
+SQL_ABOUT = "z AS (SELECT {0}, s.seg_idx, s.first, i - s.first AS j, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS x FROM s JOIN p ON p.clip = s.clip AND i >= s.first AND i < s.first + {1} WINDOW w AS (PARTITION BY {0}, s.seg_idx)) SELECT {2}, seg_idx, first, round(sum(x::FLOAT::DOUBLE * (j % 97)), 0) AS weighted, round(min(x) FILTER (WHERE j = 0), 3) AS head, round(min(x) FILTER (WHERE j = {1} - 1), 3) AS tail FROM z GROUP BY {2}, seg_idx, first"
+
+
+@query(f"WITH {SQL_CLIPS}, s AS (SELECT clip, k AS seg_idx, k * 40000 AS first FROM n, range(0, 1000) t(k) WHERE (k + 1) * 40000 <= n UNION ALL SELECT clip, n // 40000, n - 40000 FROM n WHERE n >= 40000 AND n % 40000 >= 8000), {SQL_ABOUT.format('s.clip', 40000, 'clip::VARCHAR AS clip').replace('GROUP BY clip::VARCHAR AS clip', 'GROUP BY clip')}")
+def sliced_segments(spark, d):
+    """Segments of files, each read by its own range of frames."""
+    return _about(sliced.read_segments(spark, _clip_files(spark, d)), "clip")
+
+
+@query(f"WITH {SQL_CLIPS}, m AS (SELECT clip, n, piece, CASE piece WHEN 'gallery' THEN 0 ELSE round_even(n / 16000.0 * 8000, 0)::BIGINT END AS a, CASE piece WHEN 'gallery' THEN round_even(n / 16000.0 * 8000, 0)::BIGINT ELSE n END AS b FROM n, (VALUES ('gallery'), ('query')) t(piece)), s AS (SELECT clip, piece, k AS seg_idx, a + k * 5000 AS first FROM m, range(0, 9000) t(k) WHERE (k + 1) * 5000 <= b - a UNION ALL SELECT clip, piece, (b - a) // 5000, b - 5000 FROM m WHERE b - a >= 5000 AND (b - a) % 5000 >= 1000), {SQL_ABOUT.format('s.clip, s.piece', 5000, 'clip::VARCHAR AS clip, piece').replace('GROUP BY clip::VARCHAR AS clip', 'GROUP BY clip')}")
+def sliced_windows(spark, d):
+    """Gallery and query halves of files, cut by the seconds of a manifest that lie outside the clip where they can."""
+    path = _clip_files(spark, d)
+    half = sliced.wave_headers(spark, path).select("clip", (F.col("frames") / F.col("rate")).alias("s"))
+    piece = F.explode(F.array(F.struct(F.lit("gallery").alias("piece"), F.lit(-1.0).alias("start_s"), (F.col("s") / 2).alias("end_s")), F.struct(F.lit("query").alias("piece"), (F.col("s") / 2).alias("start_s"), (F.col("s") + 9).alias("end_s"))))
+    windows = half.select("clip", piece.alias("w")).select("clip", "w.*")
+    return _about(sliced.read_segments(spark, path, windows, size=5000, tail=1000), "clip", "piece")
+
+
 for _name in ("line_match", "tonal_scores", "margin_logits"):  # names under which these were registered too
     QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

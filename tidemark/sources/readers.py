@@ -107,13 +107,8 @@ def wav_header(content: bytes) -> dict[str, int]:
     raise ValueError("no samples")
 
 
-def wav_samples(content: bytes, start: int = 0, frames: int | None = None) -> tuple[np.ndarray, int]:
-    """Frames by channels as float32 in -1 to 1, from ``start`` on, and the rate."""
-    h = wav_header(content)
-    width = h["channels"] * h["bits"] // 8
-    start = max(0, min(start, h["frames"]))
-    n = h["frames"] - start if frames is None else max(0, min(frames, h["frames"] - start))
-    raw = content[h["start"] + start * width : h["start"] + (start + n) * width]
+def decoded(raw: bytes, h: dict[str, int]) -> np.ndarray:
+    """Frames by channels as float32 in -1 to 1."""
     if h["kind"] == 3:
         x = np.frombuffer(raw, f"<f{h['bits'] // 8}").astype(np.float32)
     elif h["bits"] == 8:
@@ -123,7 +118,16 @@ def wav_samples(content: bytes, start: int = 0, frames: int | None = None) -> tu
         x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
     else:
         x = np.frombuffer(raw, f"<i{h['bits'] // 8}").astype(np.float32) / (1 << (h["bits"] - 1))
-    return x.reshape(-1, h["channels"]), h["rate"]
+    return x.reshape(-1, h["channels"])
+
+
+def wav_samples(content: bytes, start: int = 0, frames: int | None = None) -> tuple[np.ndarray, int]:
+    """Frames by channels as float32 in -1 to 1, from ``start`` on, and the rate."""
+    h = wav_header(content)
+    width = h["channels"] * h["bits"] // 8
+    start = max(0, min(start, h["frames"]))
+    n = h["frames"] - start if frames is None else max(0, min(frames, h["frames"] - start))
+    return decoded(content[h["start"] + start * width : h["start"] + (start + n) * width], h), h["rate"]
 
 
 def read_waves(spark: SparkSession, path: str, rate: int = 8000, pattern: str = "*.wav") -> DataFrame:
