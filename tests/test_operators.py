@@ -55,10 +55,11 @@ def test_trials_match_plain_python_on_ties(passages, monkeypatch):
     assert {r.q: (r.rank, r.top_match) for r in retrieval.trials_against(passages, passages).collect()} == want
 
 
-@pytest.mark.parametrize(("tile", "marks"), [(4096, 1 << 16), (3, 2)])
-def test_tables_do_not_depend_on_tiles(spark, passages, monkeypatch, tile, marks):
+@pytest.mark.parametrize(("tile", "marks", "edges"), [(4096, 1 << 16, 4096), (3, 2, 2)])
+def test_tables_do_not_depend_on_tiles(spark, passages, monkeypatch, tile, marks, edges):
     monkeypatch.setattr(retrieval, "TILE", tile)
     monkeypatch.setattr(retrieval, "MARKS", marks)
+    monkeypatch.setattr(retrieval, "EDGES", edges)
     rows = [tuple(r) for r in passages.collect()]
     score = {(a[0], b[0]): sum(x * y for x, y in zip(a[3], b[3])) for a in rows for b in rows}
     vessel = {r[0]: r[1] for r in rows}

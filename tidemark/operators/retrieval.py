@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -99,8 +100,10 @@ def row_z(scores: DataFrame, column: str = "score") -> Column:
 
 # --- tiled search ------------------------------------------------------------------------------------------
 
-#: Vectors of a tile, cells of a matrix of scores, marks of a group, groups dealt out at once.
-TILE, CELLS, MARKS, MOST_TASKS = 4096, 1 << 21, 1 << 16, 4096
+#: Vectors of a tile, cells of a matrix of scores, groups dealt out at once.
+TILE, CELLS, MOST_TASKS = 4096, 1 << 21, 4096
+#: Thresholds of a round of rate search; genuine scores that tasks hold at once; pairs that are gathered by value.
+EDGES, MARKS, GATHER = 4096, 1 << 18, 1 << 16
 
 
 class Side:
@@ -110,154 +113,349 @@ class Side:
         self.ids, self.vessels, self.code, self.scope, self.x, self.k = ids, vessels, code, scope, x, k
 
 
-def side(rows: DataFrame, uid: str = "uid", vessel: str = "vessel", vector: str = "vec", scope: Column | None = None, x: Column | None = None) -> DataFrame:
+def side(rows: DataFrame, uid: str = "uid", vessel: str = "vessel", vector: str = "vec", scope: Column | None = None, x: Column | None = None, k: Column | None = None) -> DataFrame:
     """The columns that the tiled search takes; a null scope or number counts as 0.
 
     A side is read once to be counted and once a pass, so it is kept (in memory, else on disk) until the
     session's cache is cleared.
     """
     number = lambda c, kind: F.coalesce(F.lit(0) if c is None else c, F.lit(0)).cast(kind)
-    return rows.select(F.col(uid).cast("long").alias("id"), F.col(vessel).cast("string").alias("v"), F.col(vector).cast("array<double>").alias("e"), number(scope, "long").alias("scope"), number(x, "double").alias("x"), F.lit(0).cast("long").alias("k")).persist()
+    return rows.select(F.col(uid).cast("long").alias("id"), F.col(vessel).cast("string").alias("v"), F.col(vector).cast("array<double>").alias("e"), number(scope, "long").alias("scope"), number(x, "double").alias("x"), number(k, "long").alias("k")).persist()
 
 
-def tiled(queries: DataFrame, gallery: DataFrame, work: Callable[..., pa.Table | None], schema: str, pairs: bool = False, marks: DataFrame | None = None) -> DataFrame:
+def sizes(queries: DataFrame, gallery: DataFrame) -> tuple[int, int]:
+    """Rows of both sides, counted once for all passes."""
+    n = queries.count()
+    return n, n if gallery is queries else gallery.count()
+
+
+def tiled(queries: DataFrame, gallery: DataFrame, work: Callable[..., pa.Table | None], schema: str, pairs: bool = False, within: bool = False, rows: tuple[int, int] | None = None) -> DataFrame:
     """Every query against every gallery vector in tiles of bounded size, without a row a pair.
 
     Both sides have the columns of ``side``. Each is dealt into tiles by id; a pair of tiles is a group of its own,
     and ``work(q, g, score)`` turns rows of its matrix of scores, ``CELLS`` at most, into a small table. With ``pairs``
-    both sides are the same vectors and each unordered pair is met once; the other cells are NaN. With ``marks`` (column
-    ``x``) a group has a range of these numbers too: ``work(q, g, score, marks, low, high)``.
+    both sides are the same vectors and each unordered pair is met once; the other cells are NaN. With ``within`` groups are of one
+    scope, so that other scopes' pairs are not computed. ``rows``: the sides' numbers of rows (or more), where they are known.
     """
-    spark = queries.sparkSession
-    nq = max(1, -(-queries.count() // TILE))
-    ng = nq if pairs else max(1, -(-gallery.count() // TILE))
-    bounds: list[float] = []
-    marked = marks is not None
-    if marked:
-        ranges = -(-marks.count() // MARKS)
-        if ranges > 1:
-            bounds = sorted(set(marks.agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]))
+    most, many = sizes(queries, gallery) if rows is None else rows
+    nq = max(1, -(-most // TILE))
+    ng = nq if pairs else max(1, -(-many // TILE))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     upto = lambda a, b: F.explode(F.sequence(a, b))
     left = queries.withColumns({"qt": own(nq), "side": F.lit(0)}).withColumn("gt", upto(F.col("qt") if pairs else F.lit(0), F.lit(ng - 1)))
     right = gallery.withColumns({"gt": own(ng), "side": F.lit(1)}).withColumn("qt", upto(F.lit(0), F.col("gt") if pairs else F.lit(nq - 1)))
-    dealt = left.unionByName(right).withColumn("range", upto(F.lit(0), F.lit(len(bounds))))
-    if marks is not None:
-        which = sum(((F.col("x") > b).cast("int") for b in bounds), F.lit(0))
-        m = marks.select(F.lit(0).cast("long").alias("id"), F.lit(None).cast("string").alias("v"), F.array().cast("array<double>").alias("e"), F.lit(0).cast("long").alias("scope"), "x", F.lit(0).cast("long").alias("k"), F.lit(2).alias("side"), which.alias("range"))
-        dealt = dealt.unionByName(m.withColumn("qt", upto(F.lit(0), F.lit(nq - 1))).withColumn("gt", upto(F.lit(0), F.lit(ng - 1))))
-    dealt = dealt.repartition(max(1, min(nq * ng * (len(bounds) + 1), MOST_TASKS)), "qt", "gt", "range")
-    edges = [-np.inf, *bounds, np.inf]
+    keys = ["qt", "gt", *(["scope"] if within else [])]
+    dealt = left.unionByName(right).repartition(max(1, min(nq * ng, MOST_TASKS)), *keys)
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
     shape = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("side").to_numpy()
-        q, g, m = (table.filter(pa.array(part == s)).sort_by("id").combine_chunks() for s in (0, 1, 2))
+        q, g = (table.filter(pa.array(part == s)).sort_by("id").combine_chunks() for s in (0, 1))
         out = [shape.empty_table()]
         if len(q) and len(g):
             a, b = (t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in (q, g))
             codes = pc.dictionary_encode(pa.concat_arrays([t.column("v").combine_chunks() for t in (q, g)])).indices.to_numpy(zero_copy_only=False)
             of = lambda t, code: Side(t.column("id").to_numpy(), t.column("v").combine_chunks(), code, t.column("scope").to_numpy(), t.column("x").to_numpy(), t.column("k").to_numpy())
             whole, one_tile = of(g, codes[len(q) :]), table.column("qt")[0] == table.column("gt")[0]
-            at = table.column("range")[0].as_py()
-            more = (np.unique(m.column("x").to_numpy()), edges[at], edges[at + 1]) if marked else ()
             step = max(1, CELLS // len(g))
             for i in range(0, len(q), step):
                 some = of(q.slice(i, step), codes[i : min(len(q), i + step)])
                 score = a[i : i + step] @ b.T
                 if pairs and one_tile:
                     score[some.ids[:, None] >= whole.ids[None, :]] = np.nan
-                found = work(some, whole, score, *more)
+                found = work(some, whole, score)
                 if found is not None:
                     out.append(found.select(names).cast(shape))
         return pa.concat_tables(out)
 
-    return dealt.groupBy("qt", "gt", "range").applyInArrow(run, schema)
+    return dealt.groupBy(*keys).applyInArrow(run, schema)
 
 
-def _part(q: Side, g: Side, score: np.ndarray, skip_self: bool, within: bool) -> tuple[np.ndarray, np.ndarray]:
+def _part(q: Side, g: Side, score: np.ndarray, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
     """Scores with -inf where a pair takes no part, and which pairs are of one vessel."""
     if skip_self:
         score = np.where(q.ids[:, None] == g.ids[None, :], -np.inf, score)
-    if within:
-        score = np.where(q.scope[:, None] == g.scope[None, :], score, -np.inf)
     return score, q.code[:, None] == g.code[None, :]
 
 
-def tiled_trials(queries: DataFrame, gallery: DataFrame, skip_self: bool = True, within: bool = False) -> DataFrame:
+def tiled_trials(queries: DataFrame, gallery: DataFrame, skip_self: bool = True, within: bool = False, rows: tuple[int, int] | None = None) -> DataFrame:
     """A row a query with a genuine entry: best genuine and impostor score, rank of the first genuine, best match and its score.
 
     One pass over the tiles gives the best entries, a second one counts what is ahead of the best genuine
-    entry. With ``within`` a query meets only the gallery entries of its own scope.
+    entry; the first pass's result, a row a query, is kept for it. With ``within`` a query meets only the gallery entries of its own scope.
     """
+    rows = sizes(queries, gallery) if rows is None else rows
 
     def best(q: Side, g: Side, score: np.ndarray) -> pa.Table:
-        score, same = _part(q, g, score, skip_self, within)
+        score, same = _part(q, g, score, skip_self)
         gen, imp, rows = np.where(same, score, -np.inf), np.where(same, -np.inf, score), np.arange(len(q.ids))
         at, top = gen.argmax(1), score.argmax(1)
         return pa.table([pa.array(q.ids), q.vessels, pa.array(gen[rows, at]), pa.array(g.ids[at]), pa.array(imp.max(1)), pa.array(score[rows, top]), pa.array(g.ids[top])], ["q", "vessel", "gs", "gi", "best_imp", "ts", "ti"])
 
     def ahead(q: Side, g: Side, score: np.ndarray) -> pa.Table:
-        score, _ = _part(q, g, score, skip_self, within)
+        score, _ = _part(q, g, score, skip_self)
         n = (score > q.x[:, None]) | ((score == q.x[:, None]) & (g.ids[None, :] < q.k[:, None]))
         return pa.table([pa.array(q.ids), pa.array(n.sum(1))], ["q", "n"])
 
     low = F.lit(float("-inf"))
     entry = lambda s, i: F.max(F.struct(s, (-F.col(i)).alias("back")))
-    first = tiled(queries, gallery, best, "q long, vessel string, gs double, gi long, best_imp double, ts double, ti long")
-    top = first.groupBy("q", "vessel").agg(entry("gs", "gi").alias("gen"), F.max("best_imp").alias("best_imp"), entry("ts", "ti").alias("best")).where(F.col("gen.gs") > low)
+    first = tiled(queries, gallery, best, "q long, vessel string, gs double, gi long, best_imp double, ts double, ti long", within=within, rows=rows)
+    top = first.groupBy("q", "vessel").agg(entry("gs", "gi").alias("gen"), F.max("best_imp").alias("best_imp"), entry("ts", "ti").alias("best")).where(F.col("gen.gs") > low).persist()
     held = queries.join(top.select(F.col("q").alias("id"), F.col("gen.gs").alias("gs"), (-F.col("gen.back")).alias("gi")), "id").select("id", "v", "e", "scope", F.col("gs").alias("x"), F.col("gi").alias("k"))
-    before = tiled(held, gallery, ahead, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
+    before = tiled(held, gallery, ahead, "q long, n long", within=within, rows=rows).groupBy("q").agg(F.sum("n").alias("n"))
     return top.join(before, "q").select("q", "vessel", F.col("gen.gs").alias("gen_score"), F.when(F.col("best_imp") > low, F.col("best_imp")).alias("best_imp"), (F.col("n") + 1).alias("rank"), (-F.col("best.back")).alias("top_match"), F.col("best.ts").alias("top_score"))
 
 
 def trials_against(queries: DataFrame, gallery: DataFrame, uid: str = "uid", vessel: str = "vessel", vector: str = "vec", skip_self: bool = True, within: str | None = None) -> DataFrame:
     """``tiled_trials`` of passages; ``within`` names a column (whole numbers) that both of a pair must share."""
     scope = F.col(within) if within else None
-    t = tiled_trials(side(queries, uid, vessel, vector, scope), side(gallery, uid, vessel, vector, scope), skip_self, bool(within))
+    q = side(queries, uid, vessel, vector, scope)
+    t = tiled_trials(q, q if gallery is queries else side(gallery, uid, vessel, vector, scope), skip_self, bool(within))
     return t.withColumn("vessel", F.col("vessel").cast(queries.schema[vessel].dataType))
 
 
-def impostor_counts(queries: DataFrame, gallery: DataFrame, trials: DataFrame, skip_self: bool = True, within: bool = False) -> DataFrame:
-    """Genuine scores of the trials (best of each query) and scores of all their impostor pairs, counted: ``score``, ``p``, ``n``.
+# --- rates over pairs that are never rows ----------------------------------------------------------------------
+#
+# A round counts the scores that lie at and between a bounded number of thresholds, in one pass over the tiles. Where the miss and the
+# false-alarm rates cross is in one of the gaps, which the next round divides again: the cost is rounds times pairs, and a task holds
+# thresholds, never the scores.
+
+#: A view is all queries (ALL) or those with one number ``k``.
+ALL = -(1 << 62)
+_COUNTS = "view long, slot long, p long, n long, wins long, total double"
+
+
+def _slots(edges: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """2 i + 1 for a value at threshold i, 2 i for one between the thresholds i - 1 and i."""
+    at = np.searchsorted(edges, values, "left")
+    return 2 * at + (edges[np.minimum(at, len(edges) - 1)] == values) if len(edges) else 2 * at
+
+
+def _summed(t: DataFrame) -> dict[int, dict[int, tuple[int, int, int, float]]]:
+    """Counts by view and slot: a few rows a view."""
+    rows = t.groupBy("view", "slot").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("wins").cast("decimal(38,0)")).alias("wins"), F.sum("total").alias("total")).collect()
+    out: dict[int, dict[int, tuple[int, int, int, float]]] = {}
+    for r in rows:
+        out.setdefault(r.view, {})[r.slot] = (int(r.p), int(r.n), int(r.wins), float(r.total))
+    return out
+
+
+def impostor_slots(queries: DataFrame, gallery: DataFrame, edges: dict[int, np.ndarray], marks: dict[int, tuple[np.ndarray, np.ndarray]], skip_self: bool = True, within: bool = False, rows: tuple[int, int] | None = None) -> dict[int, dict[int, tuple[int, int, int, float]]]:
+    """Impostor scores of each view by slots between its ``edges``; slot -1 has their number, their sum, and how often one of the ``marks`` (different values, rising, and how many are below each) beats one (twice, ties once)."""
+    none = np.zeros(0), np.zeros(1, np.int64)
+
+    def count(q: Side, g: Side, score: np.ndarray) -> pa.Table:
+        score, same = _part(q, g, score, skip_self)
+        use, found = ~same & (score > -np.inf), []
+        for view in edges.keys() | marks.keys():
+            values = score[use] if view == ALL else score[use & (q.k == view)[:, None]]
+            m, below = marks.get(view, none)
+            at = np.searchsorted(m, values, "left")
+            tied = (m[np.minimum(at, len(m) - 1)] == values) if len(m) else np.zeros(len(values), dtype=bool)
+            wins = 2 * int(below[-1]) * len(values) - int(below[at].sum()) - int(below[at + tied].sum())
+            found.append((view, -1, 0, len(values), wins, float(values.sum())))
+            if view in edges:
+                every, n = np.unique(_slots(edges[view], values), return_counts=True)
+                found += [(view, int(s), 0, int(c), 0, 0.0) for s, c in zip(every, n, strict=True)]
+        return pa.table([pa.array(c) for c in zip(*found, strict=True)], ["view", "slot", "p", "n", "wins", "total"])
+
+    return _summed(tiled(queries, gallery, count, _COUNTS, within=within, rows=rows))
+
+
+def _first_least(states: list[tuple[int, int]], p: int, n: int, mean: bool) -> float:
+    """Of states (accepted genuine, accepted impostor) in order of falling score the first with the least gap of both rates: their mean, or the false-alarm rate."""
+    best, out = None, 0.0
+    for i, j in states:
+        fnr, fpr = 1 - i / p, j / n
+        if best is None or abs(fnr - fpr) < best:
+            best, out = abs(fnr - fpr), (fnr + fpr) / 2 if mean else fpr
+    return out
+
+
+def _crossed(rows: list[tuple[int, int]], p: int, n: int) -> tuple[int, int, int]:
+    """Of (genuine, impostor) counts by falling score the first after which the miss rate is not above the false-alarm rate, and what is before it."""
+    i = j = 0
+    for at, (a, b) in enumerate(rows):
+        if p * n - (i + a) * n - (j + b) * p <= 0:
+            return at, i, j
+        i, j = i + a, j + b
+    return len(rows) - 1, i - rows[-1][0], j - rows[-1][1]
+
+
+def _by_row(i: int, j: int, a: int, b: int, p: int, n: int) -> list[tuple[int, int]]:
+    """States near the crossing inside a value that ``a`` genuine and then ``b`` impostor rows have, and the state before it."""
+    near = lambda z, m: sorted({min(max(z + d, 1), m) for d in (-1, 0, 1, 2)} | {1, m}) if m else []
+    genuine = [(i + x, j) for x in near((n - j) * p // n - i, a)]
+    impostor = [(i + a, j + x) for x in near((p - i - a) * n // p - j, b)]
+    return ([(i, j)] if i + j else []) + genuine + impostor
+
+
+def rates(queries: DataFrame, gallery: DataFrame, trials: DataFrame, views: list[int] | None = None, skip_self: bool = True, within: bool = False, rows: tuple[int, int] | None = None) -> dict[int, dict[str, float | None]]:
+    """AUC, equal error rate (row by row, as ``metrics.eer_sorted``) and mean impostor score of each view: best genuine score a query against all impostor pairs.
+
+    The thresholds are genuine scores, since between two of them only the number of impostor scores counts. Up to ``EDGES`` of them one
+    pass gives all; beyond, one pass for each ``MARKS`` of them gives the AUC and the first round, and each further round narrows the
+    crossing's gap by ``EDGES``. ``views`` are numbers ``k`` of queries, beside all of them.
+    """
+    rows = sizes(queries, gallery) if rows is None else rows
+    own = trials.select(F.col("q").alias("id"), "gen_score").join(queries.select("id", "k"), "id")
+    own = own.select("gen_score", F.explode(F.array(F.lit(ALL), "k") if views else F.array(F.lit(ALL))).alias("view"))
+    genuine = own.where(F.col("view").isin([ALL, *(views or [])])).groupBy("view", F.col("gen_score").alias("score")).agg(F.count("*").alias("p")).persist()
+    asked = queries.join(trials.select(F.col("q").alias("id")), "id", "left_semi")
+    known = genuine.groupBy("view").agg(F.count("*").alias("different"), F.sum("p").alias("p")).collect()
+    total = {r.view: int(r.p) for r in known}
+    chunks = max([1, *(-(-r.different // MARKS) for r in known)])
+    bounds = [-np.inf, np.inf]
+    if chunks > 1:
+        cuts = genuine.agg(F.percentile_approx("score", [i / chunks for i in range(1, chunks)], 100 * chunks)).first()[0]
+        bounds = [-np.inf, *sorted(set(cuts)), np.inf]
+    wins, counts, impostors, sums = dict.fromkeys(total, 0), {}, {}, {}
+    edges: dict[int, list[np.ndarray]] = {v: [] for v in total}
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        part = genuine.where((F.col("score") > low) & (F.col("score") <= high)).orderBy("view", "score").toArrow().to_pydict() if chunks > 1 else genuine.orderBy("view", "score").toArrow().to_pydict()
+        view, score, p = (np.array(part[c]) for c in ("view", "score", "p"))
+        marks = {v: (score[view == v], np.concatenate([[0], np.cumsum(p[view == v], dtype=np.int64)])) for v in total}
+        for v in total:
+            own_marks = score[view == v]
+            edges[v].append(own_marks[:: max(1, -(-len(own_marks) * (len(bounds) - 1) // EDGES))])
+        last = high == np.inf
+        got = impostor_slots(asked, gallery, {v: np.concatenate(e) for v, e in edges.items()} if last else {}, marks, skip_self, within, rows)
+        for v in total:
+            _, impostors[v], w, sums[v] = got.get(v, {}).get(-1, (0, 0, 0, 0.0))
+            wins[v] += w
+        counts = got
+    out = {}
+    cut = {v: np.concatenate(e) for v, e in edges.items()}
+    open_ = {v for v in total if impostors[v]}
+    eer: dict[int, float] = {}
+    while open_:
+        for v in sorted(open_):
+            e, p, n = cut[v], total[v], impostors[v]
+            slot = F.pandas_udf(lambda x, e=e: pd.Series(_slots(e, x.to_numpy())), "long")
+            own_p = {r.s: int(r.p) for r in genuine.where(F.col("view") == v).groupBy(slot("score").alias("s")).agg(F.sum("p").alias("p")).collect()}
+            falling = [(own_p.get(s, 0), counts[v].get(s, (0, 0, 0, 0.0))[1]) for s in range(2 * len(e), -1, -1)]
+            at, i, j = _crossed(falling, p, n)
+            s = 2 * len(e) - at
+            if s % 2 or not falling[at][0]:
+                eer[v] = _first_least(_by_row(i, j, *falling[at], p, n), p, n, True)
+                open_ = open_ - {v}
+                continue
+            low, high = (e[s // 2 - 1] if s else -np.inf), (e[s // 2] if s // 2 < len(e) else np.inf)
+            inner = genuine.where((F.col("view") == v) & (F.col("score") > float(low)) & (F.col("score") < float(high))).select("score")
+            many = inner.count()
+            if many > MARKS:
+                between = np.array(inner.agg(F.percentile_approx("score", [(i + 1) / EDGES for i in range(EDGES - 1)], 10 * EDGES)).first()[0])
+            else:
+                between = np.sort(inner.toArrow().column("score").to_numpy())[:: max(1, -(-many // EDGES))]
+            cut[v] = np.unique(np.concatenate([[x for x in (low, high) if np.isfinite(x)], between]))
+        if open_:
+            counts = impostor_slots(asked, gallery, {v: cut[v] for v in open_}, {}, skip_self, within, rows)
+    for v in total:
+        n = impostors[v]
+        out[v] = {"auc": wins[v] / 2 / total[v] / n if n else None, "eer": eer.get(v), "impostor_mean": sums[v] / n if n else None}
+    genuine.unpersist()
+    return out
+
 
-    Impostor scores between two genuine ones are one row (their place is all that a rate or a rank needs), so the table
-    has a few rows a query, not one a pair; values in between stand for the open range.
+def full_table(queries: DataFrame, gallery: DataFrame, skip_self: bool = True, within: bool = False) -> DataFrame:
+    """One row: the retrieval table of all queries with the AUC and the equal error rate over all impostor pairs."""
+    rows = sizes(queries, gallery)
+    t = tiled_trials(queries, gallery, skip_self, within, rows).persist()  # a row a query, read by the table and by the rates
+    found = rates(queries, gallery, t, None, skip_self, within, rows).get(ALL, {})
+    return retrieval_table(t).withColumns({c: F.lit(found.get(c)).cast("double") for c in ("auc", "eer")})
+
+
+def cohort_table(queries: DataFrame, gallery: DataFrame, skip_self: bool = False) -> DataFrame:
+    """A row for all queries (null ``cohort``) and for each cohort (``k`` of the queries): queries, rank-1, its mean over vessels, median rank, AUC, equal error rate, mean genuine and impostor score.
+
+    All cohorts are counted in the same passes; their number is that of rows here.
     """
+    rows = sizes(queries, gallery)
+    t = tiled_trials(queries, gallery, skip_self, rows=rows).persist()
+    cohorts = [r.k for r in queries.select("k").distinct().collect()]
+    found = rates(queries, gallery, t, cohorts, skip_self, rows=rows)
+    own = t.join(queries.select(F.col("id").alias("q"), "k"), "q").withColumn("view", F.explode(F.array(F.lit(ALL), "k")))
+    vessels = own.groupBy("view", "vessel").agg(F.avg((F.col("rank") == 1).cast("double")).alias("r")).groupBy("view").agg(F.avg("r").alias("rank1_macro_vessel"))
+    table = own.groupBy("view").agg(F.count("*").alias("n_queries"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1"), F.median("rank").alias("median_rank"), F.avg("gen_score").alias("genuine_mean"))
+    more = queries.sparkSession.createDataFrame([(v, x["auc"], x["eer"], x["impostor_mean"]) for v, x in found.items()], "view long, auc double, eer double, impostor_mean double")
+    every = table.join(vessels, "view").join(more, "view")
+    return every.withColumn("cohort", F.nullif(F.col("view"), F.lit(ALL))).select("cohort", "n_queries", "rank1", "rank1_macro_vessel", "median_rank", "auc", "eer", "genuine_mean", "impostor_mean")
+
+
+def _pair_slots(rows: DataFrame, edges: np.ndarray, n: int) -> dict[int, tuple[int, int]]:
+    """Unordered pairs of one vessel and of two, by slots between the edges."""
 
-    def between(q: Side, g: Side, score: np.ndarray, marks: np.ndarray, low: float, high: float) -> pa.Table | None:
-        score, same = _part(q, g, score, skip_self, within)
-        values = score[~same & (score > low) & (score <= high) & (score > -np.inf)]
-        if not len(values):
+    def count(q: Side, g: Side, score: np.ndarray) -> pa.Table:
+        same, there = q.code[:, None] == g.code[None, :], ~np.isnan(score)
+        every, at = np.unique(_slots(edges, score[there]), return_inverse=True)
+        p = np.bincount(at, weights=same[there], minlength=len(every)).astype(np.int64)
+        m = np.bincount(at, minlength=len(every)) - p
+        return pa.table([pa.array(np.zeros(len(every), np.int64)), pa.array(every), pa.array(p), pa.array(m), pa.array(np.zeros(len(every), np.int64)), pa.array(np.zeros(len(every)))], ["view", "slot", "p", "n", "wins", "total"])
+
+    return {s: c[:2] for s, c in _summed(tiled(rows, rows, count, _COUNTS, pairs=True, rows=(n, n))).get(0, {}).items()}
+
+
+def _pair_values(rows: DataFrame, low: float, high: float, n: int) -> list[tuple[float, int, int]]:
+    """The scores between two thresholds, counted by value, falling."""
+
+    def take(q: Side, g: Side, score: np.ndarray) -> pa.Table | None:
+        inside = (score > low) & (score < high)
+        if not inside.any():
             return None
-        if not len(marks):
-            middle = (low + high) / 2 if np.isfinite(high - low) else low + 1 if np.isfinite(low) else 0.0
-            return pa.table({"score": pa.array([middle]), "n": pa.array([len(values)])})
-        inner = np.concatenate([[marks[0] - 1 if not np.isfinite(low) else (low + marks[0]) / 2], (marks[1:] + marks[:-1]) / 2, [marks[-1] + 1 if not np.isfinite(high) else (marks[-1] + high) / 2]])
-        at, end = np.searchsorted(marks, values, "left"), np.searchsorted(marks, values, "right")
-        key = np.where(end > at, marks[np.minimum(at, len(marks) - 1)], inner[at])
-        every, n = np.unique(key, return_counts=True)
-        return pa.table({"score": every, "n": n})
-
-    own = queries.join(trials.select(F.col("q").alias("id")), "id", "left_semi")
-    genuine = trials.groupBy(F.col("gen_score").alias("score")).agg(F.count("*").alias("p"))
-    counts = tiled(own, gallery, between, "score double, n long", marks=genuine.select(F.col("score").alias("x")))
-    zero = F.lit(0).cast("long")
-    both = genuine.withColumn("n", zero).unionByName(counts.withColumn("p", zero))
-    return both.groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        every, at = np.unique(score[inside], return_inverse=True)
+        p = np.bincount(at, weights=(q.code[:, None] == g.code[None, :])[inside], minlength=len(every)).astype(np.int64)
+        return pa.table([pa.array(every), pa.array(p), pa.array(np.bincount(at, minlength=len(every)) - p)], ["score", "p", "n"])
 
+    t = tiled(rows, rows, take, "score double, p long, n long", pairs=True, rows=(n, n)).groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return [(r.score, r.p, r.n) for r in t.orderBy(F.col("score").desc()).collect()]
 
-def full_table(queries: DataFrame, gallery: DataFrame, skip_self: bool = True, within: bool = False) -> DataFrame:
-    """One row: the retrieval table of all queries with the AUC and the equal error rate over all impostor pairs."""
-    t = tiled_trials(queries, gallery, skip_self, within).persist()  # a row a query, read three times
-    counted = impostor_counts(queries, gallery, t, skip_self, within).persist()  # a few rows a query, read by both rates
-    rates = metrics.auc_counted(counted).select("auc").crossJoin(metrics.eer_counted(counted))  # a row each
-    return retrieval_table(t).crossJoin(rates)
+
+def pair_eer(rows: DataFrame) -> float | None:
+    """The false-alarm rate at the first least gap of both rates over the different scores of all unordered pairs, falling (as ``metrics.eer_roc``); None without pairs of both kinds.
+
+    A gap with more than ``GATHER`` pairs is divided again, at most until its ends are neighbouring numbers; the pairs of a smaller one are counted by value.
+    """
+    n = rows.count()
+    largest = rows.agg(F.max(norm(F.col("e")))).first()[0]
+    if largest is None:
+        return None
+    reach = largest * largest * (1 + 1e-9) + 1e-9
+    edges = np.linspace(-reach, reach, EDGES)
+    while True:
+        got = _pair_slots(rows, edges, n)
+        falling = [got.get(s, (0, 0)) for s in range(2 * len(edges), -1, -1)]
+        p, q = sum(x for x, _ in falling), sum(y for _, y in falling)
+        if not p or not q:
+            return None
+        at, i, j = _crossed(falling, p, q)
+        s = 2 * len(edges) - at
+        if s % 2:
+            return _first_least([(i, j), (i + falling[at][0], j + falling[at][1])], p, q, False)
+        low, high = float(edges[s // 2 - 1]), float(edges[s // 2])
+        if sum(falling[at]) <= GATHER:
+            states = [(i, j)]
+            for _, a, b in _pair_values(rows, low, high, n):
+                states.append((states[-1][0] + a, states[-1][1] + b))
+            return _first_least(states, p, q, False)
+        edges = np.unique(np.linspace(low, high, EDGES))
+
+
+def reid_report(passages: DataFrame, sampled: DataFrame) -> DataFrame:
+    """One row: mean score of pairs of one vessel and of two, their gap, share of the latter below one half, equal error rate over all pairs, rank-1, and the means over ``sampled`` pairs of segments (same, score).
+
+    ``passages`` has the columns of ``side``.
+    """
+    eer = pair_eer(passages)
+    pairs = metrics.pair_summary(pair_profile(passages)).select("same", "diff", "gap", F.col("diff_below").alias("diff_lt05"))
+    t = tiled_trials(passages, passages).agg(F.avg((F.col("rank") == 1).cast("double")).alias("rank1"))
+    segments = sampled.agg(F.avg(F.when(F.col("same"), F.col("score"))).alias("seg_same"), F.avg(F.when(~F.col("same"), F.col("score"))).alias("seg_diff"))
+    n = passages.agg(F.count("*").alias("n_pass"))
+    return pairs.withColumn("eer", F.lit(eer).cast("double")).crossJoin(t).crossJoin(segments).crossJoin(n)  # a row each
 
 
-def row_stats(queries: DataFrame, gallery: DataFrame, skip_self: bool = True) -> DataFrame:
+def row_stats(queries: DataFrame, gallery: DataFrame, skip_self: bool = True, rows: tuple[int, int] | None = None) -> DataFrame:
     """Mean and deviation of each query's scores (a deviation of nearly 0 counts as 1), and the largest absolute score."""
 
     def sums(q: Side, g: Side, score: np.ndarray) -> pa.Table:
@@ -266,7 +464,7 @@ def row_stats(queries: DataFrame, gallery: DataFrame, skip_self: bool = True) ->
         mean = np.where(used, score, 0).sum(1) / np.maximum(n, 1)
         return pa.table([pa.array(q.ids), pa.array(n), pa.array(mean), pa.array((np.where(used, score - mean[:, None], 0) ** 2).sum(1)), pa.array(np.where(used, np.abs(score), 0).max(1))], ["q", "n", "mean", "m2", "largest"])
 
-    s = tiled(queries, gallery, sums, "q long, n long, mean double, m2 double, largest double")
+    s = tiled(queries, gallery, sums, "q long, n long, mean double, m2 double, largest double", rows=rows)
     total = s.groupBy("q").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("m2").alias("inner"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("square"), F.max("largest").alias("largest"))
     outer = F.greatest(F.col("square") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0))
     deviation = F.sqrt((F.col("inner") + F.when(outer > 1e-12 * F.col("square"), outer).otherwise(0.0)) / F.col("n"))
@@ -279,13 +477,14 @@ def fused_trials(a: DataFrame, b: DataFrame) -> DataFrame:
     The fused score is one dot product of joined vectors, each half of a query scaled by its own deviation,
     less a number of the query's own.
     """
+    rows = sizes(a, a)
     both = a.join(b.select("id", F.col("e").alias("f")), "id")
-    sa = row_stats(a, a).select(F.col("q").alias("id"), F.col("mean").alias("ma"), F.col("deviation").alias("sa"))
-    sb = row_stats(b, b).select(F.col("q").alias("id"), F.col("mean").alias("mb"), F.col("deviation").alias("sb"))
-    held = both.join(sa, "id").join(sb, "id")
+    sa = row_stats(a, a, rows=rows).select(F.col("q").alias("id"), F.col("mean").alias("ma"), F.col("deviation").alias("sa"))
+    sb = row_stats(b, b, rows=rows).select(F.col("q").alias("id"), F.col("mean").alias("mb"), F.col("deviation").alias("sb"))
+    held = both.join(sa, "id").join(sb, "id").persist()  # both passes' numbers, for the trials' two passes and what is taken off
     scaled = lambda v, s: F.transform(v, lambda x: x * 0.5 / F.col(s))
     queries = held.withColumn("e", F.concat(scaled("e", "sa"), scaled("f", "sb"))).select(*a.columns)
-    t = tiled_trials(queries, both.withColumn("e", F.concat("e", "f")).select(*a.columns))
+    t = tiled_trials(queries, both.withColumn("e", F.concat("e", "f")).select(*a.columns), rows=rows)
     off = held.select(F.col("id").alias("q"), (0.5 * (F.col("ma") / F.col("sa") + F.col("mb") / F.col("sb"))).alias("off"))
     return t.join(off, "q").select("q", "vessel", *((F.col(c) - F.col("off")).alias(c) for c in ("gen_score", "best_imp")), "rank", "top_match")
 
@@ -294,7 +493,7 @@ def identity_scores(queries: DataFrame, gallery: DataFrame, skip_self: bool = Fa
     """Best score of each query and identity (``v``) of the gallery."""
 
     def best(q: Side, g: Side, score: np.ndarray) -> pa.Table:
-        score, _ = _part(q, g, score, skip_self, False)
+        score, _ = _part(q, g, score, skip_self)
         order = np.argsort(g.code, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(g.code[order]) != 0]))
         top = np.maximum.reduceat(score[:, order], first, axis=1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.operators import metrics, retrieval
+from tidemark.operators import etl, metrics, retrieval
 from tidemark.plans.roles import SQL_LOO, SQL_PASSAGES, SQL_SCORES, SQL_TRIALS, halves, passages, segments, trial_scores
 from tidemark.streaming import enrol
 
@@ -123,6 +123,45 @@ def cohort_block(spark, d):
     return sets.withColumn("cohort", F.coalesce("cohort", F.lit(-1)))
 
 
+def _sql_cohort(name: str, where: str) -> str:
+    """One row of the cohort table: the queries of a cohort against the whole gallery."""
+    scores = SQL_GALLERY.replace("a.pid % 3 <> 0 AND b.pid", f"{where} AND a.pid % 3 <> 0 AND b.pid")
+    means = "(SELECT avg(r) FROM (SELECT avg((rank = 1)::INT) AS r FROM trials GROUP BY vessel)), 8) AS rank1_macro_vessel, median(rank) AS median_rank, any_value(auc) AS auc, any_value(eer) AS eer, round(avg(gen_score), 8) AS genuine_mean, (SELECT round(avg(score), 8) FROM imp) AS impostor_mean"
+    return f"(WITH {scores} {SQL_TRIALS} {RATES} SELECT {name}::BIGINT AS cohort, count(*) AS n_queries, avg((rank = 1)::INT) AS rank1, round({means} FROM trials, rates)"
+
+
+@query(" UNION ALL ".join(_sql_cohort(n, w) for n, w in (("NULL", "true"), ("0", "a.vessel % 2 = 0"), ("1", "a.vessel % 2 = 1"))))
+def cohort_rates(spark, d):
+    """The whole block of all queries and of each cohort, both rates included."""
+    p = passages(spark, d)
+    t = retrieval.cohort_table(retrieval.side(p.where("pid % 3 <> 0"), k=F.col("vessel") % 2), retrieval.side(p.where("pid % 3 = 0")))
+    return t.select("cohort", "n_queries", "rank1", r("rank1_macro_vessel"), "median_rank", r("auc"), r("eer"), r("genuine_mean"), r("impostor_mean"))
+
+
+def _sql_draw(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}|' || id), 1, 12))::BIGINT % (SELECT count(*) FROM o)"
+
+
+@query(f"""WITH {SQL_PASSAGES}, s AS (SELECT a.vessel = b.vessel AS same, list_dot_product(a.vec, b.vec) AS score FROM passages a JOIN passages b ON a.uid < b.uid),
+v AS (SELECT score, count(*) FILTER (WHERE same) AS p, count(*) FILTER (WHERE NOT same) AS n FROM s GROUP BY score),
+c AS (SELECT score, 1 - sum(p) OVER w / sum(p) OVER () AS fnr, sum(n) OVER w / sum(n) OVER () AS fpr FROM v WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT a.uid AS q, a.vessel = b.vessel AS same, row_number() OVER (PARTITION BY a.uid ORDER BY list_dot_product(a.vec, b.vec) DESC, b.uid) AS rn FROM scorable a JOIN passages b ON a.uid <> b.uid),
+o AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY md5('9|' || vec_id), vec_id) - 1 AS i FROM embeddings),
+d AS (SELECT id, {_sql_draw(9)} AS x, {_sql_draw(10)} AS y FROM range(20000) t(id)),
+g AS (SELECT a.label = b.label AS same, list_dot_product(a.e, b.e) AS score FROM d JOIN o a ON a.i = x JOIN o b ON b.i = y WHERE x <> y)
+SELECT round(avg(score) FILTER (WHERE same), 8) AS same, round(avg(score) FILTER (WHERE NOT same), 8) AS diff, round(avg(score) FILTER (WHERE same) - avg(score) FILTER (WHERE NOT same), 8) AS gap, avg((score < 0.5)::INT) FILTER (WHERE NOT same) AS diff_lt05,
+(SELECT round(fpr, 8) FROM (SELECT * FROM c UNION ALL SELECT 'inf'::DOUBLE, 1, 0) ORDER BY abs(fnr - fpr), score DESC LIMIT 1) AS eer, (SELECT avg(same::INT) FROM l WHERE rn = 1) AS rank1,
+(SELECT round(avg(score), 8) FROM g WHERE same) AS seg_same, (SELECT round(avg(score), 8) FROM g WHERE NOT same) AS seg_diff, (SELECT count(*) FROM passages) AS n_pass FROM s""")
+def reid_report(spark, d):
+    """Gap, error rate and rank-1 over passages with 20,000 drawn pairs of segments."""
+    s = segments(spark, d)
+    draw = etl.random_pairs(s.select("vec_id"), "vec_id", 20000, 9)
+    a, b = (s.select(F.col("vec_id").alias(i), F.col("vessel").alias(f"v{i}"), F.col("vec").alias(f"e{i}")) for i in "ab")
+    sampled = draw.join(a, "a").join(b, "b").select((F.col("va") == F.col("vb")).alias("same"), retrieval.dot("ea", "eb").alias("score"))
+    t = retrieval.reid_report(retrieval.side(passages(spark, d)), sampled)
+    return t.select(r("same"), r("diff"), r("gap"), "diff_lt05", r("eer"), "rank1", r("seg_same"), r("seg_diff"), "n_pass")
+
+
 @query(f"WITH {SQL_LOO} {SQL_TRIALS}, v AS (SELECT vessel, avg((rank = 1)::INT) AS r1 FROM trials GROUP BY vessel) SELECT round(avg(r1), 8) AS rank1_macro_vessel, count(*) AS n_vessels FROM v")
 def macro_rank1(spark, d):
     return retrieval.macro_rank1(_trials(spark, d)).select(r("rank1_macro_vessel"), "n_vessels")
@@ -232,9 +271,10 @@ RAW, COLLAPSED = (SQL_SELF.format(*(c.format(f"{s}.vessel") for s in "ab")) for
 def self_match(spark, d):
     """Each vessel's second session against the first ones of all: one genuine entry a query."""
     p = passages(spark, d)
-    q, g = p.where("pid = 1"), p.where("pid = 0")
-    t = retrieval.trials_against(q, g, skip_self=False)
-    every = retrieval.row_stats(retrieval.side(q), retrieval.side(g), skip_self=False).agg(F.sum(F.col("mean")).alias("total"), F.count("*").alias("n")).crossJoin(g.agg(F.count("*").alias("n_gallery")))
+    q, g = retrieval.side(p.where("pid = 1")), retrieval.side(p.where("pid = 0"))
+    rows = retrieval.sizes(q, g)
+    t = retrieval.tiled_trials(q, g, skip_self=False, rows=rows).persist()  # a row a query, read three times
+    every = retrieval.row_stats(q, g, skip_self=False, rows=rows).agg(F.sum(F.col("mean")).alias("total"), F.count("*").alias("n")).crossJoin(g.agg(F.count("*").alias("n_gallery")))
     rows = t.agg(F.count("*").alias("n_queries"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1"), F.sum("gen_score").alias("genuine"))
     table = rows.crossJoin(every).crossJoin(metrics.nearest_impostor_auc(t).select("auc"))  # one row each
     rest = (F.col("total") * F.col("n_gallery") - F.col("genuine")) / (F.col("n") * F.col("n_gallery") - F.col("n_queries"))
@@ -248,6 +288,7 @@ def raw_vs_collapsed(spark, d):
     def scored(name, identity):
         own = p.withColumn("own", F.expr(identity))
         t = retrieval.trials_against(own.where("pid = 1"), own.where("pid = 0"), vessel="own", skip_self=False)
+        t = t.persist()
         return t.agg(F.lit(name).alias("identities"), F.count("*").alias("n_queries"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1")).crossJoin(metrics.nearest_impostor_auc(t).select(r("auc")))
 
     return scored("raw", "vessel").unionByName(scored("collapsed", COLLAPSE.format("vessel")))
