@@ -1,6 +1,7 @@
 """Operators on small fixtures with values worked out by hand or by plain Python."""
 
 import math
+import shutil
 
 import numpy as np
 import pytest
@@ -199,6 +200,41 @@ def test_line_tolerance_is_inclusive(spark):
     assert [r[0] for r in df.select(tonal.score("x", "y")).collect()] == [1.0, 0.0]
 
 
+@pytest.mark.parametrize(("tile", "step"), [(1024, 64), (7, 2), (1, 1)])
+def test_sparse_matches_equal_all_pairs(spark, monkeypatch, tile, step):
+    monkeypatch.setattr(tonal, "STEP", step)
+    rng = np.random.default_rng(tile)
+    sets = [(c, sorted({float(rng.integers(0, 60)) + [0.0, 0.5, 0.1][c % 3] + (c // 20) * 200: float(rng.integers(0, 6)) for _ in range(rng.integers(0, 6))}.items())) for c in range(60)]
+    sets += [(100 + i, [(7.0, 3.0), (50.0, 2.0)]) for i in range(20)] + [(None, [(7.0, 1.0)]), (200, []), (201, [(7.0, 0.0)]), (202, [(9000.0, 4.0)])]
+    frame = spark.createDataFrame(sets, f"clip long, lines {tonal.LINES}")
+    got = {}
+    for r in tonal.top_matches(frame, 4, tile=tile).collect():
+        got.setdefault(r.clip, []).append((r["rank"], r.other, pytest.approx(r.score)))
+    own, want = {c: x for c, x in sets if c is not None}, {}
+    for c, x in own.items():
+        pairs = [(o, python_score(x, y)) for o, y in own.items() if o != c and sum(d for _, d in x) > 0 and sum(d for _, d in y) > 0 and any(abs(f - g) <= 1.0 for f, _ in x for g, _ in y)]
+        best = sorted(pairs, key=lambda p: (-round(p[1], 9), p[0]))[:4]
+        if best:
+            want[c] = [(i + 1, o, s) for i, (o, s) in enumerate(best)]
+    assert {c: sorted(v, key=lambda x: x[0]) for c, v in got.items()} == want and len(want) > 50
+
+
+def test_epoch_sets_fill_their_quota_in_turn(spark):
+    counts = {1: (230, 10), 2: (20, 0), 3: (5, 15), 4: (12, 3), 5: (12, 40), 6: (4, 12), 7: (0, 9), 8: (20, 60), 9: (19, 57)}
+    rows = [(f"{v}-{k}-{i}", v, k == "a") for v, (n, m) in counts.items() for k, c in (("o", n), ("a", m)) for i in range(c)]
+    got = etl.epoch_sets(spark.createDataFrame(rows, "path string, vessel_id long, is_augmented boolean"), per_set=20, sets=7).collect()
+    assert len(got) == len({(r.path, r.set_idx) for r in got})  # no row twice in a set
+    for v, (n, m) in counts.items():
+        kind = "heavy" if n >= 20 else "mid" if n >= 5 else "short"
+        for s in range(1, 8):
+            own = [r for r in got if r.vessel_id == v and r.set_idx == s]
+            originals = sum(not r.is_augmented for r in own)
+            assert {r.kind for r in own} == {kind}
+            assert (originals, len(own)) == {"heavy": (20, 20), "mid": (n, min(20, n + m)), "short": (n, n + m)}[kind]
+        times = [sum(r.path == f"{v}-{k}-{i}" for r in got) for k, c in (("o", n), ("a", m)) if (k == "o") == (kind == "heavy") for i in range(c)]
+        assert max(times, default=0) - min(times, default=0) <= 1
+
+
 def test_merge_keeps_the_strongest(spark):
     df = spark.createDataFrame([([(1.0, 3.0), (2.0, 5.0), (3.0, 4.0), (3.1, 1.0), (9.0, 2.0)],)], f"x {tonal.LINES}")
     got = [tuple(x) for x in df.select(tonal.merge(F.col("x"))).first()[0]]
@@ -362,11 +398,25 @@ def test_archive_digest():
 
 
 def test_stream_enrols_and_identifies(spark, passages, tmp_path):
-    passages.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(passages.schema).parquet(str(tmp_path / "in"))
-    q = enrol.enrol(stream, str(tmp_path / "gallery"), str(tmp_path / "check"))
-    q.awaitTermination(60)
-    gallery = spark.read.parquet(str(tmp_path / "gallery"))
-    assert gallery.count() == passages.count()
-    best = enrol.identify(passages.where("uid = 6"), gallery, 3).orderBy("rank").collect()
+    shape = "uid long, vessel long, pid long, vec array<double>"
+    passages.where("uid < 6").write.parquet(str(tmp_path / "in"))
+    stream = lambda folder: spark.readStream.schema(passages.schema).parquet(str(tmp_path / folder))
+    there = lambda: enrol.gallery(spark, str(tmp_path / "gallery"), shape)
+    run = lambda folder, check: enrol.enrol(stream(folder), str(tmp_path / "gallery"), str(tmp_path / check)).awaitTermination(120)
+    run("in", "check")
+    assert sorted(r.uid for r in there().collect()) == [0, 1, 2, 3, 4, 5]
+    passages.write.mode("append").parquet(str(tmp_path / "in"))  # late copies and new passages, next batch of the same stream
+    run("in", "check")
+    passages.where("uid > 3").unionByName(passages.where("uid = 9").withColumn("uid", F.lit(77).cast("long"))).write.parquet(str(tmp_path / "other"))
+    run("other", "second")  # another stream on the same gallery
+    shutil.rmtree(tmp_path / "check")
+    run("in", "check")  # a lost checkpoint: all files again, numbers from 0
+    run("in", "check")  # a restart with nothing new
+    rows = spark.read.parquet(str(tmp_path / "gallery"))
+    assert sorted(r.uid for r in rows.collect()) == [*range(10), 77] == sorted(r.uid for r in there().collect())
+    want = {r.uid: list(r.vec) for r in passages.collect()}
+    assert all(list(r.vec) == want.get(r.uid, want[9]) for r in there().collect())
+    rows.where("uid = 3").drop("run", "batch").write.parquet(str(tmp_path / "gallery" / "run=x" / "batch=0"))  # two streams at a time
+    assert there().count() == 11
+    best = enrol.identify(passages.where("uid = 6"), there(), 3).orderBy("rank").collect()
     assert [r.vessel for r in best][0] == 4 and len(best) == 3

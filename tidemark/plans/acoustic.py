@@ -55,6 +55,12 @@ def tonal_scores(spark, d):
     return tonal.all_scores(_sets(spark, d)).select("q", "g", F.round("score", 8).alias("score"))
 
 
+@query(SQL_TOP + f", p AS (SELECT a.clip AS clip, b.clip AS other, 0.5 * ({SQL_SHARE.format('a.lines', 'b.lines')} + {SQL_SHARE.format('b.lines', 'a.lines')}) AS score FROM sets a JOIN sets b ON a.clip <> b.clip), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY round(score, 9) DESC, other) AS rank FROM p WHERE score > 0) SELECT clip, other, round(score, 8) AS score, rank FROM r WHERE rank <= 3")
+def tonal_matches(spark, d):
+    """The three best other clips of each clip by shared lines."""
+    return tonal.top_matches(_sets(spark, d), 3).select("clip", "other", F.round("score", 8).alias("score"), "rank")
+
+
 @query(SQL_TOP + ", m AS (SELECT clip % 15 AS passage, list({'freq_hz': freq_hz, 'mean_db': mean_db} ORDER BY mean_db DESC, freq_hz) AS l FROM t GROUP BY ALL), r AS (SELECT passage, list_reduce(l, lambda acc, x: CASE WHEN len(acc) < 20 AND len(list_filter(acc, lambda y: abs(x.freq_hz - y.freq_hz) <= 1.0)) = 0 THEN list_append(acc, x) ELSE acc END, []::STRUCT(freq_hz DOUBLE, mean_db DOUBLE)[]) AS kept FROM m) SELECT passage, u.freq_hz, u.mean_db FROM (SELECT passage, unnest(kept) AS u FROM r)")
 def merge_lines(spark, d):
     m = tonal.line_sets(tonal.top_lines(lines(spark, d)).withColumn("passage", F.col("clip") % 15), "passage")

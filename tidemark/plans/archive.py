@@ -230,15 +230,20 @@ def lr_schedule(spark, d):
     return e.select("epoch", F.round(T.learning_rate(F.col("epoch"), 1e-3, 100), 10).alias("lr"), T.set_number(F.col("epoch")).alias("set_idx"))
 
 
-SQL_SETS = """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS path, l_suppkey AS vessel_id, count(*) OVER (PARTITION BY l_suppkey) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5('7|' || (l_orderkey * 10 + l_linenumber)::VARCHAR)) - 1 AS rn FROM lineitem WHERE l_quantity < 20 + l_suppkey % 30),
-k AS (SELECT *, CASE WHEN n >= 200 THEN 'heavy' WHEN n >= 50 THEN 'mid' ELSE 'short' END AS kind FROM r)
-SELECT path, vessel_id, kind, (rn % 5 + 1)::INT AS set_idx FROM k WHERE kind = 'heavy' AND rn // 5 < 200 UNION ALL SELECT path, vessel_id, kind, s::INT FROM k, range(1, 6) t(s) WHERE kind <> 'heavy' AND rn < 200"""
+SQL_SETS = """WITH r AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT) AS path, l_suppkey AS vessel_id, l_partkey % (1 + l_suppkey % 40) <> 0 AS is_augmented FROM lineitem),
+k AS (SELECT *, count(*) FILTER (WHERE NOT is_augmented) OVER (PARTITION BY vessel_id) AS n, count(*) FILTER (WHERE is_augmented) OVER (PARTITION BY vessel_id) AS m, row_number() OVER (PARTITION BY vessel_id, is_augmented ORDER BY md5('7|' || path)) - 1 AS rn FROM r),
+f AS (SELECT *, CASE WHEN n >= 100 THEN 'heavy' WHEN n >= 25 THEN 'mid' ELSE 'short' END AS kind, least(100 - n, m) AS need FROM k),
+slots AS (SELECT DISTINCT vessel_id, kind, kind = 'mid' AS aug, s, (CASE kind WHEN 'heavy' THEN (s - 1) * 100 + j ELSE (s - 1) * need + j END) % CASE kind WHEN 'heavy' THEN n ELSE m END AS rn FROM (SELECT DISTINCT vessel_id, kind, n, m, need FROM f WHERE kind = 'heavy' OR (kind = 'mid' AND need > 0)), range(1, 26) a(s), range(100) b(j) WHERE kind = 'heavy' OR j < need)
+SELECT path, f.vessel_id, f.kind, is_augmented, s::INT AS set_idx FROM f JOIN slots ON slots.vessel_id = f.vessel_id AND slots.rn = f.rn AND is_augmented = aug
+UNION ALL SELECT path, vessel_id, kind, is_augmented, s::INT FROM f, range(1, 26) t(s) WHERE kind = 'short' OR (kind = 'mid' AND NOT is_augmented)"""
 
 
 @query(SQL_SETS)
 def epoch_sets(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity < 20 + l_suppkey % 30")
-    return etl.epoch_sets(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path"), F.col("l_suppkey").alias("vessel_id")), per_set=200, sets=5)
+    """All lines as rows of suppliers; the number of originals of a supplier depends on its key."""
+    path = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long"))
+    rows = table(spark, d, "lineitem").select(path.alias("path"), F.col("l_suppkey").alias("vessel_id"), (F.col("l_partkey") % (1 + F.col("l_suppkey") % 40) != 0).alias("is_augmented"))
+    return etl.epoch_sets(rows)
 
 
 @query("WITH c AS (SELECT s_suppkey AS clip_id, row_number() OVER (ORDER BY md5('42|' || s_suppkey)) AS rn, count(*) OVER () AS n FROM supplier) SELECT clip_id, CASE WHEN rn <= n // 2 THEN 'approach' ELSE 'recede' END AS doppler_sign FROM c")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
@@ -10,24 +13,47 @@ from pyspark.sql.window import Window as W
 from tidemark.operators import retrieval
 
 
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives as long as the checkpoint: it is kept in it, so a new or a lost checkpoint has another one."""
+    path = f"{checkpoint.rstrip('/')}/enrolment"
+    try:
+        return spark.read.schema("value string").text(path).first()[0]
+    except AnalysisException:  # there is none yet
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(path)
+        return spark.read.schema("value string").text(path).first()[0]
+
+
 def enrol(passages: DataFrame, gallery_path: str, checkpoint: str) -> StreamingQuery:
     """Appends a stream of passages (uid, vessel, vec) to the gallery; passages that are there already are not repeated.
 
-    Each micro-batch writes into a folder of its own number, so a batch that runs again replaces itself; it is
-    compared with what earlier batches wrote.
+    Each micro-batch writes into a folder of its checkpoint's name and its own number, so a batch that runs again replaces itself and no
+    other's; it is compared with all that other batches wrote, of this checkpoint and of any other. Streams that run at the same
+    time may both write a passage that is new to both: ``gallery`` reads it once.
     """
+    run = _run_of(passages.sparkSession, checkpoint)
+    uid = passages.schema["uid"].dataType.simpleString()
 
     def append(batch: DataFrame, number: int) -> None:
         new, spark = batch.dropDuplicates(["uid"]), batch.sparkSession
-        if number > 0:
-            uid = batch.schema["uid"].dataType.simpleString()
-            there = spark.read.schema(f"uid {uid}, batch int").option("basePath", gallery_path).parquet(gallery_path).where(F.col("batch") < number)
-            new = new.join(there.select("uid"), "uid", "left_anti").select(*batch.columns)
-        new.write.mode("overwrite").parquet(f"{gallery_path}/batch={number}")
+        try:
+            there = spark.read.schema(f"uid {uid}, run string, batch int").option("basePath", gallery_path).parquet(gallery_path)
+            new = new.join(there.where((F.col("run") != run) | (F.col("batch") != number)).select("uid"), "uid", "left_anti").select(*batch.columns)
+        except AnalysisException as e:  # the first passages of the gallery
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        new.write.mode("overwrite").parquet(f"{gallery_path}/run={run}/batch={number}")
 
     return passages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def gallery(spark: SparkSession, gallery_path: str, columns: str) -> DataFrame:
+    """The enrolled passages (``columns``: their schema), each uid once: of what two streams wrote at a time one row stays, the same at each reading."""
+    rows = spark.read.schema(f"{columns}, run string, batch int").option("basePath", gallery_path).parquet(gallery_path)
+    names = [c for c in rows.columns if c not in ("run", "batch")]
+    first = rows.groupBy("uid").agg(F.min_by(F.struct(*names), F.struct("run", "batch")).alias("r"))
+    return first.select("r.*")
+
+
 def identify(queries: DataFrame, gallery: DataFrame, most: int = 5) -> DataFrame:
     """Best score of each vessel for each query, ranked; all passages of a vessel count."""
     found = retrieval.identity_scores(retrieval.side(queries), retrieval.side(gallery))
