@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.operators import etl, metrics, retrieval
+from tidemark.operators import etl, metrics, neighbours, retrieval
 from tidemark.plans.roles import SQL_LOO, SQL_PASSAGES, SQL_SCORES, SQL_TRIALS, halves, passages, segments, trial_scores
 from tidemark.streaming import enrol
 
@@ -104,6 +104,13 @@ def nearest_passage(spark, d):
     return retrieval.nearest(_trials(spark, d)).select("q", "match", r("score"), "verdict")
 
 
+@query("SELECT q, g, round(score, 8) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, g) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS g, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= 3")
+def nearest_segments(spark, d):
+    """The three nearest other segments of each segment, cells that cannot reach left out."""
+    s = retrieval.side(segments(spark, d), uid="vec_id")
+    return neighbours.nearest_entries(s, s, 3).select("q", "g", r("score"), "rank")
+
+
 @query(f"WITH {SQL_LOO} {SQL_TRIALS} SELECT p.uid, p.vessel, CASE WHEN n.q IS NULL THEN 'only passage' WHEN n.same THEN 'HIT' ELSE 'MISS' END AS verdict FROM passages p LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) n ON n.q = p.uid")
 def retrieval_listing(spark, d):
     p = passages(spark, d)
