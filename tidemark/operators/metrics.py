@@ -21,26 +21,34 @@ RANGES = 64
 
 
 def running(c: DataFrame, by: list[str] | None = None, falling: bool = False) -> DataFrame:
-    """Adds totals up to and including each score (``cp``, ``cn``) and of all scores (``tp``, ``tn``).
+    """Adds totals up to and including each score (``cp``, ``cn``) and of all scores (``tp``, ``tn``), of all rows or of each group.
 
-    Without groups the values are split into ranges: a total a range, carried over a few dozen rows,
-    plus the running total inside the range, so no task holds all values.
+    The values of a group are split into ranges: a total a range, carried over a few dozen rows a group, plus the running total inside
+    the range. So no task holds all values, nor those of one large group.
     """
+    by = by or []
     order = F.col("score").desc() if falling else F.col("score").asc()
+    cuts = F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("_b")
     if by:
-        own = W.partitionBy(*by)
-        upto = own.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-        return c.withColumns({"cp": F.sum("p").over(upto), "cn": F.sum("n").over(upto), "tp": F.sum("p").over(own), "tn": F.sum("n").over(own)})
-    bounds = c.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 100 * RANGES).alias("_b"))
-    x = c.crossJoin(F.broadcast(bounds)).withColumn("_k", F.size(F.filter("_b", lambda b: b < F.col("score")))).drop("_b")
-    parts = x.groupBy("_k").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
-    every = W.partitionBy(F.lit(1))
+        # a null group is a group
+        keys = [F.struct(F.col(k).isNull(), F.col(k)).alias(f"_g{i}") for i, k in enumerate(by)]
+        names = [f"_g{i}" for i in range(len(by))]
+        c = c.select("*", *keys)
+        x = c.join(c.groupBy(*names).agg(cuts), names)
+    else:
+        names = []
+        x = c.crossJoin(F.broadcast(c.agg(cuts)))
+    x = x.withColumn("_k", F.size(F.filter("_b", lambda b: b < F.col("score")))).drop("_b")
+    parts = x.groupBy(*names, "_k").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
+    every = W.partitionBy(*names) if names else W.partitionBy(F.lit(1))
     before = every.orderBy(F.col("_k").desc() if falling else F.col("_k").asc()).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    parts = parts.select("_k", F.coalesce(F.sum("sp").over(before), zero).alias("bp"), F.coalesce(F.sum("sn").over(before), zero).alias("bn"), F.sum("sp").over(every).alias("tp"), F.sum("sn").over(every).alias("tn"))
-    upto = W.partitionBy("_k").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    parts = parts.select(*names, "_k", F.coalesce(F.sum("sp").over(before), zero).alias("bp"), F.coalesce(F.sum("sn").over(before), zero).alias("bn"), F.sum("sp").over(every).alias("tp"), F.sum("sn").over(every).alias("tn"))
+    upto = W.partitionBy(*names, "_k").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     inside = x.withColumns({"ip": F.sum("p").over(upto), "in_": F.sum("n").over(upto)})
-    return inside.join(F.broadcast(parts), "_k").select("score", "p", "n", (F.col("bp") + F.col("ip")).alias("cp"), (F.col("bn") + F.col("in_")).alias("cn"), "tp", "tn")
+    # without groups there are at most RANGES parts
+    both = inside.join(parts, [*names, "_k"]) if names else inside.join(F.broadcast(parts), "_k")
+    return both.select(*by, "score", "p", "n", (F.col("bp") + F.col("ip")).alias("cp"), (F.col("bn") + F.col("in_")).alias("cn"), "tp", "tn")
 
 
 def auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -62,19 +70,20 @@ def nearest_impostor_auc(trials: DataFrame) -> DataFrame:
     return auc(long)
 
 
-def eer_sorted(scores: DataFrame) -> DataFrame:
+def eer_sorted(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Row by row down the sorted scores (genuine first within a value): first least gap of miss and false-alarm rates, their mean.
 
     Within a value the rates move linearly along its genuine rows, then along its impostor rows, so the
     least gap is at an end of a stretch or where it crosses zero; every row is looked at by position.
     """
-    return eer_counted(counted(scores))
+    return eer_counted(counted(scores, by), by)
 
 
-def eer_counted(counts: DataFrame) -> DataFrame:
-    """``eer_sorted`` of trials counted by score."""
-    c = running(counts, falling=True)
-    c = c.select("score", "p", "n", (F.col("cp") - F.col("p")).alias("p0"), (F.col("cn") - F.col("n")).alias("n0"), "tp", "tn")
+def eer_counted(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``eer_sorted`` of trials counted by score; a group without trials of both kinds gives no row."""
+    by = by or []
+    c = running(counts, by, falling=True)
+    c = c.select(*by, "score", "p", "n", (F.col("cp") - F.col("p")).alias("p0"), (F.col("cn") - F.col("n")).alias("n0"), "tp", "tn")
     # rows of a value: p genuine ones, then n impostor ones; the gap 1 - i/tp - j/tn falls along both
     zero_i = F.floor((1 - F.col("n0") / F.col("tn")) * F.col("tp")).cast("long") - F.col("p0")
     zero_j = F.floor((1 - (F.col("p0") + F.col("p")) / F.col("tp")) * F.col("tn")).cast("long") - F.col("n0")
@@ -82,10 +91,10 @@ def eer_counted(counts: DataFrame) -> DataFrame:
     genuine = F.when(F.col("p") > 0, F.transform(F.array_union(F.array(F.lit(1).cast("long"), F.col("p")), near(zero_i, F.col("p"))), lambda i: F.struct((F.col("p0") + i).alias("i"), F.col("n0").alias("j"))))
     impostor = F.when(F.col("n") > 0, F.transform(F.array_union(F.array(F.lit(1).cast("long"), F.col("n")), near(zero_j, F.col("n"))), lambda j: F.struct((F.col("p0") + F.col("p")).alias("i"), (F.col("n0") + j).alias("j"))))
     none = F.array().cast("array<struct<i:bigint,j:bigint>>")
-    rows = c.where("tp > 0 AND tn > 0").select("tp", "tn", F.explode(F.concat(F.coalesce(genuine, none), F.coalesce(impostor, none))).alias("at"))
+    rows = c.where("tp > 0 AND tn > 0").select(*by, "tp", "tn", F.explode(F.concat(F.coalesce(genuine, none), F.coalesce(impostor, none))).alias("at"))
     fnr, fpr = 1 - F.col("at.i") / F.col("tp"), F.col("at.j") / F.col("tn")
-    rows = rows.select(((fnr + fpr) / 2).alias("eer"), F.abs(fnr - fpr).alias("gap"), (F.col("at.i") + F.col("at.j")).alias("pos"))
-    return rows.agg(F.min_by("eer", F.struct("gap", "pos")).alias("eer"))
+    rows = rows.select(*by, ((fnr + fpr) / 2).alias("eer"), F.abs(fnr - fpr).alias("gap"), (F.col("at.i") + F.col("at.j")).alias("pos"))
+    return rows.groupBy(*by).agg(F.min_by("eer", F.struct("gap", "pos")).alias("eer"))
 
 
 def sweep(scores: DataFrame, by: list[str] | None = None) -> DataFrame:

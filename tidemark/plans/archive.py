@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 from tidemark.functions import text as T
 from tidemark.operators import etl
 from tidemark.plans.roles import SQL_HULLS, SQL_RECORDINGS, hulls, recordings, table
+from tidemark.sources import archive
+from tidemark.sources.shared import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -219,6 +221,44 @@ def best_so_far(spark, d):
     return etl.best_so_far(_history(spark, d), "rank1", 10).select("epoch", "best", "waited", "stop")
 
 
+@query(f"WITH {SQL_HISTORY}, c AS (SELECT epoch, rank1, CASE WHEN epoch % 3 = 0 THEN rank1 / 2 END AS gap, CASE WHEN epoch % 5 = 0 THEN 1 - rank1 END AS eer FROM h) SELECT epoch, metric, round(value, 6) AS value FROM (UNPIVOT c ON rank1, gap, eer INTO NAME metric VALUE value)")
+def epoch_curves(spark, d):
+    h, e = _history(spark, d), F.col("epoch")
+    h = h.withColumns({"gap": F.when(e % 3 == 0, F.col("rank1") / 2), "eer": F.when(e % 5 == 0, 1 - F.col("rank1"))})
+    return etl.epoch_curves(h, ["rank1", "gap", "eer"]).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS source, o_custkey AS vessel, o_orderpriority AS session, row_number() OVER (ORDER BY o_orderstatus, o_custkey, o_orderpriority, o_orderkey) AS place FROM orders")
+def display_order(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), F.col("o_custkey").alias("vessel"), F.col("o_orderpriority").alias("session"))
+    return etl.places(o, "source", "vessel", "session", "id")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders WHERE (CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'SKIP_EXISTS' ELSE 'MISSING_SRC' END) = 'OK'")
+def arranged_files(spark, d):
+    o, s = table(spark, d, "orders"), F.col("o_orderstatus")
+    log = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"), F.when(s == "F", "OK").when(s == "O", "SKIP_EXISTS").otherwise("MISSING_SRC").alias("status"))
+    return etl.arranged(log).select("id", "priority")
+
+
+@query("WITH m AS (SELECT doc_id, 'docs/' || doc_id || '.txt' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS length, sha256(coalesce(text, '')) AS sha256 FROM documents), s AS (SELECT *, coalesce(sum(512 + (length + 511) // 512 * 512) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM m) SELECT name, length, start + 512 AS data, sha256 FROM s")
+def archive_members(spark, d):
+    """Texts packed into an archive and read back, each from its own place."""
+    doc = table(spark, d, "documents").select(F.col("doc_id").alias("place"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    path = f"{shared_folder(spark)}.tar"
+    manifest = archive.write_archive(doc.withColumn("length", F.octet_length("content").cast("long")), path)
+    return manifest.join(archive.read_members(manifest, path), "name").select("name", "length", "data", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY ALL")
+def counted_gate(spark, d):
+    """A table that is only there because the counts of what was written agree with the source's."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    n, kinds = c.agg(F.count("*"), F.max("c_custkey")).first()
+    kept = etl.write_counted(c, shared_folder(spark), {"n_rows": (F.count("*"), n), "last": (F.max("c_custkey"), kinds)})
+    return kept.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {SQL_HISTORY} SELECT epoch, rank1 FROM h ORDER BY epoch DESC LIMIT 10")
 def last_history(spark, d):
     return _history(spark, d).orderBy(F.col("epoch").desc()).limit(10).select("epoch", "rank1")

@@ -359,6 +359,24 @@ def auc_by_language(spark, d):
     return metrics.auc(trial_scores(spark, d), ["lang"]).where("auc IS NOT NULL").select("lang", "n_genuine", "n_impostor", r("auc"))
 
 
+@query(f"WITH {SQL_SCORES}, x AS (SELECT lang, row_number() OVER v AS pos, 1 - sum(genuine::INT) OVER w / sum(genuine::INT) OVER (PARTITION BY lang) AS fnr, sum((NOT genuine)::INT) OVER w / sum((NOT genuine)::INT) OVER (PARTITION BY lang) AS fpr FROM scores WINDOW v AS (PARTITION BY lang ORDER BY score DESC, genuine DESC), w AS (PARTITION BY lang ORDER BY score DESC, genuine DESC ROWS UNBOUNDED PRECEDING)), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY abs(fnr - fpr), pos) AS rn FROM x) SELECT lang, round((fnr + fpr) / 2, 8) AS eer FROM k WHERE rn = 1 AND fnr IS NOT NULL AND fpr IS NOT NULL")
+def eer_by_language(spark, d):
+    return metrics.eer_sorted(trial_scores(spark, d), ["lang"]).select("lang", r("eer"))
+
+
+@query(f"WITH {SQL_LOO} {SQL_TRIALS}, h AS (SELECT s.q, s.g, s.score, a.vessel = b.vessel AS same FROM scores2 s JOIN passages a ON a.uid = s.q JOIN passages b ON b.uid = s.g), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, g) AS rn FROM h), t2 AS (SELECT q, min(rn) FILTER (WHERE same) AS rank FROM k GROUP BY q) SELECT t.q, t.rank AS rank_a, t2.rank AS rank_b FROM trials t JOIN t2 ON t2.q = t.q")
+def aligned_methods(spark, d):
+    """Both methods' ranks of the same queries; an error if one lacks a query."""
+    both = etl.aligned(_trials(spark, d).select("q", "rank"), _trials(spark, d, halves).select("q", "rank"), ["q"])
+    return both.select("q", "rank_a", "rank_b")
+
+
+@query(f"WITH {SQL_GALLERY} {SQL_TRIALS}, b AS (SELECT 'cohort ' || vessel % 2 AS benchmark, avg((rank = 1)::INT) AS rank1, count(*) AS n_queries FROM trials GROUP BY ALL UNION ALL SELECT 'all', avg((rank = 1)::INT), count(*) FROM trials) SELECT *, row_number() OVER (ORDER BY rank1 DESC, benchmark) AS place FROM b")
+def benchmark_order(spark, d):
+    t = _gallery(spark, d).withColumn("benchmark", F.explode(F.array(F.concat(F.lit("cohort "), (F.col("vessel") % 2).cast("string")), F.lit("all"))))
+    return etl.benchmark_order(t.groupBy("benchmark").agg(F.avg((F.col("rank") == 1).cast("double")).alias("rank1"), F.count("*").alias("n_queries")))
+
+
 @query(f"WITH {SQL_LOO} {SQL_TRIALS} SELECT round(avg(CASE WHEN a.gen_score > b.best_imp THEN 1.0 WHEN a.gen_score = b.best_imp THEN 0.5 ELSE 0 END), 8) AS auc FROM trials a, trials b")
 def auc_nearest_impostor(spark, d):
     return metrics.nearest_impostor_auc(_trials(spark, d)).select(r("auc"))
