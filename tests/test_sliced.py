@@ -1,5 +1,7 @@
 """Files read by ranges give what a reading in one piece gives."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,48 @@ def test_an_hour_is_read_by_many_tasks(spark, tmp_path):
     assert sum(r["count"] for r in parts) == 90 and len(parts) > 8 and max(r["count"] for r in parts) < 30
 
 
+def test_drawn_noise_is_read_from_its_place(spark, folder):
+    keys = spark.createDataFrame([(i,) for i in range(40)], "id long")
+    got = {r.id: r for r in sliced.read_noise(spark, keys, "id", folder, 6000, 3).collect()}
+    assert len(got) == 40 and len({(r.clip, r["first"]) for r in got.values()}) > 20
+    names = ["a", "b", "c", "short"]
+    draw = lambda s, i: int(hashlib.md5(f"{s}|{i}".encode()).hexdigest()[:12], 16)
+    for i, r in got.items():
+        x = whole(folder, names[draw(3, i) % 4])
+        at = draw(4, i) % max(1, len(x) - 6000 + 1)
+        want = [x[(at + k) % len(x)] for k in range(6000)]
+        assert (r.clip, r["first"]) == (names[draw(3, i) % 4], at) and np.allclose(r.noise, want, atol=1e-6)
+    again = {r.id: r["first"] for r in sliced.read_noise(spark, keys.where("id < 5"), "id", folder, 6000, 3).collect()}
+    assert again == {i: got[i]["first"] for i in range(5)}
+
+
+def test_an_empty_pool_is_silent(spark, tmp_path):
+    (tmp_path / "none.wav").write_bytes(writers.wav_bytes(np.zeros(0), 8000))
+    got = sliced.read_noise(spark, spark.range(2), "id", str(tmp_path), 5, 1).collect()
+    assert [list(r.noise) for r in got] == [[0.0] * 5] * 2 and got[0].clip is None
+
+
+def test_augmentations_with_fixed_draws():
+    x = wave(1, 8000, 7)
+    late = [(3, 0.5), (40, -0.3), (9000, 0.7)]
+    plain = np.array([x[i] + sum(a * x[i - d] for d, a in late if i >= d) for i in range(len(x))])
+    plain *= np.sqrt((x.astype(float) ** 2).sum() / (plain**2).sum())
+    assert np.allclose(signal.echoed(x, late), plain, atol=1e-6)
+    t = np.arange(8000) / 8000
+    for hz, db in ((0, 3.0), (75, 2.0), (150, 1.0), (1075, 0.0), (2000, -1.0), (3000, 1.5), (4000, 4.0)):
+        tone = np.cos(2 * np.pi * hz * t)
+        assert np.allclose(signal.equalised(tone, [3, 1, -1, 4]), tone * 10 ** (db / 20), atol=1e-4)
+    noise = wave(0.1, 8000, 8)
+    y = signal.filled(x, noise, 200)
+    assert np.array_equal(y[:200], x[:200]) and np.array_equal(y[1000:], x[1000:]) and np.allclose(y[200:1000], noise * x.std() / noise.std(), atol=1e-5)
+
+
+def test_shift_goes_round(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], k) for k in (0, 1, 3, 4, 9, -1)] + [([], 2)], "x array<double>, k long")
+    got = [list(r.y) for r in df.select(signal.shifted(F.col("x"), F.col("k")).alias("y")).collect()]
+    assert got == [list(np.roll([1.0, 2.0, 3.0, 4.0], k)) for k in (0, 1, 3, 4, 9, -1)] + [[]]
+
+
 def test_pieces_are_joined_by_name(spark):
     rows = [("p", "s10", [3.0]), ("p", "s02", [1.0, 2.0]), ("q", "x", []), ("p", "s99", [4.0])]
     got = {r.k: list(r.samples) for r in sliced.concatenated(spark.createDataFrame(rows, "k string, name string, samples array<double>"), "k").collect()}

@@ -222,32 +222,45 @@ def tonal_lines(x: np.ndarray, rate: int = RATE, remove_dc: bool = False) -> lis
 # --- augmentation ------------------------------------------------------------------------------------------
 
 
-def random_eq(x: np.ndarray, rng: np.random.Generator, rate: int = RATE) -> np.ndarray:
-    """Gains at 0, 150, 2000 and 4000 Hz drawn from their ranges, linear in between."""
-    gain = [rng.uniform(-1.5, 3), rng.uniform(-1.5, 1.5), rng.uniform(-1.5, 1.5), rng.uniform(-4, 4)]
+def equalised(x: np.ndarray, gain: list[float], rate: int = RATE) -> np.ndarray:
+    """Gains in decibels at 0, 150, 2000 and 4000 Hz, linear in between."""
     f = np.fft.rfft(x)
     return np.fft.irfft(f * 10 ** (np.interp(np.fft.rfftfreq(len(x), 1 / rate), [0, 150, 2000, 4000], gain) / 20), len(x)).astype(np.float32)
 
 
+def random_eq(x: np.ndarray, rng: np.random.Generator, rate: int = RATE) -> np.ndarray:
+    """``equalised`` with gains drawn from their ranges."""
+    return equalised(x, [rng.uniform(-1.5, 3), rng.uniform(-1.5, 1.5), rng.uniform(-1.5, 1.5), rng.uniform(-4, 4)], rate)
+
+
+def echoed(x: np.ndarray, echoes: list[tuple[int, float]]) -> np.ndarray:
+    """The waveform with echoes (samples late, signed strength) added, at its own energy. An echo later than the waveform's end is silent."""
+    out = np.array(x, dtype=np.float64)
+    for late, strength in echoes:
+        if late < len(out):
+            out[late:] += strength * np.asarray(x, dtype=np.float64)[: len(out) - late]
+    return (out * np.sqrt((np.square(x, dtype=np.float64).sum() + 1e-12) / (np.square(out).sum() + 1e-12))).astype(np.float32)
+
+
 def multipath(x: np.ndarray, rng: np.random.Generator, rate: int = RATE) -> np.ndarray:
     """Two to five echoes of 0.1 to 5 ms and 0.10 to 0.70 (their sum at most 0.90), signs at random; energy is kept."""
     taps = rng.uniform(0.10, 0.70, int(rng.integers(2, 6)))
     taps *= min(1.0, 0.90 / taps.sum())
-    out = np.array(x, dtype=np.float64)
-    for a in taps:
-        d = max(1, int(rng.uniform(0.1, 5) * rate / 1000))
-        out[d:] += a * rng.choice([-1, 1]) * x[: len(x) - d]
-    return (out * np.sqrt((np.square(x, dtype=np.float64).sum() + 1e-12) / (np.square(out).sum() + 1e-12))).astype(np.float32)
+    return echoed(x, [(max(1, int(rng.uniform(0.1, 5) * rate / 1000)), a * rng.choice([-1, 1])) for a in taps])
+
+
+def filled(x: np.ndarray, noise: np.ndarray, at: int) -> np.ndarray:
+    """From ``at`` on the waveform is the noise, at the waveform's level."""
+    out = np.array(x, dtype=np.float32)
+    out[at : at + len(noise)] = noise * (x.std() / (noise.std() + 1e-12))
+    return out
 
 
 def ambient_fill(x: np.ndarray, pool: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
     """A stretch of 5 to 15 percent becomes ambient noise at the waveform's level."""
     n = int(len(x) * rng.uniform(0.05, 0.15))
     at = int(rng.integers(max(1, len(x) - n)))
-    noise = noise_stretch(pool, n, rng)
-    out = np.array(x, dtype=np.float32)
-    out[at : at + n] = noise * (x.std() / (noise.std() + 1e-12))
-    return out
+    return filled(x, noise_stretch(pool, n, rng), at)
 
 
 def augment(x: np.ndarray, pool: list[np.ndarray], seed: int, copies: int = 3) -> list[np.ndarray]:
@@ -330,3 +343,15 @@ def clip_lines(waves: DataFrame, remove_dc: bool = False) -> DataFrame:
             yield pd.DataFrame(rows, columns=["clip", "lines", "error"])
 
     return waves.select("clip", "samples").mapInPandas(run, "clip string, lines array<struct<freq_hz:double,mean_db:double>>, error string")
+
+
+def with_echoes(waves: DataFrame) -> DataFrame:
+    """Rows with ``samples`` and ``echoes`` (late, strength) with their echoes."""
+    return _each(waves, lambda r: echoed(np.asarray(r["samples"]), [(int(e["late"]), float(e["strength"])) for e in r["echoes"]]))
+
+
+def shifted(samples: Column, by: Column) -> Column:
+    """The samples moved on by so many places, those of the end at the start."""
+    n = F.size(samples)
+    k = F.when(n > 0, F.pmod(by, n)).otherwise(0).cast("int")
+    return F.when(k == 0, samples).otherwise(F.concat(F.slice(samples, n - k + 1, k), F.slice(samples, F.lit(1), n - k)))

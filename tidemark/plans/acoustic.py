@@ -242,5 +242,39 @@ def sliced_windows(spark, d):
     return _about(sliced.read_segments(spark, path, windows, size=5000, tail=1000), "clip", "piece")
 
 
+def _sql_place(seed: int, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 12))::BIGINT"
+
+
+@query(f"WITH {SQL_CLIPS}, c AS (SELECT clip, n, row_number() OVER (ORDER BY clip::VARCHAR) - 1 AS i FROM n), d AS (SELECT doc_id, clip, n, {_sql_place(21, 'doc_id')} AS h, {_sql_place(22, 'doc_id')} AS h2 FROM documents JOIN c ON i = {_sql_place(21, 'doc_id')} % (SELECT count(*) FROM c)), f AS (SELECT doc_id, clip, h2 % (n - 2000 + 1) AS first FROM d) SELECT doc_id, f.clip::VARCHAR AS clip, first, sum(v * ((i - first) % 89))::BIGINT AS weighted FROM f JOIN p ON p.clip = f.clip AND i >= first AND i < first + 2000 GROUP BY ALL")
+def ambient_draws(spark, d):
+    """2000 samples of sound for each document, from a drawn place of a drawn file."""
+    made = sliced.read_noise(spark, table(spark, d, "documents").select("doc_id"), "doc_id", _clip_files(spark, d), 2000, 21)
+    whole = F.zip_with("noise", F.sequence(F.lit(0), F.lit(1999)), lambda v, i: F.round(v.cast("double") * 32768).cast("long") * (i % 89))
+    return made.select("doc_id", "clip", "first", F.aggregate(whole, F.lit(0).cast("long"), lambda a, v: a + v).alias("weighted"))
+
+
+SQL_ECHO = f"{SQL_FRAMES}, k AS (SELECT clip, 1 + {_sql_place(5, 'clip')} % 3 AS late, ({_sql_place(6, 'clip')} % 61 + 10) / 100.0 * CASE {_sql_place(7, 'clip')} % 2 WHEN 0 THEN 1 ELSE -1 END AS strength FROM (SELECT DISTINCT clip FROM f)), o AS (SELECT f.clip, f.i, f.y, f.y + coalesce(strength * g.y, 0) AS x FROM f JOIN k ON k.clip = f.clip LEFT JOIN f g ON g.clip = f.clip AND g.i = f.i - late)"
+
+
+def _draw(seed: int):
+    return F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}|"), F.col("clip").cast("string"))), F.lit(1), F.lit(12)), 16, 10).cast("long")
+
+
+@query(f"WITH {SQL_ECHO} SELECT clip, i, round((x * sqrt((sum(y * y) OVER w + 1e-12) / (sum(x * x) OVER w + 1e-12)))::FLOAT::DOUBLE, 2) AS value FROM o WINDOW w AS (PARTITION BY clip)")
+def multipath_frames(spark, d):
+    """Each clip with a drawn echo, at its own energy."""
+    strength = (_draw(6) % 61 + 10) / F.lit(100.0) * F.when(_draw(7) % 2 == 0, 1).otherwise(-1)
+    w = _frames(spark, d).withColumn("echoes", F.array(F.struct((1 + _draw(5) % 3).cast("int").alias("late"), strength.alias("strength"))))
+    return _samples(signal.with_echoes(w.select("clip", "samples", "echoes")))
+
+
+@query(f"WITH {SQL_FRAMES}, n AS (SELECT clip, count(*) AS n FROM f GROUP BY clip) SELECT f.clip, (i + {_sql_place(8, 'f.clip')} % 11) % n AS i, y AS value FROM f JOIN n ON n.clip = f.clip")
+def shifted_frames(spark, d):
+    """Each clip shifted round by a drawn number of samples."""
+    w = _frames(spark, d)
+    return _samples(w.select("clip", signal.shifted(F.col("samples"), _draw(8) % 11).alias("samples")))
+
+
 for _name in ("line_match", "tonal_scores", "margin_logits"):  # names under which these were registered too
     QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

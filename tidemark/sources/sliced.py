@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import signal
+from tidemark.operators.etl import places
 from tidemark.sources.readers import decoded, find_files
 
 #: Frames of the spectrum that one range has; ranges of a task; rows that a task gives out at once.
@@ -198,6 +199,29 @@ def read_lines(spark: SparkSession, path: str, windows: DataFrame | None = None,
     return whole.withColumn("k", F.struct(*keys)).join(found, "k", "left").select(*keys, F.coalesce("lines", F.array().cast(lines)).alias("lines"), "error")
 
 
+def noise_draws(keys: DataFrame, key: str, pool: DataFrame, n: int, seed: int, target: int = signal.RATE) -> DataFrame:
+    """A stretch of ambient sound for each row: the drawn clip of the pool (``wave_headers``) and the place of its first sample.
+
+    Clips are numbered by path among those with samples; which clip and which place follows from the seed and the row's key alone. A clip that is
+    too short begins at 0 and goes round. The pool is an index, a row a file: no sound is held to draw from it.
+    """
+    index = pool.where("frames > 0").withColumn("n", _length(target))
+    index = places(index, "path").withColumn("_i", F.col("place") - 1).drop("place")
+    draw = lambda s: F.conv(F.substr(F.md5(F.concat(F.lit(f"{s}|"), F.col(key).cast("string"))), F.lit(1), F.lit(12)), 16, 10).cast("long")
+    total = index.agg(F.count("*").alias("_total"))
+    drawn = keys.crossJoin(F.broadcast(total)).where("_total > 0").withColumn("_i", draw(seed) % F.col("_total")).join(index, "_i")  # one row is broadcast
+    room = F.greatest(F.col("n") - n + 1, F.lit(1))
+    return drawn.withColumn("first", draw(seed + 1) % room).withColumn("last", F.least(F.col("first") + n, F.col("n"))).drop("_i", "_total")
+
+
+def read_noise(spark: SparkSession, keys: DataFrame, key: str, path: str, n: int, seed: int, target: int = signal.RATE, pattern: str = "*.wav") -> DataFrame:
+    """``n`` samples of ambient sound for each row of ``keys``: key, clip, first, noise. Each stretch is read by its own range; an empty pool gives silence."""
+    drawn = noise_draws(keys.select(key), key, wave_headers(spark, path, pattern), n, seed, target)
+    made = _each(drawn, lambda x: {"noise": np.resize(x, n) if len(x) else np.zeros(n, np.float32)}, [key, "clip", "first"], "noise array<float>", target)
+    silence = F.array_repeat(F.lit(0.0).cast("float"), n)
+    return keys.select(key).join(made, key, "left").select(key, "clip", "first", F.coalesce("noise", silence).alias("noise"))
+
+
 def concatenated(pieces: DataFrame, key: str, name: str = "name") -> DataFrame:
     """The samples of each key's pieces, joined in order of their names."""
     held = pieces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("_n"), "samples"))).alias("_p"))
