@@ -326,6 +326,48 @@ def test_encoder_matches_plain_loops():
     assert np.allclose(encoder.encode(x, w), v / np.linalg.norm(v), atol=1e-5)
 
 
+def shifted_sums(x, w, blocks):
+    """The encoder once more, each convolution as a sum over its taps of shifted inputs."""
+
+    def norm(v):
+        rows = v.reshape(min(16, len(v)), -1)
+        return ((rows - rows.mean(1, keepdims=True)) / np.sqrt(rows.var(1, keepdims=True) + 1e-5)).reshape(v.shape)
+
+    branches = []
+    for i in range(4):
+        taps = w[f"bank{i}"]
+        padded = np.pad(x, taps.shape[1] // 2)
+        branches.append(np.maximum(norm(sum(taps[:, j, None] * padded[j : j + len(x)] for j in range(taps.shape[1]))), 0))
+    z = np.maximum(w["squeeze"] @ sum(b.mean(1) for b in branches), 0)
+    share = np.exp(np.stack([w[f"excite{i}"] @ z for i in range(4)]))
+    y = sum(s[:, None] * b for s, b in zip(share / share.sum(0), branches))[None]
+    for i in range(blocks):
+        a, b = encoder.STRIDES[i]
+        p = np.pad(y, ((0, 0), (1, 1), (1, 1)))
+        y = np.maximum(norm(sum(np.tensordot(w[f"block{i}"][:, :, j, k], p[:, j : j + y.shape[1], k : k + y.shape[2]], 1) for j in range(3) for k in range(3))[:, ::a, ::b]), 0)
+    v = y.mean(axis=(1, 2))
+    return v / np.linalg.norm(v)
+
+
+@pytest.mark.parametrize(("held", "slab"), [(1 << 30, 1 << 27), (1, 1 << 27), (1 << 22, 20000)])
+def test_batches_at_full_width_match_sums_over_taps(spark, monkeypatch, held, slab):
+    monkeypatch.setattr(encoder, "HELD", held)
+    monkeypatch.setattr(encoder, "SLAB", slab)
+    w = encoder.seeded_weights(3) if slab > 20000 else encoder.seeded_weights(3, channels=16, widths=(8, 16, 16, 24, 32))
+    x = np.random.default_rng(2).standard_normal((3, 96))
+    got = encoder.encode_batch(x, w)
+    assert np.allclose(got, [shifted_sums(v, w, 5) for v in x], atol=2e-5)
+    assert got.shape[1] == (512 if slab > 20000 else 32)
+
+
+def test_segments_of_several_lengths_are_embedded(spark):
+    w = encoder.seeded_weights(1, channels=16, widths=(8, 32), kernels=(3, 5, 7, 9))
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i}", i, [float(v) for v in rng.standard_normal(50 + 7 * (i % 2))]) for i in range(9)]
+    got = {r.clip: r.embedding for r in encoder.embed(spark.createDataFrame(rows, "clip string, seg_idx int, samples array<float>"), w).collect()}
+    assert all(np.allclose(got[c], encoder.encode(np.array(x, np.float32), w), atol=1e-5) for c, _, x in rows) and len(got) == 9
+
+
 def test_resampling_keeps_a_tone():
     x = tone(440, 2, rate=16000, noise=0.0)
     y = signal.resample(x, 16000, block=4000)
