@@ -385,6 +385,33 @@ def test_mixing_reaches_the_ratio():
     assert len(signal.noise_stretch([np.ones(3)], 10, rng)) == 10
 
 
+def test_waveform_expressions_match_the_kernels(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(v)) for v in rng.standard_normal(n) + 3], [float(np.float32(v)) for v in rng.standard_normal(n)], float(i)) for i, n in enumerate((0, 1, 2, 6, 30, 301))] + [(9, [2.0] * 5, [0.0] * 5, 3.0)]
+    df = spark.createDataFrame(rows, "clip long, samples array<float>, noise array<float>, snr_db double").withColumn("channels", F.lit(2))
+    mono = {r.clip: r.samples for r in signal.to_mono(df.where("size(samples) % 2 = 0")).collect()}
+    norm = {r.clip: r.samples for r in signal.normalised(df).collect()}
+    mixed = {r.clip: r.samples for r in signal.with_noise(df).collect()}
+    for clip, x, noise, snr in rows:
+        if len(x) % 2 == 0:
+            assert np.allclose(mono[clip], signal.mono(np.array(x, np.float32).reshape(-1, 2)), atol=1e-6)
+        if x:
+            assert np.allclose(norm[clip], signal.z_norm(np.array(x)), atol=1e-5)
+            assert np.allclose(mixed[clip], signal.mix_at_snr(np.array(x), np.array(noise), snr), rtol=1e-5, atol=1e-5)
+        else:
+            assert norm[clip] == mixed[clip] == []
+
+
+def test_best_identities_of_tiles_are_enough(spark, passages, monkeypatch):
+    want = {(r.q, r.vessel): (r.score, r["rank"]) for r in enrol.identify(passages, passages, 3).collect()}
+    every = retrieval.identity_scores(retrieval.side(passages), retrieval.side(passages)).collect()
+    for q in {r.q for r in every}:
+        best = sorted((-r.score, int(r.identity)) for r in every if r.q == q)[:3]
+        assert [want[q, v] for _, v in best] == [(-s, i + 1) for i, (s, _) in enumerate(best)]
+    monkeypatch.setattr(retrieval, "TILE", 2)
+    assert {(r.q, r.vessel): (r.score, r["rank"]) for r in enrol.identify(passages, passages, 3).collect()} == want
+
+
 def test_augmentation_is_seeded():
     x = tone(50, 5)
     a, b = signal.augment(x, [tone(9, 6)], 3), signal.augment(x, [tone(9, 6)], 3)

@@ -489,17 +489,24 @@ def fused_trials(a: DataFrame, b: DataFrame) -> DataFrame:
     return t.join(off, "q").select("q", "vessel", *((F.col(c) - F.col("off")).alias(c) for c in ("gen_score", "best_imp")), "rank", "top_match")
 
 
-def identity_scores(queries: DataFrame, gallery: DataFrame, skip_self: bool = False) -> DataFrame:
-    """Best score of each query and identity (``v``) of the gallery."""
+def identity_scores(queries: DataFrame, gallery: DataFrame, skip_self: bool = False, most: int | None = None) -> DataFrame:
+    """Best score of each query and identity (``v``) of the gallery.
+
+    With ``most`` a tile gives only so many identities a query, and ties of the last: an identity's best entry lies in one tile, where no
+    more than ``most`` - 1 others are ahead of it if it is one of the best ``most``. So rows do not grow with the number of identities;
+    identities beyond the best ``most`` of a query may be missing, or have a lower score than their best.
+    """
 
     def best(q: Side, g: Side, score: np.ndarray) -> pa.Table:
         score, _ = _part(q, g, score, skip_self)
         order = np.argsort(g.code, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(g.code[order]) != 0]))
         top = np.maximum.reduceat(score[:, order], first, axis=1)
-        names = g.vessels.take(pa.array(np.tile(order[first], len(q.ids))))
-        t = pa.table([pa.array(np.repeat(q.ids, len(first))), names, pa.array(top.ravel())], ["q", "identity", "score"])
-        return t.filter(pc.greater(t.column("score"), -np.inf))
+        keep = top > -np.inf
+        if most is not None and most < top.shape[1]:
+            keep &= top >= np.partition(top, -most, axis=1)[:, -most, None]
+        row, col = np.nonzero(keep)
+        return pa.table([pa.array(q.ids[row]), g.vessels.take(pa.array(order[first][col])), pa.array(top[row, col])], ["q", "identity", "score"])
 
     return tiled(queries, gallery, best, "q long, identity string, score double").groupBy("q", "identity").agg(F.max("score").alias("score"))
 

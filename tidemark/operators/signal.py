@@ -299,9 +299,16 @@ def _each(waves: DataFrame, work) -> DataFrame:
     return waves.mapInPandas(run, fields)
 
 
+def _mean(samples: Column, of=lambda x: x) -> Column:
+    """Mean of an array, or of a function of its entries, in double precision; null of an empty one."""
+    return F.try_divide(F.aggregate(samples, F.lit(0.0), lambda a, x: a + of(x.cast("double"))), F.size(samples).cast("double"))
+
+
 def to_mono(waves: DataFrame) -> DataFrame:
     """Rows with ``samples`` (frame by frame) of ``channels`` as their mean."""
-    return _each(waves, lambda r: mono(np.asarray(r["samples"], np.float32).reshape(-1, int(r["channels"]))))
+    n, c = F.size("samples"), F.col("channels").cast("int")
+    frames = F.when(n >= c, F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / c).cast("int") - 1, F.lit(0))), lambda i: _mean(F.slice("samples", i * c + 1, c)).cast("float")))
+    return waves.withColumn("samples", F.coalesce(frames, F.array().cast("array<float>")))
 
 
 def to_rate(waves: DataFrame, target: int = RATE) -> DataFrame:
@@ -309,13 +316,21 @@ def to_rate(waves: DataFrame, target: int = RATE) -> DataFrame:
     return _each(waves, lambda r: resample(np.asarray(r["samples"]), int(r["rate"]), target))
 
 
-def with_noise(waves: DataFrame) -> DataFrame:
+def with_noise(waves: DataFrame, eps: float = 1e-12) -> DataFrame:
     """Rows with ``samples``, ``noise`` of the same length and ``snr_db`` as their mixture."""
-    return _each(waves, lambda r: mix_at_snr(np.asarray(r["samples"]), np.asarray(r["noise"]), float(r["snr_db"])))
+    square = lambda x: x * x
+    power = (_mean(F.col("samples"), square) + eps) / F.pow(F.lit(10.0), F.col("snr_db") / 10)
+    w = waves.withColumn("_gain", F.sqrt(power / (_mean(F.col("noise"), square) + eps)))
+    mixed = F.zip_with("samples", "noise", lambda y, v: (y.cast("double") + v.cast("double") * F.col("_gain")).cast("float"))
+    return w.withColumn("samples", mixed).drop("_gain")
 
 
 def normalised(waves: DataFrame) -> DataFrame:
-    return _each(waves, lambda r: z_norm(np.asarray(r["samples"])))
+    """Rows with ``samples`` at zero mean and unit population deviation; nearly constant ones are only centred."""
+    w = waves.withColumn("_mean", _mean(F.col("samples")))
+    w = w.withColumn("_sd", F.sqrt(_mean(F.col("samples"), lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))))
+    by = F.when(F.col("_sd") >= 1e-8, F.col("_sd")).otherwise(1.0)
+    return w.withColumn("_by", by).withColumn("samples", F.transform("samples", lambda x: ((x.cast("double") - F.col("_mean")) / F.col("_by")).cast("float"))).drop("_mean", "_sd", "_by")
 
 
 def segments(waves: DataFrame) -> DataFrame:

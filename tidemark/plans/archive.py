@@ -60,18 +60,32 @@ def split_disjoint(spark, d):
     return etl.leaked(h.where("split = 'train'"), h.where("split = 'val'"))
 
 
-@query(
-    f"""WITH {SQL_HULLS}, e AS (SELECT * FROM hulls WHERE n_recordings >= 2), f AS (SELECT vessel_id FROM e WHERE on_both_hardware), p AS (SELECT * FROM e WHERE NOT on_both_hardware),
+def _sql_select(forced: str, order: str) -> str:
+    return f"""WITH {SQL_HULLS}, e AS (SELECT * FROM hulls WHERE n_recordings >= 2), f AS (SELECT vessel_id FROM e WHERE on_both_hardware AND {forced}), p AS (SELECT * FROM e WHERE NOT on_both_hardware),
 w AS (SELECT 40 - (SELECT count(*) FROM f) AS remaining), t AS (SELECT type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, type) AS pos FROM p GROUP BY type),
 a AS (SELECT type, pos, greatest(1, round_even(n / (SELECT sum(n) FROM t) * remaining, 0)::INT) AS k FROM t, w),
 adj AS (SELECT a.type, CASE WHEN total > remaining AND mx = 1 THEN k - (total - remaining) WHEN total < remaining AND pos = 1 THEN k + (remaining - total) ELSE k END AS k FROM (SELECT *, sum(k) OVER () AS total, row_number() OVER (ORDER BY k DESC, pos) AS mx FROM a) a, w),
-c AS (SELECT p.vessel_id, p.type, row_number() OVER (PARTITION BY p.type ORDER BY has_cpa DESC, n_recordings DESC, md5('42|' || vessel_id)) AS rn FROM p)
+c AS (SELECT p.vessel_id, p.type, row_number() OVER (PARTITION BY p.type ORDER BY has_cpa DESC, {order}, md5('42|' || vessel_id)) AS rn FROM p)
 SELECT h.vessel_id, CASE WHEN h.vessel_id IN (SELECT vessel_id FROM f) OR h.vessel_id IN (SELECT c.vessel_id FROM c JOIN adj ON adj.type = c.type WHERE rn <= k) THEN 'val' ELSE 'train' END AS split FROM hulls h"""
-)
+
+
+@query(_sql_select("true", "n_recordings DESC"))
 def select_val(spark, d):
     return etl.select_val(hulls(spark, d), 40).select("vessel_id", "split")
 
 
+@query(_sql_select("false", "abs(n_recordings - 3)"))
+def select_val_moderate(spark, d):
+    """Vessels on both kinds of hardware stay in train; those with about three recordings come first."""
+    return etl.select_val(hulls(spark, d), 40, both_hardware="train", prefer="moderate").select("vessel_id", "split")
+
+
+@query(SQL_ROLLUP + " SELECT identity, CASE WHEN is_background THEN 'ambient' WHEN n_sessions >= 2 AND identity_conf IN ('mmsi', 'named') THEN 'val' ELSE 'train' END AS split FROM g")
+def freeze_split_sessions(spark, d):
+    """The split by sessions instead of recordings."""
+    return etl.hull_split(etl.hull_rollup(_identified(spark, d)), min_sessions=2).select("identity", "split")
+
+
 @query(SQL_ROLLUP + " SELECT type, count(*) AS n_hulls, sum(n_recordings)::BIGINT AS n_recordings, count(*) FILTER (WHERE n_sessions >= 2) AS n_multi FROM g GROUP BY GROUPING SETS ((type), ())")
 def rollup_counts(spark, d):
     g = etl.hull_rollup(_identified(spark, d))

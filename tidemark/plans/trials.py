@@ -270,15 +270,15 @@ def gallery_depth_curve(spark, d):
 
 
 SQL_NEAREST = "(SELECT round(avg(CASE WHEN a.gen_score > b.best_imp THEN 1.0 WHEN a.gen_score = b.best_imp THEN 0.5 ELSE 0 END), 8) FROM trials a, trials b)"
-SQL_SELF = SQL_PASSAGES + ", scores AS (SELECT a.uid AS q, b.uid AS g, {0} AS qv, {1} AS gv, {0} = {1} AS same, list_dot_product(a.vec, b.vec) AS score FROM passages a, passages b WHERE a.pid = 1 AND b.pid = 0)"
+SQL_SELF = SQL_PASSAGES + ", scores AS (SELECT a.uid AS q, b.uid AS g, {0} AS qv, {1} AS gv, {0} = {1} AS same, list_dot_product(a.vec, b.vec) AS score FROM passages a, passages b WHERE a.pid > 0 AND b.pid = 0)"
 RAW, COLLAPSED = (SQL_SELF.format(*(c.format(f"{s}.vessel") for s in "ab")) for c in ("{0}", COLLAPSE))
 
 
 @query(f"WITH {RAW} {SQL_TRIALS} SELECT count(*) AS n_queries, avg((rank = 1)::INT) AS rank1, {SQL_NEAREST} AS auc, round(avg(gen_score), 8) AS genuine_mean, (SELECT round(avg(score), 8) FROM scores WHERE NOT same) AS impostor_mean FROM trials")
 def self_match(spark, d):
-    """Each vessel's second session against the first ones of all: one genuine entry a query."""
+    """Each vessel's later sessions against the first ones of all: one genuine entry a query."""
     p = passages(spark, d)
-    q, g = retrieval.side(p.where("pid = 1")), retrieval.side(p.where("pid = 0"))
+    q, g = retrieval.side(p.where("pid > 0")), retrieval.side(p.where("pid = 0"))
     rows = retrieval.sizes(q, g)
     t = retrieval.tiled_trials(q, g, skip_self=False, rows=rows).persist()  # a row a query, read three times
     every = retrieval.row_stats(q, g, skip_self=False, rows=rows).agg(F.sum(F.col("mean")).alias("total"), F.count("*").alias("n")).crossJoin(g.agg(F.count("*").alias("n_gallery")))
@@ -294,7 +294,7 @@ def raw_vs_collapsed(spark, d):
 
     def scored(name, identity):
         own = p.withColumn("own", F.expr(identity))
-        t = retrieval.trials_against(own.where("pid = 1"), own.where("pid = 0"), vessel="own", skip_self=False)
+        t = retrieval.trials_against(own.where("pid > 0"), own.where("pid = 0"), vessel="own", skip_self=False)
         t = t.persist()
         return t.agg(F.lit(name).alias("identities"), F.count("*").alias("n_queries"), F.avg((F.col("rank") == 1).cast("double")).alias("rank1")).crossJoin(metrics.nearest_impostor_auc(t).select(r("auc")))
 

@@ -56,7 +56,7 @@ def gallery(spark: SparkSession, gallery_path: str, columns: str) -> DataFrame:
 
 def identify(queries: DataFrame, gallery: DataFrame, most: int = 5) -> DataFrame:
     """Best score of each vessel for each query, ranked; all passages of a vessel count."""
-    found = retrieval.identity_scores(retrieval.side(queries), retrieval.side(gallery))
+    found = retrieval.identity_scores(retrieval.side(queries), retrieval.side(gallery), most=most)
     best = found.select("q", F.col("identity").cast(gallery.schema["vessel"].dataType).alias("vessel"), "score")
     order = W.partitionBy("q").orderBy(F.col("score").desc(), F.col("vessel"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
