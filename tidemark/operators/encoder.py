@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.etl import places
+
 # Kernel lengths, channels and groups of the filter bank; widths and strides of the blocks; scale and margin of the head.
 KERNELS, CHANNELS, GROUPS = (127, 511, 2047, 8191), 64, 16
 WIDTHS, STRIDES = (64, 128, 256, 512, 512), ((1, 1), (1, 4), (1, 4), (2, 2), (2, 2))
@@ -148,6 +150,14 @@ def load_weights(found: Weights, wanted: list[str], prefix: str = "encoder.") ->
     return {k: found[k] if k in found else found[prefix + k] for k in wanted}
 
 
+def grown_head(head: DataFrame, means: DataFrame) -> DataFrame:
+    """A margin head (vessel, class, vec) with a row for each further vessel of ``means`` (vessel, vec): old classes keep number and row, new ones follow by vessel and begin at their mean."""
+    new = places(means.join(head.select("vessel"), "vessel", "left_anti"), "vessel")
+    first = head.agg(F.coalesce(F.max("class") + 1, F.lit(0)).cast("long").alias("_first"))
+    grown = new.crossJoin(F.broadcast(first)).select("vessel", (F.col("_first") + F.col("place") - 1).alias("class"), "vec")  # one row is broadcast
+    return head.select("vessel", F.col("class").cast("long").alias("class"), "vec").unionByName(grown)
+
+
 def margin_logit(cosine: Column, own: Column) -> Column:
     """Logit of the margin head: the angle of the own class grows by the margin."""
     angle = F.acos(F.greatest(F.lit(-1 + 1e-7), F.least(F.lit(1 - 1e-7), cosine)))

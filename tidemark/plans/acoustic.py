@@ -276,5 +276,25 @@ def shifted_frames(spark, d):
     return _samples(w.select("clip", signal.shifted(F.col("samples"), _draw(8) % 11).alias("samples")))
 
 
+@query(f"WITH {SQL_FRAMES} SELECT clip % 500 AS passage, row_number() OVER (PARTITION BY clip % 500 ORDER BY printf('seg_%08d', clip), i) - 1 AS i, y AS value FROM f")
+def concatenated_frames(spark, d):
+    """The pieces of a passage joined in order of their names."""
+    w = _frames(spark, d).select((F.col("clip") % 500).alias("passage"), F.format_string("seg_%08d", F.col("clip")).alias("name"), "samples")
+    s = sliced.concatenated(w, "passage")
+    return s.select("passage", F.posexplode("samples").alias("i", "value")).select("passage", F.col("i").cast("long").alias("i"), F.col("value").cast("double").alias("value"))
+
+
+@query("WITH d AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL), m AS (SELECT label, i, avg(x) AS m FROM d GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label), c AS (SELECT label, dense_rank() OVER (ORDER BY label >= 6, label) - 1 AS class FROM n) SELECT c.label::BIGINT AS vessel, class, i - 1 AS i, round(CASE WHEN c.label < 6 THEN CASE WHEN i - 1 = c.label THEN 1 ELSE 0 END ELSE m / CASE WHEN n > 0 THEN n ELSE 1 END END, 8) AS value FROM c JOIN m ON m.label = c.label JOIN n ON n.label = c.label")
+def grown_head(spark, d):
+    """A head of six vessels grown by the others: old rows stay, new ones begin at their vessel's mean."""
+    from tidemark.operators.retrieval import pool
+
+    own = pool(segments(spark, d).where("vessel IS NOT NULL"), ["vessel"], "vec", DIM).select("vessel", "vec")
+    unit = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: (i == F.col("vessel")).cast("double"))
+    old = own.where("vessel < 6").select("vessel", F.col("vessel").alias("class"), unit.alias("vec"))
+    h = encoder.grown_head(old, own)
+    return h.select("vessel", "class", F.posexplode("vec").alias("i", "value")).select("vessel", "class", F.col("i").cast("long").alias("i"), F.round("value", 8).alias("value"))
+
+
 for _name in ("line_match", "tonal_scores", "margin_logits"):  # names under which these were registered too
     QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

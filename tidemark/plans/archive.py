@@ -278,10 +278,11 @@ def last_history(spark, d):
     return _history(spark, d).orderBy(F.col("epoch").desc()).limit(10).select("epoch", "rank1")
 
 
-@query("SELECT e AS epoch, round(CASE WHEN e <= 3 THEN 1e-3 * e / 3 ELSE 1e-6 + 0.5 * (1e-3 - 1e-6) * (1 + cos(3.141592653589793 * (e - 3) / 97.0)) END, 10) AS lr, (e - 1) % 25 + 1 AS set_idx FROM range(1, 101) t(e)")
+@query(f"WITH {SQL_HISTORY}, t AS (SELECT epoch, (epoch - 1) % 100 + 1 AS e FROM h) SELECT epoch, round(CASE WHEN e <= 3 THEN 1e-3 * e / 3 ELSE 1e-6 + 0.5 * (1e-3 - 1e-6) * (1 + cos(3.141592653589793 * (e - 3) / 97.0)) END, 10) AS lr, (e - 1) % 25 + 1 AS set_idx FROM t")
 def lr_schedule(spark, d):
-    e = spark.range(1, 101).withColumnRenamed("id", "epoch")
-    return e.select("epoch", F.round(T.learning_rate(F.col("epoch"), 1e-3, 100), 10).alias("lr"), T.set_number(F.col("epoch")).alias("set_idx"))
+    """Learning rate and epoch set of each epoch of the history, in runs of a hundred."""
+    e = (F.col("epoch") - 1) % 100 + 1
+    return _history(spark, d).select("epoch", F.round(T.learning_rate(e, 1e-3, 100), 10).alias("lr"), T.set_number(e).alias("set_idx"))
 
 
 SQL_SETS = """WITH r AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT) AS path, l_suppkey AS vessel_id, l_partkey % (1 + l_suppkey % 40) <> 0 AS is_augmented FROM lineitem),
