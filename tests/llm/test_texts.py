@@ -208,6 +208,8 @@ def test_licence_expressions():
         with pytest.raises(ValueError):
             licenses.to_postfix(bad)
     scan = lambda raw: licenses.scan_text(raw, licenses.build_automaton())["labels"]
+    assert scan(b"SPDX-License-Identifier: see mitigation notes") == "" and scan(b"SPDX-License-Identifier: bsdiff AND isces") == ""
+    assert scan(b"SPDX-License-Identifier: GPLv3 or Apache-2.0") == "apache,gpl" and scan(b"SPDX-License-Identifier: CC-BY-SA-4.0") == "cc-by,cc-by-sa"
     assert scan(b"SPDX\n * License ... Identifier: MIT") == "mit" and scan(b"xspdx-license-identifier: MIT") == ""
     assert scan(b"Creative Commons Attribution-NonCommercial 4.0") == "cc-by-nc"
     assert scan(b"Creative Commons Attribution 4.0") == "cc-by" and scan(b"Creative Commons Attribution-ShareAlike") == "cc-by-sa"

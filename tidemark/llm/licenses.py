@@ -100,8 +100,9 @@ def to_postfix(expression: str) -> list[str]:
 
 
 def family(identifier: str) -> tuple[str | None, float]:
+    """Label and obligation of an identifier: a family's name alone or before what is no letter, or a version such as v2; words that only begin like one are none."""
     low = identifier.lower()
-    return next(((name, weight) for prefix, name, weight in FAMILIES if low.startswith(prefix)), (None, 0.5))
+    return next(((name, weight) for prefix, name, weight in FAMILIES if re.match(rf"{re.escape(prefix)}(?:$|[^a-z]|v[0-9])", low)), (None, 0.5))
 
 
 def evaluate(postfix: list[str]) -> tuple[frozenset[str], float]:
