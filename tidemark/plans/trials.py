@@ -359,7 +359,7 @@ def auc_by_language(spark, d):
     return metrics.auc(trial_scores(spark, d), ["lang"]).where("auc IS NOT NULL").select("lang", "n_genuine", "n_impostor", r("auc"))
 
 
-@query(f"WITH {SQL_SCORES}, x AS (SELECT lang, row_number() OVER v AS pos, 1 - sum(genuine::INT) OVER w / sum(genuine::INT) OVER (PARTITION BY lang) AS fnr, sum((NOT genuine)::INT) OVER w / sum((NOT genuine)::INT) OVER (PARTITION BY lang) AS fpr FROM scores WINDOW v AS (PARTITION BY lang ORDER BY score DESC, genuine DESC), w AS (PARTITION BY lang ORDER BY score DESC, genuine DESC ROWS UNBOUNDED PRECEDING)), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY abs(fnr - fpr), pos) AS rn FROM x) SELECT lang, round((fnr + fpr) / 2, 8) AS eer FROM k WHERE rn = 1 AND fnr IS NOT NULL AND fpr IS NOT NULL")
+@query(f"WITH {SQL_SCORES}, x AS (SELECT lang, row_number() OVER v AS pos, 1 - sum(genuine::INT) OVER w / sum(genuine::INT) OVER (PARTITION BY lang) AS fnr, sum((NOT genuine)::INT) OVER w / sum((NOT genuine)::INT) OVER (PARTITION BY lang) AS fpr FROM (SELECT *, count(*) FILTER (WHERE genuine) OVER (PARTITION BY lang) AS tp, count(*) OVER (PARTITION BY lang) AS t FROM scores) WHERE tp > 0 AND tp < t WINDOW v AS (PARTITION BY lang ORDER BY score DESC, genuine DESC), w AS (PARTITION BY lang ORDER BY score DESC, genuine DESC ROWS UNBOUNDED PRECEDING)), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY abs(fnr - fpr), pos) AS rn FROM x) SELECT lang, round((fnr + fpr) / 2, 8) AS eer FROM k WHERE rn = 1")
 def eer_by_language(spark, d):
     return metrics.eer_sorted(trial_scores(spark, d), ["lang"]).select("lang", r("eer"))
 
