@@ -277,14 +277,47 @@ def test_short_items_are_found_inside_long_texts(spark):
 
 
 def test_blocks_find_every_fingerprint_within_the_radius(monkeypatch):
-    rng = random.Random(2)
-    index = decontamination.ItemIndex(list(range(50)), [" ".join(f"w{rng.randrange(90)}" for _ in range(20)) for _ in range(50)])
-    prints = np.array([int(p) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 40))) for p in index.prints], dtype=np.uint64)
+    rng = np.random.default_rng(2)
+    entries = rng.integers(0, 1 << 64, (300, 2), dtype=np.uint64)
+    flips = np.zeros((600, 128), dtype=np.uint8)
+    for i, row in enumerate(flips):
+        row[rng.permutation(128)[: i % 45]] = 1
+    prints = entries[np.arange(600) % 300] ^ np.packbits(flips, axis=1).view(np.uint64)
+    apart = np.bitwise_count(prints[:, None, :] ^ entries[None, :, :]).sum(axis=2)
+    want = set(zip(*(x.tolist() for x in np.nonzero(apart <= decontamination.RADIUS)), strict=True))
+    index = decontamination.HammingBlocks(entries)
+    read = index.candidates(prints)
+    assert 0.25 < read.mean() < 0.29 and all(read[w, i] for w, i in want) and len(want) >= 520
     for cells in (1 << 18, 70):
         monkeypatch.setattr(decontamination, "CELLS", cells)
-        which, item = index.near(prints, np.arange(50))
-        found = list(zip(which.tolist(), item.tolist()))
-        assert sorted(found) == sorted({(i, j) for i in range(50) for j in range(50) if int(prints[i] ^ index.prints[j]).bit_count() <= decontamination.RADIUS})
+        found = list(zip(*(x.tolist() for x in index.within(prints)), strict=True))
+        assert len(found) == len(want) and set(found) == want
+    few = decontamination.BALL[:200]
+    assert len(index.tables[0][0]) > len(few)
+    near = np.isin(prints.view("<u2")[:, None, :] ^ entries.view("<u2")[None, :, :], few).any(axis=2)
+    monkeypatch.setattr(decontamination, "BALL", few)  # tables above the ball are probed: only what the ball reaches is met
+    assert (index.candidates(prints) == near).all()
+
+
+def test_large_tables_are_probed():
+    rng = np.random.default_rng(3)
+    entries = rng.integers(0, 1 << 64, (4000, 2), dtype=np.uint64)
+    index = decontamination.HammingBlocks(entries)
+    assert all(len(keys) > len(decontamination.BALL) for keys, _, _ in index.tables)
+    prints = rng.integers(0, 1 << 64, (40, 2), dtype=np.uint64)
+    apart = np.bitwise_count(prints.view("<u2")[:, None, :] ^ entries.view("<u2")[None, :, :])
+    assert (index.candidates(prints) == (apart <= decontamination.NEAR).any(axis=2)).all()
+
+
+def test_items_are_found_by_the_tables_alone():
+    rng = random.Random(4)
+    items = [" ".join(f"w{rng.randrange(900)}" for _ in range(20)) for _ in range(50)]
+    index = decontamination.ItemIndex(list(range(50)), items)
+    values, _, words = decontamination.block_shingles(pa.array([" ".join(["x", *items[7].split(), "y"])]))
+    assert set(index.search(values, int(words[0]))) == {7}
+    for table in index.blocks.values():
+        table.tables = [(keys[:0], first[:1], entries[:0]) for keys, first, entries in table.tables]
+    assert index.search(values, int(words[0])) == {}
 
 
 def test_recall_of_near_copies():

@@ -4,14 +4,16 @@ For an item of m words, every window of m words of a document is compared with i
 fewer words is one window). Words are runs of letters, digits and non-ASCII bytes after A-Z are
 lower-cased; shingles are five words (all m for an item with fewer), weighted by how often they occur. A window as similar as
 0.8 lacks a fifth of an item's shingles at most, so it holds one of the rarest ones that make up more than
-that: windows without any of these are left out before anything is computed for them, exactly, and the
-items of the others are named by these shingles. Windows get a SimHash of 64 bits; of the items named, those
-that agree with it in one of ``RADIUS`` + 1 blocks of bits are all that can be within ``RADIUS`` (two fingerprints that
-differ in at most that many bits agree in a block), and of those the weighted Jaccard similarity of the shingles decides.
+that: windows without any of these are left out, exactly, before anything is computed for them. The others get a SimHash of 128
+bits, which is looked up in the multi-index of the items of their size: a table for each of eight blocks of 16 bits. Two
+fingerprints that differ in at most ``RADIUS`` bits differ in at most ``NEAR`` bits of some block, so the
+entries whose block value is that near, in any block, are all that can be within the radius. The tables alone name the
+candidates; the weighted Jaccard similarity of the shingles decides on those within the radius.
 
-At similarity 0.8 bits differ with probability 0.15, so more than 24 of 64 differ about once in a
-million; a smaller radius would lose true pairs. At this radius a block has two or three bits and tells little
-by itself (used as the only index, the blocks meet 4.5 entries for each pair), hence the rare shingles first.
+At similarity 0.8 bits differ with probability 0.15 where shingles do not repeat, so more than 39 of 128 differ about four times in
+a million; a smaller radius would lose true pairs. Random fingerprints are candidates with probability 0.27 and within the
+radius with probability 6e-6. A window that differs by one shingle many times over differs in more bits (11 of 100
+shingles that are all the same one: 0.36), and may be missed at similarities near 0.8.
 
 Defined cases: null and empty texts, on either side, match nothing; an item with fewer than five words is found wherever a
 window of exactly its words stands (any other has similarity 0), a text with fewer than five words holds such items only;
@@ -30,19 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import LOWER, MARKS, SortedHashes, Words, column, cut, shingles, slices, text_buffer
+from tidemark.llm.blocks import LOWER, MARKS, U64, SortedHashes, Words, column, cut, mix, shingles, slices, text_buffer
 from tidemark.llm.filters import row_key, without
 
 #: Words of a shingle; least similarity; Hamming radius; bytes of item text a pass.
-SIZE, LEAST, RADIUS = 5, 0.8, 24
+SIZE, LEAST, RADIUS = 5, 0.8, 39
 BLOCK_BYTES = 8 << 20
 
-#: Pairs of fingerprints compared at once.
+#: Pairs of a fingerprint and an entry looked at at once.
 CELLS = 1 << 18
 
-#: The bits of the RADIUS + 1 blocks of a fingerprint.
-_EDGES = np.linspace(0, 64, RADIUS + 2).round().astype(int).tolist()
-_MASKS = [np.uint64((1 << b) - (1 << a)) for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True)]
+#: 64-bit words and 16-bit blocks of a fingerprint; bits that differ at most in the best block of two fingerprints within the radius.
+WIDE, BLOCKS = 2, 8
+NEAR = RADIUS // BLOCKS
+
+#: What a block value is changed by to reach every value within ``NEAR`` bits.
+_every = np.arange(1 << 16, dtype=np.uint16)
+BALL = _every[np.bitwise_count(_every) <= NEAR]
 
 
 def block_shingles(col: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,17 +61,18 @@ def block_shingles(col: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndar
 
 
 def signs(values: np.ndarray) -> np.ndarray:
-    """A row of 64 signs (+1, -1) a hash."""
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """A row of 128 signs (+1, -1) a hash."""
+    both = np.stack([values, mix(values ^ U64(0x9E3779B97F4A7C15))], axis=1)
+    bits = np.unpackbits(both.astype("<u8").view(np.uint8), axis=1, bitorder="little")
     return bits.astype(np.int16) * 2 - 1
 
 
 def pack(sums: np.ndarray) -> np.ndarray:
-    """SimHash: the bits of the positive sums."""
-    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
+    """SimHash: the bits of the positive sums, a row of ``WIDE`` words each."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1, WIDE)
 
 
-def simhash(values: np.ndarray) -> np.uint64:
+def simhash(values: np.ndarray) -> np.ndarray:
     return pack(signs(values).sum(axis=0, dtype=np.int64)[None, :])[0]
 
 
@@ -78,8 +85,49 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
+class HammingBlocks:
+    """Multi-index over fingerprints: for each block of bits a sorted table of its values and of the entries that have them."""
+
+    def __init__(self, prints: np.ndarray) -> None:
+        self.prints = prints
+        self.tables = []
+        for value in prints.view("<u2").T:
+            order = np.argsort(value, kind="stable")
+            keys, first = np.unique(value[order], return_index=True)
+            self.tables.append((keys, np.append(first, len(order)), order))
+
+    def candidates(self, prints: np.ndarray) -> np.ndarray:
+        """Flags (print, entry): the entry is met in the table of some block.
+
+        A table is probed with every value of the ball, or, where it has fewer values than the ball, read through.
+        """
+        met = np.zeros((len(prints), len(self.prints)), dtype=bool)
+        for value, (keys, first, entries) in zip(prints.view("<u2").T, self.tables, strict=True):
+            if len(keys) <= len(BALL):
+                which, key = np.nonzero(np.bitwise_count(value[:, None] ^ keys[None, :]) <= NEAR)
+            else:
+                probe = value[:, None] ^ BALL[None, :]
+                at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+                which, place = np.nonzero(keys[at] == probe)
+                key = at[which, place]
+            n = first[key + 1] - first[key]
+            met[np.repeat(which, n), entries[np.arange(n.sum()) + np.repeat(first[key] - np.cumsum(n) + n, n)]] = True
+        return met
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (place in ``prints``, entry) within the radius; ``CELLS`` cells at a time."""
+        which, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, CELLS // max(1, len(self.prints)))
+        for k in range(0, len(prints), step):
+            w, entry = np.nonzero(self.candidates(prints[k : k + step]))
+            inside = np.bitwise_count(prints[k + w] ^ self.prints[entry]).sum(axis=1) <= RADIUS
+            which.append(k + w[inside])
+            found.append(entry[inside])
+        return np.concatenate(which), np.concatenate(found)
+
+
 class ItemIndex:
-    """Items of one block: their shingles, fingerprints, and which items the rarest shingles name."""
+    """Items of one pass: their shingles, the rarest ones with the sizes that these name, and a multi-index for each size."""
 
     def __init__(self, ids: list[int], texts: list[str | None]) -> None:
         values, first, words = block_shingles(pa.array(texts, pa.string()))
@@ -94,42 +142,27 @@ class ItemIndex:
         self.ids = [ids[i] for i in used]
         self.words = np.array([words[i] for i in used], dtype=np.int64)
         self.values = [values[first[i] : first[i + 1]] for i in used]
-        self.prints = np.array([simhash(v) for v in self.values], dtype=np.uint64)
-        named = self._rarest()
-        self.known = SortedHashes(np.unique(named[:, 0].astype(np.uint64)) if len(named) else np.zeros(0, np.uint64))
-        order = np.lexsort([named[:, 1], named[:, 0]])
-        self.item_of = named[order, 1].astype(np.int64)
-        self.item_first = np.searchsorted(named[order, 0], np.append(self.known.keys, np.uint64(0)))[:-1]
-        self.item_first = np.append(self.item_first, len(named))
-
-    def _rarest(self) -> np.ndarray:
-        """Pairs (shingle, item): of each item the shingles in fewest items, enough of them that a similar window must hold one."""
+        prints = np.array([simhash(v) for v in self.values], dtype="<u8").reshape(-1, WIDE)
+        self.of_size = {m: np.flatnonzero(self.words == m) for m in np.unique(self.words).tolist()}
+        self.blocks = {m: HammingBlocks(np.ascontiguousarray(prints[own])) for m, own in self.of_size.items()}
+        shingle, item = self._rarest()
+        named = np.unique(np.rec.fromarrays([shingle, self.words[item]], names="shingle,size"))  # a shingle and a size once
+        keys, first = np.unique(named["shingle"], return_index=True)
+        self.known = SortedHashes(keys)
+        self.size_of, self.size_first = named["size"], np.append(first, len(named))
+
+    def _rarest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles and items: of each item the shingles in fewest items, enough of them that a similar window must hold one."""
         pairs = [np.unique(v, return_counts=True) for v in self.values]
         if not pairs:
-            return np.zeros((0, 2), np.uint64)
+            return np.zeros(0, U64), np.zeros(0, np.int64)
         every, items = np.unique(np.concatenate([v for v, _ in pairs]), return_counts=True)
         out = []
         for i, (v, times) in enumerate(pairs):
             order = np.lexsort([v, items[np.searchsorted(every, v)]])
             may_lack = int((1 - LEAST) * len(self.values[i]) + 1e-9)
-            n = int(np.searchsorted(np.cumsum(times[order]), may_lack, side="right")) + 1
-            out.append(np.stack([v[order[:n]], np.full(min(n, len(v)), i, np.uint64)], axis=1))
-        return np.concatenate(out)
-
-    def near(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (place in ``prints``, one of ``items``) within the radius, by the blocks; ``CELLS`` pairs at a time."""
-        which, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        step = max(1, CELLS // max(1, len(prints)))
-        for k in range(0, len(items), step):
-            apart = prints[:, None] ^ self.prints[items[k : k + step]][None, :]
-            agree = np.zeros(apart.shape, dtype=bool)
-            for mask in _MASKS:
-                agree |= (apart & mask) == 0
-            w, i = np.nonzero(agree)
-            inside = np.bitwise_count(apart[w, i]) <= RADIUS
-            which.append(w[inside])
-            found.append(items[k + i[inside]])
-        return np.concatenate(which), np.concatenate(found)
+            out.append(v[order[: int(np.searchsorted(np.cumsum(times[order]), may_lack, side="right")) + 1]])
+        return np.concatenate(out), np.repeat(np.arange(len(out)), [len(v) for v in out])
 
     def search_short(self, col: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(row, item id, 1.0, first word, words) of each short item that a text holds, its first window."""
@@ -148,30 +181,28 @@ class ItemIndex:
         place = self.known.find(values)
         hits = np.flatnonzero(place >= 0)
         best: dict[int, tuple[float, int, int]] = {}
-        n = self.item_first[place[hits] + 1] - self.item_first[place[hits]]
+        n = self.size_first[place[hits] + 1] - self.size_first[place[hits]]
         at = np.repeat(hits, n)
-        items = self.item_of[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.item_first[place[hits]], n)]
-        sizes = self.words[items]
+        sizes = self.size_of[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.size_first[place[hits]], n)]
         for m in np.unique(sizes).tolist():
             span = m - SIZE + 1
             last = max(0, len(values) - span)
-            own, named = at[sizes == m], items[sizes == m]
+            own = at[sizes == m]
             mark = np.zeros(last + 2, dtype=np.int32)  # windows that hold a hit: those that start up to span - 1 before it
             np.add.at(mark, np.minimum(np.maximum(own - span + 1, 0), last), 1)
             np.add.at(mark, np.minimum(own, last) + 1, -1)
             starts = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
             for piece in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):
                 for k in range(0, len(piece), 4096):  # bounds the sums held for one very long document
-                    part = piece[k : k + 4096]
-                    some = np.unique(named[(own >= part[0]) & (own < part[-1] + span)])
-                    self._verify(values, part, span, m, n_words, some, best)
+                    self._verify(values, piece[k : k + 4096], span, m, n_words, best)
         return best
 
-    def _verify(self, values: np.ndarray, starts: np.ndarray, span: int, m: int, n_words: int, items: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
+    def _verify(self, values: np.ndarray, starts: np.ndarray, span: int, m: int, n_words: int, best: dict[int, tuple[float, int, int]]) -> None:
         low, high = int(starts[0]), min(int(starts[-1]) + span, len(values))
-        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(values[low:high]), axis=0, dtype=np.int32)])
+        sums = np.concatenate([np.zeros((1, 64 * WIDE), np.int32), np.cumsum(signs(values[low:high]), axis=0, dtype=np.int32)])
         prints = pack(sums[np.minimum(starts + span, high) - low] - sums[starts - low])
-        for w, item in zip(*(x.tolist() for x in self.near(prints, items)), strict=True):
+        which, entries = self.blocks[m].within(prints)
+        for w, item in zip(which.tolist(), self.of_size[m][entries].tolist(), strict=True):
             start = int(starts[w])
             like = weighted_jaccard(values[start : start + span], self.values[item])
             old = best.get(item, (0.0, 0, 0))
@@ -192,10 +223,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     kind = dict(narrow.dtypes)["id"]
 
     def one(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r.id for r in rows], [r.t for r in rows]))
+        shared = spark.sparkContext.broadcast(ItemIndex([r.id for r in rows], [r.t for r in rows]))  # built once, not by each task
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*shared.value)
+            index = shared.value
             for batch in slices(batches, "t"):
                 values, first, words = block_shingles(column(batch, "t"))
                 place = index.known.find(values) >= 0
