@@ -88,10 +88,27 @@ def test_syncmers_depend_on_their_k_mer_alone():
     wide = blocks.mix(np.concatenate([fingerprints._PAD, np.frombuffer(text.encode("utf-32-le"), np.uint32)]).astype(np.uint64))
     inner = blocks.mix(fingerprints._polynomial(wide, s))
     places = [i for i in range(len(wide) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
-    values = {int(v) for v in blocks.mix(fingerprints._polynomial(wide, k)[places]) >> np.uint64(32)}
+    values = {int(v) for v in blocks.mix(fingerprints._polynomial(wide, k)[places]) >> np.uint64(64 - fingerprints.BITS)}
     assert {int(h) for h in fingerprints.sketches([text])[0][:, 0]} == values
 
 
+def test_fingerprints_are_compact_and_come_back_whole():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(20000))
+    for t in ("", "a", "é", "a" * 5000, text, "z" * 3000 + text[:50] + "z" * 70000 + text[:900]):
+        s = fingerprints.sketches([t])[0]
+        assert np.array_equal(fingerprints.from_string(fingerprints.to_string(s)), s)
+        assert (fingerprints.to_string(s) == "") == (t == "")
+    apart = np.array([[7, 0], [3, 254], [3, 509], [9, 765], [2, 10**6]], np.uint32)
+    apart = apart[np.lexsort((apart[:, 1], apart[:, 0]))]
+    assert np.array_equal(fingerprints.from_string(fingerprints.to_string(apart)), apart)
+    assert len(fingerprints.to_string(fingerprints.sketches([text])[0])) < 1.2 * len(text)
+    whole, part = ({tuple(r) for r in fingerprints.sketches([text], n)[0].tolist()} for n in (1, 4))
+    assert part < whole and 0.2 < len(part) / len(whole) < 0.3
+    assert len(fingerprints.to_string(fingerprints.sketches([text], 4)[0])) < 0.3 * len(text)
+    assert all(len(fingerprints.sketches([text[i : i + 20]], 1000)[0]) == 1 for i in range(50))
+
+
 def plain_likeness(a, b):
     diagonals, left, right = collections.Counter(), collections.Counter(a[:, 0].tolist()), collections.Counter(b[:, 0].tolist())
     for h, p in a.tolist():

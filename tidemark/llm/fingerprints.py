@@ -3,9 +3,11 @@
 A k-mer of code points is a closed syncmer when the least hash of its inner s-mers stands at its
 first or last place; whether it is chosen depends on the k-mer alone, so equal passages choose equal
 anchors wherever they stand. A text is led by k - 1 padding symbols, so short texts have anchors
-too. The fingerprint keeps every anchor, repeated ones too, each with its position (base64 of
-little-endian 32-bit pairs). Likeness is the share of the anchors of both, counted with repeats, that
-match on the commonest diagonal (difference of positions).
+too. The fingerprint keeps every anchor, repeated ones too, each with a hash of 24 bits and its
+position: base64 of their number, the hashes in order of position, the distances to the anchor before
+in a byte each, and those of 255 and more in four. Likeness is the share of the anchors of both, counted
+with repeats, that match on the commonest diagonal (difference of positions). ``thin`` keeps one anchor
+in so many, chosen by its hash alone, where a smaller fingerprint is worth a rougher likeness.
 
 Defined cases: null texts are empty; an empty text has an empty fingerprint, like another empty one
 by 1 and any other by 0; a text without an anchor has one made of its whole; equal texts have equal
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import U64, column, mix, partitions, slices
 
-#: Code points of a k-mer and of its inner s-mers.
-K, S = 15, 6
+#: Code points of a k-mer and of its inner s-mers; bits of an anchor's hash.
+K, S, BITS = 15, 6, 24
 #: Pairs of places that are listed at once; a hash with more than ``DENSE`` pairs a place is correlated by FFT instead.
 PAIRS, DENSE = 1 << 20, 16
 _FIRST = -(1 << 63)
@@ -65,8 +67,8 @@ def _polynomial(x: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def sketches(texts: list[str]) -> list[np.ndarray]:
-    """Anchors of each text: a (hash, position) row each, in rising order of hash, then of position."""
+def sketches(texts: list[str], thin: int = 1) -> list[np.ndarray]:
+    """Anchors of each text: a (hash, position) row each, in rising order of hash, then of position; with ``thin``, one in so many by a threshold of the hash."""
     n = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     lead = K - 1
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -84,7 +86,9 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
         doc = np.searchsorted(start, chosen, side="right") - 1
         inside = chosen + K <= start[doc + 1]
         chosen, doc = chosen[inside], doc[inside]
-        value = mix(_polynomial(wide, K)[chosen]) >> U64(32)
+        value = mix(_polynomial(wide, K)[chosen])
+        kept = (value & U64(0xFFFFFFFF)) < U64((1 << 32) // thin)
+        chosen, doc, value = chosen[kept], doc[kept], value[kept] >> U64(64 - BITS)
     place = chosen - start[doc]
     order = np.lexsort((place, value, doc))
     value, doc, place = value[order], doc[order], place[order]
@@ -92,16 +96,31 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     rows = np.stack([value, place.astype(U64)], axis=1).astype(np.uint32)
     out = [rows[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     for i in np.flatnonzero((np.diff(first) == 0) & (n > 0)).tolist():
-        out[i] = np.array([[int.from_bytes(hashlib.sha256(texts[i].encode("utf-8", "surrogatepass")).digest()[:4], "little"), 0]], dtype=np.uint32)
+        out[i] = np.array([[int.from_bytes(hashlib.sha256(texts[i].encode("utf-8", "surrogatepass")).digest()[: BITS // 8], "little"), 0]], dtype=np.uint32)
     return out
 
 
 def to_string(sketch: np.ndarray) -> str:
-    return base64.b64encode(sketch.astype("<u4").tobytes()).decode()
+    if not len(sketch):
+        return ""
+    rows = sketch[np.lexsort((sketch[:, 0], sketch[:, 1]))].astype("<u4")
+    hashes = np.ascontiguousarray(rows[:, 0]).view(np.uint8).reshape(-1, 4)[:, : BITS // 8]
+    apart = np.diff(rows[:, 1], prepend=np.uint32(0)).astype("<u4")
+    raw = len(rows).to_bytes(4, "little") + hashes.tobytes() + np.minimum(apart, 255).astype(np.uint8).tobytes() + apart[apart >= 255].tobytes()
+    return base64.b64encode(raw).decode()
 
 
 def from_string(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), dtype="<u4").reshape(-1, 2)
+    raw = base64.b64decode(fingerprint)
+    if not raw:
+        return np.zeros((0, 2), np.uint32)
+    n, wide = int.from_bytes(raw[:4], "little"), BITS // 8
+    hashes = np.zeros((n, 4), np.uint8)
+    hashes[:, :wide] = np.frombuffer(raw, np.uint8, n * wide, 4).reshape(n, wide)
+    apart = np.frombuffer(raw, np.uint8, n, 4 + n * wide).astype(np.uint32)
+    apart[apart == 255] = np.frombuffer(raw, "<u4", -1, 4 + n * (wide + 1)) if len(raw) > 4 + n * (wide + 1) else 0
+    rows = np.stack([hashes.view("<u4").ravel(), np.cumsum(apart, dtype=np.uint32)], axis=1)
+    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
 
 
 def _diagonals(a: np.ndarray, b: np.ndarray, fa: np.ndarray, ca: np.ndarray, fb: np.ndarray, cb: np.ndarray) -> np.ndarray:
@@ -143,13 +162,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return int(_diagonals(a, b, fa[i], ca[i], fb[j], cb[j]).max()) / union
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and fingerprint of each document; one pass, no shuffle."""
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thin: int = 1) -> DataFrame:
+    """Id and fingerprint of each document; one pass, no shuffle. ``thin``: one anchor in so many is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = [t or "" for t in column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([to_string(s) for s in sketches(texts)])], ["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([to_string(s) for s in sketches(texts, thin)])], ["id", "fingerprint"])
 
     narrow = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     return narrow.mapInArrow(run, f"id {dict(narrow.dtypes)['id']}, fingerprint string").withColumnRenamed("id", id_col)
