@@ -167,37 +167,25 @@ def condition_counts(spark, d):
     return e.groupBy(F.when(k == 0, "clean").when(k == 1, "speed").otherwise("speed_noise").alias("condition")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_clips"))
 
 
-def _waves(spark, d, seconds: int):
-    """A tone a region in seeded noise, at the tables' number of regions."""
-    regions = table(spark, d, "region").select(F.col("r_name").alias("clip"), F.col("r_regionkey").alias("k"))
+def _tones(spark, d, seconds: int):
+    """Three tones a supplier, in the middle of bands that its keys name, in seeded noise."""
+    k, bands = F.col("s_suppkey"), F.array((40 + F.col("s_suppkey") * 7 % 150), (250 + F.col("s_suppkey") * 13 % 200), (500 + F.col("s_nationkey") * 8))
+    suppliers = table(spark, d, "supplier").select(k.cast("string").alias("clip"), k.cast("long").alias("k"), F.transform(bands, lambda b: b * signal.BAND_HZ + 4.5).alias("tones"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = np.arange(seconds * signal.RATE) / signal.RATE
         for frame in frames:
-            t = np.arange(seconds * signal.RATE) / signal.RATE
-            make = lambda k: (0.5 * np.sin(2 * np.pi * (100 + 37 * k) * t) + np.random.default_rng(k).standard_normal(len(t))).astype(np.float32)
-            yield pd.DataFrame({"clip": frame["clip"], "samples": [make(int(k)) for k in frame["k"]]})
+            for clip, k, tones in frame.itertuples(index=False):
+                x = np.random.default_rng(k).standard_normal(len(t)) + sum(0.125 * np.sin(2 * np.pi * f * t) for f in tones)
+                yield pd.DataFrame({"clip": [clip], "samples": [x.astype(np.float32)]})
 
-    return regions.mapInPandas(run, "clip string, samples array<float>")
+    return suppliers.repartition(4 * spark.sparkContext.defaultParallelism, "clip").mapInPandas(run, "clip string, samples array<float>")
 
 
-@query("SELECT r_name AS clip, 100.0 + 37 * r_regionkey AS freq_hz FROM region")
+@query("WITH b AS (SELECT s_suppkey, unnest([40 + s_suppkey * 7 % 150, 250 + s_suppkey * 13 % 200, 500 + s_nationkey * 8]) AS band FROM supplier) SELECT s_suppkey::VARCHAR AS clip, band * 2 + 4.5::DOUBLE AS freq_hz FROM b")
 def waveform_lines(spark, d):
-    found = signal.clip_lines(_waves(spark, d, 20)).select("clip", F.col("lines")[0]["freq_hz"].alias("freq_hz"))
-    return found.withColumn("freq_hz", F.round("freq_hz", 0))
-
-
-@query("SELECT r_name AS clip, s::INT AS seg_idx, 40000 AS n, 0.0 AS mean, 1.0 AS deviation FROM region, range(0, 3) t(s)")
-def waveform_segments(spark, d):
-    s = signal.segments(_waves(spark, d, 12 + 1))
-    return s.select("clip", "seg_idx", F.size("samples").alias("n"), F.abs(F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / 40000, 4)).alias("mean"), F.round(F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x) / 40000), 4).alias("deviation"))
-
-
-@query("SELECT r_name AS clip, 0 AS seg_idx, 32 AS dim, 1.0 AS length FROM region")
-def segment_embeddings(spark, d):
-    w = encoder.seeded_weights(1, channels=16, widths=(8, 32), kernels=(31, 63, 127, 255))
-    s = signal.segments(_waves(spark, d, 5))
-    e = encoder.embed(s, w)
-    return e.select("clip", "seg_idx", F.size("embedding").alias("dim"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 5).alias("length"))
+    """All lines that are found in each clip: its three tones and no other."""
+    return signal.clip_lines(_tones(spark, d, 14)).select("clip", F.explode("lines").alias("l")).select("clip", "l.freq_hz")
 
 
 # Suppliers as clips: each of their lines is 128 samples of 16 bits, written as WAV files and read back by ranges.
@@ -206,13 +194,18 @@ p AS (SELECT clip, place * 128 + k AS i, ((b + k * 13) % 200 - 100) * 100 AS v F
 n AS (SELECT clip, count(*) AS n FROM p GROUP BY clip)"""
 
 
-def _clip_files(spark, d) -> str:
-    """The clips as WAV files in the shared folder: the path."""
-    li, path = table(spark, d, "lineitem"), shared_folder(spark)
+def _clips(spark, d):
+    """The clips as rows (clip, samples)."""
     row = F.struct("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") * 37 + F.col("l_partkey") % 101).alias("v"))
-    rows = li.groupBy(F.col("l_suppkey").cast("string").alias("clip")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("clip")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     samples = F.flatten(F.transform("rows", lambda r: F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: ((r["v"] + k * 13) % 200 - 100) * 100 / 32768)))
-    sliced.write_waves(rows.select("clip", samples.cast("array<float>").alias("samples")), path)
+    return rows.select("clip", samples.cast("array<float>").alias("samples"))
+
+
+def _clip_files(spark, d) -> str:
+    """The clips as WAV files in the shared folder: the path."""
+    path = shared_folder(spark)
+    sliced.write_waves(_clips(spark, d), path)
     return path
 
 
@@ -226,7 +219,47 @@ def _about(s, *keys):
 SQL_ABOUT = "z AS (SELECT {0}, s.seg_idx, s.first, i - s.first AS j, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS x FROM s JOIN p ON p.clip = s.clip AND i >= s.first AND i < s.first + {1} WINDOW w AS (PARTITION BY {0}, s.seg_idx)) SELECT {2}, seg_idx, first, round(sum(x::FLOAT::DOUBLE * (j % 97)), 0) AS weighted, round(min(x) FILTER (WHERE j = 0), 3) AS head, round(min(x) FILTER (WHERE j = {1} - 1), 3) AS tail FROM z GROUP BY {2}, seg_idx, first"
 
 
-@query(f"WITH {SQL_CLIPS}, s AS (SELECT clip, k AS seg_idx, k * 40000 AS first FROM n, range(0, 1000) t(k) WHERE (k + 1) * 40000 <= n UNION ALL SELECT clip, n // 40000, n - 40000 FROM n WHERE n >= 40000 AND n % 40000 >= 8000), {SQL_ABOUT.format('s.clip', 40000, 'clip::VARCHAR AS clip').replace('GROUP BY clip::VARCHAR AS clip', 'GROUP BY clip')}")
+SQL_SEGMENTS = "s AS (SELECT clip, k AS seg_idx, k * 40000 AS first FROM n, range(0, 1000) t(k) WHERE (k + 1) * 40000 <= n UNION ALL SELECT clip, n // 40000, n - 40000 FROM n WHERE n >= 40000 AND n % 40000 >= 8000)"
+SQL_WHOLE = SQL_ABOUT.format("s.clip", 40000, "clip::VARCHAR AS clip").replace("GROUP BY clip::VARCHAR AS clip", "GROUP BY clip")
+
+
+@query(f"WITH {SQL_CLIPS}, {SQL_SEGMENTS}, {SQL_WHOLE.replace('seg_idx, first, round(sum', 'seg_idx, count(*) AS n, round(sum')}")
+def waveform_segments(spark, d):
+    """Segments of whole clips that are rows."""
+    s = signal.segments(_clips(spark, d)).withColumn("first", F.lit(0))
+    return _about(s.select("clip", "seg_idx", "first", "samples", F.size("samples").cast("long").alias("n")), "clip", "n").drop("first")
+
+
+# A small encoder with taps that SQL can state: two branches of one channel, blocks of two and three channels; taps that meet only padding are 9.
+SQL_ENCODED = """z AS (SELECT s.clip, s.seg_idx, i - s.first AS j, ((v - avg(v) OVER w) / stddev_pop(v) OVER w)::FLOAT::DOUBLE AS x FROM s JOIN p ON p.clip = s.clip AND i >= s.first AND i < s.first + 40000 WINDOW w AS (PARTITION BY s.clip, s.seg_idx)),
+a AS (SELECT clip, seg_idx, j, 0.5 * lag(x, 1, 0) OVER w + x - 0.25 * lead(x, 1, 0) OVER w AS a, 0.25 * lag(x, 2, 0) OVER w + x - 0.5 * lead(x, 2, 0) OVER w AS b FROM z WINDOW w AS (PARTITION BY clip, seg_idx ORDER BY j)),
+r AS (SELECT clip, seg_idx, j, greatest(1.5 * (a - avg(a) OVER w) / sqrt(var_pop(a) OVER w + 1e-5) + 0.2, 0) AS a, greatest((b - avg(b) OVER w) / sqrt(var_pop(b) OVER w + 1e-5), 0) AS b FROM a WINDOW w AS (PARTITION BY clip, seg_idx)),
+h AS (SELECT clip, seg_idx, j, b + (a - b) / (1 + exp(-0.55 * (avg(a) OVER w + avg(b) OVER w))) AS h FROM r WINDOW w AS (PARTITION BY clip, seg_idx)),
+c AS (SELECT clip, seg_idx, j, 0.2 * lag(h, 1, 0) OVER w + h + 0.3 * lead(h, 1, 0) OVER w AS a, -0.5 * lag(h, 1, 0) OVER w + 0.4 * h - 0.1 * lead(h, 1, 0) OVER w AS b FROM h WINDOW w AS (PARTITION BY clip, seg_idx ORDER BY j)),
+d AS (SELECT clip, seg_idx, j, greatest((a - avg(a) OVER w) / sqrt(var_pop(a) OVER w + 1e-5), 0) AS a, greatest((b - avg(b) OVER w) / sqrt(var_pop(b) OVER w + 1e-5) + 0.1, 0) AS b FROM c WINDOW w AS (PARTITION BY clip, seg_idx)),
+e AS (SELECT clip, seg_idx, j, lag(a, 1, 0) OVER w - 0.5 * b AS x, 0.6 * a + lead(b, 1, 0) OVER w AS y, b - 0.7 * lead(a, 1, 0) OVER w AS z FROM d WINDOW w AS (PARTITION BY clip, seg_idx ORDER BY j)),
+m AS (SELECT clip, seg_idx, greatest((x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) - 0.3, 0) AS x, greatest((y - avg(y) OVER w) / sqrt(var_pop(y) OVER w + 1e-5), 0) AS y, greatest(2 * (z - avg(z) OVER w) / sqrt(var_pop(z) OVER w + 1e-5), 0) AS z FROM e WHERE j % 4 = 0 WINDOW w AS (PARTITION BY clip, seg_idx)),
+v AS (SELECT clip, seg_idx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM m GROUP BY ALL)
+SELECT clip::VARCHAR AS clip, seg_idx, round(x / sqrt(x * x + y * y + z * z), 4) AS x, round(y / sqrt(x * x + y * y + z * z), 4) AS y, round(z / sqrt(x * x + y * y + z * z), 4) AS z FROM v"""
+
+
+def _stated_weights() -> encoder.Weights:
+    row = lambda *taps: [[9, 9, 9], list(taps), [9, 9, 9]]
+    w = {"bank0": [[0.5, 1, -0.25]], "bank0_scale": [1.5], "bank0_shift": [0.2], "bank1": [[0.25, 0, 1, 0, -0.5]], "bank1_scale": [1], "bank1_shift": [0]}
+    w |= {"squeeze": [[1], [0.5], [-1], [2]], "excite0": [[0.3, 0.1, 0.7, 0.2]], "excite1": [[-0.2, 0.4, 0, 0.1]]}
+    w |= {"block0": [[row(0.2, 1, 0.3)], [row(-0.5, 0.4, -0.1)]], "block0_scale": [1, 1], "block0_shift": [0, 0.1]}
+    w |= {"block1": [[row(1, 0, 0), row(0, -0.5, 0)], [row(0, 0.6, 0), row(0, 0, 1)], [row(0, 0, -0.7), row(0, 1, 0)]], "block1_scale": [1, 1, 2], "block1_shift": [-0.3, 0, 0]}
+    return {k: np.array(v, np.float32) for k, v in w.items()}
+
+
+@query(f"WITH {SQL_CLIPS}, {SQL_SEGMENTS}, {SQL_ENCODED}")
+def segment_embeddings(spark, d):
+    """Vectors of the segments of all clips, by an encoder of stated weights."""
+    e = encoder.embed(signal.segments(_clips(spark, d)), _stated_weights())
+    return e.select("clip", F.col("seg_idx").cast("long").alias("seg_idx"), *(F.round(F.col("embedding")[i].cast("double"), 4).alias(c) for i, c in enumerate("xyz")))
+
+
+@query(f"WITH {SQL_CLIPS}, {SQL_SEGMENTS}, {SQL_WHOLE}")
 def sliced_segments(spark, d):
     """Segments of files, each read by its own range of frames."""
     return _about(sliced.read_segments(spark, _clip_files(spark, d)), "clip")
