@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import SortedHashes, U64, column, mix, slices, text_buffer
 from tidemark.llm.samples import by_class
@@ -201,22 +202,24 @@ def fit_languages(docs: DataFrame, label: str = "lang", modulus: int = 4, held_o
 
 
 def identify_languages(docs: DataFrame, models: LanguageModels, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds language, score, entropy and rejection to the id and the ``keep`` columns; one pass, no shuffle."""
+    """Adds language, score, entropy and rejection to the id and the ``keep`` columns; one pass, no shuffle.
+
+    A kept column whose name is the name of a result comes back as ``carried_`` and its name.
+    """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(models)
-    kept = [c for c in docs.columns if c in keep]
+    kept = [c for c in docs.columns if c in keep and c != id_col]
+    names = ["lang_pred", "score", "entropy", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches, text_col):
             name, score, entropy, rejected = model.predict(*text_buffer(column(batch, text_col)))
             own = [column(batch, c) for c in [id_col, *kept]]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(name, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], [*[f"c{i}" for i in range(len(own))], "lang_pred", "score", "entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(name, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], [*[f"c{i}" for i in range(len(own))], *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     narrow = docs.select(*dict.fromkeys([id_col, *kept, text_col]))
     schema = ", ".join([*(f"c{i} {kinds[c]}" for i, c in enumerate([id_col, *kept])), "lang_pred string, score double, entropy double, rejected boolean"])
     out = narrow.mapInArrow(run, schema)
-    for i, c in enumerate([id_col, *kept]):
-        out = out.withColumnRenamed(f"c{i}", c)
-    return out
+    return out.select(*(F.col(f"c{i}").alias(f"carried_{c}" if c in names else c) for i, c in enumerate([id_col, *kept])), *names)
