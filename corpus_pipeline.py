@@ -21,7 +21,11 @@ SHINGLE, LEAST = 5, 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language identification rejects; a missing language is filled in."""
+    """Drops the documents that language identification rejects; a missing language is filled in.
+
+    A null text, an empty one and one without a letter are rejected. Every row is judged by its text alone, so
+    rows that repeat stay or go together; null ids stay null; of equally likely languages the first by name counts.
+    """
     kept = tuple(c for c in COLUMNS if c in docs.columns)
     found = languages.identify_languages(docs, languages.fit_languages(docs), keep=(*kept[1:],))
     lang = F.coalesce("lang", "lang_pred") if "lang" in kept else F.col("lang_pred")
@@ -41,7 +45,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of the benchmark."""
+    """Drops the documents that hold a passage of the benchmark.
+
+    Equal texts, and so rows that repeat, stay or go together. Null and empty texts hold no passage and stay; an
+    empty benchmark drops nothing.
+    """
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -57,7 +65,11 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes of a document: ``copy`` counts from 1."""
+    """A row for each copy that the mix takes of a document: ``copy`` counts from 1.
+
+    Null and empty texts have size 0 and rate 1; a null source is a source; rows that repeat are documents of
+    their own; of documents of one size the hash of the id, then the id, says which take the odd copies.
+    """
     own = [c for c in docs.columns if c in COLUMNS]
     mixed = mixing.mix_documents(docs, carry=tuple(c for c in own if c != "doc_id"))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
