@@ -36,3 +36,8 @@ def against_sql(spark, path, name, **tables):
 def test_path_names_of_long_numbers(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "path_names", pages=pd.DataFrame({"page_id": [7, 12345], "url": ["http://a/b.html", "http://a/c"]}))
     assert got == want and got[1][2] == "A/A-12345.wav"
+
+
+def test_path_resolution_of_repeated_urls(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "path_resolution", pages=pd.DataFrame({"page_id": [1, 3, 4, 5, 7, 8], "url": ["a/x", "a/x", "b/y", "c/y", "b/y", "a/x"]}))
+    assert got == want and [r[1] for r in got] == ["a/x", "a/x", "p:4", "n:4", "p:4", "a/x"]
