@@ -41,3 +41,12 @@ def test_path_names_of_long_numbers(spark, tmp_path):
 def test_path_resolution_of_repeated_urls(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "path_resolution", pages=pd.DataFrame({"page_id": [1, 3, 4, 5, 7, 8], "url": ["a/x", "a/x", "b/y", "c/y", "b/y", "a/x"]}))
     assert got == want and [r[1] for r in got] == ["a/x", "a/x", "p:4", "n:4", "p:4", "a/x"]
+
+
+def test_select_val_of_more_forced_vessels_than_places_and_of_level_types(spark, tmp_path):
+    for forced in (45, 2):
+        n = 97 * forced
+        customer = pd.DataFrame({"c_custkey": range(1, n + 1), "c_mktsegment": [f"t{k % 53}" for k in range(n)]})
+        orders = pd.DataFrame({"o_orderkey": range(2 * n), "o_custkey": [k // 2 + 1 for k in range(2 * n)], "o_orderpriority": ["1-URGENT" if k % 5 == 0 else "5-LOW" for k in range(2 * n)]})
+        got, want = against_sql(spark, tmp_path, "select_val", customer=customer, orders=orders)
+        assert got == want and sum(r[0] == "val" for r in got) == max(40, forced)
