@@ -2,11 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from tidemark.operators import tonal  # noqa: E402
+from tidemark.operators import neighbours, tonal  # noqa: E402
 from tidemark.plans import catalog  # noqa: E402
 
 
@@ -50,3 +51,14 @@ def test_select_val_of_more_forced_vessels_than_places_and_of_level_types(spark,
         orders = pd.DataFrame({"o_orderkey": range(2 * n), "o_custkey": [k // 2 + 1 for k in range(2 * n)], "o_orderpriority": ["1-URGENT" if k % 5 == 0 else "5-LOW" for k in range(2 * n)]})
         got, want = against_sql(spark, tmp_path, "select_val", customer=customer, orders=orders)
         assert got == want and sum(r[0] == "val" for r in got) == max(40, forced)
+
+
+def test_a_query_is_dealt_once_a_bin_not_once_a_cell():
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal((200, 8))
+    counts = {i: 5 for i in range(200)}
+    bins = neighbours._bins(centre, counts)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([centre[0].tolist()]), pa.array([bins[0]]), pa.array([-np.inf])], ["id", "e", "seed", "beat"])
+    (got,) = neighbours._met(centre, np.ones(200), False, bins, counts)(iter([batch]))
+    assert got.num_rows == bins.max() < 20
+    assert sum(got.column(3).to_pylist()) == 1000 - 5 * int((bins == bins[0]).sum())

@@ -18,7 +18,9 @@ from pyspark.sql.window import Window as W
 from tidemark.operators.retrieval import CELLS, MOST_TASKS
 
 #: Pivots at most (all tasks hold them); vectors of the sample for each; vectors of a tile; decimals beyond which scores tie, since equal vectors' sums may differ in their last bits.
-PIVOTS, SAMPLE, TILE, PLACES = 1024, 4, 4096, 10
+PIVOTS, SAMPLE, PLACES = 1024, 4, 10
+#: Vectors of a bin of neighbouring cells at most, and of its queries: a query is dealt once a bin, whatever the number of cells that it must meet there.
+TILE = 32768
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -49,8 +51,25 @@ def _homes(pivots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _met(pivots: np.ndarray, radius: np.ndarray, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (id, e[, seed, beat]) once for each cell that they must meet: the most promising one, or all others whose bound reaches ``beat``."""
+def _bins(centre: np.ndarray, counts: dict[int, int]) -> np.ndarray:
+    """Bin of each cell: a cell joins the bin of the nearest cell that was put before it, if there is room; a bin has at most a 16th of the vectors."""
+    room = min(TILE, -(-sum(counts.values()) // 16))
+    left, out = set(range(len(centre))), np.zeros(len(centre), int)
+    at, held, number = 0, 0, 0
+    while left:
+        left.discard(at)
+        if held and held + counts[at] > room:
+            number, held = number + 1, 0
+        out[at], held = number, held + counts[at]
+        if left:
+            rest = np.fromiter(sorted(left), int)
+            at = int(rest[((centre[rest] - centre[at]) ** 2).sum(1).argmin()])
+    return out
+
+
+def _met(pivots: np.ndarray, radius: np.ndarray, first: bool, bins: np.ndarray, counts: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, e[, seed, beat]) once for each bin that they must meet, and its vectors: that of the most promising cell, or all others with a cell whose bound reaches ``beat``."""
+    size = np.bincount(bins, weights=[counts[i] for i in range(len(bins))]).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,20 +79,57 @@ def _met(pivots: np.ndarray, radius: np.ndarray, first: bool) -> Callable[[Itera
                 bound = x @ pivots.T + np.sqrt((x**2).sum(1))[:, None] * radius
                 bound += 1e-9 * (1 + np.abs(bound))  # sums are rounded
                 if first:
-                    row, cell = np.arange(len(x)), bound.argmax(1)
+                    row, cell = np.arange(len(x)), bins[bound.argmax(1)]
                 else:
-                    reach = bound >= part.column(3).to_numpy(zero_copy_only=False)[:, None]
+                    meets = bound >= part.column(3).to_numpy(zero_copy_only=False)[:, None]
+                    reach = np.zeros((len(x), len(size)), bool)
+                    for c, b in enumerate(bins):
+                        reach[:, b] |= meets[:, c]
                     reach[np.arange(len(x)), part.column(2).to_numpy()] = False
                     row, cell = np.nonzero(reach)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(cell)], ["id", "e", "cell"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(cell), pa.array(size[cell])], ["id", "e", "cell", "n"])
 
     return run
 
 
+def _top(x: np.ndarray, y: np.ndarray, asked: np.ndarray, ids: np.ndarray, most: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``x``, of ``y`` (by rising id) and scores of the best entries of each query.
+
+    Products of single precision say which pairs can be among the best; only those are scored in double precision.
+    """
+    narrow, wide = x.astype(np.float32), y.astype(np.float32)
+    # bound of the error of a sum of single precision, by lengths
+    slack = 4 * (x.shape[1] + 4) * 2.0**-24 * np.sqrt((x**2).sum(1)) * np.sqrt((y**2).sum(1).max()) + 10.0**-PLACES
+    step, found = max(1, CELLS // len(y)), []
+    block = max(1, min(64, len(y) // (4 * (most + 1))))  # the k-th best of the blocks' best is no more than the k-th best
+    whole = len(y) // block * block
+    for i in range(0, len(x), step):
+        score = narrow[i : i + step] @ wide.T
+        if skip_self:
+            at = np.minimum(np.searchsorted(ids, asked[i : i + step]), len(ids) - 1)
+            own = np.flatnonzero(ids[at] == asked[i : i + step])
+            score[own, at[own]] = -np.inf
+            if len(own) and len(np.unique(ids)) < len(ids):  # rows of one id
+                score[asked[i : i + step, None] == ids[None, :]] = -np.inf
+        heads = score[:, :whole].reshape(len(score), -1, block).max(2)
+        k = min(most, heads.shape[1])
+        floor = np.partition(heads, -k, axis=1)[:, -k] if k == most else np.full(len(score), -np.inf)
+        least = np.where(np.isfinite(floor), floor - 2 * slack[i : i + step], -np.inf).astype(np.float64)
+        row, col = np.nonzero((score >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]) & (score > -np.inf))
+        exact = np.empty(len(row))
+        for c in range(0, len(row), 1 << 16):  # copies can make very many candidates
+            exact[c : c + (1 << 16)] = np.einsum("ij,ij->i", x[i + row[c : c + (1 << 16)]], y[col[c : c + (1 << 16)]])
+        order = np.lexsort((ids[col], -np.round(exact, PLACES), row))
+        row, col, exact = row[order], col[order], exact[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(score)))[row] < most
+        found.append((i + row[keep], col[keep], exact[keep]))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
 def _best(dealt: DataFrame, gallery: DataFrame, counts: dict[int, int], most: int, skip_self: bool) -> DataFrame:
-    """The best entries of each dealt query in its cell: q, g, score. Cells and their queries are cut into tiles."""
+    """The best entries of each dealt query in its bin: q, g, score. Bins and their queries are cut into tiles."""
     spark = dealt.sparkSession
-    asked = {r.cell: int(r.n) for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+    asked = {r.cell: int(r.n) for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a bin
     tiles = spark.createDataFrame([(c, -(-n // TILE), -(-counts[c] // TILE)) for c, n in asked.items()], "cell long, nq long, ng long")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -89,23 +145,9 @@ def _best(dealt: DataFrame, gallery: DataFrame, counts: dict[int, int], most: in
         a, b = (table.filter(pa.array(part == s)).sort_by("id") for s in (0, 1))
         if not len(a) or not len(b):
             return shape.empty_table()
-        x, y, ids, found = _matrix(a.column("e")), _matrix(b.column("e")), b.column("id").to_numpy(), []
-        asked = a.column("id").to_numpy()
-        step = max(1, CELLS // len(y))
-        for i in range(0, len(x), step):
-            score = x[i : i + step] @ y.T
-            if skip_self:
-                score[asked[i : i + step, None] == ids[None, :]] = -np.inf
-            k = min(most, len(y))
-            floor = np.partition(score, -k, axis=1)[:, -k]
-            row, col = np.nonzero((score >= floor[:, None] - 10.0**-PLACES) & (score > -np.inf))
-            order = np.lexsort((ids[col], -np.round(score[row, col], PLACES), row))
-            row, col = row[order], col[order]
-            first = np.searchsorted(row, np.arange(len(score)))
-            keep = np.arange(len(row)) - first[row] < most
-            row, col = row[keep], col[keep]
-            found.append(pa.table([asked[i + row], ids[col], score[row, col]], schema=shape))
-        return pa.concat_tables(found)
+        x, y, ids, asked = _matrix(a.column("e")), _matrix(b.column("e")), b.column("id").to_numpy(), a.column("id").to_numpy()
+        row, col, score = _top(x, y, asked, ids, most, skip_self)
+        return pa.table([asked[row], ids[col], score], schema=shape)
 
     return both.groupBy("cell", "qt", "gt").applyInArrow(run, "q long, g long, score double")
 
@@ -128,16 +170,17 @@ def nearest_entries(queries: DataFrame, gallery: DataFrame, most: int = 1, skip_
     used = [r.cell for r in cells]
     centre, radius, counts = chosen[used], np.array([r.r for r in cells]), {i: int(r.n) for i, r in enumerate(cells)}
     index = F.create_map(*(F.lit(x) for i, c in enumerate(used) for x in (c, i)))
-    placed = placed.select("id", "e", index[F.col("cell")].cast("long").alias("cell"))
+    bins = _bins(centre, counts)
+    placed = placed.select("id", "e", F.element_at(F.array(*(F.lit(int(b)) for b in bins)), (index[F.col("cell")] + 1).cast("int")).cast("long").alias("cell"))
+    held = {int(b): sum(counts[i] for i in np.flatnonzero(bins == b)) for b in set(bins)}
 
-    seeded = queries.mapInArrow(_met(centre, radius, True), "id long, e array<double>, cell long").persist()
-    first = _best(seeded, placed, counts, most, skip_self).persist()
+    seeded = queries.mapInArrow(_met(centre, radius, True, bins, counts), "id long, e array<double>, cell long, n long").persist()
+    first = _best(seeded.drop("n"), placed, held, most, skip_self).persist()
     falling = W.partitionBy("q").orderBy(F.round("score", PLACES).desc(), F.col("g"))
     rows = first.withColumn("rank", F.row_number().over(falling)).where(F.col("rank") == most).select(F.col("q").alias("id"), F.col("score").alias("beat"))
     open_ = seeded.withColumnRenamed("cell", "seed").join(rows, "id", "left").select("id", "e", "seed", F.coalesce("beat", F.lit(float("-inf"))).alias("beat"))
-    rest = open_.mapInArrow(_met(centre, radius, False), "id long, e array<double>, cell long").persist()
-    found = first.unionByName(_best(rest, placed, counts, most, skip_self))
-    sizes = queries.sparkSession.createDataFrame(list(counts.items()), "cell long, n long")
-    compared = seeded.select("id", "cell").unionByName(rest.select("id", "cell")).join(F.broadcast(sizes), "cell").groupBy(F.col("id").alias("q")).agg(F.sum("n").alias("met"))
+    rest = open_.mapInArrow(_met(centre, radius, False, bins, counts), "id long, e array<double>, cell long, n long").persist()
+    found = first.unionByName(_best(rest.drop("n"), placed, held, most, skip_self))
+    compared = seeded.select("id", "n").unionByName(rest.select("id", "n")).groupBy(F.col("id").alias("q")).agg(F.sum("n").alias("met"))
     best = found.withColumn("rank", F.row_number().over(falling)).where(F.col("rank") <= most)
     return best.join(compared, "q")
