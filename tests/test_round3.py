@@ -4,11 +4,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 
-from tidemark.operators import neighbours, tonal  # noqa: E402
+from tidemark.operators import encoder, neighbours, tonal  # noqa: E402
 from tidemark.plans import catalog  # noqa: E402
+from tidemark.sources import sliced  # noqa: E402
 
 
 def test_product_meets_the_same_pairs_from_both_sides():
@@ -62,3 +64,23 @@ def test_a_query_is_dealt_once_a_bin_not_once_a_cell():
     (got,) = neighbours._met(centre, np.ones(200), False, bins, counts)(iter([batch]))
     assert got.num_rows == bins.max() < 20
     assert sum(got.column(3).to_pylist()) == 1000 - 5 * int((bins == bins[0]).sum())
+
+
+def test_ranges_ask_for_no_more_tasks_the_more_they_are(spark):
+    ranges = spark.range(20000).select(F.lit("x").alias("path"), F.col("id").alias("first"))
+    assert sliced._dealt(ranges).rdd.getNumPartitions() <= sliced.TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_segments_are_encoded_a_few_at_a_time(spark, monkeypatch):
+    most = []
+    monkeypatch.setattr(encoder, "encode_batch", lambda x, w: most.append(len(x)) or np.zeros((len(x), 3), np.float32))
+
+    class Rows:
+        sparkSession = spark
+
+        def mapInPandas(self, run, shape):
+            return run
+
+    frame = pd.DataFrame({"clip": ["a"] * 50, "seg_idx": range(50), "samples": [np.zeros(8, np.float32)] * 50})
+    assert sum(len(part) for part in encoder.embed(Rows(), {})(iter([frame]))) == 50
+    assert max(most) <= 16
