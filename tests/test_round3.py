@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 
-from tidemark.operators import encoder, neighbours, tonal  # noqa: E402
+from tidemark.operators import encoder, neighbours, retrieval, tonal  # noqa: E402
 from tidemark.plans import catalog  # noqa: E402
 from tidemark.sources import sliced  # noqa: E402
 
@@ -84,3 +84,8 @@ def test_segments_are_encoded_a_few_at_a_time(spark, monkeypatch):
     frame = pd.DataFrame({"clip": ["a"] * 50, "seg_idx": range(50), "samples": [np.zeros(8, np.float32)] * 50})
     assert sum(len(part) for part in encoder.embed(Rows(), {})(iter([frame]))) == 50
     assert max(most) <= 16
+
+
+def test_copies_of_a_vector_that_are_dealt_do_not_grow_with_the_side():
+    assert [retrieval.tiles(n) for n in (0, 1, 4097, 120_000, 500_000)] == [1, 1, 2, 8, 8]
+    assert retrieval.tiles(1 << 20) == 16  # beyond that a tile stays bounded
