@@ -89,3 +89,14 @@ def test_segments_are_encoded_a_few_at_a_time(spark, monkeypatch):
 def test_copies_of_a_vector_that_are_dealt_do_not_grow_with_the_side():
     assert [retrieval.tiles(n) for n in (0, 1, 4097, 120_000, 500_000)] == [1, 1, 2, 8, 8]
     assert retrieval.tiles(1 << 20) == 16  # beyond that a tile stays bounded
+
+
+def test_shares_of_blocks_are_those_of_all_lines():
+    rng = np.random.default_rng(2)
+    (f, g), (w, v) = np.round(rng.exponential(9, (2, 30, 6)), 2), rng.integers(0, 9, (2, 30, 6)).astype(float)
+    f[::4, 4:], w[::4, 4:], w[0] = np.nan, 0, 0
+    near = (np.abs(f[:, None, :, None] - g[None, :, None, :]) <= 1.0).any(3)
+    total = w.sum(1)[:, None]
+    want = np.where(total > 0, (near * w[:, None, :]).sum(2) / np.where(total > 0, total, 1), 0)
+    assert np.allclose(tonal._shares(f, w, g), want, atol=1e-12)
+    assert tonal._shares(f[:, :0], w[:, :0], g).shape == tonal._shares(f, w, g).shape
