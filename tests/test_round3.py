@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 
-from tidemark.operators import encoder, neighbours, retrieval, tonal  # noqa: E402
-from tidemark.plans import catalog  # noqa: E402
+from tidemark.operators import encoder, neighbours, retrieval, signal, tonal  # noqa: E402
+from tidemark.plans import acoustic, catalog  # noqa: E402
 from tidemark.sources import sliced  # noqa: E402
 
 
@@ -100,3 +100,22 @@ def test_shares_of_blocks_are_those_of_all_lines():
     want = np.where(total > 0, (near * w[:, None, :]).sum(2) / np.where(total > 0, total, 1), 0)
     assert np.allclose(tonal._shares(f, w, g), want, atol=1e-12)
     assert tonal._shares(f[:, :0], w[:, :0], g).shape == tonal._shares(f, w, g).shape
+
+
+def test_waveform_lines_of_a_clip_whose_noise_alone_makes_a_line(spark, tmp_path):
+    t = np.arange(14 * signal.RATE) / signal.RATE
+    noise = np.random.default_rng(5368).standard_normal(len(t))
+    assert [f for f, _ in signal.tonal_lines(noise.astype(np.float32))] == [42.75]  # right by the operator's rule, which stays
+    got, want = against_sql(spark, tmp_path, "waveform_lines", supplier=pd.DataFrame({"s_suppkey": [5368, 7], "s_nationkey": [3, 24]}))
+    assert got == want and len(got) == 6
+
+
+def test_only_tones_come_near_the_threshold(spark, tmp_path):
+    pd.DataFrame({"s_suppkey": [0, 5368, 10**12 + 1], "s_nationkey": [0, 7, 24]}).to_parquet(tmp_path / "supplier.parquet")
+    for clip, samples in acoustic._tones(spark, str(tmp_path), 14).collect():
+        freqs, times, power = signal.spectrum(np.array(samples))
+        top, _, _ = signal.band_levels(signal.whiten(freqs, power), freqs)
+        held = np.maximum(top[:, :10].min(axis=1), top[:, 1:].min(axis=1))  # the level a band keeps for ten frames of eleven
+        assert len(times) == 11
+        tones = [40 + int(clip) * 7 % 150, 250 + int(clip) * 13 % 200]
+        assert (held[tones] > 15).all() and (held > 6).sum() == 3
